@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from oneway.llm.decontaminate import decontaminate
+from oneway.llm.mixing import mix_sources
+from oneway.llm.sharding import extendible_shards, shards_sql
+from oneway.llm.simhash import simhash_components
 from oneway.llm.substring_dedup import substring_dedup
+from oneway.llm.toxicity import grades_of_labels, score_toxicity, train
+from oneway.llm.url_filter import judge_urls
+
+#: Bytes of text in a shard, at most.
+SHARD_BYTES = 16 << 20
+#: (action, host, path prefix)
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +26,36 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), 13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "bytes", "depth", "shard")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, grades_of_labels(table(spark, sf_dir, "labels")))
+    return score_toxicity(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_extendible_shards": shards_sql(SHARD_BYTES)}
