@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from oneway.llm.arc_warc import archive_pages, archive_sql
 from oneway.llm.decontaminate import decontaminate
 from oneway.llm.mixing import mix_sources
 from oneway.llm.sharding import extendible_shards, shards_sql
 from oneway.llm.simhash import simhash_components
 from oneway.llm.substring_dedup import substring_dedup
+from oneway.llm.suffix_tree_lm import fit_and_score
+from oneway.llm.topk import top_k, top_k_sql
 from oneway.llm.toxicity import grades_of_labels, score_toxicity, train
 from oneway.llm.url_filter import judge_urls
 
@@ -30,6 +34,10 @@ def op2_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "bytes", "depth", "shard")
 
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).drop("uri")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, grades_of_labels(table(spark, sf_dir, "labels")))
@@ -44,6 +52,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -58,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_shards": shards_sql(SHARD_BYTES)}
+    return {"op2_extendible_shards": shards_sql(SHARD_BYTES), "op3_arc_to_warc": archive_sql(), "op7_top_k": top_k_sql(20, 20, 64)}

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from oneway.llm.textkit import SEP_PUNCT, U64, HashIndex, Words, chunks, group_starts, text_buffer
 
 #: Labelled documents that the model is fitted to, at most.
-SAMPLE = 6_000
+SAMPLE = 12_000
 MAX_FEATURES = 4_096
 SCREEN_Z = 4.5
 L1 = 3e-4
