@@ -9,7 +9,10 @@ one segment, so each goes to one group per segment and no link is lost.  A group
 its remaining bits, which share the same property, until groups are small: no task ever holds an unbounded group, and
 what remains undivided has too few free bits to be large.
 
-Banded layout (large radius): groups are bands of a long fingerprint, a documented approximation; comparisons stay exact.
+Banded layout (large radius): a group is a band of bits of a longer fingerprint on which rows agree.  A group above ``GROUP`` rows is cut
+by each further band.  This is the one approximation: a pair that agrees on no band is not compared.  With 30 bands of 14 bits
+and 512-bit fingerprints, pairs whose shingle sets have Jaccard similarity 0.8 (expected distance 78) agree on a band with
+probability 0.96, those of 0.9 with more than 0.99; all comparisons are exact.
 
 A group reports the links as a forest (each fingerprint with its tile root), never all pairs.
 
@@ -213,6 +216,69 @@ def exact_links(distinct: DataFrame, radius: int) -> DataFrame:
         rows = dealt.join(large, "key", "left_semi").select("fp", "rep", "key", "free")
 
 
+def _deal_bands(batches: Iterator[pa.RecordBatch], words: int, bands: int, bits: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
+    """Each row once per free band: the key names the path of bands and their values; ``free`` is a set of bands."""
+    names = [f"f{i}" for i in range(words)]
+    for batch in batches:
+        fp = np.stack([batch.column(n).to_numpy(zero_copy_only=False).view(U64) for n in names])
+        key, rep, free = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "free"))
+        for band in range(bands):
+            pick = np.flatnonzero(free >> band & 1)
+            if not len(pick):
+                continue
+            at, shift = divmod(band * bits, 64)
+            value = fp[at, pick] >> U64(shift)
+            if shift + bits > 64:
+                value = value | fp[at + 1, pick] << U64(64 - shift)
+            value &= U64((1 << bits) - 1)
+            sub = pa.array(mix(key[pick].view(U64) ^ mix(value + U64((band + 1) << 32))).view(np.int64))
+            if keys_only:
+                yield pa.record_batch([sub], names=["key"])
+            else:
+                yield pa.record_batch([sub, pa.array(rep[pick]), pa.array(free[pick] & ~(1 << band)), *(pa.array(x[pick].view(np.int64)) for x in fp)], names=["key", "rep", "free", *names])
+
+
+def banded_links(distinct: DataFrame, radius: int, words: int, bands: int, bits: int) -> DataFrame:
+    """Forests (u, v) over the pairs of distinct fingerprints (f0.., rep) that share a band and lie within the radius."""
+    names = [f"f{i}" for i in range(words)]
+    rows = distinct.select("rep", *names, F.lit(0).cast("long").alias("key"), F.lit((1 << bands) - 1).cast("long").alias("free"))
+    columns = ", ".join(f"{n} long" for n in ["key", "rep", "free", *names])
+    found = None
+    while True:
+        keys = rows.mapInArrow(lambda it: _deal_bands(it, words, bands, bits, True), "key long")
+        large = materialize(keys.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "large")
+        dealt = rows.mapInArrow(lambda it: _deal_bands(it, words, bands, bits, False), columns)
+        # a group that no band is left to cut stays whole; its rows agree on all bands
+        small = dealt.join(large, "key", "left_anti").unionByName(dealt.join(large, "key", "left_semi").where("free = 0"))
+        links = small.drop("free").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, radius, words), "u long, v long")
+        found = links if found is None else found.unionByName(links)
+        if large.isEmpty():
+            return found
+        rows = materialize(dealt.join(large, "key", "left_semi").where("free <> 0"), "tiles")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 86, words: int = 8, bands: int = 30, bits: int = 14) -> DataFrame:
+    """doc_id and component_id by 64 * ``words``-bit fingerprints over k-word shingles.  Of 512 bits, distance 86 is where pairs of
+    Jaccard similarity 0.8 (distance 78 expected, deviation 8) are linked with probability 0.85, those of 0.85 with 0.99."""
+    names = [f"f{i}" for i in range(words)]
+    prints = materialize(fingerprints(docs, k, words).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "fingerprints")
+    distinct = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
+    roots = connected_components(banded_links(distinct, radius, words, bands, bits))
+    named = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
+    return materialize(prints.join(named, names).select("doc_id", "component_id"), "members")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of one document per group: the one of the smallest id (of its repeated rows, one)."""
+    members = near_duplicates(docs, **options)
+    ids = members.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"))
+    ids = materialize(ids, "stays")
+    kept = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(ids.where("stays = 1").select(F.col("doc_id").alias("__id")), "__id", "left_semi")
+    if not ids.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["__id"])
+    return kept.drop("__id")
+
+
 def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
     prints = materialize(fingerprints(docs, k).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("f0").alias("fp")), "fingerprints")
