@@ -98,5 +98,10 @@ def fnv1a(text: Column) -> Column:
 def ngram_buckets(label: Column, dim: int = 16384, longest: int = 4) -> Column:
     """Hash buckets of all 1- to ``longest``-grams, repeats included."""
     n = F.length(label)
-    grams = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.substring(label, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)]
+
+    def of_length(k: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(label, i, F.lit(k)))
+        return F.when(n >= k, some).otherwise(F.array().cast("array<string>"))
+
+    grams = [of_length(k) for k in range(1, longest + 1)]
     return F.transform(F.concat(*grams), lambda g: fnv1a(g) % dim)

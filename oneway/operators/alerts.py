@@ -82,13 +82,12 @@ def ranked(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-def numbered(rows: DataFrame, prefix: str, order: list) -> DataFrame:
-    """Adds id PREFIX-0001 ... in order.  Numbers come from counts per range partition, so no single task sorts all rows."""
-    spark = rows.sparkSession
-    parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id())
-    at = F.row_number().over(W.partitionBy("__p").orderBy(*order))
-    counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    rows = parts.join(F.broadcast(before), "__p").withColumn("number", at + F.col("__before"))  # one row per partition
+def numbered(rows: DataFrame, prefix: str, order: list[str], coarse: Column) -> DataFrame:
+    """Adds number and id (PREFIX0001 ...) in order.  ``coarse`` never falls along the order; rows are numbered inside each of its values
+    and offset by the counts before it, so that one task sees at most one row per value."""
+    rows = rows.withColumn("__c", coarse)
+    counts = rows.groupBy("__c").agg(F.count("*").alias("__n"))
+    before = counts.select("__c", F.coalesce(F.sum("__n").over(W.orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rows = rows.join(before, "__c").withColumn("number", F.row_number().over(W.partitionBy("__c").orderBy(*order)) + F.col("__before"))
     text = F.col("number").cast("string")
-    return rows.withColumn("id", F.concat(F.lit(prefix), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))).drop("__p", "__before")
+    return rows.withColumn("id", F.concat(F.lit(prefix), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))).drop("__c", "__before")

@@ -53,7 +53,7 @@ def groups(alerts: DataFrame) -> DataFrame:
 
 def correlate(alerts: DataFrame) -> DataFrame:
     """Incidents with their numbers, in the order of (host, bucket)."""
-    rows = numbered(groups(alerts), "INC-", ["host", "bucket"])
+    rows = numbered(groups(alerts), "INC-", ["host", "bucket"], F.col("host"))
     return rows.withColumnRenamed("id", "incident_id").withColumn("chain", F.concat(F.array(F.lit("PCAP"), F.lit("FLOW")), "supporting_detectors", F.array(F.lit("CORRELATION"), F.lit("LEDGER"))))
 
 
@@ -65,7 +65,7 @@ def timeline(alerts: DataFrame) -> DataFrame:
 
 def alert_records(alerts: DataFrame) -> DataFrame:
     """ALT- and EV-numbered records with source and destination."""
-    rows = numbered(alerts, "ALT-", ["seq"])
+    rows = numbered(alerts, "ALT-", ["seq"], F.floor(F.col("seq") / 100_000))
     ends = F.split(F.col("flow_key"), "->")
     return rows.withColumns({"evidence_id": F.replace(F.col("id"), F.lit("ALT-"), F.lit("EV-")), "source": F.element_at(ends, 1), "destination": F.coalesce(F.try_element_at(ends, F.lit(2)), F.lit(""))})
 
