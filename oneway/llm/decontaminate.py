@@ -164,8 +164,8 @@ def _slices(benchmark: DataFrame, match: int) -> Iterator[Benchmark]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, match: int = 5, threshold: float = 0.6) -> DataFrame:
-    """The rows with the best item (null if none reaches the threshold's reach), its coverage, the number of items at or over the
-    threshold, and contaminated."""
+    """The rows with the best item, its coverage, the number of items at or over the threshold, and contaminated.  Items whose seeds in
+    the document could not cover the threshold are not tiled: they count as coverage 0 and no item."""
     docs = docs.select([c for c in docs.columns if c.lower() not in ADDED])
     plain = docs.columns
     out = docs.withColumns({"item_id": F.lit(None).cast("long"), "coverage": F.lit(0.0), "n_items": F.lit(0).cast("long")})
