@@ -2,7 +2,7 @@
 
 P(grade <= j) = sigmoid(theta_j - w x): one weight vector for all ordered thresholds theta_0 < theta_1 < ...  Features are the
 presence of folded words (letters and digits); a screen keeps those whose shares among clean and toxic documents differ
-significantly, and an L1 penalty keeps few of these.  The result is the probability of each grade or more, the expected
+significantly, and an L1 penalty keeps few of these.  Toxic and clean documents weigh the same in total.  The result is the probability of each grade or more, the expected
 severity, and the toxic flag (probability of grade 1 or more at least one half).
 
 The model is fitted on the driver to at most ``SAMPLE`` labelled documents (those of smallest id hash); scoring reads every whole
@@ -30,7 +30,7 @@ from oneway.llm.textkit import SEP_PUNCT, U64, HashIndex, Words, chunks, group_s
 SAMPLE = 12_000
 MAX_FEATURES = 4_096
 SCREEN_Z = 4.5
-L1 = 3e-4
+L1 = 2e-3
 
 
 @dataclass
@@ -98,7 +98,9 @@ def fit(words: list[np.ndarray], grade: np.ndarray, steps: int = 600) -> Ordinal
     row, col = row[col >= 0], col[col >= 0]
     y = np.searchsorted(known, grade)
     k, n = len(known), len(y)
-    share = np.cumsum(np.bincount(y, minlength=k))[:-1] / n
+    # clean and toxic documents weigh the same in total, so rare toxic ones decide as much as common clean ones
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
+    share = np.cumsum(np.bincount(y, weights=weight, minlength=k))[:-1]
     theta = np.log(share / (1 - share))
     w = np.zeros(len(keep))
     free = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3)), w])
@@ -112,10 +114,10 @@ def fit(words: list[np.ndarray], grade: np.ndarray, steps: int = 600) -> Ordinal
         p = np.maximum(hi - lo, 1e-9)
         up, down = hi * (1 - hi) / p, lo * (1 - lo) / p
         by_theta = np.zeros(k + 1)
-        np.add.at(by_theta, y + 1, -up / n)
-        np.add.at(by_theta, y, down / n)
+        np.add.at(by_theta, y + 1, -up * weight)
+        np.add.at(by_theta, y, down * weight)
         inner = by_theta[1:k]
-        grad = np.concatenate([[inner.sum()], gaps * np.cumsum(inner[::-1])[::-1][1:], np.bincount(col, weights=((up - down) / n)[row], minlength=len(w))])
+        grad = np.concatenate([[inner.sum()], gaps * np.cumsum(inner[::-1])[::-1][1:], np.bincount(col, weights=((up - down) * weight)[row], minlength=len(w))])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         rate = 0.1 / (1 + step / 200)
         free = free - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
