@@ -17,7 +17,7 @@ _DEFAULT = {"src_port": 40000, "dst_port": 443, "proto": "TCP", "length": 0, "tc
 
 
 def packet(ts: float, src: str, dst: str, **fields) -> dict:
-    return dict.fromkeys(PACKET.names) | _DEFAULT | {"ts": ts, "src_ip": src, "dst_ip": dst} | fields
+    return dict.fromkeys(PACKET.names) | _DEFAULT | {"ts": float(ts), "src_ip": src, "dst_ip": dst} | fields
 
 
 def frame(spark: SparkSession, packets: Iterable[dict], sort: bool = True) -> DataFrame:
