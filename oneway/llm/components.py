@@ -13,18 +13,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each step replaces a node's neighbours by links to its smallest neighbour, so hubs shrink to stars in a number of
     rounds that grows with the square of the logarithm of the size.  Rows stay at most the number of edges; hubs are met by
-    partial aggregation and by joins whose other side has one row per node, which Spark can split.  Every step is written
-    to the shared folder.
+    partial aggregation and by joins whose other side has one row per node; the minima are written first, so that a join
+    stands on plain exchanges, which Spark can split.  Every step is written to the shared folder.
     """
     links = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = materialize(links, "links")
     last = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = materialize(small.distinct(), "links")
