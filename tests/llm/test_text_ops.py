@@ -8,7 +8,6 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from oneway.llm import decontaminate as D
 from oneway.llm import simhash as S
