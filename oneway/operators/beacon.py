@@ -1,13 +1,12 @@
 """Periodic channels.
 
 Guards run before the periodogram, which is the one step that built-ins serve badly (events times 4000 periods): it is an Arrow kernel
-over one channel's events, in blocks of periods.  A channel with more than ``MAX_EVENTS`` events would make its own task long, so the
+over one channel's events, in blocks of periods.  A channel with more than ``SLICE`` events would make its own task long, so the
 periodogram of such a channel is summed over slices of its events: sums of cosines and sines add up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from oneway.operators.flows import ratio
 
 MIN_EVENTS, N_PERIODS = 8, 4000
 P_MIN, P_MAX = 0.5, 3600.0

@@ -94,7 +94,7 @@ def _found(threat: str, fires: Column, score: Column, confidence: Column, eviden
 
 
 def syn_flood(rate: float = 40.0) -> Column:
-    hz, drive = F.col("syn") / F.col("w"), None
+    hz = F.col("syn") / F.col("w")
     drive = 0.4 * clip1(hz / rate) + 0.25 * F.col("mean_half_open") + 0.2 * F.col("entropy") + 0.15 * (1 - F.col("mean_live"))
     fires = (F.col("syn") > 0) & (hz >= rate) & (F.col("mean_half_open") > 0.6)
     return _found("syn_flood", fires, clip1(drive), clip1(drive) * (0.7 + 0.3 * (1 - F.col("mean_live"))), {"syn_rate_hz": F.round(hz, 1), "unique_sources": F.col("sources"), "src_ip_entropy": F.round("entropy", 3), "half_open_ratio": F.round("mean_half_open", 3), "mean_liveness": F.round("mean_live", 3)})
@@ -107,21 +107,21 @@ def synack_reflection(rate: float = 40.0) -> Column:
     return _found("reflection_amplification", fires, clip1(F.greatest(F.lit(0.6), drive)), clip1(F.greatest(F.lit(0.55), 0.9 * drive)), {"synack_rate_hz": F.round(hz, 1), "reflector_sources": F.col("sources"), "src_ip_entropy": F.round("entropy", 3)})
 
 
-def _amplifies(pps: float) -> tuple[Column, Column]:
+def _amplifies() -> tuple[Column, Column]:
     bps = F.col("udp_bytes") / F.col("w")
     fires = (F.col("udp_flows") > 0) & (ratio("amp_packets", "udp_packets") > 0.5) & (ratio("amp_bytes", "amp_packets") > 180) & (bps >= 100_000) & (F.col("reflects") >= 10)
     return fires, bps
 
 
 def udp_amplification(pps: float = 500.0) -> Column:
-    fires, bps = _amplifies(pps)
+    fires, bps = _amplifies()
     drive = clip1(bps / (300 * pps))
     return _found("reflection_amplification", fires, F.greatest(F.lit(0.6), drive), F.greatest(F.lit(0.55), 0.9 * drive), {"byte_rate_bps": F.floor(bps), "reflector_sources": F.col("reflects"), "mean_response_size": F.round(ratio("amp_bytes", "amp_packets"), 1)})
 
 
 def udp_flood(pps: float = 500.0) -> Column:
     """Only where amplification does not fire."""
-    amplifies, _ = _amplifies(pps)
+    amplifies, _ = _amplifies()
     rate = F.col("udp_packets") / F.col("w")
     drive = 0.6 * clip1(rate / pps / 2) + 0.4 * F.col("entropy")
     return _found("udp_flood", (F.col("udp_flows") > 0) & ~amplifies & (rate >= pps), clip1(drive), 0.85 * clip1(drive), {"pps": F.round(rate, 1), "unique_sources": F.col("sources"), "src_ip_entropy": F.round("entropy", 3)})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oneway.functions.lexical import entropy, heuristic_label, model_label, ngram_buckets, second_level, subdomain
+from oneway.functions.lexical import model_label, ngram_buckets, second_level, subdomain
 from oneway.operators import alerts as AL
 from oneway.operators import beacon as BE
 from oneway.operators import conformal as CO

@@ -17,7 +17,7 @@ from oneway.operators import ledger as LE
 from oneway.operators import metrics as ME
 from oneway.operators import policy as PO
 from oneway.operators import profile as PR
-from oneway.operators.alerts import alerts, packet_hashes
+from oneway.operators.alerts import packet_hashes
 from oneway.operators.dga import NgramNet, model_inputs, score_names, score_with_net, train_net
 from oneway.operators.floods import flood_findings
 from oneway.operators.tunnel import score_tunnels
@@ -84,13 +84,6 @@ def test_rtt(spark):
     assert one(rows.select(ES.passive_rtt("arrivals", F.lit(0)).alias("r"))).r is None
 
 
-@pytest.mark.parametrize("name, make, threat", X.SCENARIOS)
-def test_scenarios(spark, name, make, threat):
-    """Each scenario over background traffic raises its own threat, and benign ones raise none."""
-    found = {r.threat for r in alerts(X.frame(spark, make(11) + (X.background(12) if threat else []))).collect()}
-    assert found == ({threat} if threat else set())
-
-
 def test_beacons(spark):
     def events(times):
         return spark.createDataFrame([("s", "d", float(t), 512, 443, i) for i, t in enumerate(times)], "src_ip string, dst_ip string, start_ts double, bytes long, dst_port int, flow_seq long")
