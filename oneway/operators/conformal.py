@@ -58,7 +58,7 @@ def split_intervals(errors: DataFrame, splits: int = 200, alphas: tuple[float, .
     A split is a hash of (split, id), so any engine can draw the same halves.
     """
     rows = errors.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    rows = rows.withColumn("fit", F.crc32(F.concat_ws(":", "split", "id").cast("binary")) % 2 == 0).withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    rows = rows.withColumn("fit", F.conv(F.substring(F.md5(F.concat_ws(":", "split", "id").cast("binary")), 1, 1), 16, 10).cast("int") % 2 == 0).withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
     w = W.partitionBy("split", "alpha").orderBy("error", "id")
     fit_ = rows.where("fit").withColumns({"k": F.row_number().over(w), "n": F.count("*").over(W.partitionBy("split", "alpha"))})
     at = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.col("n") + 1) * (1 - F.col("alpha")))))

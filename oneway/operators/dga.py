@@ -25,19 +25,35 @@ WEIGHTS = {
 }
 
 
-def score_names(names: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows with qname get label, features, prob, is_dga, family and the shares of what drives the score."""
+PARTS = ["entropy", "non_englishness", "digit_ratio", "cons_run", "length", "low_vowel", "dict_words"]
+
+
+def _driven(names: DataFrame) -> DataFrame:
+    """Rows with label, features, and what each part adds to the score (c_...)."""
     rows = names.withColumn("label", heuristic_label(F.col("qname")))
     rows = rows.withColumns(label_features(F.col("label")))
     gate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("label_length") - 8) / 4.0))
     above = lambda x: F.greatest(F.lit(0.0), x)
-    parts = {
-        "entropy": WEIGHTS["entropy"] * above(F.col("entropy") - 3.1), "non_englishness": WEIGHTS["non_englishness"] * (1 - F.col("englishness")) * gate,
-        "digit_ratio": WEIGHTS["digit_ratio"] * F.col("digit_ratio"), "cons_run": WEIGHTS["cons_run"] * above(F.col("max_cons_run") - 5.0) * gate,
-        "length": WEIGHTS["length"] * above(F.col("label_length") - 11.0), "low_vowel": WEIGHTS["low_vowel"] * above(0.30 - F.col("vowel_ratio")) * gate,
-        "dict_words": WEIGHTS["dict_words"] * F.when(F.col("dict_word_hits") >= 3, 1.0).otherwise(0.0),
-    }
-    rows = rows.withColumns({f"c_{k}": v for k, v in parts.items()})
+    parts = [
+        WEIGHTS["entropy"] * above(F.col("entropy") - 3.1), WEIGHTS["non_englishness"] * (1 - F.col("englishness")) * gate, WEIGHTS["digit_ratio"] * F.col("digit_ratio"),
+        WEIGHTS["cons_run"] * above(F.col("max_cons_run") - 5.0) * gate, WEIGHTS["length"] * above(F.col("label_length") - 11.0), WEIGHTS["low_vowel"] * above(0.30 - F.col("vowel_ratio")) * gate,
+        WEIGHTS["dict_words"] * F.when(F.col("dict_word_hits") >= 3, 1.0).otherwise(0.0),
+    ]
+    return rows.withColumns({f"c_{k}": v for k, v in zip(PARTS, parts)})
+
+
+def contribution_rows(names: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per name and part that adds to its score: feature and share of the total."""
+    rows = _driven(names).where("label_length >= 5").select(*keep, *(f"c_{k}" for k in PARTS))
+    total = sum((F.col(f"c_{k}") for k in PARTS), F.lit(0.0))
+    pairs = ", ".join(f"'{k}', c_{k}" for k in PARTS)
+    rows = rows.withColumn("total", total).select(*keep, "total", F.expr(f"stack({len(PARTS)}, {pairs}) as (feature, part)"))
+    return rows.where("part > 0").select(*keep, "feature", F.round(F.col("part") / F.col("total"), 3).alias("share"))
+
+
+def score_names(names: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows with qname get label, features, prob, is_dga, family and the shares of what drives the score."""
+    rows, parts = _driven(names), PARTS
     z = F.lit(WEIGHTS["bias"]) + sum((F.col(f"c_{k}") for k in parts), F.lit(0.0))
     prob = F.when(F.col("label_length") < 5, 0.0).otherwise(1 / (1 + F.exp(-z)))
     rows = rows.withColumn("raw", prob).withColumns({"prob": F.round("raw", 4), "is_dga": F.col("raw") >= threshold})

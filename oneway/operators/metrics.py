@@ -113,7 +113,7 @@ def average_precision(curve: DataFrame) -> DataFrame:
 
 def stratified(rows: DataFrame, by: str, train: int, test: int, id: str = "id", seed: int = 1) -> DataFrame:
     """Adds part: train for the first rows of each stratum in seeded hash order, test for the next, null beyond."""
-    order = F.row_number().over(W.partitionBy(by).orderBy(F.crc32(F.concat_ws(":", F.lit(seed), F.col(id)).cast("binary")), id))
+    order = F.row_number().over(W.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(id).cast("string")).cast("binary")), id))
     return rows.withColumn("__r", order).withColumn("part", F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + test, "test")).drop("__r")
 
 

@@ -133,12 +133,37 @@ def features(names: str) -> str:
       FROM (SELECT *, {LABEL} AS label FROM ({names}) n)"""
 
 
+_GATE = "greatest(0.0, least(1.0, (label_length - 8) / 4))"
+#: What drives the score, by name.
+PARTS = {
+    "entropy": "1.4 * greatest(0.0, entropy - 3.1)", "non_englishness": f"3.8 * (1 - englishness) * {_GATE}", "digit_ratio": "3 * digit_ratio", "cons_run": f"0.4 * greatest(0, max_cons_run - 5) * {_GATE}",
+    "length": "0.2 * greatest(0, label_length - 11)", "low_vowel": f"greatest(0.0, 0.30 - vowel_ratio) * {_GATE}", "dict_words": "CASE WHEN dict_word_hits >= 3 THEN 1.4 ELSE 0.0 END",
+}
+
+
 def dga(names: str) -> str:
-    gate = "greatest(0.0, least(1.0, (label_length - 8) / 4))"
-    z = f"""-2.6 + 1.4 * greatest(0.0, entropy - 3.1) + 3.8 * (1 - englishness) * {gate} + 3 * digit_ratio + 0.4 * greatest(0, max_cons_run - 5) * {gate} + 0.2 * greatest(0, label_length - 11)
-      + greatest(0.0, 0.30 - vowel_ratio) * {gate} + CASE WHEN dict_word_hits >= 3 THEN 1.4 ELSE 0 END"""
     return f"""SELECT *, round(raw, 4) AS prob, raw >= 0.5 AS is_dga, CASE WHEN label_length >= 5 AND dict_word_hits >= 3 AND englishness > 0.4 THEN 'dictionary' WHEN raw >= 0.5 THEN 'arithmetic/hash' ELSE 'benign' END AS family
-      FROM (SELECT *, CASE WHEN label_length < 5 THEN 0.0 ELSE 1 / (1 + exp(-({z}))) END AS raw FROM ({features(names)}) f)"""
+      FROM (SELECT *, CASE WHEN label_length < 5 THEN 0.0 ELSE 1 / (1 + exp(-(-2.6 + {' + '.join(PARTS.values())}))) END AS raw FROM ({features(names)}) f)"""
+
+
+def contributions(names: str) -> str:
+    parts = ", ".join(f"{{'k': '{k}', 'c': ({v})::DOUBLE}}" for k, v in PARTS.items())
+    return f"SELECT frame_no, qname, p.k AS feature, round(p.c / total, 3) AS share FROM (SELECT frame_no, qname, unnest(ps) AS p, list_sum(list_transform(ps, lambda x: x.c)) AS total FROM (SELECT frame_no, qname, list_filter([{parts}], lambda x: x.c > 0) AS ps FROM ({features(names)}) f WHERE label_length >= 5))"
+
+
+def unaligned(source: str, window_s: int) -> str:
+    """Windows per destination, each opened by the packet that overflowed the last."""
+    return f"""WITH RECURSIVE p AS ({source}),
+    s AS (SELECT dst_ip, 0::BIGINT AS no, min(frame_no) AS f, arg_min(ts, frame_no) AS t FROM p GROUP BY dst_ip
+      UNION ALL SELECT p.dst_ip, any_value(s.no) + 1, min(p.frame_no), arg_min(p.ts, p.frame_no) FROM s JOIN p ON p.dst_ip = s.dst_ip AND p.frame_no > s.f AND p.ts - s.t >= {window_s} GROUP BY p.dst_ip),
+    w AS (SELECT *, lead(f) OVER (PARTITION BY dst_ip ORDER BY no) AS g FROM s)
+    SELECT w.dst_ip AS sensor_id, w.no AS window_no, any_value(w.t) AS window_start, count(*) AS packets, sum(p.length)::BIGINT AS bytes FROM w JOIN p ON p.dst_ip = w.dst_ip AND p.frame_no >= w.f AND (w.g IS NULL OR p.frame_no < w.g) GROUP BY w.dst_ip, w.no"""
+
+
+def automatic_rules() -> str:
+    return f"""WITH RECURSIVE h AS (SELECT {HOST} AS source, ts AS t FROM ({duck('alerts')}) a WHERE confidence >= 0.6 AND confidence < 0.9),
+    s AS (SELECT source, min(t) AS starts FROM h GROUP BY source UNION ALL SELECT h.source, min(h.t) FROM s JOIN h ON h.source = s.source AND h.t >= s.starts + 300 GROUP BY h.source)
+    SELECT source, starts, starts + 300 AS expires FROM s"""
 
 
 def questions() -> str:

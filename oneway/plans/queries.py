@@ -143,9 +143,10 @@ def H7_reverse_bytes(spark, d):
     return rows.select(*FLOW_KEY, F.when((F.col("ack_samples") >= 2) & (F.col("ack_total") > 0), F.col("ack_total").cast("double")).alias("reverse_bytes"))
 
 
-@query()
+@query(f"""SELECT flow_key, round({O.HALF_OPEN}, 4) AS half_open, round(CASE WHEN proto <> 'TCP' THEN 0.6 WHEN hz IS NOT NULL AND r2 > 0.9 THEN 0.9 + 0.1 * least(1.0, r2) WHEN tsval_samples > 0 THEN 0.5 * r2 WHEN syn + synack > 0 THEN 0.25 ELSE 0.6 END, 4) AS liveness,
+  round(r2, 4) AS r2, round(hz, 3) AS hz, round(byte_rate, 3) AS byte_rate FROM (SELECT f.*, c.hz, coalesce(c.r2, 0.0) AS r2 FROM ({O.flows(_LI)}) f LEFT JOIN ({O.CLOCK.format(_LI)}) c USING ({O.KEY}))""")
 def H11_feature_map(spark, d):
-    return ES.feature_map(ES.estimate(adapter(spark, d, "pkt_lineitem"))).select("flow_key", "features.*")
+    return ES.feature_map(ES.estimate(adapter(spark, d, "pkt_lineitem"))).select("flow_key", *(f"features.{c}" for c in ("half_open", "liveness", "r2", "hz", "byte_rate")))
 
 
 # --- detectors ---------------------------------------------------------------------------------------------------------------
@@ -240,9 +241,9 @@ def D22_dga(spark, d):
     return DG.score_names(adapter(spark, d, "labels_mix")).select("frame_no", "qname", "prob", "is_dga", "family")
 
 
-@query()
+@query(O.contributions(_MIX))
 def D24_contributions(spark, d):
-    return DG.score_names(adapter(spark, d, "labels_mix")).select("frame_no", "qname", F.explode("contributions").alias("feature", "share"))
+    return DG.contribution_rows(adapter(spark, d, "labels_mix"), ["frame_no", "qname"])
 
 
 @query(f"SELECT frame_no, string_split({O._TRIM}, '.')[1] AS label FROM ({_MIX}) n")
@@ -416,7 +417,7 @@ def T1_aligned_windows(spark, d):
     return rows.select(F.unix_seconds("window.start").alias("window_start"), *FLOW_KEY, "packets", "bytes")
 
 
-@query()
+@query(O.unaligned(_EV, 60))
 def T1_unaligned_windows(spark, d):
     packets = adapter(spark, d, "pkt_events").withColumn("sensor_id", F.col("dst_ip"))
     rows = unaligned_windows(packets, 60.0)
@@ -505,11 +506,11 @@ def W3_rule_state(spark, d):
     return PO.rule_state(events, 900.0).select("source", "state")
 
 
-@query()
+@query(O.automatic_rules())
 def W5_automatic_rules(spark, d):
     requests = adapter(spark, d, "alerts").select(IN.host(F.col("flow_key")).alias("source"), F.col("ts").alias("at"), F.col("confidence").alias("threat_level"))
     none = requests.select("source").limit(0)
-    return PO.automatic_rules(requests, none, none)
+    return PO.automatic_rules(requests, none, none).select("source", "starts", "expires")
 
 
 @query(f"SELECT action, count(*) AS requests, count(*) FILTER (action <> 'BLOCK') AS allowed FROM ({_POLICY}) GROUP BY action")
@@ -570,7 +571,13 @@ def V7_reconstruction(spark, d):
     return rows.agg(F.count("*").alias("n"), r(F.avg("error"), 6, "mean_error"))
 
 
-@query()
+_SPLIT = f"""SELECT a.alpha, s.split, e.id, e.error, ('0x' || substr(md5(concat(s.split, ':', e.id)), 1, 1))::INTEGER % 2 = 0 AS fit FROM (SELECT id, round(1 - score, 6) AS error FROM ({_SC}) s) e, range(200) s(split), (VALUES (0.05::DOUBLE), (0.1), (0.2)) a(alpha)"""
+
+
+@query(f"""WITH r AS ({_SPLIT}), f AS (SELECT *, row_number() OVER (PARTITION BY alpha, split ORDER BY error, id) AS k, count(*) OVER (PARTITION BY alpha, split) AS n FROM r WHERE fit),
+  w AS (SELECT alpha, split, error AS width FROM f WHERE k = least(n, greatest(1, ceil((n + 1) * (1 - alpha))))),
+  h AS (SELECT alpha, split, width, avg((error <= width)::INTEGER) AS inside FROM r JOIN w USING (alpha, split) WHERE NOT fit GROUP BY ALL)
+  SELECT alpha, count(*) AS splits, round(avg(inside), 6) AS coverage, round(avg(width), 6) AS half_width FROM h GROUP BY alpha""")
 def V8_split_intervals(spark, d):
     rows = adapter(spark, d, "scores").select(F.col("id"), F.round(1 - F.col("score"), 6).alias("error"))
     return CO.split_intervals(rows).select("alpha", "splits", r("coverage"), r("half_width"))
@@ -604,7 +611,7 @@ def V15_average_precision(spark, d):
     return ME.average_precision(ME.pr_curve(adapter(spark, d, "scores"))).select(r("average_precision", 4))
 
 
-@query()
+@query(f"SELECT id, class, CASE WHEN k <= 30 THEN 'train' ELSE 'test' END AS part FROM (SELECT id, class, row_number() OVER (PARTITION BY class ORDER BY md5(concat('1:', id)), id) AS k FROM ({_SC}) s) WHERE k <= 50")
 def V16_stratified(spark, d):
     return ME.stratified(adapter(spark, d, "scores").drop("part"), "class", 30, 20).where("part is not null").select("id", "class", "part")
 
