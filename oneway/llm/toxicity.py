@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from oneway.llm.textkit import SEP_PUNCT, U64, HashIndex, Words, chunks, group_starts, text_buffer
 
 #: Labelled documents that the model is fitted to, at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 MAX_FEATURES = 4_096
 SCREEN_Z = 4.5
 L1 = 2e-3
@@ -83,8 +83,13 @@ def fit(words: list[np.ndarray], grade: np.ndarray, steps: int = 600) -> Ordinal
     known = np.unique(grade)
     if len(known) < 2:
         return OrdinalModel(np.empty(0, U64), np.empty(0), np.empty(0), np.empty(0, np.int64))
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    keys, col = np.unique(np.concatenate(words), return_inverse=True)
+    row = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+    flat = np.concatenate(words)
+    keys, seen = np.unique(flat, return_counts=True)
+    keys = keys[seen >= 2]  # a word of one document cannot pass the screen
+    col = HashIndex(keys).find(flat).astype(np.int32)
+    row, col = row[col >= 0], col[col >= 0]
+    del flat
     toxic = grade > known[0]
     n1, n0 = toxic.sum(), (~toxic).sum()
     a, b = (np.bincount(col[side[row]], minlength=len(keys)) for side in (toxic, ~toxic))
@@ -92,8 +97,8 @@ def fit(words: list[np.ndarray], grade: np.ndarray, steps: int = 600) -> Ordinal
     z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))  # two proportions, pooled
     keep = np.flatnonzero(np.abs(z) >= SCREEN_Z)
     keep = np.sort(keep[np.argsort(-np.abs(z[keep]), kind="stable")][:MAX_FEATURES])
-    place = np.full(len(keys), -1)
-    place[keep] = np.arange(len(keep))
+    place = np.full(len(keys), -1, np.int32)
+    place[keep] = np.arange(len(keep), dtype=np.int32)
     col = place[col]
     row, col = row[col >= 0], col[col >= 0]
     y = np.searchsorted(known, grade)
