@@ -5,6 +5,7 @@ The flow that stands for a finding travels through the aggregates as min_by(key,
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,10 +48,17 @@ def _branch(rows: DataFrame, branch: int, detector: str, threat: Column, confide
     return rows.select(F.lit(branch).alias("branch"), F.lit(detector).alias("detector"), threat.alias("threat"), F.round(confidence, 4).alias("confidence"), key.alias("flow_key"), subject.alias("subject"), seq.cast("long").alias("seq"), title.alias("title"))
 
 
-def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | None = None) -> DataFrame:
-    """All alerts of a window of packets: branch, detector, threat, severity, confidence, flow_key, subject, title, seq."""
+def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | None = None, persist: bool = True) -> DataFrame:
+    """All alerts of a window of packets: branch, detector, threat, severity, confidence, flow_key, subject, title, seq.
+
+    The four branches read the flows and questions many times with different columns, which would scan and shuffle the packets
+    as often.  Both are therefore persisted (memory, then disk; a lost executor's part is recomputed); ``spark.catalog.clearCache()``
+    frees them when the alerts have been written.
+    """
     table = flows(packets)
     questions = dns_questions(packets) if questions is None else questions
+    if persist:
+        table, questions = table.persist(StorageLevel.MEMORY_AND_DISK), questions.persist(StorageLevel.MEMORY_AND_DISK)
     lit = F.lit
     floods = flood_findings(table)
     beacons = score_beacons(table).where("is_beacon")
