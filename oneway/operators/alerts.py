@@ -52,7 +52,7 @@ def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | No
     """All alerts of a window of packets: branch, detector, threat, severity, confidence, flow_key, subject, title, seq.
 
     The four branches read the flows and questions many times with different columns, which would scan and shuffle the packets
-    as often.  Both are therefore persisted (memory, then disk; a lost executor's part is recomputed); ``spark.catalog.clearCache()``
+    as often.  They and the scored domains are therefore persisted (memory, then disk; a lost executor's part is recomputed); ``spark.catalog.clearCache()``
     frees them when the alerts have been written.
     """
     table = flows(packets)
@@ -63,6 +63,7 @@ def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | No
     floods = flood_findings(table)
     beacons = score_beacons(table).where("is_beacon")
     tunnels = score_tunnels(questions, window_s)
+    tunnels = tunnels.persist(StorageLevel.MEMORY_AND_DISK) if persist else tunnels
     names = score_names(dga_candidates(questions, tunnels)).where("is_dga")
     found = tunnels.where("is_tunnel")
     rows = [

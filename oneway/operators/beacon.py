@@ -63,24 +63,38 @@ def rayleigh(events: DataFrame) -> DataFrame:
     stats = events.groupBy(*key).agg(F.min("t").alias("t0"), (F.max("t") - F.min("t")).alias("span"), F.count("*").alias("n"))
     lo, hi = F.greatest(F.lit(P_MIN), F.col("span") / F.col("n") / 4), F.least(F.lit(P_MAX), F.col("span") / 2)
     stats = stats.withColumns({"lo": lo, "hi": hi}).where("span > 0 and hi > lo")
-    sliced = events.join(stats, key).withColumn("slice", (F.pmod(F.xxhash64("t", "size"), F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)))))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).cast("int")
+    sliced = events.join(stats.withColumn("slices", slices), key).withColumn("slice", F.pmod(F.xxhash64("t", "size"), "slices"))
+    # few rows and much work per channel: spread over all partitions rather than gathered by size
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+    def answer(first, c: np.ndarray, s: np.ndarray) -> dict:
+        r = np.hypot(c, s) / first["n"]
+        at = int(np.argmax(r))
+        period = first["lo"] * (first["hi"] / first["lo"]) ** (at / (N_PERIODS - 1))
+        trials = max(1.0, (1 / first["lo"] - 1 / first["hi"]) * first["span"])
+        return {"best_r": [r[at]], "period": [period], "fap": [min(1.0, trials * np.exp(-first["n"] * r[at] ** 2))], "cycles": [first["span"] / period]}
+
+    ends, named = ("n", "lo", "hi", "span"), "src_ip string, dst_ip string"
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
         c, s = resultant(frame["t"].to_numpy() - first["t0"], first["lo"], first["hi"])
-        return pd.DataFrame({"src_ip": [first["src_ip"]], "dst_ip": [first["dst_ip"]], "c": [c], "s": [s], "n": [first["n"]], "lo": [first["lo"]], "hi": [first["hi"]], "span": [first["span"]]})
+        return pd.DataFrame({"src_ip": [first["src_ip"]], "dst_ip": [first["dst_ip"]]} | answer(first, c, s))
 
-    parts = sliced.groupBy(*key, "slice").applyInPandas(kernel, "src_ip string, dst_ip string, c array<double>, s array<double>, n long, lo double, hi double, span double")
+    def part(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        c, s = resultant(frame["t"].to_numpy() - first["t0"], first["lo"], first["hi"])
+        return pd.DataFrame({"src_ip": [first["src_ip"]], "dst_ip": [first["dst_ip"]], **{k: [first[k]] for k in ends}, "c": [c], "s": [s]})
 
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
-        r = np.hypot(np.sum(list(frame["c"]), axis=0), np.sum(list(frame["s"]), axis=0)) / first["n"]
-        at = int(np.argmax(r))
-        period = first["lo"] * (first["hi"] / first["lo"]) ** (at / (N_PERIODS - 1))
-        trials = max(1.0, (1 / first["lo"] - 1 / first["hi"]) * first["span"])
-        return pd.DataFrame({"src_ip": [first["src_ip"]], "dst_ip": [first["dst_ip"]], "best_r": [r[at]], "period": [period], "fap": [min(1.0, trials * np.exp(-first["n"] * r[at] ** 2))], "cycles": [first["span"] / period]})
+        return pd.DataFrame({"src_ip": [first["src_ip"]], "dst_ip": [first["dst_ip"]]} | answer(first, np.sum(list(frame["c"]), axis=0), np.sum(list(frame["s"]), axis=0)))
 
-    return parts.groupBy(*key).applyInPandas(best, "src_ip string, dst_ip string, best_r double, period double, fap double, cycles double")
+    out = f"{named}, " + ", ".join(f"{k} double" for k in ("best_r", "period", "fap", "cycles"))
+    done = sliced.where("slices = 1").repartition(tasks, *key).groupBy(*key).applyInPandas(whole, out)
+    parts = sliced.where("slices > 1").repartition(tasks, *key, "slice").groupBy(*key, "slice").applyInPandas(part, f"{named}, n long, lo double, hi double, span double, c array<double>, s array<double>")
+    return done.unionByName(parts.groupBy(*key).applyInPandas(total, out))
 
 
 def sizes(events: DataFrame) -> DataFrame:
