@@ -9,8 +9,9 @@ one segment, so each goes to one group per segment and no link is lost.  A group
 its remaining bits, which share the same property, until groups are small: no task ever holds an unbounded group, and
 what remains undivided has too few free bits to be large.
 
-Banded layout (large radius): a group is a band of bits of a longer fingerprint on which rows agree.  A group above ``GROUP`` rows is cut
-by each further band.  This is the one approximation: a pair that agrees on no band is not compared.  With 30 bands of 14 bits
+Banded layout (large radius): a group is a band of bits of a longer fingerprint on which rows agree.  A group above ``GROUP`` rows is
+dealt into numbered tiles of about ``GROUP`` rows, and every pair of tiles is compared, each in a task's group of its own, so a large
+group is compared whole.  This is the one approximation: a pair that agrees on no band is not compared.  With 30 bands of 14 bits
 and 512-bit fingerprints, pairs whose shingle sets have Jaccard similarity 0.8 (expected distance 78) agree on a band with
 probability 0.96, those of 0.9 with more than 0.99; all comparisons are exact.
 
@@ -35,8 +36,10 @@ from oneway.llm.components import connected_components
 from oneway.llm.shared import materialize
 from oneway.llm.textkit import U64, chunks, group_starts, mix, text_bytes
 
-#: Rows of a group that are compared in one task; larger groups are cut by further bits.
+#: Rows of a group that are compared in one task; larger groups are cut by further bits (exact layout) or into pairs of tiles (banded).
 GROUP = 4096
+#: Keys of large groups up to this many are broadcast.
+BROADCAST_KEYS = 200_000
 #: Side of a tile.
 TILE = 512
 NO_ID = -(1 << 63)
@@ -146,13 +149,37 @@ def _tile_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _group_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside the groups of equal (sorted) keys.  Small groups are compared together, shift by shift."""
+def _cross_links(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the rows of the two sides of a group, with the same skip by population count."""
+    pop = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    one, two = (own[np.argsort(pop[own], kind="stable")] for own in (np.flatnonzero(side != 2), np.flatnonzero(side == 2)))
+    left, right = [one[:0]], [two[:0]]
+    for i in range(0, len(one), TILE):
+        x_rows = one[i : i + TILE]
+        for j in range(0, len(two), TILE):
+            y_rows = two[j : j + TILE]
+            if pop[x_rows[0]] - pop[y_rows[-1]] > radius:
+                continue
+            if pop[y_rows[0]] - pop[x_rows[-1]] > radius:
+                break
+            apart = np.bitwise_count(fp[x_rows, None, 0] ^ fp[None, y_rows, 0]).astype(np.int16)
+            for w in range(1, fp.shape[1]):
+                apart += np.bitwise_count(fp[x_rows, None, w] ^ fp[None, y_rows, w])
+            x, y = np.nonzero(apart <= radius)
+            left.append(x_rows[x])
+            right.append(y_rows[y])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _group_links(key: np.ndarray, fp: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside the groups of equal (sorted) keys.  Small groups are compared together, shift by shift.  ``side``: 0, or 1 and 2 for
+    the two tiles of a pair, of which only rows of different tiles need comparing."""
     at = group_starts(key)
     size = np.diff(np.append(at, len(key)))
     left, right = [], []
     for g in np.flatnonzero(size > 48):
-        x, y = _tile_links(fp[at[g] : at[g] + size[g]], radius)
+        own = slice(at[g], at[g] + size[g])
+        x, y = _cross_links(fp[own], side[own], radius) if side is not None and side[own].any() else _tile_links(fp[own], radius)
         left.append(x + at[g])
         right.append(y + at[g])
     small = np.flatnonzero((size > 1) & (size <= 48))
@@ -174,19 +201,20 @@ def _group_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a group may go over several batches."""
+def _compare(batches: Iterator[pa.RecordBatch], radius: int, words: int, sides: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; a group may go over several batches.  ``sides``: they have a column side."""
+    names = ["key", "rep", *(f"f{i}" for i in range(words)), *["side"] * sides]
     rest = None
 
     def links(table: np.ndarray):
-        key, rep, fp = table[0], table[1], np.ascontiguousarray(table[2:].T).view(U64)
-        x, y = _group_links(key, fp, radius)
+        key, rep, fp = table[0], table[1], np.ascontiguousarray(table[2 : 2 + words].T).view(U64)
+        x, y = _group_links(key, fp, radius, table[-1] if sides else None)
         if len(x):
             u, v = _forest(rep[x], rep[y])
             yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
     for batch in batches:
-        table = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", *(f"f{i}" for i in range(words)))])
+        table = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
         if rest is not None:
             table = np.concatenate([rest, table], axis=1)
         last = np.searchsorted(table[0], table[0, -1]) if table.shape[1] else 0
@@ -217,44 +245,41 @@ def exact_links(distinct: DataFrame, radius: int) -> DataFrame:
 
 
 def _deal_bands(batches: Iterator[pa.RecordBatch], words: int, bands: int, bits: int, keys_only: bool) -> Iterator[pa.RecordBatch]:
-    """Each row once per free band: the key names the path of bands and their values; ``free`` is a set of bands."""
+    """Each row once per band: the key names the band and its value."""
     names = [f"f{i}" for i in range(words)]
     for batch in batches:
         fp = np.stack([batch.column(n).to_numpy(zero_copy_only=False).view(U64) for n in names])
-        key, rep, free = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "free"))
         for band in range(bands):
-            pick = np.flatnonzero(free >> band & 1)
-            if not len(pick):
-                continue
             at, shift = divmod(band * bits, 64)
-            value = fp[at, pick] >> U64(shift)
+            value = fp[at] >> U64(shift)
             if shift + bits > 64:
-                value = value | fp[at + 1, pick] << U64(64 - shift)
+                value = value | fp[at + 1] << U64(64 - shift)
             value &= U64((1 << bits) - 1)
-            sub = pa.array(mix(key[pick].view(U64) ^ mix(value + U64((band + 1) << 32))).view(np.int64))
+            key = pa.array(mix(value + U64((band + 1) << 32)).view(np.int64))
             if keys_only:
-                yield pa.record_batch([sub], names=["key"])
+                yield pa.record_batch([key], names=["key"])
             else:
-                yield pa.record_batch([sub, pa.array(rep[pick]), pa.array(free[pick] & ~(1 << band)), *(pa.array(x[pick].view(np.int64)) for x in fp)], names=["key", "rep", "free", *names])
+                yield pa.record_batch([key, batch.column("rep"), *(batch.column(n) for n in names)], names=["key", "rep", *names])
 
 
 def banded_links(distinct: DataFrame, radius: int, words: int, bands: int, bits: int) -> DataFrame:
     """Forests (u, v) over the pairs of distinct fingerprints (f0.., rep) that share a band and lie within the radius."""
     names = [f"f{i}" for i in range(words)]
-    rows = distinct.select("rep", *names, F.lit(0).cast("long").alias("key"), F.lit((1 << bands) - 1).cast("long").alias("free"))
-    columns = ", ".join(f"{n} long" for n in ["key", "rep", "free", *names])
-    found = None
-    while True:
-        keys = rows.mapInArrow(lambda it: _deal_bands(it, words, bands, bits, True), "key long")
-        large = materialize(keys.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "large")
-        dealt = rows.mapInArrow(lambda it: _deal_bands(it, words, bands, bits, False), columns)
-        # a group that no band is left to cut stays whole; its rows agree on all bands
-        small = dealt.join(large, "key", "left_anti").unionByName(dealt.join(large, "key", "left_semi").where("free = 0"))
-        links = small.drop("free").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, radius, words), "u long, v long")
-        found = links if found is None else found.unionByName(links)
-        if large.isEmpty():
-            return found
-        rows = materialize(dealt.join(large, "key", "left_semi").where("free <> 0"), "tiles")
+    rows = distinct.select("rep", *names)
+    keys = rows.mapInArrow(lambda it: _deal_bands(it, words, bands, bits, True), "key long")
+    sizes = keys.groupBy("key").count().where(F.col("count") > GROUP)
+    large = materialize(sizes.select("key", F.ceil(F.col("count") / GROUP).cast("long").alias("tiles")), "large")
+    dealt = rows.mapInArrow(lambda it: _deal_bands(it, words, bands, bits, False), ", ".join(f"{n} long" for n in ["key", "rep", *names]))
+    n = large.count()
+    if n:
+        # a row of a large group goes to each pair of tiles that its own is in
+        dealt = dealt.join(F.broadcast(large) if n <= BROADCAST_KEYS else large, "key", "left")
+        dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+        dealt = dealt.withColumn("other", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))))
+        pair = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
+        side = F.when(F.col("tile") < F.col("other"), 1).when(F.col("tile") > F.col("other"), 2).otherwise(0).cast("long")
+        dealt = dealt.select(F.when(F.col("tiles").isNull(), F.col("key")).otherwise(pair).alias("key"), "rep", *names, side.alias("side"))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, radius, words, n > 0), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 86, words: int = 8, bands: int = 30, bits: int = 14) -> DataFrame:

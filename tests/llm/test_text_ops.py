@@ -148,6 +148,35 @@ def test_near_duplicates(spark):
     assert S.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_banded_links_compare_large_groups_whole(spark, monkeypatch):
+    """Pairs that agree on one band only are linked, however many rows share that band's value."""
+    monkeypatch.setattr(S, "GROUP", 16)
+    monkeypatch.setattr(S, "TILE", 8)
+    rng = np.random.default_rng(3)
+    bands, bits, radius = 4, 16, 12
+    prints = []
+    for i in range(300):
+        base = int(rng.integers(0, 1 << 48)) << 16 | 5  # band 0 is common to all
+        near = base ^ sum(1 << int(b) for band in (1, 2, 3) for b in band * 16 + rng.choice(16, 4, False))  # no other band agrees
+        prints += [base, near]
+    prints = sorted(set(prints))
+    frame = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "rep long, f0 long")
+    roots = {r.node: r.root for r in connected_components(S.banded_links(frame, radius, 1, bands, bits)).collect()}
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= radius:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert len(prints) > 32 * S.GROUP and all(roots.get(i, i) == find(i) for i in range(len(prints)))
+
+
 def brute_tile(doc, item, match):
     free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
     while True:
