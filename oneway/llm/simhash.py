@@ -18,7 +18,8 @@ probability 0.96, those of 0.9 with more than 0.99; all comparisons are exact.
 A group reports the links as a forest (each fingerprint with its tile root), never all pairs.
 
 Rows: null and empty texts have fingerprint zero, linked like any other.  Repeated rows and equal texts share a
-fingerprint and hence a component.  A null doc_id counts as smaller than any other.  Extra columns are ignored.
+fingerprint and hence a component.  A null doc_id counts as smaller than any other; rows without an id, or with one id, are
+documents of their own where their texts differ (told apart by 128 bits of hash in drop_near_duplicates).  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oneway.llm.components import connected_components
@@ -45,6 +46,12 @@ TILE = 512
 NO_ID = -(1 << 63)
 
 
+def text_keys() -> dict[str, Column]:
+    """Two hashes that tell the texts of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return {"t0": F.xxhash64(text), "t1": F.xxhash64(F.lit(1), text)}
+
+
 def shingle_hashes(text: bytes, k: int, seed: int = 42) -> list[int]:
     """XXH64 of each k-word shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     words = text.lower().split()
@@ -70,9 +77,10 @@ def bit_majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 3, words: int = 1, with_text: bool = False) -> DataFrame:
     """doc_id, and the fingerprint of 64 * ``words`` bits as longs f0, f1, ...; word 0 uses XXH64 itself, the others
-    remixes of it."""
+    remixes of it.  ``with_text``: with the text's hashes t0 and t1."""
+    keys = list(text_keys()) if with_text else []
     names = [f"f{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +92,10 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
                     for i in range(words):
                         out[i, d] = bit_majority(h)
                         h = mix(h + U64(0x9E3779B97F4A7C15))
-                yield pa.record_batch([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", *names])
+                yield pa.record_batch([part.column("doc_id"), *(part.column(c) for c in keys), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", *keys, *names])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(text_keys()[c].alias(c) for c in keys))
+    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in keys + names))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -283,25 +291,28 @@ def banded_links(distinct: DataFrame, radius: int, words: int, bands: int, bits:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 86, words: int = 8, bands: int = 30, bits: int = 14) -> DataFrame:
-    """doc_id and component_id by 64 * ``words``-bit fingerprints over k-word shingles.  Of 512 bits, distance 86 is where pairs of
-    Jaccard similarity 0.8 (distance 78 expected, deviation 8) are linked with probability 0.85, those of 0.85 with 0.99."""
+    """doc_id, t0 and t1 of each row and the number component_id of its group, by 64 * ``words``-bit fingerprints over k-word shingles.  Of
+    512 bits, distance 86 is where pairs of Jaccard similarity 0.8 (distance 78 expected, deviation 8) are linked with probability 0.85,
+    those of 0.85 with 0.99.  Fingerprints are numbered, so neither null nor repeated ids tie groups together."""
     names = [f"f{i}" for i in range(words)]
-    prints = materialize(fingerprints(docs, k, words).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "fingerprints")
-    distinct = materialize(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
+    prints = materialize(fingerprints(docs, k, words, with_text=True), "fingerprints")
+    distinct = materialize(prints.select(*names).distinct().withColumn("rep", F.monotonically_increasing_id()), "distinct")
     roots = connected_components(banded_links(distinct, radius, words, bands, bits))
     named = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
-    return materialize(prints.join(named, names).select("doc_id", "component_id"), "members")
+    return materialize(prints.join(named, names).select("doc_id", "t0", "t1", "component_id"), "members")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of one document per group: the one of the smallest id (of its repeated rows, one)."""
-    members = near_duplicates(docs, **options)
-    ids = members.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"))
-    ids = materialize(ids, "stays")
-    kept = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(ids.where("stays = 1").select(F.col("doc_id").alias("__id")), "__id", "left_semi")
-    if not ids.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["__id"])
-    return kept.drop("__id")
+    """One row per group: that of the smallest id (null is the smallest; of rows with that id, the one of the smallest text hash; of
+    rows equal in id and text, any one)."""
+    rows = near_duplicates(docs, **options).groupBy("component_id", "doc_id", "t0", "t1").agg(F.count("*").alias("n"))
+    stays = materialize(rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "t0", "t1", "n")).alias("row")).select("row.*"), "stays")
+    one = stays.select(F.col("doc_id").alias("__id"), F.col("t0").alias("__t0"), F.col("t1").alias("__t1"))
+    kept = docs.withColumns({"__own": F.col("doc_id").cast("long"), **{f"__own_{c}": v for c, v in text_keys().items()}})
+    kept = kept.join(one, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__own_t0") == F.col("__t0")) & (F.col("__own_t1") == F.col("__t1")), "left_semi")
+    if not stays.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["__own", "__own_t0", "__own_t1"])
+    return kept.drop("__own", "__own_t0", "__own_t1")
 
 
 def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:

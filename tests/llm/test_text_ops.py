@@ -148,6 +148,14 @@ def test_near_duplicates(spark):
     assert S.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_without_unique_ids(spark):
+    """Rows that share an id, or have none, stay where their texts differ; only rows equal in both are one."""
+    texts = [words(150, 700 + i, 5000) for i in range(12)]
+    rows = [(None, t, "en", "a", 0) for t in texts[:6]] + [(3, t, "en", "a", 0) for t in texts[6:]] + [(None, texts[0], "en", "b", 0), (3, texts[6], "en", "b", 0), (1, texts[7], "en", "a", 0), (9, texts[1], "en", "a", 0)]
+    kept = sorted(((r.doc_id, r.text) for r in S.drop_near_duplicates(docs(spark, rows)).collect()), key=lambda r: texts.index(r[1]))
+    assert kept == [(1 if i == 7 else 3 if i >= 6 else None, t) for i, t in enumerate(texts)]
+
+
 def test_banded_links_compare_large_groups_whole(spark, monkeypatch):
     """Pairs that agree on one band only are linked, however many rows share that band's value."""
     monkeypatch.setattr(S, "GROUP", 16)
