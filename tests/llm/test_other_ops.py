@@ -207,6 +207,15 @@ def test_link_graph(spark):
     assert got["fan.net"].verdict == "block" and {got[h].verdict for h in ("friend.net", "far.net", "lone.net")} == {"allow"}
 
 
+def test_verdict_does_not_depend_on_other_hosts(spark):
+    """A host that links to a blocked one is blocked, however many other hosts are blocked too."""
+    rows = [(1, "http://bad.com/de/", None), (2, "http://fan.net/", '<a href="http://bad.com/p">x</a>'), (3, "http://lone.net/", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    others = spark.range(10, 200_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".com/de/")).alias("url"), F.lit(None).cast("string").alias("html"))
+    got = {r.host: r.verdict for r in U.judge_urls(frame.unionByName(others), URL_RULES).where("page_id < 10").collect()}
+    assert got == {"bad.com": "block", "fan.net": "block", "lone.net": "allow"}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(300)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 16), (303, [0.5] * 3), (303, [0.5] * 3), (304, [float("inf")]), (305, [])]
