@@ -58,7 +58,7 @@ def _pkt_beacon(d: dict) -> str:
         "frame_no": "event_id", "ts": f"60.0 * ({k}) + 60.0 * ({j}) * (CAST(CAST(floor(100 * value) AS {d['big']}) % 1000 AS DOUBLE) / 1000.0 - 0.5)",
         "src_ip": f"concat('10.7.', CAST({c} AS {d['txt']}))", "dst_ip": "'198.51.100.9'", "src_port": f"20000 + ({k})", "length": "512", "tcp_flags": "24",
     }
-    return _packet(cols, d, f"events WHERE {c} % 10 = 0")
+    return _packet(cols, d, "events")
 
 
 def _pkt_events(d: dict) -> str:
@@ -99,7 +99,7 @@ def _dns(d: dict) -> str:
 def _labels_mix(d: dict) -> str:
     """Names to judge: hash slices, and names from the relational tables."""
     t = d["txt"]
-    hashed = f"SELECT event_id AS frame_no, concat(substr({d['sha'](f'CAST(event_id AS {t})')}, 1, CAST(6 + event_id % 15 AS INT)), CASE WHEN event_id % 2 = 0 THEN '.info' ELSE '.com' END) AS qname FROM events WHERE event_id % 4 = 0"
+    hashed = f"SELECT event_id AS frame_no, concat(substr({d['sha'](f'CAST(event_id AS {t})')}, 1, CAST(6 + event_id % 15 AS INT)), CASE WHEN event_id % 2 = 0 THEN '.info' ELSE '.com' END) AS qname FROM events"
     nations = "SELECT 200000000 + CAST(n_nationkey AS BIGINT) AS frame_no, concat('www.', lower(n_name), '.org') AS qname FROM nation"
     parts = "SELECT 300000000 + p_partkey AS frame_no, concat(lower(replace(replace(p_name, ' ', ''), '#', '')), '.shop') AS qname FROM part"
     custs = "SELECT 400000000 + c_custkey AS frame_no, concat('login.', lower(replace(replace(c_name, '#', ''), '0', 'o')), lower(c_mktsegment), '.net') AS qname FROM customer"

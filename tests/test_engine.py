@@ -21,6 +21,7 @@ from oneway.operators.alerts import packet_hashes
 from oneway.operators.dga import NgramNet, model_inputs, score_names, score_with_net, train_net
 from oneway.operators.floods import flood_findings
 from oneway.operators.tunnel import score_tunnels
+from oneway.plans.adapters import adapter
 from oneway.schema import ACK
 
 
@@ -28,6 +29,13 @@ def one(df):
     return df.collect()[0]
 
 
+def test_adapters_read_all_events(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    names = adapter(spark, sf_dir, "labels_mix").where("frame_no < 200000000")
+    assert adapter(spark, sf_dir, "pkt_beacon").count() == names.count() == events
+    assert names.where("qname like '%.com'").count() > 0
+
+
 def test_flow_counts(spark):
     packets = [X.packet(i, "10.0.0.1", "10.0.0.2", length=100, tcp_flags=ACK, tcp_ack=1 + 500 * i) for i in range(5)]
     f = one(FW.flows(X.frame(spark, packets)))
