@@ -113,7 +113,7 @@ def _seed(batches: Iterator[pa.RecordBatch], length: int, anchor_words: int, buc
                 n = size[pick]
                 inside = np.repeat(run[pick] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 used, local = np.unique(doc[run[pick]], return_inverse=True)
-                packed = pack(ids[used], tags[used], local.astype(np.uint32), pos[run[pick]].astype(np.uint32), n.astype(np.uint16), anchor[run[pick]])
+                packed = pack(ids[used], tags[used], local.astype(np.uint32), pos[run[pick]].astype(np.uint32), n.astype(np.uint32), anchor[run[pick]])
                 rows.append((int(home[pick[0]]), 0, len(packed).to_bytes(8, "little") + packed + window[inside].tobytes()))
         for lo in range(0, len(rows), 64):
             part = rows[lo : lo + 64]

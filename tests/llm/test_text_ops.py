@@ -69,6 +69,13 @@ def test_substring_dedup_repeated_ids(spark):
     assert got == [(-1, 20, 0), (1, 30, 0), (1, 30, 0), (1, 35, 0), (2, 30, 30)]
 
 
+def test_substring_dedup_long_runs(spark):
+    """A text that repeats one word is a single run of more than 65,535 windows under one anchor."""
+    rows = [(1, "a " * 70_000, "en", "a", 0), (2, words(5, 4) + " a" * 20, "en", "a", 0)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(docs(spark, rows)).collect()}
+    assert got == {1: (70_000, 0), 2: (25, 20)}
+
+
 def brute_simhash(rows, k=3):
     prints = {}
     for d, t in rows:
