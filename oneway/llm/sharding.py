@@ -57,8 +57,10 @@ def extendible_shards(rows: DataFrame, limit: int, key: str = "doc_id", size: Co
     total = keyed.agg(F.sum("b")).first()[0] or 0
     least, most = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 4)
     rows = rows.withColumns({"depth": F.lit(None).cast("int"), "__capacity": F.lit(None).cast("long")})
+    plain = True
     while True:
         cells = materialize(_cells(keyed, least, most, limit), "directory")
+        plain = plain and cells.where("capacity is not null").isEmpty()
         n = cells.count()
         named = cells.select(F.col("cell").alias("__cell"), F.col("depth").alias("__d"), F.col("capacity").alias("__c"))
         rows = rows.join(F.broadcast(named) if n <= BROADCAST_CELLS else named, _prefix("__h", most) == F.col("__cell"), "left")
@@ -68,7 +70,7 @@ def extendible_shards(rows: DataFrame, limit: int, key: str = "doc_id", size: Co
             break
         keyed = keyed.join(large, _prefix("h", most) == F.col("cell"), "left_semi")
         least, most = most + 1, min(BITS, most + 12)
-    return _named(rows, cells.where("capacity is not null").isEmpty())
+    return _named(rows, plain)
 
 
 def _named(rows: DataFrame, plain: bool) -> DataFrame:

@@ -49,6 +49,19 @@ def test_shards_overflow(spark):
     assert len(got) == len(rows) and max(by.values()) <= 200
 
 
+def test_shards_overflow_before_the_last_round(spark):
+    """Pages of a key that settles in the first round stay pages if other cells go on splitting."""
+    bits = lambda k: format(int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16), "060b")
+    key = {bits(k)[:12]: k for k in range(2000)}
+    one, two = next((k, key[bits(k)[:12]]) for k in range(2000) if key[bits(k)[:12]] != k and bits(k)[:12] != bits(5)[:12])
+    rows = [(5, "x" * 40, "en", "a", 0)] * 50 + [(one, "y" * 150, "en", "a", 0), (two, "z" * 150, "en", "a", 0)]
+    got = SH.extendible_shards(docs(spark, rows), 200).collect()
+    by = Counter()
+    for r in got:
+        by[r.shard] += r.bytes
+    assert len(got) == len(rows) and max(by.values()) <= 200 and max(r.depth for r in got) > 12
+
+
 def test_write_shards(spark, tmp_path):
     sharded = SH.extendible_shards(docs(spark), 3000)
     SH.write_shards(sharded, str(tmp_path / "s"))
