@@ -3,7 +3,8 @@
 Candidates lie in blocks in vertical layout, one array per dimension, dimensions in order of falling variance.  For a block of
 queries the inner products are accumulated dimension block by dimension block; after each, a candidate whose partial score plus
 the product of the remaining norms (Cauchy-Schwarz) cannot reach the query's bound is out, and blocks compact to the
-candidates that some query still needs.  Bounds start at the k-th best score over a first block and rise as blocks finish.
+candidates that some query still needs.  A query's bound is its k-th best score over a first block of ``FIRST`` candidates, for every
+candidate block alike.
 
 Scale: blocks of queries and blocks of candidates are packed rows; each query block meets each candidate block in one task of
 bounded size (the work is queries times candidates, as stated by the contract, cut by the bounds).  With the first bounds a
