@@ -54,7 +54,7 @@ def contribution_rows(names: DataFrame, keep: list[str]) -> DataFrame:
 def score_names(names: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows with qname get label, features, prob, is_dga, family and the shares of what drives the score."""
     rows, parts = _driven(names), PARTS
-    z = F.lit(WEIGHTS["bias"]) + sum((F.col(f"c_{k}") for k in parts), F.lit(0.0))
+    z = sum((F.col(f"c_{k}") for k in parts), F.lit(WEIGHTS["bias"]))  # from the bias on, as the definition adds: a score may lie right on the threshold
     prob = F.when(F.col("label_length") < 5, 0.0).otherwise(1 / (1 + F.exp(-z)))
     rows = rows.withColumn("raw", prob).withColumns({"prob": F.round("raw", 4), "is_dga": F.col("raw") >= threshold})
     language = (F.col("label_length") >= 5) & (F.col("dict_word_hits") >= 3) & (F.col("englishness") > 0.4)
