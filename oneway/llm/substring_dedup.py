@@ -1,24 +1,31 @@
 """Substring dedup by seed and extend.
 
-Seeds are winnowed anchors: of the ``length - anchor_words + 1`` anchor hashes inside a window of ``length`` words the
-smallest is the window's anchor, so equal windows always share it.  Occurrences are joined on the anchor.  Extension
-both ways compares, under the anchor, the windows that contain it; neighbouring repeated windows are merged into
-maximal repeats, which are at least ``length`` words long.
+Seeds are winnowed anchors: of the ``length - anchor_words + 1`` anchor hashes inside a window of ``length`` words the smallest
+is an anchor (all, if several are), so equal windows always share one.  One row per anchor is sent, with a hash of its surroundings
+(the words that any window over the anchor can hold).  Occurrences are joined on the anchor:
 
-A window counts as repeated if the same words start in a document with a smaller id; the words it covers go.
+* surroundings that a smaller document has alike are repeats as they stand;
+* where documents share an anchor in different surroundings, its words are looked up and matches are extended word by word to
+  the right and to the left; what reaches ``length`` words is a repeat.
 
-Scale: each map task first settles repeats among its own documents and sends a repeated window on once, so a passage
-shared by a third of all rows reaches the join as one row per task.  Texts move once, compressed.
+Neighbouring repeats are merged to maximal ones.  A window counts as repeated if the same words start in a document with a
+smaller id; the words it covers go.
+
+Scale: each map task first settles equal surroundings among its own documents, so a passage shared by a third of all rows reaches
+the join as one row per task.  An anchor that is common inside a task (``hot`` surroundings), or whose bucket would exceed ``most``
+rows, is not joined in one task: its windows become rows of their own, counted with partial aggregation and joined by Spark,
+which splits skewed keys.  Texts move compressed, once for the look-up and once for the cut.
 
 Rows: null texts are empty; an empty text has no words.  Rows with one doc_id and different texts are told apart by a
 text hash and keep their own spans; equal ids are never smaller than each other, so such rows do not remove each other.
-A null doc_id is smaller than any other.  Extra columns are ignored.
+A null doc_id counts as the smallest long.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,211 +33,357 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oneway.llm.shared import partitions
+from oneway.llm.shared import materialize, partitions
 from oneway.llm.textkit import U64, Words, chunks, grams, group_starts, longs, mix, pack, sliding_min, text_buffer, text_bytes, unpack
 
-#: Windows that a map task settles among themselves at a time.
-FLUSH_WINDOWS = 2_000_000
+NO_ID = -(1 << 63)
 
-_SENT = "bucket int, kind int, data binary"
+SPAN, OPEN, WIDE = 1, 2, 3  # repeated words; an anchor to be extended; one to be extended window by window
+_SENT = "bucket int, data binary"
+_FOUND = "kind int, bucket int, id long, tag long, start int, n int, anchor long"
+_CONTEXT = "wide boolean, bucket int, anchor long, id long, tag long, start int, n int, left int, words string"
+_SPANS = "bucket int, id long, tag long, start int, n int"
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,words:int>>"
 
 
-def _tags(words: Words, h: np.ndarray) -> np.ndarray:
-    """A hash of each text's words."""
-    sums = np.zeros(len(h) + 1, U64)
-    # positions count from the text's own first word
-    own = mix(h + (np.arange(len(h)) - np.repeat(words.first[:-1], words.counts)).astype(U64) * U64(0x9E3779B97F4A7C15))
-    np.cumsum(own, out=sums[1:])
-    return mix(sums[words.first[1:]] - sums[words.first[:-1]] + words.counts.astype(U64))
+def _home(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document's text."""
+    return (mix(ids.view(U64) ^ tags.view(U64)) % U64(buckets)).astype(np.int32)
 
 
-def _spans(pos: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, sorted by document and place, as (document, first start, starts)."""
-    if not len(pos):
-        return doc[:0], pos[:0], pos[:0]
-    new = np.ones(len(pos), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+def anchors(words: Words, h: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word index, anchor, hash of its surroundings) of the winnowed anchors."""
+    if len(h) < length:
+        return np.empty(0, np.int64), np.empty(0, U64), np.empty(0, U64)
+    g = grams(h, k, 1)
+    least = sliding_min(g, length - k + 1)
+    inside = np.arange(len(least)) <= np.repeat(words.first[1:], words.counts)[: len(least)] - length
+    chosen = np.zeros(len(g), bool)
+    for shift in range(length - k + 1):
+        chosen[shift : shift + len(least)] |= inside & (g[shift : shift + len(least)] == least)
+    at = np.flatnonzero(chosen)
+    # texts are set apart by as many blanks as surroundings can reach beyond a text
+    reach = length - k
+    apart = at + (words.text_of_word()[at] + 1) * reach
+    spread = np.zeros(len(h) + (words.n_texts + 1) * reach + length, U64)
+    spread[np.arange(len(h)) + (words.text_of_word() + 1) * reach] = h
+    whole = grams(spread, length, 2)
+    return at, g[at], mix(whole[apart - reach] * U64(0x9FB21C651E98DF25) + whole[apart])
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, words) of the unions of spans that touch."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = (x[order].astype(np.int64) for x in (doc, start, end))
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(doc * far + end)
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] * far + start[1:] > reach[:-1]
+    new[1:] |= doc[1:] != doc[:-1]
     at = np.flatnonzero(new)
-    return doc[at], pos[at], np.diff(np.append(at, len(pos)))
+    last = np.append(at[1:], len(doc)) - 1
+    return doc[at], start[at], reach[last] - doc[at] * far - start[at]
+
+
+def _least(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """The smallest id of each group of equal (sorted) keys, for every row."""
+    at = group_starts(*keys)
+    return np.repeat(np.minimum.reduceat(ids, at), np.diff(np.append(at, len(ids)))) if len(ids) else ids
 
 
-def _send_spans(ids, tags, doc, start, n, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Spans dealt out by the bucket of their document's text."""
-    ids, tags = ids[doc], tags[doc]
-    home = (mix(ids.astype(U64) ^ tags) % U64(buckets)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
-    at = group_starts(home[order])
+def _blocks(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Rows packed by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    at = group_starts(bucket[order])
     for lo, hi in zip(at, np.append(at[1:], len(order))):
         pick = order[lo:hi]
-        yield int(home[pick[0]]), pack(ids[pick], tags[pick], start[pick].astype(np.uint32), n[pick].astype(np.uint32))
+        yield int(bucket[pick[0]]), pack(np.array([kind], np.uint8), *(c[pick] for c in columns))
 
 
-def _windows(words: Words, h: np.ndarray, length: int, anchor_words: int):
-    """(word index, anchor, window hash) of each window of ``length`` words inside one text."""
-    if len(h) < length:
-        return np.empty(0, np.int64), np.empty(0, U64), np.empty(0, U64)
-    anchor = sliding_min(grams(h, anchor_words, 1), length - anchor_words + 1)
-    last = np.repeat(words.first[1:], words.counts)[: len(anchor)] - length
-    at = np.flatnonzero(np.arange(len(anchor)) <= last)
-    return at, anchor[at], grams(h, length, 2)[at]
+def _sent(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(rows), 64):
+        part = rows[lo : lo + 64]
+        yield pa.record_batch([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], names=["bucket", "data"])
 
 
-def _seed(batches: Iterator[pa.RecordBatch], length: int, anchor_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _seed(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, hot_count: int, flush_words: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
-    n_docs = n_windows = 0
+    n_docs = n_words = 0
 
     def flush():
-        nonlocal held, n_docs, n_windows
-        rows: list[tuple[int, int, bytes]] = []
-        ids, tags = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        doc, pos, anchor, window = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4, 5))
-        held, n_docs, n_windows = [], 0, 0
-        # of each window, only the smallest document's occurrences go on; the others are repeats already
-        order = np.argsort(window, kind="stable")
-        w, a, of = window[order], anchor[order], ids[doc[order]]
-        if len(order):
-            at = group_starts(w, a)
-            least = np.repeat(np.minimum.reduceat(of, at), np.diff(np.append(at, len(order))))
-            repeat = np.zeros(len(order), bool)
-            repeat[order] = of > least
-        else:
-            repeat = np.zeros(0, bool)
-        gone = np.flatnonzero(repeat)
-        rows += [(b, 1, x) for b, x in _send_spans(ids, tags, *_spans(pos[gone], doc[gone]), buckets)]
-        keep = np.flatnonzero(~repeat)
-        doc, pos, anchor, window = doc[keep], pos[keep], anchor[keep], window[keep]
-        if len(keep):
-            new = np.ones(len(keep), bool)  # a run: neighbouring windows under one anchor
-            new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-            run = np.flatnonzero(new)
-            size = np.diff(np.append(run, len(keep)))
-            home = (mix(anchor[run]) % U64(buckets)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            at = group_starts(home[order])
-            for lo, hi in zip(at, np.append(at[1:], len(order))):
+        ids, tags, size, doc, pos, anchor, around = (np.concatenate([x[i] for x in held]) for i in range(7))
+        if len(ids) != len(once := np.unique(np.stack([ids, tags.view(np.int64)]), axis=1, return_index=True)[1]):
+            only = np.zeros(len(ids), bool)  # rows equal in id and text share their spans
+            only[once] = True
+            doc, pos, anchor, around = (x[only[doc]] for x in (doc, pos, anchor, around))
+        # neighbours that agree in both hashes (a word repeated) are one run
+        new = np.ones(len(doc), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (around[1:] != around[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+        at = np.flatnonzero(new)
+        run = np.diff(np.append(at, len(doc)))
+        order = at[by := np.lexsort((around[at], anchor[at]))]
+        doc, pos, anchor, around, run = doc[order], pos[order], anchor[order], around[order], run[by]
+        of = ids[doc]
+        gone = of > _least(of, anchor, around)
+        rows = []
+        d, s, n = _merged(doc[gone], np.maximum(pos[gone] - (length - k), 0), np.minimum(pos[gone] + run[gone] - 1 + length, size[doc[gone]]))
+        rows += _blocks(SPAN, _home(ids[d], tags[d], buckets), ids[d], tags[d], s.astype(np.uint32), n.astype(np.uint32))
+        # what has the smallest id of all is never repeated, so one of them stands for all
+        stays = ~gone
+        if len(of):
+            first = np.zeros(len(of), bool)
+            first[group_starts(anchor, around)] = True
+            stays &= first | (of != NO_ID)
+        doc, pos, anchor, around, run = (x[stays] for x in (doc, pos, anchor, around, run))
+        if len(doc):
+            at = group_starts(anchor)
+            count = np.diff(np.append(at, len(anchor)))
+            hot = np.repeat(count > hot_count, count)
+            d = doc[hot]
+            rows += _blocks(WIDE, _home(ids[d], tags[d], buckets), ids[d], tags[d], pos[hot].astype(np.uint32), run[hot].astype(np.uint32), anchor[hot])
+            marks = anchor[at[count > hot_count]]
+            cool = np.flatnonzero(~hot)
+            bucket = (mix(np.concatenate([anchor[cool], marks])) % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cut = group_starts(bucket[order])
+            for lo, hi in zip(cut, np.append(cut[1:], len(order))):
                 pick = order[lo:hi]
-                n = size[pick]
-                inside = np.repeat(run[pick] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                used, local = np.unique(doc[run[pick]], return_inverse=True)
-                packed = pack(ids[used], tags[used], local.astype(np.uint32), pos[run[pick]].astype(np.uint32), n.astype(np.uint32), anchor[run[pick]])
-                rows.append((int(home[pick[0]]), 0, len(packed).to_bytes(8, "little") + packed + window[inside].tobytes()))
-        for lo in range(0, len(rows), 64):
-            part = rows[lo : lo + 64]
-            yield pa.record_batch([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], names=["bucket", "kind", "data"])
+                own = cool[pick[pick < len(cool)]]
+                used, local = np.unique(doc[own], return_inverse=True)
+                parts = ids[used], tags[used], size[used].astype(np.uint32), local.astype(np.uint32), pos[own].astype(np.uint32), run[own].astype(np.uint32), anchor[own], around[own]
+                rows.append((int(bucket[pick[0]]), pack(np.array([0], np.uint8), *parts, marks[pick[pick >= len(cool)] - len(cool)])))
+        yield from _sent(rows)
 
     for batch in batches:
         for part in chunks(batch):
             words = Words(*text_buffer(part.column("text")))
-            h = words.hashes()
-            at, anchor, window = _windows(words, h, length, anchor_words)
+            at, anchor, around = anchors(words, words.hashes(), length, k)
             doc = words.text_of_word()[at]
-            held.append((longs(part.column("doc_id")), _tags(words, h), (doc + n_docs).astype(np.int32), (at - words.first[doc]).astype(np.int32), anchor, window))
+            held.append((longs(part.column("doc_id")), part.column("tag").to_numpy().view(U64), words.counts, doc + n_docs, at - words.first[doc], anchor, around))
             n_docs += part.num_rows
-            n_windows += len(at)
-            if n_windows >= FLUSH_WINDOWS:
+            n_words += len(words)
+            if n_words >= flush_words:
                 yield from flush()
+                held, n_docs, n_words = [], 0, 0
     if held:
         yield from flush()
 
 
-def _extend(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Join a bucket's occurrences on their anchors, compare windows, and report repeated ones as spans."""
-    out = [(int(b), 1, x) for b, k, x in zip(frame["bucket"], frame["kind"], frame["data"]) if k == 1]
-    parts, n = [], 0
-    for data in frame["data"][frame["kind"] == 0]:
-        size = int.from_bytes(data[:8], "little")
-        ids, tags, doc, pos, runs, anchor = unpack(data[8 : 8 + size])
-        parts.append((ids, tags, np.repeat(doc + np.uint32(n), runs), np.repeat(pos, runs), np.repeat(anchor, runs), np.frombuffer(data, U64, offset=8 + size), runs))
-        n += len(ids)
-    if parts:
-        ids, tags, doc, anchor, window = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 4, 5))
-        runs = np.concatenate([p[6] for p in parts]).astype(np.int64)
-        pos = np.concatenate([p[3] for p in parts]) + (np.arange(len(window)) - np.repeat(np.cumsum(runs) - runs, runs)).astype(np.uint32)
-        del parts
-        order = np.argsort(window, kind="stable")
-        w, a = window[order], anchor[order]
-        if len(order) > 1:  # windows seen once need no more work
-            twice = np.zeros(len(order), bool)
-            same = w[1:] == w[:-1]
-            twice[1:] |= same
-            twice[:-1] |= same
-            order, w, a = order[twice], w[twice], a[twice]
-            by = np.lexsort((a, w))
-            order, w, a = order[by], w[by], a[by]
-            of = ids[doc[order]]
-            at = group_starts(w, a)
-            least = np.repeat(np.minimum.reduceat(of, at), np.diff(np.append(at, len(order)))) if len(order) else of
-            gone = order[of > least]
-            gone = gone[np.lexsort((pos[gone], doc[gone]))]
-            out += [(b, 1, x) for b, x in _send_spans(ids, tags, *_spans(pos[gone].astype(np.int64), doc[gone].astype(np.int64)), buckets)]
-    return pd.DataFrame(out, columns=["bucket", "kind", "data"]).astype({"bucket": "int32", "kind": "int32"})
+def _found(kind: np.ndarray, ids, tags, start, n, anchor, buckets: int) -> pa.RecordBatch:
+    columns = [kind.astype(np.int32), _home(ids, tags, buckets), ids, tags.view(np.int64), start.astype(np.int32), n.astype(np.int32), anchor.view(np.int64)]
+    return pa.record_batch([pa.array(c) for c in columns], names=["kind", "bucket", "id", "tag", "start", "n", "anchor"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket.  Joins a bucket's anchors; reports repeats, and anchors to be extended."""
+
+    def opened(parts: list[list[np.ndarray]]):
+        for ids, tags, _, doc, pos, run, anchor, *_ in parts:
+            yield _found(np.full(len(doc), WIDE), ids[doc], tags[doc], pos, run, anchor, buckets)
+
+    def join(parts: list[list[np.ndarray]]):
+        if not parts:
+            return
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+        ids, tags, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        doc = np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base)])
+        pos, run, anchor, around, marks = (np.concatenate([p[i] for p in parts]) for i in range(4, 9))
+        order = np.lexsort((around, anchor))
+        doc, pos, run, anchor, around = doc[order], pos[order].astype(np.int64), run[order].astype(np.int64), anchor[order], around[order]
+        of = ids[doc]
+        gone = of > _least(of, anchor, around)
+        d, s, n = _merged(doc[gone], np.maximum(pos[gone] - (length - k), 0), np.minimum(pos[gone] + run[gone] - 1 + length, size[doc[gone]]))
+        yield _found(np.full(len(d), SPAN), ids[d], tags[d], s, n, np.zeros(len(d), U64), buckets)
+        doc, pos, run, anchor, of = (x[~gone] for x in (doc, pos, run, anchor, of))
+        wide = np.isin(anchor, marks)
+        several = _least(of, anchor) < -_least(-(of + 1), anchor) - 1  # -(x + 1) has no overflow
+        pick = np.flatnonzero(wide | several)
+        yield _found(np.where(wide[pick], WIDE, OPEN), ids[doc[pick]], tags[doc[pick]], pos[pick], run[pick], anchor[pick], buckets)
+
+    parts, bucket, rows, over = [], None, 0, False
+    for batch in batches:
+        for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+            kind, *columns = unpack(data.as_buffer())
+            if kind[0] != 0:
+                ids, tags, start, n = columns[:4]
+                yield _found(np.full(len(ids), kind[0]), ids, tags, start, n, columns[4] if len(columns) > 4 else np.zeros(len(ids), U64), buckets)
+                continue
+            if b != bucket:
+                yield from join(parts)
+                parts, bucket, rows, over = [], b, 0, False
+            parts.append(columns)
+            rows += len(columns[3])
+            if over or rows > most:
+                yield from opened(parts)
+                parts, over = [], True
+    yield from join(parts)
 
 
 def _pack_texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {}
+    """Texts by bucket; rows equal in id and text are sent once, with their number."""
+    held: dict[int, dict] = {}
     size = 0
 
     def flush():
-        nonlocal held, size
         rows = []
         for bucket, docs in held.items():
-            lengths = np.array([len(d[2]) for d in docs], np.int64)
-            rows.append((bucket, pack(np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], U64), lengths, np.frombuffer(b"".join(d[2] for d in docs), np.uint8))))
-        held, size = {}, 0
-        for lo in range(0, len(rows), 64):
-            part = rows[lo : lo + 64]
-            yield pa.record_batch([pa.array([r[0] for r in part], pa.int32()), pa.array([0] * len(part), pa.int32()), pa.array([r[1] for r in part], pa.binary())], names=["bucket", "kind", "data"])
+            ids, tags, null, n, raw = zip(*((*k, *v) for k, v in docs.items()))
+            blob = np.frombuffer(b"".join(raw), np.uint8)
+            rows.append((bucket, pack(np.array(ids, np.int64), np.array(tags, np.int64), np.array(null, np.uint8), np.array(n, np.int64), np.array([len(x) for x in raw], np.int64), blob)))
+        yield from _sent(rows)
 
     for batch in batches:
         for part in chunks(batch):
-            words = Words(*text_buffer(part.column("text")))
-            ids, tags = longs(part.column("doc_id")), _tags(words, words.hashes())
-            home = (mix(ids.astype(U64) ^ tags) % U64(buckets)).tolist()
-            for d in zip(home, ids.tolist(), tags.tolist(), text_bytes(part.column("text"))):
-                held.setdefault(d[0], []).append(d[1:])
-                size += len(d[3])
+            ids, tags = longs(part.column("doc_id")), part.column("tag").to_numpy()
+            null = part.column("doc_id").is_null().to_pylist()
+            for b, d, t, none, raw in zip(_home(ids, tags, buckets).tolist(), ids.tolist(), tags.tolist(), null, text_bytes(part.column("text"))):
+                docs = held.setdefault(b, {})
+                docs[(d, t, none)] = (docs.get((d, t, none), (0,))[0] + 1, raw)
+                size += len(raw)
             if size >= 24 << 20:
                 yield from flush()
+                held, size = {}, 0
     if held:
         yield from flush()
 
 
-def _cut(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+def _texts(data: pd.Series) -> Iterator[tuple[int, int, bool, int, bytes]]:
+    for blob in data:
+        ids, tags, null, n, lengths, raw = unpack(blob)
+        raw, at = raw.tobytes(), 0
+        for d, t, none, m, size in zip(*(x.tolist() for x in (ids, tags, null, n, lengths))):
+            yield d, t, bool(none), m, raw[at : at + size]
+            at += size
+
+
+def _look_up(texts: pd.DataFrame, asked: pd.DataFrame, length: int, k: int) -> pd.DataFrame:
+    """The words around the anchors asked for."""
+    by: dict[tuple[int, int], list] = {}
+    for kind, d, t, start, n, anchor in zip(*(asked[c].tolist() for c in ("kind", "id", "tag", "start", "n", "anchor"))):
+        by.setdefault((d, t), []).append((kind, start, n, anchor))
+    bucket = int(asked["bucket"].iloc[0]) if len(asked) else 0
+    out = []
+    for d, t, _, _, raw in _texts(texts["data"]):
+        wanted = by.pop((d, t), None)
+        if wanted:
+            words = raw.split()
+            for kind, start, n, anchor in wanted:
+                left = min(start, length - k)
+                out.append((kind == WIDE, bucket, anchor, d, t, start, n, left, b" ".join(words[start - left : start + length]).decode()))
+    return pd.DataFrame(out, columns=["wide", "bucket", "anchor", "id", "tag", "start", "n", "left", "words"])
+
+
+def _classes(cls: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Classes split by the next word."""
+    return np.unique(cls * (int(code.max(initial=0)) + 2) + code + 1, return_inverse=True)[1]
+
+
+def extend(anchor: np.ndarray, ids: np.ndarray, left: np.ndarray, words: list[bytes], length: int, k: int) -> np.ndarray:
+    """For each row and each number of words to the left, whether the window that begins there is in a row of the same (sorted)
+    anchor with a smaller id.  Rows stay in one class as long as they agree, word by word to the right and to the left."""
+    reach = length - k
+    split = [w.split() for w in words]
+    count = np.array([len(w) for w in split], np.int64)
+    codes = pa.array(list(chain.from_iterable(split)), pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    table = np.full((len(ids), reach + length), -1, np.int64)
+    row = np.repeat(np.arange(len(ids)), count)
+    table[row, np.arange(len(codes)) - np.repeat(np.cumsum(count) - count, count) + reach - left[row]] = codes
+    new = np.zeros(len(ids), np.int64)
+    new[group_starts(anchor)] = 1
+    cls = np.cumsum(new)
+    right = {0: cls}
+    for n in range(1, length + 1):
+        right[n] = _classes(right[n - 1], table[:, reach + n - 1])
+    found = np.zeros((len(ids), reach + 1), bool)
+    to_left = np.zeros(len(ids), np.int64)
+    for n in range(reach + 1):
+        if n:
+            to_left = _classes(to_left, table[:, reach - n])
+        key = to_left * (int(right[length - n].max(initial=0)) + 1) + right[length - n]
+        whole = np.flatnonzero((left >= n) & (count - left >= length - n))
+        order = whole[np.argsort(key[whole], kind="stable")]
+        found[order, n] = ids[order] > _least(ids[order], key[order])
+    return found
+
+
+def _extended(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by anchor; a group may go over several batches."""
+    rest = None
+
+    def spans(table: pa.Table):
+        anchor, ids, tags, start, n, left, bucket = (table.column(c).to_numpy().astype(np.int64) for c in ("anchor", "id", "tag", "start", "n", "left", "bucket"))
+        found = extend(anchor, ids, left, text_bytes(table.column("words").combine_chunks()), length, k)
+        # neighbouring windows of a row are one longer match
+        edge = np.zeros((len(ids), 1), bool)
+        row, near = np.nonzero(found & ~np.concatenate([edge, found[:, :-1]], axis=1))
+        _, far = np.nonzero(found & ~np.concatenate([found[:, 1:], edge], axis=1))
+        columns = bucket[row].astype(np.int32), ids[row], tags[row], (start[row] - far).astype(np.int32), (far - near + length + n[row] - 1).astype(np.int32)
+        yield pa.record_batch([pa.array(c) for c in columns], names=["bucket", "id", "tag", "start", "n"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        anchor = table.column("anchor").to_numpy()
+        last = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0
+        rest = table.slice(last)
+        if last:
+            yield from spans(table.slice(0, last))
+    if rest is not None and rest.num_rows:
+        yield from spans(rest)
+
+
+def _by_window(wide: DataFrame, length: int, k: int) -> DataFrame:
+    """Repeats around hot anchors: each window is a row, and joins the smallest id that has it."""
+    words = F.split("words", " ")
+    rows = wide.select("bucket", "id", "tag", "start", "n", "left", words.alias("w")).withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(length - k))))
+    rows = rows.where((F.col("left") >= F.col("back")) & (F.size("w") - F.col("left") >= length - F.col("back")))
+    key = F.md5(F.array_join(F.slice("w", F.col("left") - F.col("back") + 1, F.lit(length)), " ").cast("binary"))
+    rows = rows.select("bucket", "id", "tag", (F.col("start") - F.col("back")).alias("start"), (F.col("n") - 1 + length).alias("n"), F.unhex(key).alias("key"))
+    least = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    return rows.join(least, "key").where("id > least").select("bucket", "id", "tag", F.col("start").cast("int"), F.col("n").cast("int"))
+
+
+def _cut(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     """Remove the spans from a bucket's texts."""
-    spans = [unpack(x) for x in frame["data"][frame["kind"] == 1]]
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for part in spans:
-        for d, t, s, n in zip(*(x.tolist() for x in part)):
-            found.setdefault((d, t), []).append((s, n))
+    for d, t, s, n in zip(*(spans[c].tolist() for c in ("id", "tag", "start", "n"))):
+        found.setdefault((d, t), []).append((s, n))
     out = []
-    for blob in frame["data"][frame["kind"] == 0]:
-        ids, tags, lengths, raw = unpack(blob)
-        raw, at = raw.tobytes(), 0
-        for d, t, n in zip(ids.tolist(), tags.tolist(), lengths.tolist()):
-            words = raw[at : at + n].split()
-            at += n
-            merged: list[list[int]] = []
-            for s, m in sorted(found.get((d, t), ())):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s + m + length - 1)
-                else:
-                    merged.append([s, s + m + length - 1])
-            n_words = len(words)
-            for s, e in reversed(merged):
-                del words[s:e]
-            out.append((None if d == -(1 << 63) else d, n_words, n_words - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), [{"start": s, "words": e - s} for s, e in merged]))
+    for d, t, none, m, raw in _texts(texts["data"]):
+        words = raw.split()
+        merged: list[list[int]] = []
+        for s, n in sorted(found.get((d, t), ())):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s + n)
+            else:
+                merged.append([s, s + n])
+        n_words = len(words)
+        for s, e in reversed(merged):
+            del words[s:e]
+        row = (None if none else d, n_words, n_words - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), [{"start": s, "words": e - s} for s, e in merged])
+        out += [row] * m
     return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
 
 
-def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4, hot: int = 64, most: int = 4_000_000, flush: int = 2_000_000) -> DataFrame:
     """One row per document: its word count, the words removed, the hash of what is kept, and the removed maximal spans
-    (in words).  ``docs`` needs doc_id and text."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    (in words).  ``docs`` needs doc_id and text.  Whatever the limits, the result is the same: ``flush``: words that a map task settles
+    among themselves at a time; ``hot``: surroundings of one anchor beyond which a task calls it hot; ``most``: anchors joined in one
+    task's memory."""
+    spark, k = docs.sparkSession, anchor_words
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark, total)
-    seeds = docs.mapInArrow(lambda it: _seed(it, length, anchor_words, n), _SENT)
-    spans = seeds.repartition(n, "bucket").groupBy("bucket").applyInPandas(lambda f: _extend(f, n), _SENT)
-    texts = docs.mapInArrow(lambda it: _pack_texts(it, n), _SENT)
-    return texts.unionByName(spans).groupBy("bucket").applyInPandas(lambda f: _cut(f, length), _OUT)
+    seeds = docs.mapInArrow(lambda it: _seed(it, length, k, n, hot, flush), _SENT)
+    found = materialize(seeds.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _settle(it, length, k, n, most), _FOUND), "found")
+    texts = docs.mapInArrow(lambda it: _pack_texts(it, n), _SENT).groupBy("bucket")
+    context = texts.cogroup(found.where(F.col("kind") != SPAN).groupBy("bucket")).applyInPandas(lambda t, a: _look_up(t, a, length, k), _CONTEXT)
+    context = materialize(context, "context")
+    near = context.where("not wide").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _extended(it, length, k), _SPANS)
+    spans = found.where(F.col("kind") == SPAN).select("bucket", "id", "tag", "start", "n")
+    spans = spans.unionByName(near).unionByName(_by_window(context.where("wide"), length, k))
+    return texts.cogroup(spans.groupBy("bucket")).applyInPandas(_cut, _OUT)

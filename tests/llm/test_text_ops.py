@@ -69,11 +69,49 @@ def test_substring_dedup_repeated_ids(spark):
     assert got == [(-1, 20, 0), (1, 30, 0), (1, 30, 0), (1, 35, 0), (2, 30, 30)]
 
 
+def thue_morse(n, a="a", b="b"):
+    return a if n == 0 else thue_morse(n - 1, a, b) + thue_morse(n - 1, b, a)
+
+
+def removed(spark, rows):
+    return {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(docs(spark, [(d, t, "en", "a", 0) for d, t in rows])).collect()}
+
+
 def test_substring_dedup_long_runs(spark):
-    """A text that repeats one word is a single run of more than 65,535 windows under one anchor."""
-    rows = [(1, "a " * 70_000, "en", "a", 0), (2, words(5, 4) + " a" * 20, "en", "a", 0)]
-    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(docs(spark, rows)).collect()}
-    assert got == {1: (70_000, 0), 2: (25, 20)}
+    """A text that repeats one word, or two in turn, has no limit of its length."""
+    rows = [(1, "a " * 200_000), (2, words(5, 4) + " a" * 20), (3, "- | " * 40_000), (4, words(5, 4) + " | -" * 10 + " x")]
+    assert removed(spark, rows) == {1: (200_000, 0), 2: (25, 20), 3: (80_000, 0), 4: (26, 20)}
+
+
+def test_substring_dedup_words_of_one_polynomial(spark):
+    """Words that polynomial hashes modulo 2**64 cannot tell apart are different words."""
+    one, two = (" ".join([thue_morse(10, *x)] * 13) for x in ("ab", "ba"))
+    assert removed(spark, [(1, one), (2, two), (3, two)]) == {1: (13, 0), 2: (13, 0), 3: (13, 13)}
+
+
+@pytest.mark.parametrize("hot, most, flush", [(64, 4_000_000, 2_000_000), (1, 4_000_000, 50), (64, 3, 50), (0, 3, 1)])
+def test_substring_dedup_matches_brute_force(spark, hot, most, flush):
+    """Passages in other surroundings, at text ends, inside each other and many times over, by every way of joining them."""
+    rng = np.random.default_rng(12)
+    passages = [words(n, 50 + n) for n in (11, 12, 13, 14, 20, 40)] + [" ".join(["a"] * 15), " ".join(["a", "b"] * 9)]
+    rows = []
+    for i in range(80):
+        own = []
+        for _ in range(int(rng.integers(0, 5))):
+            p = passages[int(rng.integers(len(passages)))].split()
+            lo = int(rng.integers(0, 5))
+            own += words(int(rng.integers(0, 8)), int(rng.integers(0, 30))).split() + p[lo : len(p) - int(rng.integers(0, 5))]
+        rows.append((int(rng.permutation(80)[0]) * 100 + i, " ".join(own)))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs(spark, [(d, t, "en", "a", 0) for d, t in rows]).repartition(3), 13, 4, hot, most, flush).collect()}
+    assert got == brute_dedup(rows) and sum(x[1] for x in got.values()) > 200
+
+
+def test_substring_dedup_equal_rows_and_smallest_id(spark):
+    text = words(30, 3)
+    low = -(1 << 63)
+    rows = [(low, text, "en", "a", 0)] * 3 + [(None, text, "en", "a", 0)] * 2 + [(4, text, "en", "a", 0)] * 3
+    got = Counter((r.doc_id, r.n_removed) for r in substring_dedup(docs(spark, rows)).collect())
+    assert got == {(low, 0): 3, (None, 0): 2, (4, 30): 3}
 
 
 def brute_simhash(rows, k=3):
