@@ -6,13 +6,15 @@ has and ARC lacks: record ids (from file, offset, url and date, so reruns agree)
 filedesc, response for HTTP blocks of http urls, else resource), block and payload digests (SHA-1, base 32), and revisits for
 payloads that another record has in full.
 
-Scale: archives are written by Spark's text writer (a record is a value, the record's trailer is the line separator), so they
-land in any store Spark can write, and are read as binary files; a record count per file keeps files near ``FILE_BYTES``.
-Which records are revisits is settled on digests alone; payloads move once, by record id, so equal payloads never meet.
+Archives are gzip files with a member for each record, as both formats want, ended by an empty member.
+
+Scale: a task packs records until a file has ``FILE_BYTES`` (before compression), whatever their sizes, and Spark's text writer stores
+each file as one value, so archives land in any store Spark can write; they are read as binary files (of less than 2 GB).
+Which records are revisits is settled on digests alone; then each ARC file meets its own list of revisits, so equal payloads never meet.
 
 Rows: a null html is an empty payload, a null url becomes ``urn:page:none``, a null page_id stays null and counts as smallest.  Of
-repeated rows with equal large payloads one is the response.  Truncated last records keep what is there and are marked;
-header lines that do not parse are skipped.
+repeated rows with equal large payloads one is the response.  Truncated last records (ARC or WARC) keep what is there and are
+marked, a WARC file that ends inside a record's header ends before it; header lines that do not parse are skipped.
 """
 
 from __future__ import annotations
@@ -20,26 +22,32 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import os
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oneway.llm.shared import new_path
+from oneway.llm.shared import materialize, new_path
 from oneway.llm.textkit import chunks, text_bytes
 
-#: Bytes of records in an archive file, about, before compression.
+#: Bytes of records in an archive file, before compression; the last record may go over.
 FILE_BYTES = 16 << 20
 #: Payloads of at least so many bytes can be revisits.
 REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 
+#: Ends a file: a gzip member of nothing, since the text writer ends each value with a separator.
+NOTHING = gzip.compress(b"", 1, mtime=0)
+MEMBER_BYTES = 1 << 16
+
 ARC_ROW = "file string, offset long, version int, url string, ip string, date string, mime string, truncated boolean, block binary"
-WARC_ROW = "file string, type string, record_id string, refers_to string, uri string, date string, payload_digest string, http string, payload binary"
+WARC_ROW = "file string, type string, record_id string, refers_to string, uri string, date string, payload_digest string, http string, truncated boolean, payload binary"
 
 
 def _url(url: str | None) -> str:
@@ -130,60 +138,91 @@ def warc_record(kind: str, rid: str, date: str, uri: str, ip: str, mime: str, bl
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record."""
+def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(headers in lower case, block, truncated) of each record."""
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+    while (at := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", at)) >= 0:
         headers = {}
         for line in data[at:end].split(b"\r\n")[1:]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        n = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
-
-
-def _records_per_file(rows: int, total: int) -> int:
-    return max(2, int(FILE_BYTES / (total / max(1, rows) + 300)))
+        size = headers.get("content-length", "")
+        at = end + 4
+        if size.isdigit():
+            block = data[at : at + int(size)]
+            yield headers, block, len(block) < int(size)
+            at += int(size)
+
+
+def packed(records: Iterable[bytes], opening: Callable[[int], bytes]) -> Iterator[pa.RecordBatch]:
+    """Archive files of about FILE_BYTES: ``opening`` makes the first record of the file with a number."""
+    members, size, n = [], 0, 0
+    for record in records:
+        if not members:
+            members.append(gzip.compress(opening(n), 1, mtime=0))
+        members.append(gzip.compress(record, 1, mtime=0))
+        size += len(record)
+        if size >= FILE_BYTES:
+            yield pa.record_batch([pa.array([b"".join(members)], pa.binary())], names=["file"])
+            members, size, n = [], 0, n + 1
+    if members:
+        yield pa.record_batch([pa.array([b"".join(members)], pa.binary())], names=["file"])
+
+
+def _store(files: DataFrame, path: str) -> None:
+    """One file per value."""
+    text = files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1"))
+    text.option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
     """ARC files of pages (page_id, url, html), versions 1 and 2 in turn by partition."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows, total = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
-    each = _records_per_file(rows, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
         version = 1 + part % 2
-        for batch in batches:
-            for piece in chunks(batch, "html", 4 << 20):
-                out = []
-                for page_id, url, html in zip(piece.column("page_id").to_pylist(), piece.column("url").to_pylist(), text_bytes(piece.column("html"))):
-                    if n % each == 0:  # the writer begins a new file here
-                        out.append(arc_filedesc(version, f"pages-{part:05d}-{n // each:05d}.arc", date))
-                        n += 1
-                    block = http_block(page_id, html)
-                    out.append(arc_header(version, _url(url), "0.0.0.0", date, "text/html", len(block)) + block)
-                    n += 1
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
-    records = pages.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+        def records():
+            for batch in batches:
+                for piece in chunks(batch, "html", 4 << 20):
+                    for page_id, url, html in zip(piece.column("page_id").to_pylist(), piece.column("url").to_pylist(), text_bytes(piece.column("html"))):
+                        block = http_block(page_id, html)
+                        yield arc_header(version, _url(url), "0.0.0.0", date, "text/html", len(block)) + block + b"\n"
+
+        yield from packed(records(), lambda n: arc_filedesc(version, f"pages-{part:05d}-{n:05d}.arc.gz", date) + b"\n")
+
+    _store(pages.mapInArrow(run, "file binary"), path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+
+
+def plain(content: bytes) -> bytes:
+    """An archive file's records: all members of a gzip file, or the file as it is.  A member that is cut off gives what it has."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    at, out = 0, []
+    while content[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while at < len(content) and not member.eof:
+            piece = content[at : at + MEMBER_BYTES]
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        if not member.eof:
+            out.append(member.flush())
+    return b"".join(out)
 
 
-def _plain(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def _contents(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+        yield file, plain(content.as_buffer().to_pybytes())
 
 
-def _parts(rows: list, each: int = 4 << 20):
+def _parts(rows: Iterable, each: int = 4 << 20):
     """Lists of records whose last values have about ``each`` bytes."""
     held, size = [], 0
     for r in rows:
@@ -203,30 +242,30 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 4, pa.bool_(), pa.binary()]
         names = ["file", "offset", "version", "url", "ip", "date", "mime", "truncated", "block"]
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                for part in _parts((file, *r) for r in read_arc(_plain(content.as_buffer().to_pybytes()))):
+            for file, data in _contents(batch):
+                for part in _parts((file, *r) for r in read_arc(data)):
                     yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*part), kinds)], names=names)
 
     return _files(spark, path).mapInArrow(run, ARC_ROW)
 
 
 def _digests(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, page_id, digest, n) of the ARC records with a page's payload."""
+    """(file, offset, record_id, page_id, digest, n) of the ARC records that can be revisits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"file": pa.string(), "offset": pa.int64(), "record_id": pa.string(), "page_id": pa.int64(), "digest": pa.string(), "n": pa.int64()}
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                ids, pages, digests, sizes = [], [], [], []
-                for offset, _, url, _, date, _, _, block in read_arc(_plain(content.as_buffer().to_pybytes())):
+            for file, data in _contents(batch):
+                rows = []
+                for offset, _, url, _, date, _, _, block in read_arc(data):
                     if kind_of(url, block) == "response":
                         head, payload = split_http(block)
-                        ids.append(record_id(file, offset, url, date))
-                        pages.append(_page_id(head))
-                        digests.append(hashlib.sha1(payload).hexdigest())
-                        sizes.append(len(payload))
-                yield pa.record_batch([pa.array(ids, pa.string()), pa.array(pages, pa.int64()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], names=["record_id", "page_id", "digest", "n"])
+                        if len(payload) >= REVISIT_BYTES:
+                            rows.append((file, offset, record_id(os.path.basename(file), offset, url, date), _page_id(head), hashlib.sha1(payload).hexdigest(), len(payload)))
+                if rows:
+                    yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
-    return _files(spark, path).mapInArrow(run, "record_id string, page_id long, digest string, n long")
+    return _files(spark, path).mapInArrow(run, "file string, offset long, record_id string, page_id long, digest string, n long")
 
 
 def _header(head: bytes, name: bytes) -> bytes | None:
@@ -243,60 +282,59 @@ def _page_id(head: bytes) -> int | None:
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """ARC files to WARC files, equal payloads of REVISIT_BYTES or more as revisits of the one with the largest page id."""
-    found = _digests(spark, arc_path).where(F.col("n") >= REVISIT_BYTES)
+    found = materialize(_digests(spark, arc_path), "digests")
     whole = found.groupBy("digest", "n").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), "record_id")).alias("keep"), F.count("*").alias("copies")).where("copies > 1")
-    revisits = found.join(whole, ["digest", "n"]).where("record_id <> keep.record_id").select("record_id", F.col("keep.record_id").alias("refers_to"))
-
-    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [record_id(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "url", "date")))]
-            yield pa.record_batch([pa.array(ids, pa.string()), *batch.columns], names=["record_id", *batch.schema.names])
-
-    records = arc_records(spark, arc_path).where(~F.col("url").startswith("filedesc://")).mapInArrow(identify, f"record_id string, {ARC_ROW}")
-    records = records.drop("file", "offset", "version").join(revisits, "record_id", "left")
-    each = max(2, FILE_BYTES // 4096)
+    revisits = found.join(whole, ["digest", "n"]).where("record_id <> keep.record_id")
+    revisits = revisits.groupBy("file").agg(F.collect_list("offset").alias("offsets"), F.collect_list("keep.record_id").alias("refers"))
+    files = _files(spark, arc_path).join(revisits.hint("shuffle_hash"), "file", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for piece in chunks(batch, "block", 4 << 20):
-                out = []
-                for r in piece.to_pylist():
-                    if n % each == 0:
-                        name = f"pages-{part:05d}-{n // each:05d}.warc"
-                        out.append(warc_record("warcinfo", record_id(name, 0, name, ""), iso(r["date"]), name, "", "", b""))
-                        n += 1
-                    kind = "revisit" if r["refers_to"] else kind_of(r["url"], r["block"])
-                    out.append(warc_record(kind, r["record_id"], iso(r["date"]), r["url"], r["ip"], r["mime"], r["block"], r["refers_to"], r["truncated"]))
-                    n += 1
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
-
-    out = records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", each).text(warc_path)
+        part = TaskContext.get().partitionId()
+        last = [""]
+
+        def records():
+            for batch in batches:
+                for (file, data), offsets, refers in zip(_contents(batch), batch.column("offsets").to_pylist(), batch.column("refers").to_pylist()):
+                    known = dict(zip(offsets or (), refers or ()))
+                    for offset, _, url, ip, date, mime, truncated, block in read_arc(data):
+                        if not url.startswith("filedesc://"):
+                            last[0] = iso(date)
+                            refers_to = known.get(offset)
+                            kind = "revisit" if refers_to else kind_of(url, block)
+                            yield warc_record(kind, record_id(os.path.basename(file), offset, url, date), last[0], url, ip, mime, block, refers_to, truncated) + b"\r\n\r\n"
+
+        def opening(n: int) -> bytes:
+            name = f"pages-{part:05d}-{n:05d}.warc.gz"
+            return warc_record("warcinfo", record_id(name, 0, name, ""), last[0], name, "", "", b"") + b"\r\n\r\n"
+
+        yield from packed(records(), opening)
+
+    _store(files.mapInArrow(run, "file binary"), warc_path)
 
 
 def warc_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all WARC files under a path; a digest that does not fit its content is an error."""
+    """The records of all WARC files under a path; a digest that does not fit its whole content is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "type", "record_id", "refers_to", "uri", "date", "payload_digest", "http", "payload"]
-        kinds = [*[pa.string()] * 8, pa.binary()]
-
-        def rows(file, content):
-            for h, block in read_warc(_plain(content)):
-                if h["warc-block-digest"] != _sha1(block):
-                    raise ValueError(f"{file}: {h['warc-record-id']} does not have its digest")
+        names = ["file", "type", "record_id", "refers_to", "uri", "date", "payload_digest", "http", "truncated", "payload"]
+        kinds = [*[pa.string()] * 8, pa.bool_(), pa.binary()]
+
+        def rows(file, data):
+            for h, block, truncated in read_warc(data):
+                own = h.get("warc-block-digest")
+                if own and not truncated and own != _sha1(block):
+                    raise ValueError(f"{file}: {h.get('warc-record-id')} does not have its digest")
                 head, payload = split_http(block)
                 digest = h.get("warc-payload-digest")
-                if digest and h["warc-type"] != "revisit" and digest != _sha1(payload):
-                    raise ValueError(f"{file}: {h['warc-record-id']} does not have its payload digest")
-                yield file, h["warc-type"], h["warc-record-id"], h.get("warc-refers-to"), h.get("warc-target-uri"), h["warc-date"], digest, head.decode("latin-1"), payload if payloads else None
+                if digest and not truncated and h.get("warc-type") != "revisit" and digest != _sha1(payload):
+                    raise ValueError(f"{file}: {h.get('warc-record-id')} does not have its payload digest")
+                yield file, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), digest, head.decode("latin-1"), truncated, payload if payloads else None
 
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                for part in _parts(rows(file, content.as_buffer().to_pybytes())):
+            for file, data in _contents(batch):
+                for part in _parts(rows(file, data)):
                     yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*part), kinds)], names=names)
 
     return _files(spark, path).mapInArrow(run, WARC_ROW)
@@ -318,7 +356,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([*columns, *(batch.column(c) for c in ("type", "record_id", "refers_to", "uri"))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers", "uri"])
 
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string, uri string"
-    records = warc_records(spark, warc, payloads=False).where(F.col("type").isin("response", "revisit")).mapInArrow(run, kinds)
+    records = materialize(warc_records(spark, warc, payloads=False).where(F.col("type").isin("response", "revisit")).mapInArrow(run, kinds), "records")
     # small rows: one for each revisit and, on the other side, one for each response
     target = records.where("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
     revisits = records.where("record_type = 'revisit'").join(target, "refers", "left")

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -79,9 +80,12 @@ def test_arc_versions_and_warc_bytes():
         assert [A.kind_of(r[2], r[7]) for r in rows] == ["warcinfo", "response", "resource"]
     assert A.iso("20240102030405") == "2024-01-02T03:04:05Z" and A.iso("2024") == "2024-01-01T00:00:00Z" and A.iso("") == "1111-01-01T00:00:00Z"
     record = A.warc_record("response", "<urn:uuid:1>", "2024-01-01T00:00:00Z", "http://a/", "1.2.3.4", "text/html", block) + b"\r\n\r\n"
-    (headers, back), = A.read_warc(record)
-    assert back == block and headers["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"<p>hi\nthere</p>").digest()).decode()
+    (headers, back, whole), = A.read_warc(record)
+    assert back == block and not whole and headers["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"<p>hi\nthere</p>").digest()).decode()
     assert int(headers["content-length"]) == len(block)
+    # cut inside a block: marked; inside a header, or with a length that is none: left out
+    assert [(b, t) for _, b, t in A.read_warc(record + record[:-10])] == [(block, False), (block[:-6], True)]
+    assert len(list(A.read_warc(record + record[:60]))) == 1 and len(list(A.read_warc(record.replace(b"Content-Length: " + str(len(block)).encode(), b"Content-Length: x", 1)))) == 0
 
 
 def pages(spark):
@@ -112,8 +116,29 @@ def test_archives_repeated_and_null_ids(spark):
 def test_written_archives_are_files(spark, tmp_path):
     A.write_arc(pages(spark).coalesce(1), str(tmp_path / "arc"))
     A.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
-    found = [h["warc-type"] for f in (tmp_path / "warc").glob("*.gz") for h, _ in A.read_warc(gzip.decompress(f.read_bytes()))]
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("part*") if f.stat().st_size]
+    found = [h["warc-type"] for f in files for h, _, _ in A.read_warc(gzip.decompress(f))]
     assert Counter(found)["response"] == 6 and Counter(found)["revisit"] == 3 and "warcinfo" in found
+    # a member for each record, then the empty one; and a file that is cut off keeps the records before the cut
+    data = files[0]
+    members = []
+    while data:
+        member = zlib.decompressobj(31)
+        members.append(member.decompress(data))
+        data = member.unused_data
+    assert len(members) == len(found) + 1 and all(len(list(A.read_warc(m))) == 1 for m in members[:-1]) and members[-1] == b""
+    assert A.plain(files[0][:-60]).startswith(b"WARC/1.1") and A.plain(b"plain") == b"plain"
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """Pages of a megabyte that compress well: a file holds as many as its limit before compression says."""
+    rows = [(i, f"http://a.org/{i}", f"{i} " * 250_000) for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    A.write_arc(frame, str(tmp_path / "arc"))
+    sizes = [len(A.plain(f.read_bytes())) for f in (tmp_path / "arc").glob("part*")]
+    assert len(sizes) >= 2 and max(sizes) < A.FILE_BYTES + (2 << 20)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in A.archive_pages(frame).collect()}
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
 
 
 def labelled(spark, n=400):
