@@ -45,6 +45,7 @@ FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL
 #: Ends a file: a gzip member of nothing, since the text writer ends each value with a separator.
 NOTHING = gzip.compress(b"", 1, mtime=0)
 MEMBER_BYTES = 1 << 16
+LEVEL = 4
 
 ARC_ROW = "file string, offset long, version int, url string, ip string, date string, mime string, truncated boolean, block binary"
 WARC_ROW = "file string, type string, record_id string, refers_to string, uri string, date string, payload_digest string, http string, truncated boolean, payload binary"
@@ -159,8 +160,8 @@ def packed(records: Iterable[bytes], opening: Callable[[int], bytes]) -> Iterato
     members, size, n = [], 0, 0
     for record in records:
         if not members:
-            members.append(gzip.compress(opening(n), 1, mtime=0))
-        members.append(gzip.compress(record, 1, mtime=0))
+            members.append(gzip.compress(opening(n), LEVEL, mtime=0))
+        members.append(gzip.compress(record, LEVEL, mtime=0))
         size += len(record)
         if size >= FILE_BYTES:
             yield pa.record_batch([pa.array([b"".join(members)], pa.binary())], names=["file"])
