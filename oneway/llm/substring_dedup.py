@@ -12,8 +12,8 @@ Neighbouring repeats are merged to maximal ones.  A window counts as repeated if
 smaller id; the words it covers go.
 
 Scale: each map task first settles equal surroundings among its own documents, so a passage shared by a third of all rows reaches
-the join as one row per task.  An anchor that is common inside a task (``hot`` surroundings), or whose bucket would exceed ``most``
-rows, is not joined in one task: its windows become rows of their own, counted with partial aggregation and joined by Spark,
+the join as one row per task.  An anchor that is common inside a task (``hot`` surroundings), whose bucket would exceed ``most``
+rows, or that more than ``crowd`` places ask for, is not joined in one task: its windows become rows of their own, counted with partial aggregation and joined by Spark,
 which splits skewed keys.  Texts move compressed, once for the look-up and once for the cut.
 
 Rows: null texts are empty; an empty text has no words.  Rows with one doc_id and different texts are told apart by a
@@ -37,6 +37,8 @@ from oneway.llm.shared import materialize, partitions
 from oneway.llm.textkit import U64, Words, chunks, grams, group_starts, longs, mix, pack, sliding_min, text_buffer, text_bytes, unpack
 
 NO_ID = -(1 << 63)
+#: Anchors up to this many are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_ANCHORS = 200_000
 
 SPAN, OPEN, WIDE = 1, 2, 3  # repeated words; an anchor to be extended; one to be extended window by window
 _SENT = "bucket int, data binary"
@@ -368,11 +370,11 @@ def _cut(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
 
 
-def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4, hot: int = 64, most: int = 4_000_000, flush: int = 2_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4, hot: int = 64, most: int = 4_000_000, crowd: int = 2_000, flush: int = 2_000_000) -> DataFrame:
     """One row per document: its word count, the words removed, the hash of what is kept, and the removed maximal spans
     (in words).  ``docs`` needs doc_id and text.  Whatever the limits, the result is the same: ``flush``: words that a map task settles
     among themselves at a time; ``hot``: surroundings of one anchor beyond which a task calls it hot; ``most``: anchors joined in one
-    task's memory."""
+    task's memory; ``crowd``: look-ups of one anchor that are extended in one task."""
     spark, k = docs.sparkSession, anchor_words
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
@@ -383,7 +385,12 @@ def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4, ho
     texts = docs.mapInArrow(lambda it: _pack_texts(it, n), _SENT).groupBy("bucket")
     context = texts.cogroup(found.where(F.col("kind") != SPAN).groupBy("bucket")).applyInPandas(lambda t, a: _look_up(t, a, length, k), _CONTEXT)
     context = materialize(context, "context")
-    near = context.where("not wide").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _extended(it, length, k), _SPANS)
+    # the windows of anchors that many documents ask for are joined one by one, too
+    many = materialize(context.where("not wide").groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowds")
+    small = F.broadcast if many.count() <= BROADCAST_ANCHORS else lambda df: df
+    near, far = context.where("not wide"), context.where("wide")
+    near, far = near.join(small(many), "anchor", "left_anti"), far.unionByName(near.join(small(many), "anchor", "left_semi"))
+    near = near.select(context.columns).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _extended(it, length, k), _SPANS)
     spans = found.where(F.col("kind") == SPAN).select("bucket", "id", "tag", "start", "n")
-    spans = spans.unionByName(near).unionByName(_by_window(context.where("wide"), length, k))
+    spans = spans.unionByName(near).unionByName(_by_window(far.select(context.columns), length, k))
     return texts.cogroup(spans.groupBy("bucket")).applyInPandas(_cut, _OUT)

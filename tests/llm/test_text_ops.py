@@ -89,8 +89,8 @@ def test_substring_dedup_words_of_one_polynomial(spark):
     assert removed(spark, [(1, one), (2, two), (3, two)]) == {1: (13, 0), 2: (13, 0), 3: (13, 13)}
 
 
-@pytest.mark.parametrize("hot, most, flush", [(64, 4_000_000, 2_000_000), (1, 4_000_000, 50), (64, 3, 50), (0, 3, 1)])
-def test_substring_dedup_matches_brute_force(spark, hot, most, flush):
+@pytest.mark.parametrize("hot, most, crowd, flush", [(64, 4_000_000, 2_000, 2_000_000), (1, 4_000_000, 2_000, 50), (64, 3, 2_000, 50), (64, 4_000_000, 3, 50), (0, 3, 1, 1)])
+def test_substring_dedup_matches_brute_force(spark, hot, most, crowd, flush):
     """Passages in other surroundings, at text ends, inside each other and many times over, by every way of joining them."""
     rng = np.random.default_rng(12)
     passages = [words(n, 50 + n) for n in (11, 12, 13, 14, 20, 40)] + [" ".join(["a"] * 15), " ".join(["a", "b"] * 9)]
@@ -102,7 +102,7 @@ def test_substring_dedup_matches_brute_force(spark, hot, most, flush):
             lo = int(rng.integers(0, 5))
             own += words(int(rng.integers(0, 8)), int(rng.integers(0, 30))).split() + p[lo : len(p) - int(rng.integers(0, 5))]
         rows.append((int(rng.permutation(80)[0]) * 100 + i, " ".join(own)))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs(spark, [(d, t, "en", "a", 0) for d, t in rows]).repartition(3), 13, 4, hot, most, flush).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs(spark, [(d, t, "en", "a", 0) for d, t in rows]).repartition(3), 13, 4, hot, most, crowd, flush).collect()}
     assert got == brute_dedup(rows) and sum(x[1] for x in got.values()) > 200
 
 
