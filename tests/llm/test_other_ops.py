@@ -273,6 +273,23 @@ def test_top_k(spark):
     assert TK.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_any_size_in_slices(spark, monkeypatch):
+    """Components beyond every integer type are scored exactly; scores beyond a long tie at its ends; many slices agree."""
+    monkeypatch.setattr(TK, "SLICE", 1)
+    rng = np.random.default_rng(9)
+    vectors = [(i, [float(x) for x in rng.normal(0, 1, 6) * (1, 1e3, 1e6, 1e9, 1.0, 1e12)[i % 6]]) for i in range(200)]
+    vectors += [(500, [1e300, -1e300, 1e9, 0.0, 0.0, 0.0]), (520, [1.7e308, 1.0]), (541, [-1e-300, 2.0**53, 2.0**53 + 2, 1.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, TK.top_k(frame, F.col("vec_id") % 20 == 0, 9).collect()))
+    whole = {i: [math.floor(x * 64) if abs(x) < 2.6e306 else int(math.copysign(1.7e308, x)) for x in v] for i, v in vectors}
+    want = []
+    for i, q in whole.items():
+        if i % 20 == 0:
+            scores = sorted((-min(max(sum(a * b for a, b in zip(q, v)), -(1 << 63)), (1 << 63) - 1), j) for j, v in whole.items() if j != i)[:9]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    assert got == sorted(want) and len({r[3] for r in got}) > 50
+
+
 def test_bounds_prune_without_loss():
     rng = np.random.default_rng(8)
     q, c = rng.integers(-60, 60, (32, 5)), rng.integers(-60, 60, (32, 400))
