@@ -232,31 +232,58 @@ def test_banded_links_compare_large_groups_whole(spark, monkeypatch):
 
 def brute_tile(doc, item, match):
     free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
+    same = lambda x, y, n: x + n <= len(doc) and y + n <= len(item) and doc[x : x + n] == item[y : y + n] and all(free_d[x : x + n]) and all(free_i[y : y + n])
     while True:
-        best = []
-        size = match
-        for x in range(len(doc)):
-            for y in range(len(item)):
-                n = 0
-                while x + n < len(doc) and y + n < len(item) and doc[x + n] == item[y + n] and free_d[x + n] and free_i[y + n]:
-                    n += 1
-                if n > size or n == size and n >= match:
-                    best, size = ([] if n > size else best) + [(x, y)], n
-        if not best:
+        size = max((n for y in range(len(item)) for x in range(len(doc)) for n in range(match, len(item) - y + 1) if same(x, y, n)), default=0)
+        if not size:
             return covered
-        for x, y in best:
-            if all(free_d[x : x + size]) and all(free_i[y : y + size]):
-                free_d[x : x + size] = free_i[y : y + size] = [False] * size
-                covered += size
+        for y in range(len(item)):
+            for x in range(len(doc)):
+                if same(x, y, size):
+                    free_d[x : x + size] = free_i[y : y + size] = [False] * size
+                    covered += size
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.integers(0, 4), min_size=1, max_size=20))
 def test_tile_covers_as_brute_force(doc, item):
-    got = D.tile(np.array(doc, np.uint64), np.array(item, np.uint64), 3)
-    exact = brute_tile(doc, item, 3)
-    # among matches of one length the order of marking is free, so coverage may differ by parts of a tile
-    assert (got == 0) == (exact == 0) and abs(got - exact) <= max(3, len(item) // 3)
+    assert D.tile(np.array(doc, np.uint64), np.array(item, np.uint64), 3) == brute_tile(doc, item, 3)
+
+
+def test_tile_long_repeats():
+    """A long text of one token against a repeated item is no quadratic case."""
+    assert D.tile(np.full(300_000, 7, np.uint64), np.full(3_000, 7, np.uint64), 5) == 3_000
+    assert D.tile(np.tile(np.array([1, 2, 3, 4, 5, 9], np.uint64), 30_000), np.tile(np.array([1, 2, 3, 4, 5, 8], np.uint64), 300), 5) == 1_500
+
+
+def test_decontaminate_matches_brute_force(spark, monkeypatch):
+    """Random passages of items in documents, turned, cut and repeated: verdict, number of items and best item, whatever the slices."""
+    rng = np.random.default_rng(21)
+    items = [(10 + i, words(int(rng.integers(3, 40)), 400 + i, 60)) for i in range(12)] + [(5, ""), (40, words(30, 477, 60)), (3, words(30, 477, 60).upper())]
+    rows = []
+    for i in range(60):
+        own = words(int(rng.integers(0, 30)), i, 200).split()
+        for _ in range(int(rng.integers(0, 4))):
+            p = items[int(rng.integers(len(items)))][1].split()
+            cut = int(rng.integers(0, len(p) + 1))
+            own += p[cut:] + words(2, i + 500, 200).split() + p[: max(0, cut - int(rng.integers(0, 6)))]
+        rows.append((i, " ".join(own), "", "", 0))
+    rows.append((99, rows[3][1], "", "", 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = {}
+    for i, t in items:
+        key = tuple(t.lower().split())
+        known[key] = min(i, known.get(key, i))
+    want = {}
+    for d, t, *_ in rows:
+        share = {i: brute_tile(t.lower().split(), list(k), min(5, len(k))) / len(k) for k, i in known.items() if k}
+        hits = {i: s for i, s in share.items() if s >= 0.6}
+        want[d] = (bool(hits), len(hits), min((-s, i) for i, s in hits.items())[1] if hits else None)
+    for size in (8 << 20, 200, 1):
+        monkeypatch.setattr(D, "MAX_BENCHMARK", size)
+        got = {r.doc_id: (r.contaminated, r.n_items, r.item_id if r.contaminated else None) for r in D.decontaminate(docs(spark, rows), bench).collect()}
+        assert got == want
+    assert 10 < sum(x[0] for x in want.values()) < 61
 
 
 def test_decontaminate(spark):
