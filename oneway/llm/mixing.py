@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Each source gets a share of the total by its weight, at most ``most`` times its own words; what is above goes to the others by
-weight.  Blocks of ``block`` words are apportioned to sources by highest quotients, and each source's blocks to its hash shards
+weight.  Blocks of ``block`` words (fewer where a source's target would be under LEAST_BLOCKS of them) are apportioned to sources by highest quotients, and each source's blocks to its hash shards
 likewise.  A shard's documents, in seeded hash order, form one stream of words cut in blocks; its quota takes the whole stream
 so many times and then a seeded run of blocks.  A document contributes the words it has in taken blocks.
 
-Scale: sources and shards are summed in Spark; the driver holds one row per source and shard (checked).  Streams are windows
-over one shard, whose words are bounded, so a source with a third of all rows is spread over many tasks.
+Scale: words are summed in one pass by source and fine hash cell, and shards are unions of cells; the driver holds one row per source
+(an error beyond MAX_SOURCES) and shard.  Streams are windows over one shard, whose words are bounded, so a source with a third
+of all rows is spread over many tasks; rows that share an id, or have none, are spread by their texts' hashes.
 
 Rows: null or empty texts have size 0 and take 0.  A null source is a source of its own, last in order.  Repeated rows are
 documents of their own.  Reruns agree, whatever the partitioning.  Extra columns are kept; those named like the added ones
@@ -22,11 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oneway.llm.shared import materialize
+
 #: Words of one shard's stream, at least; larger where there would be more than MAX_CELLS streams.
 SHARD_WORDS = 250_000
 MAX_CELLS = 100_000
+#: Hash cells of a source, of which its shards are made.
+CELLS = 1 << 16
 #: Rows that the driver may hold: one for each source.
 MAX_SOURCES = 1_000_000
+#: Blocks in the smallest target, at least, as long as a block has a word.
+LEAST_BLOCKS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
@@ -72,23 +79,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     pass over the stream and one if the document starts in the last run of blocks)."""
     spark = docs.sparkSession
     docs = docs.select([c for c in docs.columns if c.lower() not in ADDED]).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sums = docs.groupBy("source").agg(F.sum("size").alias("words"))
-    found = sums.limit(MAX_SOURCES + 1).collect()
+    own = (F.col("doc_id"), F.xxhash64("text"))
+    cell = F.pmod(F.xxhash64(F.lit(seed + 1), *own), F.lit(CELLS)).cast("int")
+    fine = materialize(docs.groupBy("source", cell.alias("__cell")).agg(F.sum("size").alias("words")), "cells")
+    found = fine.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found = sorted(((r["source"], r["words"]) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     names, sizes = [x[0] for x in found], [x[1] for x in found]
     total = sum(sizes)
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share * total, most)
+    block = max(1, min(block, int(min((t for t in goal if t), default=block) // LEAST_BLOCKS)))
     each = max(SHARD_WORDS, -(-total // MAX_CELLS))
-    shards = [max(1, -(-n // each)) for n in sizes]
+    shards = [min(CELLS, max(1, -(-n // each))) for n in sizes]
     schema = "__source string, source_size long, target double, __shards int"
     known = F.broadcast(spark.createDataFrame([(*x,) for x in zip(names, sizes, goal, shards)], schema).coalesce(1))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = docs.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rows = rows.withColumns({"__order": order, "__shard": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "__shards").cast("int")})
-
-    cells = rows.groupBy("source", "__shard").agg(F.sum("size").alias("words")).collect()  # at most MAX_CELLS and the sources
+    placed = lambda rows: rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__shard", F.col("__cell") % F.col("__shards"))
+    cells = placed(fine).groupBy("source", "__shard").agg(F.sum("words").alias("words")).collect()  # at most MAX_CELLS and the sources
+    rows = placed(docs.withColumns({"__cell": cell, "__order": F.xxhash64(F.lit(seed), *own)})).drop("__cell")
     by: dict = {n: [] for n in names}
     for r in sorted(cells, key=lambda r: r["__shard"]):
         by[r["source"]].append((r["__shard"], r["words"]))

@@ -341,3 +341,15 @@ def test_mix(spark):
     names = sorted(by, key=lambda x: (x is None, (x or "").encode()))
     assert [by[n][2] for n in names] == targets([by[n][0] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(x[0] for x in by.values()))
     assert mix_sources(empty(spark)).count() == 0
+
+
+def test_mix_small_sources_and_shared_ids(spark, monkeypatch):
+    """A source of a few words comes near its target, too; rows without an id are spread over shards; many shards agree with bounds."""
+    monkeypatch.setattr("oneway.llm.mixing.SHARD_WORDS", 500)
+    rows = [(None if i % 3 == 0 else i, words(20 + i % 40, i), "en", "big", 0) for i in range(400)] + [(9000 + i, "one two three", "en", "tiny", 0) for i in range(7)]
+    got = mix_sources(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for source in ("big", "tiny"):
+        own = [r for r in got if r.source == source]
+        taken, target = sum(r.taken for r in own), own[0].target
+        assert abs(taken - target) <= max(3, 0.02 * target) and all(0 <= r.taken <= 2 * r.size for r in own)
