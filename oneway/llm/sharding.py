@@ -4,8 +4,8 @@ A row's bucket is a prefix of its key's 60 hash bits.  The directory starts as o
 split on another bit, so a row's shard is its shortest prefix whose rows fit.  Sums over a fine prefix are rolled up to all
 shorter ones, which finds every split of a round at once; cells that are still too large go on with further bits.
 
-Rows whose keys have equal hashes cannot be split by bits: they form overflow pages, each holding as many rows as fit.  A row
-larger than the limit has a page of its own.  Such pages are numbered per partition and then offset, so that no task needs
+Rows whose keys have equal hashes cannot be split by bits: they form overflow pages, each of as many rows as fit if all were
+as large as the largest.  A row larger than the limit has a page of its own.  Such pages are numbered per partition and then offset, so that no task needs
 all rows of a key.
 
 Rows: a null key hashes as the empty string, a null text has size 0.  An empty table has no shards.  Extra columns are
@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from oneway.llm.shared import materialize, new_path
 
@@ -94,8 +95,13 @@ def _named(rows: DataFrame, plain: bool) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """One folder per shard; the rows of a shard meet in one task, which its byte limit bounds."""
-    sharded.repartition("shard").write.partitionBy("shard").format(file_format).save(path)
+    """One folder per shard (``s`` and the shard's name); the rows of a shard meet in one task, which its byte limit bounds."""
+    sharded.withColumn("folder", F.concat(F.lit("s"), "shard")).repartition("folder").write.partitionBy("folder").format(file_format).save(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType, file_format: str = "parquet") -> DataFrame:
+    """All shards that were written."""
+    return spark.read.schema(schema).format(file_format).load(path).select(schema.names)
 
 
 def shards_sql(limit: int) -> str:
@@ -103,10 +109,11 @@ def shards_sql(limit: int) -> str:
     return f"""
     WITH h AS (SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
                       ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
-    b AS (SELECT d, h >> ({BITS} - d) AS p, sum(bytes) AS total, min(h) = max(h) AS one
-          FROM h, (SELECT unnest(range(0, 41))::INTEGER AS d) GROUP BY ALL),
+    b AS (SELECT d, h >> ({BITS} - d) AS p, sum(bytes) AS total, max(bytes) AS most, min(h) = max(h) AS one
+          FROM h, (SELECT unnest(range(0, {BITS + 1}))::INTEGER AS d) GROUP BY ALL),
     leaf AS (SELECT h.h, min(b.d) AS depth FROM (SELECT DISTINCT h FROM h) h JOIN b ON b.p = h.h >> ({BITS} - b.d)
-             WHERE b.total <= {limit} OR b.one GROUP BY ALL)
-    SELECT doc_id, bytes::BIGINT AS bytes, depth,
-           CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h.h >> ({BITS} - depth)), depth, '0') END AS shard
-    FROM h JOIN leaf ON leaf.h = h.h"""
+             WHERE b.total <= {limit} OR b.one GROUP BY ALL),
+    named AS (SELECT doc_id, bytes::BIGINT AS bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h.h >> ({BITS} - depth)), depth, '0') END AS name,
+                     row_number() OVER (PARTITION BY h.h ORDER BY bytes) - 1 AS at, total, greatest(1, {limit} // greatest(1, most)) AS capacity
+              FROM h JOIN leaf ON leaf.h = h.h JOIN b ON b.d = depth AND b.p = h.h >> ({BITS} - depth))
+    SELECT doc_id, bytes, depth, CASE WHEN total > {limit} THEN name || '+' || (at // capacity)::VARCHAR ELSE name END AS shard FROM named"""

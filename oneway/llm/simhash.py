@@ -13,7 +13,8 @@ Banded layout (large radius): a group is a band of bits of a longer fingerprint
 dealt into numbered tiles of about ``GROUP`` rows, and every pair of tiles is compared, each in a task's group of its own, so a large
 group is compared whole.  This is the one approximation: a pair that agrees on no band is not compared.  With 30 bands of 14 bits
 and 512-bit fingerprints, pairs whose shingle sets have Jaccard similarity 0.8 (expected distance 78) agree on a band with
-probability 0.96, those of 0.9 with more than 0.99; all comparisons are exact.
+probability 0.96, those of 0.9 with more than 0.99; all comparisons are exact.  Measured on pairs of 0.80 to 0.86 that differ by replaced
+words: 0.985 to 0.99 of them are linked (distance 65 +- 8), for texts of 60, 200 and 800 words.
 
 A group reports the links as a forest (each fingerprint with its tile root), never all pairs.
 

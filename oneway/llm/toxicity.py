@@ -5,11 +5,11 @@ presence of folded words (letters and digits); a screen keeps those whose shares
 significantly, and an L1 penalty keeps few of these.  Toxic and clean documents weigh the same in total.  The result is the probability of each grade or more, the expected
 severity, and the toxic flag (probability of grade 1 or more at least one half).
 
-The model is fitted on the driver to at most ``SAMPLE`` labelled documents (those of smallest id hash); scoring reads every whole
-text.  The broadcast model has at most ``MAX_FEATURES`` words.
+The model is fitted on the driver to at most ``SAMPLE`` labelled documents (those of smallest id hash, until they have ``SAMPLE_WORDS``
+different words each counted in its document); scoring reads every whole text.  The broadcast model has at most ``MAX_FEATURES`` words.
 
 Rows: null and empty texts have no features and get the base severity.  Labels with nulls are left out; of repeated labels the
-largest grade counts.  Without labels of two grades no document is toxic.  Extra columns are kept; columns named like the
+largest grade counts, of texts that share a labelled id that of the smallest hash.  Without labels of two grades no document is toxic.  Extra columns are kept; columns named like the
 added ones are replaced.
 """
 
@@ -21,13 +21,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from oneway.llm.shared import materialize
 from oneway.llm.textkit import SEP_PUNCT, U64, HashIndex, Words, chunks, group_starts, text_buffer
 
 #: Labelled documents that the model is fitted to, at most.
 SAMPLE = 8_000
+#: Words of the sample, each once for a document that has it; the document that reaches it is the last.
+SAMPLE_WORDS = 8_000_000
 MAX_FEATURES = 4_096
 SCREEN_Z = 4.5
 L1 = 2e-3
@@ -64,7 +68,8 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def _sample(docs: DataFrame, grades: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     grades = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grade", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +79,10 @@ def _sample(docs: DataFrame, grades: DataFrame) -> tuple[list[np.ndarray], np.nd
                 cut = np.searchsorted(d, np.arange(part.num_rows + 1))
                 yield pa.record_batch([part.column("doc_id"), part.column("grade"), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "grade", "words"])
 
-    rows = sorted(texts.mapInArrow(run, "doc_id long, grade int, words binary").collect())
+    found = materialize(texts.mapInArrow(run, "doc_id long, grade int, words binary"), "sample")  # at most SAMPLE rows
+    before = F.sum(F.octet_length("words") / 8).over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    within = found.select("doc_id", before.alias("before")).where(F.coalesce("before", F.lit(0)) < SAMPLE_WORDS).select("doc_id")
+    rows = sorted(found.join(within, "doc_id").collect())
     return [np.frombuffer(bytes(r["words"]), U64) for r in rows], np.array([r["grade"] for r in rows], np.int64)
 
 

@@ -65,10 +65,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(seeds: DataFrame, edges: DataFrame, steps: int = 12, damping: float = 0.85, every: int = 4) -> DataFrame:
     """(kind, host, rank) from seeds (kind, host, mass) with kinds trust and distrust; masses of a kind are scaled to 1.  Rank
-    that reaches a host without further edges stays there."""
+    that reaches a host without further edges stays there, so it sums to 1 for seeds that have edges."""
     flows = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
     flows = flows.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
     outs = flows.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
+    sinks = flows.select("kind", F.col("b").alias("a")).distinct().join(outs, ["kind", "a"], "left_anti")
+    flows = flows.unionByName(sinks.select("kind", "a", F.col("a").alias("b"), F.lit(1.0).alias("weight")))
+    outs = outs.unionByName(sinks.select("kind", "a", F.lit(1.0).alias("total")))
     flows = materialize(flows.join(outs, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "edges")
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("total"))
     start = materialize(seeds.join(F.broadcast(total), "kind").where("mass > 0").select("kind", "host", (F.col("mass") / F.col("total")).alias("rank")), "seeds")

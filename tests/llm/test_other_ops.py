@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,7 @@ from oneway.llm import toxicity as TX
 from oneway.llm import url_filter as U
 from oneway.llm.mixing import apportion, mix_sources, targets
 from oneway.llm.queries import URL_RULES
+from oneway.llm.textkit import Words
 from tests.llm.cases import cluttered, docs, empty, words
 
 
@@ -66,7 +68,10 @@ def test_shards_overflow_before_the_last_round(spark):
 def test_write_shards(spark, tmp_path):
     sharded = SH.extendible_shards(docs(spark), 3000)
     SH.write_shards(sharded, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 12
+    back = SH.read_shards(spark, str(tmp_path / "s"), sharded.schema)
+    key = lambda rows: sorted(map(str, rows))
+    assert back.columns == sharded.columns and key(back.collect()) == key(sharded.collect())
+    assert {f.name for f in (tmp_path / "s").glob("folder=*")} == {f"folder=s{r.shard}" for r in sharded.select("shard").distinct().collect()}
 
 
 def test_arc_versions_and_warc_bytes():
@@ -169,6 +174,35 @@ def test_toxicity_held_out(spark):
     assert TX.score_toxicity(empty(spark), model).count() == 0
 
 
+def test_toxicity_scores_by_definition(spark):
+    """Every whole text scored word by word in plain Python, thresholds and weights as fitted."""
+    rows, labels = labelled(spark, 120)
+    rows += [(700, "word " * 30_000 + "IDIOT-scum", "en", "a", 0), (701, "é\u00a0idiot x_y", "en", "a", 0), (702, None, "en", "a", 0)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = TX.train(docs(spark, rows), TX.grades_of_labels(frame))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+
+    def word_hash(w):
+        return int(Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hashes()[0])
+
+    for r in TX.score_toxicity(docs(spark, rows), model).collect():
+        found = set(re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r.text or "").encode()))
+        x = sum(weight.get(h, 0.0) for h in {word_hash(w.lower()) for w in found})
+        p = [1 / (1 + math.exp(t - x)) for t in model.theta]
+        assert math.isclose(r.p_toxic, p[0], rel_tol=1e-9) and math.isclose(r.p_severe, p[1], rel_tol=1e-9)
+        assert math.isclose(r.expected_severity, sum(p), rel_tol=1e-9) and r.grade == math.floor(sum(p) + 0.5) and r.toxic == (p[0] >= 0.5)
+
+
+def test_toxicity_sample_is_bounded_and_settled(spark, monkeypatch):
+    """Of texts that share an id always the same one is taken, and the sample ends where it has words enough."""
+    rows = [(i, words(30, i * 10 + j), "en", "a", 0) for i in range(50) for j in range(3)]
+    grades = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, grade int")
+    one, two = (TX._sample(docs(spark, rows).repartition(n), grades) for n in (1, 5))
+    assert [a.tolist() for a in one[0]] == [b.tolist() for b in two[0]] and len(one[0]) == 50
+    monkeypatch.setattr(TX, "SAMPLE_WORDS", 200)
+    assert 2 <= len(TX._sample(docs(spark, rows), grades)[0]) <= 10
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     nulls = spark.createDataFrame([(0, None, None), (7, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
@@ -218,6 +252,7 @@ def brute_ranks(edges, seeds, steps=12, damping=0.85):
     out = {}
     for kind in ("trust", "distrust"):
         flow = [(a, b, w) if kind == "trust" else (b, a, w) for a, b, w in edges]
+        flow += [(b, b, 1.0) for b in sorted({b for _, b, _ in flow} - {a for a, _, _ in flow})]  # rank stays where no edge leads on
         total = Counter()
         for a, _, w in flow:
             total[a] += w

@@ -193,6 +193,26 @@ def test_near_duplicates(spark):
     assert S.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_recall_near_the_limit(spark):
+    """Of pairs whose five-word shingles have a Jaccard similarity of 0.80 to 0.85, nine in ten or more are found."""
+    rows = []
+    rng = np.random.default_rng(31)
+    for n in range(150):
+        one = words(int(rng.integers(60, 400)), 2000 + n, 5000).split()
+        two, shingles = list(one), lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        while True:
+            last = list(two)
+            two[int(rng.integers(len(two)))] = f"new{int(rng.integers(10**6))}"
+            a, b = shingles(one), shingles(two)
+            if (similar := len(a & b) / len(a | b)) <= 0.85:
+                break
+        if similar >= 0.8:
+            rows += [(10 * n, " ".join(one), "en", "a", 0), (10 * n + 1, " ".join(two), "en", "a", 0)]
+    kept = {r.doc_id for r in S.drop_near_duplicates(docs(spark, rows)).collect()}
+    pairs = [r[0] for r in rows[::2]]
+    assert len(pairs) > 80 and sum(d + 1 not in kept for d in pairs) >= 0.9 * len(pairs) and set(pairs) <= kept
+
+
 def test_near_duplicates_without_unique_ids(spark):
     """Rows that share an id, or have none, stay where their texts differ; only rows equal in both are one."""
     texts = [words(150, 700 + i, 5000) for i in range(12)]
