@@ -37,8 +37,8 @@ from oneway.llm.shared import materialize, partitions
 from oneway.llm.textkit import U64, Words, chunks, grams, group_starts, longs, mix, pack, sliding_min, text_buffer, text_bytes, unpack
 
 NO_ID = -(1 << 63)
-#: Anchors up to this many are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_ANCHORS = 200_000
+#: Anchors or windows up to this many are broadcast (8 or 40 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 200_000
 
 SPAN, OPEN, WIDE = 1, 2, 3  # repeated words; an anchor to be extended; one to be extended window by window
 _SENT = "bucket int, data binary"
@@ -337,15 +337,23 @@ def _extended(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
         yield from spans(rest)
 
 
-def _by_window(wide: DataFrame, length: int, k: int) -> DataFrame:
-    """Repeats around hot anchors: each window is a row, and joins the smallest id that has it."""
+def _few(keys: DataFrame) -> DataFrame:
+    """Broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _by_window(wide: DataFrame, length: int, k: int, crowd: int) -> DataFrame:
+    """Repeats around hot anchors: each window is a row, and joins the smallest id that has it; windows that a crowd has are joined apart
+    from the others."""
     words = F.split("words", " ")
     rows = wide.select("bucket", "id", "tag", "start", "n", "left", words.alias("w")).withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(length - k))))
     rows = rows.where((F.col("left") >= F.col("back")) & (F.size("w") - F.col("left") >= length - F.col("back")))
     key = F.md5(F.array_join(F.slice("w", F.col("left") - F.col("back") + 1, F.lit(length)), " ").cast("binary"))
     rows = rows.select("bucket", "id", "tag", (F.col("start") - F.col("back")).alias("start"), (F.col("n") - 1 + length).alias("n"), F.unhex(key).alias("key"))
-    least = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    return rows.join(least, "key").where("id > least").select("bucket", "id", "tag", F.col("start").cast("int"), F.col("n").cast("int"))
+    least = materialize(rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("rows")).where("least < most"), "windows")
+    crowded = _few(least.where(F.col("rows") > crowd))
+    found = rows.join(crowded.select("key"), "key", "left_anti").join(least.where(F.col("rows") <= crowd), "key").unionByName(rows.join(crowded, "key"))
+    return found.where("id > least").select("bucket", "id", "tag", F.col("start").cast("int"), F.col("n").cast("int"))
 
 
 def _cut(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
@@ -374,7 +382,8 @@ def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4, ho
     """One row per document: its word count, the words removed, the hash of what is kept, and the removed maximal spans
     (in words).  ``docs`` needs doc_id and text.  Whatever the limits, the result is the same: ``flush``: words that a map task settles
     among themselves at a time; ``hot``: surroundings of one anchor beyond which a task calls it hot; ``most``: anchors joined in one
-    task's memory; ``crowd``: look-ups of one anchor that are extended in one task."""
+    task's memory; ``crowd``: look-ups of one anchor that are extended in one task, and
+    rows of one window that are joined in one."""
     spark, k = docs.sparkSession, anchor_words
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
@@ -387,10 +396,10 @@ def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4, ho
     context = materialize(context, "context")
     # the windows of anchors that many documents ask for are joined one by one, too
     many = materialize(context.where("not wide").groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowds")
-    small = F.broadcast if many.count() <= BROADCAST_ANCHORS else lambda df: df
+    many = _few(many)
     near, far = context.where("not wide"), context.where("wide")
-    near, far = near.join(small(many), "anchor", "left_anti"), far.unionByName(near.join(small(many), "anchor", "left_semi"))
+    near, far = near.join(many, "anchor", "left_anti"), far.unionByName(near.join(many, "anchor", "left_semi").select(context.columns))
     near = near.select(context.columns).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _extended(it, length, k), _SPANS)
     spans = found.where(F.col("kind") == SPAN).select("bucket", "id", "tag", "start", "n")
-    spans = spans.unionByName(near).unionByName(_by_window(far.select(context.columns), length, k))
+    spans = spans.unionByName(near).unionByName(_by_window(far, length, k, crowd))
     return texts.cogroup(spans.groupBy("bucket")).applyInPandas(_cut, _OUT)
