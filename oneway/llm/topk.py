@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from oneway.llm.shared import materialize
+from oneway.llm.shared import materialize, partitions
 from oneway.llm.textkit import pack, unpack
 
 QUERY_BLOCK = 256
@@ -91,7 +91,7 @@ def _blocks(rows: DataFrame, size: int, dims: int) -> DataFrame:
                 yield pa.record_batch([pa.array([part << 32 | n], pa.int64()), pa.array([data], pa.binary())], names=["block", "data"])
                 n += 1
 
-    return rows.mapInArrow(run, "block long, data binary").repartition("block")
+    return rows.mapInArrow(run, "block long, data binary").repartition(partitions(rows.sparkSession), "block")
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
