@@ -15,6 +15,7 @@ from oneway.operators.beacon import score_beacons
 from oneway.operators.dga import score_names
 from oneway.operators.floods import flood_findings
 from oneway.operators.flows import dns_questions, flows
+from oneway.operators.ranges import range_bucket
 from oneway.operators.tunnel import score_tunnels
 
 #: Names that one second-level domain may have before its names are the tunnel detector's affair.
@@ -44,12 +45,13 @@ def dga_candidates(questions: DataFrame, tunnels: DataFrame) -> DataFrame:
     return rows.withColumn("__r", first).where("__r = 1").drop("__r", "dedupe")
 
 
-def _branch(rows: DataFrame, branch: int, detector: str, threat: Column, confidence: Column, key: Column, subject: Column, seq: Column, title: Column) -> DataFrame:
-    return rows.select(F.lit(branch).alias("branch"), F.lit(detector).alias("detector"), threat.alias("threat"), F.round(confidence, 4).alias("confidence"), key.alias("flow_key"), subject.alias("subject"), seq.cast("long").alias("seq"), title.alias("title"))
+def _branch(rows: DataFrame, branch: int, detector: str, threat: Column, confidence: Column, key: Column, subject: Column, seq: Column, title: Column, evidence: Column) -> DataFrame:
+    return rows.select(F.lit(branch).alias("branch"), F.lit(detector).alias("detector"), threat.alias("threat"), F.round(confidence, 4).alias("confidence"), key.alias("flow_key"), subject.alias("subject"), seq.cast("long").alias("seq"), title.alias("title"), evidence.alias("evidence_key"))
 
 
 def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | None = None, persist: bool = True) -> DataFrame:
-    """All alerts of a window of packets: branch, detector, threat, severity, confidence, flow_key, subject, title, seq.
+    """All alerts of a window of packets: branch, detector, threat, severity, confidence, flow_key, subject, title, seq, and evidence_key,
+    the key of the first flow that the finding rests on (null for questions handed in without flows).
 
     The four branches read the flows and questions many times with different columns, which would scan and shuffle the packets
     as often.  They and the scored domains are therefore persisted (memory, then disk; a lost executor's part is recomputed); ``spark.catalog.clearCache()``
@@ -57,6 +59,8 @@ def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | No
     """
     table = flows(packets)
     questions = dns_questions(packets) if questions is None else questions
+    if "flow_key" not in questions.columns:
+        questions = questions.withColumn("flow_key", F.lit(None).cast("string"))
     if persist:
         table, questions = table.persist(StorageLevel.MEMORY_AND_DISK), questions.persist(StorageLevel.MEMORY_AND_DISK)
     lit = F.lit
@@ -67,10 +71,10 @@ def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | No
     names = score_names(dga_candidates(questions, tunnels)).where("is_dga")
     found = tunnels.where("is_tunnel")
     rows = [
-        _branch(floods, 1, "floods", F.col("threat"), F.col("confidence"), F.concat(lit("*->"), "dst_ip"), F.col("dst_ip"), F.col("flow_seq") * 8 + F.col("ordinal"), F.concat(title_case(F.col("threat")), lit(" against "), "dst_ip")),
-        _branch(beacons, 2, "beaconing", lit("c2_beaconing"), F.col("confidence"), F.concat("src_ip", lit("->"), "dst_ip"), F.col("src_ip"), F.col("flow_seq"), F.concat(lit("C2 beacon "), "src_ip", lit(" -> "), "dst_ip")),
-        _branch(found, 3, "dns_tunnel", lit("dns_tunnelling"), F.col("confidence"), F.concat(lit("*->"), "domain"), F.col("domain"), F.col("first"), F.concat(lit("DNS tunnel over "), "domain", lit(": ~"), F.col("uplink_bytes").cast("string"), lit(" B uplink encoded"))),
-        _branch(names, 4, "dga", lit("dga_domain"), F.col("prob"), F.concat("src_ip", lit("->"), "dst_ip"), F.col("qname"), F.col("frame_no"), F.concat(lit("DGA domain observed: "), "qname", lit(" ("), "family", lit(")"))),
+        _branch(floods, 1, "floods", F.col("threat"), F.col("confidence"), F.concat(lit("*->"), "dst_ip"), F.col("dst_ip"), F.col("flow_seq") * 8 + F.col("ordinal"), F.concat(title_case(F.col("threat")), lit(" against "), "dst_ip"), F.col("flow_key")),
+        _branch(beacons, 2, "beaconing", lit("c2_beaconing"), F.col("confidence"), F.concat("src_ip", lit("->"), "dst_ip"), F.col("src_ip"), F.col("flow_seq"), F.concat(lit("C2 beacon "), "src_ip", lit(" -> "), "dst_ip"), F.col("flow_key")),
+        _branch(found, 3, "dns_tunnel", lit("dns_tunnelling"), F.col("confidence"), F.concat(lit("*->"), "domain"), F.col("domain"), F.col("first"), F.concat(lit("DNS tunnel over "), "domain", lit(": ~"), F.col("uplink_bytes").cast("string"), lit(" B uplink encoded")), F.col("flow_key")),
+        _branch(names, 4, "dga", lit("dga_domain"), F.col("prob"), F.concat("src_ip", lit("->"), "dst_ip"), F.col("qname"), F.col("frame_no"), F.concat(lit("DGA domain observed: "), "qname", lit(" ("), "family", lit(")")), F.col("flow_key")),
     ]
     out = rows[0]
     for r in rows[1:]:
@@ -91,12 +95,12 @@ def ranked(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-def numbered(rows: DataFrame, prefix: str, order: list[str], coarse: Column) -> DataFrame:
-    """Adds number and id (PREFIX0001 ...) in order.  ``coarse`` never falls along the order; rows are numbered inside each of its values
-    and offset by the counts before it, so that one task sees at most one row per value."""
-    rows = rows.withColumn("__c", coarse)
-    counts = rows.groupBy("__c").agg(F.count("*").alias("__n"))
+def numbered(rows: DataFrame, prefix: str, order: list[str]) -> DataFrame:
+    """Adds number and id (PREFIX0001 ...) in order.  Rows are numbered inside ranges of the first ordering column and offset by the
+    counts of the ranges before."""
+    rows = rows.withColumn("__c", range_bucket(rows, F.col(order[0])))
+    counts = rows.groupBy("__c").agg(F.count("*").alias("__n"))  # as many rows as ranges
     before = counts.select("__c", F.coalesce(F.sum("__n").over(W.orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rows = rows.join(before, "__c").withColumn("number", F.row_number().over(W.partitionBy("__c").orderBy(*order)) + F.col("__before"))
+    rows = rows.join(F.broadcast(before), "__c").withColumn("number", F.row_number().over(W.partitionBy("__c").orderBy(*order)) + F.col("__before"))
     text = F.col("number").cast("string")
     return rows.withColumn("id", F.concat(F.lit(prefix), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))).drop("__c", "__before")

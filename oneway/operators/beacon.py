@@ -1,15 +1,17 @@
 """Periodic channels.
 
 Guards run before the periodogram, which is the one step that built-ins serve badly (events times 4000 periods): it is an Arrow kernel
-over one channel's events, in blocks of periods.  A channel with more than ``SLICE`` events would make its own task long, so the
+over the events of many channels, in blocks of periods.  A channel with more than ``SLICE`` events would make its own task long, so the
 periodogram of such a channel is summed over slices of its events: sums of cosines and sines add up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,11 +71,7 @@ def rayleigh(events: DataFrame) -> DataFrame:
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def answer(first, c: np.ndarray, s: np.ndarray) -> dict:
-        r = np.hypot(c, s) / first["n"]
-        at = int(np.argmax(r))
-        period = first["lo"] * (first["hi"] / first["lo"]) ** (at / (N_PERIODS - 1))
-        trials = max(1.0, (1 / first["lo"] - 1 / first["hi"]) * first["span"])
-        return {"best_r": [r[at]], "period": [period], "fap": [min(1.0, trials * np.exp(-first["n"] * r[at] ** 2))], "cycles": [first["span"] / period]}
+        return {k: [v] for k, v in zip(("best_r", "period", "fap", "cycles"), _spectrum(c, s, first["n"], first["lo"], first["hi"], first["span"]))}
 
     ends, named = ("n", "lo", "hi", "span"), "src_ip string, dst_ip string"
 
@@ -103,11 +101,86 @@ def sizes(events: DataFrame) -> DataFrame:
     return rows.select("src_ip", "dst_ip", "n", F.when(F.col("mean") > 0, 1 - F.least(F.lit(1.0), F.col("sd") / F.col("mean"))).otherwise(0.5).alias("size_regularity"))
 
 
+def channel_table(flows: DataFrame, min_events: int = MIN_EVENTS) -> DataFrame:
+    """One row per guarded channel with all that is a plain aggregate of its flows: n, first flow, times and size regularity."""
+    rows = flows if "flow_key" in flows.columns else flows.withColumn("flow_key", F.lit(None).cast("string"))
+    rows = rows.groupBy("src_ip", "dst_ip").agg(
+        F.count("*").alias("n"), F.count_if(F.col("dst_port").isin(*BENIGN_PORTS)).alias("benign"), F.min("flow_seq").alias("flow_seq"), F.min_by("flow_key", "flow_seq").alias("flow_key"),
+        F.min("start_ts").alias("t0"), (F.max("start_ts") - F.min("start_ts")).alias("span"), F.stddev_pop("bytes").alias("sd"), F.avg("bytes").alias("mean"),
+    )
+    rows = rows.where((F.col("n") >= min_events) & (F.col("benign") / F.col("n") <= 0.5))
+    return rows.withColumn("size_regularity", F.when(F.col("mean") > 0, 1 - F.least(F.lit(1.0), F.col("sd") / F.col("mean"))).otherwise(0.5)).drop("benign", "sd", "mean")
+
+
+def _spectrum(c: np.ndarray, s: np.ndarray, n: int, lo: float, hi: float, span: float) -> tuple[float, float, float, float]:
+    """best_r, period, fap and cycles."""
+    r = np.hypot(c, s) / n
+    at = int(np.argmax(r))
+    period = lo * (hi / lo) ** (at / (N_PERIODS - 1))
+    trials = max(1.0, (1 / lo - 1 / hi) * span)
+    return float(r[at]), period, float(min(1.0, trials * np.exp(-n * r[at] ** 2))), span / period
+
+
+_MEASURES = "src_ip string, dst_ip string, robust_cv double, best_r double, period double, fap double, cycles double"
+
+
+def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gaps and spectrum of whole channels, whose events come sorted by channel and time: many channels in one Arrow call."""
+    rest = None
+
+    def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        src, dst = (table.column(c).combine_chunks().dictionary_encode() for c in ("src_ip", "dst_ip"))
+        key = src.indices.to_numpy().astype(np.int64) * len(dst.dictionary) + dst.indices.to_numpy()
+        at = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        t = table.column("t").to_numpy()
+        ends = {c: table.column(c).to_numpy()[at] for c in ("n", "t0", "span")}
+        out = []
+        for i, (lo_at, hi_at) in enumerate(zip(at, np.append(at[1:], len(t)))):
+            own, n, t0, span = t[lo_at:hi_at], int(ends["n"][i]), float(ends["t0"][i]), float(ends["span"][i])
+            gaps = np.diff(own)
+            gaps = gaps[gaps > 0]
+            middle = float(np.median(gaps)) if len(gaps) else 0.0
+            cv = 1.4826 * float(np.median(np.abs(gaps - middle))) / middle if middle > 0 else 1.0
+            row = (cv, 0.0, None, 1.0, 0.0)
+            if span > 0:
+                lo, hi = period_range(span, n)
+                if hi > lo:
+                    row = (cv, *_spectrum(*resultant(own - t0, lo, hi), n, lo, hi, span))
+            out.append(row)
+        columns = [table.column(c).combine_chunks().take(pa.array(at)) for c in ("src_ip", "dst_ip")]
+        names = ["src_ip", "dst_ip", "robust_cv", "best_r", "period", "fap", "cycles"]
+        yield pa.record_batch([*columns, *(pa.array(list(c), pa.float64()) for c in zip(*out))], names=names)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        src, dst = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("src_ip", "dst_ip"))
+        last = int(np.flatnonzero((src == src[-1]) & (dst == dst[-1]))[0])  # sorted, so a channel's rows are together
+        rest = table.slice(last)
+        if last:
+            yield from told(table.slice(0, last))
+    if rest is not None and rest.num_rows:
+        yield from told(rest)
+
+
 def score_beacons(flows: DataFrame) -> DataFrame:
-    """One row per guarded channel: score, gate and confidence."""
+    """One row per guarded channel: score, gate and confidence.
+
+    One aggregate of the flows gives all plain numbers; one exchange brings ordinary channels' events to the kernel for gaps and spectrum.
+    Channels of more than ``SLICE`` events take the way in slices, with medians by windows.
+    """
     key = ["src_ip", "dst_ip"]
-    events = channel_events(flows)
-    rows = sizes(events).join(robust_cv(events), key, "left").join(rayleigh(events), key, "left").join(channels(flows).select(*key, "flow_seq"), key)
+    table = channel_table(flows)
+    tasks = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = flows.select(*key, F.col("start_ts").alias("t"), F.col("bytes").alias("size"))
+    # few rows and much work per channel: spread over all partitions rather than gathered by size
+    usual = events.drop("size").join(table.where(F.col("n") <= SLICE).select(*key, "n", "t0", "span"), key)
+    usual = usual.repartition(tasks, *key).sortWithinPartitions(*key, "t").mapInArrow(measures, _MEASURES)
+    long = events.join(table.where(F.col("n") > SLICE).select(*key), key, "left_semi")
+    long = robust_cv(long).join(rayleigh(long), key, "full").select(*key, "robust_cv", "best_r", "period", "fap", "cycles")
+    rows = table.join(usual.unionByName(long), key, "left")
     rows = rows.withColumns({"robust_cv": F.coalesce("robust_cv", F.lit(1.0)), "best_r": F.coalesce("best_r", F.lit(0.0)), "fap": F.coalesce("fap", F.lit(1.0)), "cycles": F.coalesce("cycles", F.lit(0.0))})
     regular = 1 - F.least(F.lit(1.0), F.col("robust_cv"))
     score = 0.42 * F.col("best_r") + 0.28 * (1 - F.col("fap")) + 0.18 * regular + 0.12 * F.col("size_regularity")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oneway.operators.flows import HALF32, MOD32, ack_progress, flows, ratio, tsval_lists
-from oneway.schema import FLOW_KEY
+from oneway.operators.flows import HALF32, MOD32, flows_with_samples, folded_acks, ratio
 
 # Mean and deviation of the ratio of return bytes to observed bytes, by protocol and role.
 RETURN_RATIO = {
@@ -112,9 +111,9 @@ def return_estimate(rows: DataFrame) -> DataFrame:
 
 
 def estimate(packets: DataFrame) -> DataFrame:
-    """Flows with every estimate in one projection."""
-    rows = flows(packets).drop("ack_samples").join(ack_progress(packets), FLOW_KEY, "left").join(tsval_lists(packets).withColumn("clock", clock("tsvals")).select(*FLOW_KEY, "clock.hz", "clock.r2"), FLOW_KEY, "left")
-    rows = rows.withColumns({"ack_samples": F.coalesce("ack_samples", F.lit(0)), "ack_total": F.coalesce("ack_total", F.lit(0)), "r2": F.coalesce("r2", F.lit(0.0))})
+    """Flows with every estimate: one aggregation of the packets and one projection."""
+    rows = folded_acks(flows_with_samples(packets).drop("ack_samples")).withColumn("clock", clock("tsvals"))
+    rows = rows.withColumns({"hz": F.col("clock.hz"), "r2": F.coalesce("clock.r2", F.lit(0.0)), "ack_total": F.coalesce("ack_total", F.lit(0))}).drop("acks", "tsvals", "clock")
     return return_estimate(rows).withColumns({"half_open": half_open_ratio(), "liveness": liveness()})
 
 

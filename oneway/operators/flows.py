@@ -76,7 +76,7 @@ def tsval_lists(packets: DataFrame) -> DataFrame:
 def dns_questions(packets: DataFrame) -> DataFrame:
     """One row per question, kept exploded; an absent type means A."""
     asked = packets.where("dns_qname is not null and dns_qname <> ''")
-    return asked.select("frame_no", "ts", "src_ip", "dst_ip", F.col("dns_qname").alias("qname"), F.coalesce("dns_qtype", F.lit("A")).alias("qtype"))
+    return asked.select("frame_no", "ts", "src_ip", "dst_ip", F.col("dns_qname").alias("qname"), F.coalesce("dns_qtype", F.lit("A")).alias("qtype"), flow_key().alias("flow_key"))
 
 
 def ack_progress(packets: DataFrame) -> DataFrame:
@@ -85,8 +85,16 @@ def ack_progress(packets: DataFrame) -> DataFrame:
     A later ACK counts if it lies less than 2**31 ahead modulo 2**32; the accepted steps add up to the bytes acknowledged.  The
     fold keeps only the last accepted value, the total and the count, so the array is the one thing that grows with a flow.
     """
-    acks = packets.where(has(ACK) & F.col("tcp_ack").isNotNull())
-    lists = acks.groupBy(*FLOW_KEY).agg(ordered(F.col("tcp_ack")).alias("acks"))
+    lists = packets.where(_acknowledges()).groupBy(*FLOW_KEY).agg(ordered(F.col("tcp_ack")).alias("acks"))
+    return folded_acks(lists).drop("acks")
+
+
+def _acknowledges() -> Column:
+    return has(ACK) & F.col("tcp_ack").isNotNull()
+
+
+def folded_acks(lists: DataFrame) -> DataFrame:
+    """Adds what a flow's ordered acks add up to."""
     start = F.struct(F.element_at("acks", 1).alias("last"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("wraps"))
 
     def step(s: Column, a: Column) -> Column:
@@ -94,8 +102,14 @@ def ack_progress(packets: DataFrame) -> DataFrame:
         ok = (ahead > 0) & (ahead < HALF32)
         return F.struct(F.when(ok, a).otherwise(s["last"]).alias("last"), (s["total"] + F.when(ok, ahead).otherwise(F.lit(0))).alias("total"), (s["wraps"] + F.when(ok & (a < s["last"]), 1).otherwise(0)).alias("wraps"))
 
-    folded = lists.withColumn("s", F.aggregate("acks", start, step))
-    return folded.select(*FLOW_KEY, F.element_at("acks", 1).alias("ack_first"), F.col("s.last").alias("ack_last"), F.col("s.wraps").alias("ack_wraps"), F.col("s.total").alias("ack_total"), F.size("acks").cast("long").alias("ack_samples"))
+    folded = lists.withColumn("s", F.when(F.size("acks") > 0, F.aggregate("acks", start, step)))
+    return folded.withColumns({"ack_first": F.try_element_at("acks", F.lit(1)), "ack_last": F.col("s.last"), "ack_wraps": F.col("s.wraps"), "ack_total": F.col("s.total"), "ack_samples": F.size("acks").cast("long")}).drop("s")
+
+
+def flows_with_samples(packets: DataFrame) -> DataFrame:
+    """Flows with their ordered acks and (ts, tsval) samples, from one aggregation."""
+    val = F.when((F.col("proto") == "TCP") & F.col("tcp_tsval").isNotNull(), F.struct("ts", F.col("tcp_tsval").alias("val")))
+    return derived(packets.groupBy(*FLOW_KEY).agg(*counters(), ordered(F.when(_acknowledges(), F.col("tcp_ack"))).alias("acks"), ordered(val).alias("tsvals")))
 
 
 def ack_progress_monotone(packets: DataFrame) -> DataFrame:

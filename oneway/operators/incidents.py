@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oneway.operators.alerts import numbered
+from oneway.sources.tables import JOB_STATES
 
 BUCKET_S = 300
 
@@ -53,7 +54,7 @@ def groups(alerts: DataFrame) -> DataFrame:
 
 def correlate(alerts: DataFrame) -> DataFrame:
     """Incidents with their numbers, in the order of (host, bucket)."""
-    rows = numbered(groups(alerts), "INC-", ["host", "bucket"], F.col("host"))
+    rows = numbered(groups(alerts), "INC-", ["host", "bucket"])
     return rows.withColumnRenamed("id", "incident_id").withColumn("chain", F.concat(F.array(F.lit("PCAP"), F.lit("FLOW")), "supporting_detectors", F.array(F.lit("CORRELATION"), F.lit("LEDGER"))))
 
 
@@ -65,7 +66,7 @@ def timeline(alerts: DataFrame) -> DataFrame:
 
 def alert_records(alerts: DataFrame) -> DataFrame:
     """ALT- and EV-numbered records with source and destination."""
-    rows = numbered(alerts, "ALT-", ["seq"], F.floor(F.col("seq") / 100_000))
+    rows = numbered(alerts, "ALT-", ["seq"])
     ends = F.split(F.col("flow_key"), "->")
     return rows.withColumns({"evidence_id": F.replace(F.col("id"), F.lit("ALT-"), F.lit("EV-")), "source": F.element_at(ends, 1), "destination": F.coalesce(F.try_element_at(ends, F.lit(2)), F.lit(""))})
 
@@ -88,7 +89,20 @@ def by_id(rows: DataFrame, column: str, value) -> DataFrame:
     return rows.where(F.col(column) == value)
 
 
-def status(alerts: DataFrame) -> DataFrame:
+def detector_status(alerts: DataFrame) -> DataFrame:
     """Alerts, hosts and highest confidence per detector."""
     rows = alerts.withColumn("host", host(F.col("flow_key"))).groupBy("detector", "host").agg(F.count("*").alias("n"), F.max("confidence").alias("c"))
     return rows.groupBy("detector").agg(F.sum("n").alias("alerts"), F.count("*").alias("hosts"), F.max("c").alias("max_confidence"))
+
+
+def service_status(flows: DataFrame, alerts: DataFrame, incidents: DataFrame, jobs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row: packets, flows, alerts and incidents so far, packets a second over the time that flows span, jobs by state (``jobs`` as
+    ``job_counts`` gives them), and the ledger's blocks, bundles and whether all of it is intact (``ledger`` as ``summary`` gives it)."""
+    span = F.max("last_ts") - F.min("start_ts")
+    row = flows.agg(F.coalesce(F.sum("packets"), F.lit(0)).alias("packets_processed"), F.count("*").alias("flows_created"), span.alias("span"))
+    for name, table in (("alerts_generated", alerts), ("incidents_created", incidents)):
+        row = row.crossJoin(table.agg(F.count("*").alias(name)))  # one row each
+    states = jobs.agg(*(F.coalesce(F.max(F.when(F.col("status") == s, F.col("jobs"))), F.lit(0)).alias(f"jobs_{s}") for s in JOB_STATES))
+    chain = ledger.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"), F.coalesce(F.sum("bundles"), F.lit(0)).alias("bundles"), F.coalesce(F.min("intact"), F.lit(False)).alias("intact"))
+    rate = F.coalesce(F.try_divide("packets_processed", F.when(F.col("span") > 0, F.col("span"))), F.lit(0.0))
+    return row.crossJoin(states).crossJoin(chain).withColumn("packets_per_s", rate).drop("span")

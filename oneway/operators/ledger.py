@@ -7,7 +7,9 @@ root each; verification compares every block with its predecessor by a window an
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ BATCH = 8
 ZERO = "0" * 64
 EMPTY = hashlib.sha256(b"empty").hexdigest()
 GENESIS = hashlib.sha256(b"genesis").hexdigest()
+_LINK = {"s": pa.string(), "index": pa.int64(), "ts": pa.float64(), "merkle_root": pa.string(), "prev_hash": pa.string(), "header_hash": pa.string()}
 
 
 def sha_pair(a: Column, b: Column) -> Column:
@@ -100,21 +103,32 @@ def header_hash(index: Column, ts: Column, prev: Column, root: Column, sensor: C
 def seal(blocks: DataFrame, key: bytes, sensor: str = "sensor_id") -> DataFrame:
     """The chain: genesis (index 0) and every block with prev_hash, header_hash, signature and anchor.
 
-    Each header hashes the one before, so a sensor's headers are folded in order; the fold carries (index, ts, root) only, and
-    digests stay where they are.
+    Each header hashes the one before, so a sensor's headers are folded in order: they come sorted from the shuffle, the fold carries
+    one hash, and only index, time and root travel; digests stay where they are.
     """
     rooted = merkle_root(blocks, "digests", BATCH)
-    heads = rooted.groupBy(sensor).agg(F.array_sort(F.collect_list(F.struct("index", "ts", "merkle_root"))).alias("heads"))
-    first = header_hash(F.lit(0), F.lit(0.0), F.lit(ZERO), F.lit(GENESIS), F.col(sensor))
-    link = F.struct(F.lit(0).cast("long").alias("index"), F.lit(0.0).alias("ts"), F.lit(GENESIS).alias("merkle_root"), F.lit(ZERO).alias("prev_hash"), first.alias("header_hash"))
-
-    def step(chain: Column, b: Column) -> Column:
-        prev = F.element_at(chain, -1)["header_hash"]
-        h = header_hash(b["index"], b["ts"], prev, b["merkle_root"], F.col(sensor))
-        return F.concat(chain, F.array(F.struct(b["index"].alias("index"), b["ts"].alias("ts"), b["merkle_root"].alias("merkle_root"), prev.alias("prev_hash"), h.alias("header_hash"))))
-
-    chain = heads.select(sensor, F.explode(F.aggregate("heads", F.array(link), step)).alias("b")).select(sensor, "b.*")
-    chain = chain.join(rooted.select(sensor, "index", "digests"), [sensor, "index"], "left")
+    at = F.col("ts").cast("double")
+    heads = rooted.select(F.col(sensor).cast("string").alias("s"), F.col("index").cast("long").alias("index"), at.alias("ts"), at.cast("decimal(20,6)").cast("string").alias("at"), "merkle_root")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, prev = None, ZERO
+        for batch in batches:
+            out = []
+            for s, index, ts, at, root in zip(*(batch.column(c).to_pylist() for c in ("s", "index", "ts", "at", "merkle_root"))):
+                rows = [(index, ts, at, root)]
+                if s != own or prev == ZERO:
+                    own, prev = s, ZERO
+                    rows.insert(0, (0, 0.0, "0.000000", GENESIS))
+                for index, ts, at, root in rows:
+                    fields = {"index": index, "merkle_root": root, "prev_hash": prev, "sensor_id": s, "ts": at}
+                    h = hashlib.sha256("|".join(f"{k}={'' if v is None else v}" for k, v in fields.items()).encode()).hexdigest()
+                    out.append((s, index, ts, root, prev, h))
+                    prev = h
+            if out:
+                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), _LINK.values())], names=list(_LINK))
+
+    links = heads.repartition("s").sortWithinPartitions("s", "index").mapInArrow(fold, "s string, index long, ts double, merkle_root string, prev_hash string, header_hash string")
+    chain = links.withColumnRenamed("s", sensor).join(rooted.select(F.col(sensor).cast("string").alias(sensor), "index", "digests"), [sensor, "index"], "left")
     chain = chain.withColumn("digests", F.coalesce("digests", F.array().cast("array<string>")))
     return chain.withColumns({"signature": hmac_sha256(key, F.col("header_hash")), "anchor": F.when(F.col("index") > 0, F.concat(F.lit("anchor://"), F.substring("header_hash", 1, 16)))})
 

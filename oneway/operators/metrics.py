@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oneway.operators.flows import ratio
+from oneway.operators.ranges import range_bucket
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -66,14 +67,19 @@ def matches(alerts: DataFrame, truth: DataFrame, by: str) -> DataFrame:
 def auc(rows: DataFrame, score: str = "score", label: str = "label", tie: str = "id") -> DataFrame:
     """Rank-sum AUC without a tie correction (ties rank in order of ``tie``); 0.5 with one class only.
 
-    Ranks come from counts: rows of a score are counted per class first, and only equal scores are ranked among themselves.
+    Ranks come from counts: rows are ranked inside ranges of score and tie, and offset by the counts of the ranges before, so neither
+    many rows nor many rows of one score meet in one task.
     """
-    per = rows.groupBy(score).agg(F.count("*").alias("c"))
-    parts = per.repartitionByRange(score).withColumn("__p", F.spark_partition_id())
-    sums = parts.groupBy("__p").agg(F.sum("c").alias("s"))
-    before = sums.withColumn("b", F.coalesce(F.sum("s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "b")
-    under = parts.join(F.broadcast(before), "__p").withColumn("below", F.col("b") + F.coalesce(F.sum("c").over(W.partitionBy("__p").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = rows.join(under.select(score, "below"), score).withColumn("rank", F.col("below") + F.row_number().over(W.partitionBy(score).orderBy(tie)))
+    rows = rows.withColumns({"__s": range_bucket(rows, F.col(score)), "__t": range_bucket(rows, F.col(tie))})
+    # equal scores are split by ranges of the tie
+    cells = rows.groupBy("__s", score, "__t").agg(F.count("*").alias("__c"))
+    upto = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    per = cells.groupBy("__s", score).agg(F.sum("__c").alias("__c")).withColumn("__in", F.coalesce(F.sum("__c").over(upto("__s", score)), F.lit(0)))
+    sums = per.groupBy("__s").agg(F.sum("__c").alias("__c")).withColumn("__b", F.coalesce(F.sum("__c").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    below = per.join(F.broadcast(sums.select("__s", "__b")), "__s").select(score, (F.col("__in") + F.col("__b")).alias("__below"))
+    before = cells.withColumn("__ties", F.coalesce(F.sum("__c").over(upto(score, "__t")), F.lit(0))).select(score, "__t", "__ties")
+    at = F.row_number().over(W.partitionBy(score, "__t").orderBy(tie))
+    ranked = rows.withColumn("__r", at).join(before, [score, "__t"]).join(below, score).withColumn("rank", F.col("__r") + F.col("__ties") + F.col("__below"))
     pos = F.col(label) == 1
     agg = ranked.agg(F.sum(F.when(pos, F.col("rank"))).alias("r"), F.count_if(pos).alias("n1"), F.count_if(~pos).alias("n0"))
     value = F.when((F.col("n1") == 0) | (F.col("n0") == 0), 0.5).otherwise((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0")))

@@ -6,6 +6,9 @@ what holds for a source at a time is the last event before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,10 +69,21 @@ def automatic_rules(requests: DataFrame, allow: DataFrame, block: DataFrame) ->
     """
     lists = allow.select("source").union(block.select("source")).distinct()
     high = requests.where((F.col("threat_level") >= HIGH) & (F.col("threat_level") < CRITICAL)).select("source", "at").join(lists, "source", "left_anti")
-    # one time per rule window is enough to fold: within a window only the first request counts
-    starts = high.groupBy("source").agg(F.array_sort(F.collect_set("at")).alias("times"))
-    fold = F.aggregate("times", F.array().cast("array<double>"), lambda s, t: F.when((F.size(s) == 0) | (t >= F.try_element_at(s, F.size(s)) + TEMPORARY_S), F.concat(s, F.array(t))).otherwise(s))
-    rows = starts.select("source", F.explode(fold).alias("starts"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, None
+        for batch in batches:
+            out = []
+            for source, at in zip(batch.column("source").to_pylist(), batch.column("at").to_pylist()):
+                if source != own or last is None or at >= last + TEMPORARY_S:
+                    own, last = source, at
+                    out.append((source, at))
+            if out:
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["source", "starts"])
+
+    # requests come sorted from the shuffle; the fold carries one time per source
+    times = high.select("source", F.col("at").cast("double").alias("at")).where("at is not null").repartition("source").sortWithinPartitions("source", "at")
+    rows = times.mapInArrow(fold, "source string, starts double")
     return rows.select("source", "starts", (F.col("starts") + TEMPORARY_S).alias("expires"), F.lit("High threat level triggered automatic temporary block").alias("reason"))
 
 

@@ -16,14 +16,15 @@ EXOTIC = ("TXT", "NULL", "CNAME", "MX", "AAAA?")
 def domains(questions: DataFrame) -> DataFrame:
     """One row per second-level domain.  Distinct subdomains and names are counted in two levels, per name then per domain, so a
     domain with most of the traffic is spread over its names."""
-    q = questions.withColumn("domain", second_level(F.col("qname")))
+    q = questions if "flow_key" in questions.columns else questions.withColumn("flow_key", F.lit(None).cast("string"))
+    q = q.withColumn("domain", second_level(F.col("qname")))
     q = q.withColumn("sub", subdomain(F.col("qname"), F.col("domain")))
-    names = q.groupBy("domain", "qname", "sub").agg(F.count("*").alias("n"), F.count_if(F.upper("qtype").isin(*EXOTIC)).alias("exotic"), F.min("frame_no").alias("first"))
+    names = q.groupBy("domain", "qname", "sub").agg(F.count("*").alias("n"), F.count_if(F.upper("qtype").isin(*EXOTIC)).alias("exotic"), F.min("frame_no").alias("first"), F.min_by("flow_key", "frame_no").alias("flow_key"))
     names = names.withColumns({"len": F.length("sub"), "ent": entropy(F.col("sub"))})
-    subs = names.groupBy("domain", "sub").agg(F.sum("n").alias("n"), F.sum("exotic").alias("exotic"), F.count("*").alias("names"), F.min("first").alias("first"), F.first("len").alias("len"), F.first("ent").alias("ent"))
+    subs = names.groupBy("domain", "sub").agg(F.sum("n").alias("n"), F.sum("exotic").alias("exotic"), F.count("*").alias("names"), F.min("first").alias("first"), F.min_by("flow_key", "first").alias("flow_key"), F.first("len").alias("len"), F.first("ent").alias("ent"))
     some = F.col("sub") != ""
     return subs.groupBy("domain").agg(
-        F.sum("n").alias("queries"), F.sum("exotic").alias("exotic"), F.sum("names").alias("distinct_names"), F.min("first").alias("first"),
+        F.sum("n").alias("queries"), F.sum("exotic").alias("exotic"), F.sum("names").alias("distinct_names"), F.min("first").alias("first"), F.min_by("flow_key", "first").alias("flow_key"),
         F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("with_sub"), F.count_if(some).alias("distinct_subs"),
         F.coalesce(F.sum(F.when(some, F.col("n") * F.col("len"))), F.lit(0)).alias("sub_chars"), F.coalesce(F.sum(F.when(some, F.col("n") * F.col("ent"))), F.lit(0.0)).alias("sub_bits"),
     )

@@ -39,7 +39,7 @@ class Analysis:
 def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1", key: bytes = b"sensor-signing-key", now: float | None = None) -> Analysis:
     """Flows, alerts, sealed evidence, incidents and a profile of one window.
 
-    Evidence hashes stand for the packets of the flow an alert names; each alert's digest is sealed in order, eight to a block.
+    Evidence hashes stand for the packets of the first flow an alert rests on; each alert's digest is sealed in order, eight to a block.
     """
     table = flows(packets)
     end = F.lit(float(now)) if now is not None else None
@@ -47,11 +47,14 @@ def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1"
     last = packets.agg((F.max_by("ts", "frame_no") + 1).alias("ts"))  # one row
     found = found.join(F.broadcast(last), F.lit(True)) if end is None else found.withColumn("ts", end)
     found = found.withColumn("order", F.col("branch").cast("long") * (1 << 56) + F.col("seq"))
-    hashed = packet_hashes(table.select("flow_key", "packets"))
-    roots = LE.merkle_root(hashed, "packet_hashes", 64, "pkt_root").select("flow_key", "pkt_root")
-    rows = found.join(roots, "flow_key", "left").withColumn("pkt_root", F.coalesce("pkt_root", F.lit(LE.EMPTY)))
-    alert = F.concat_ws(",", "detector", "threat", "severity", F.round("confidence", 4).cast("string"), "title")
-    rows = rows.withColumns({"sensor_id": F.lit(sensor), "digest": LE.bundle_digest(alert, F.col("flow_key"), F.col("pkt_root"), F.col("subject"), F.lit("rules@1"))})
+    # only flows that an alert rests on are hashed
+    named = found.select(F.col("evidence_key").alias("flow_key")).where("flow_key is not null").distinct()
+    hashed = packet_hashes(table.select("flow_key", "packets").join(named, "flow_key", "left_semi"))
+    roots = LE.merkle_root(hashed, "packet_hashes", 64, "pkt_root").select(F.col("flow_key").alias("evidence_key"), "pkt_root")
+    rows = found.join(roots, "evidence_key", "left").withColumn("pkt_root", F.coalesce("pkt_root", F.lit(LE.EMPTY)))
+    # the order makes digests of equal findings differ
+    alert = F.concat_ws(",", F.col("order").cast("string"), "detector", "threat", "severity", F.round("confidence", 4).cast("string"), "flow_key", "title")
+    rows = rows.withColumns({"sensor_id": F.lit(sensor), "digest": LE.bundle_digest(alert, F.col("evidence_key"), F.col("pkt_root"), F.col("subject"), F.lit("rules@1"))})
     chain = LE.seal(LE.batches(rows, order="order"), key)
     proofs = LE.bundle_proofs(chain).select(F.col("leaf").alias("digest"), "block", "merkle_root", "verified")
     intact = LE.verify_chain(chain, key).select("intact")

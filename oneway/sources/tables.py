@@ -24,11 +24,27 @@ def load_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("kind") == kind).select("record_id", "payload")
 
 
+#: What a job can be in, in the order of its life.
+JOB_STATES = ("queued", "processing", "completed", "failed")
+
+
+def latest_jobs(changes: DataFrame) -> DataFrame:
+    """Each job's last version."""
+    return changes.withColumn("__r", F.row_number().over(W.partitionBy("job_id").orderBy(F.desc("version")))).where("__r = 1").drop("__r")
+
+
+def job_counts(jobs: DataFrame) -> DataFrame:
+    """Jobs by status, zero for a state that none is in."""
+    states = jobs.sparkSession.createDataFrame([(s,) for s in JOB_STATES], "status string")
+    known = jobs.groupBy("status").agg(F.count("*").alias("jobs"))
+    return states.join(known, "status", "full").select("status", F.coalesce("jobs", F.lit(0)).alias("jobs"))
+
+
 def upsert_jobs(current: DataFrame | None, changes: DataFrame, path: str) -> str:
     """Jobs after changes (job_id, version, ...), written as a new snapshot folder whose path is returned: readers of the old one are
     not disturbed, and a failed write leaves it in force."""
     rows = changes if current is None else current.unionByName(changes, allowMissingColumns=True)
-    last = rows.withColumn("__r", F.row_number().over(W.partitionBy("job_id").orderBy(F.desc("version")))).where("__r = 1").drop("__r")
+    last = latest_jobs(rows)
     snapshot = f"{path}/{uuid.uuid4().hex}"
     last.write.parquet(snapshot)
     return snapshot

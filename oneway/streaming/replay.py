@@ -7,26 +7,47 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from oneway.schema import PACKET
 from oneway.sources.pcap import PcapDataSource, arrow_batches, decode
 
+#: Extensions of capture files.
+EXTENSIONS = ("pcap", "pcapng", "cap")
 #: Events that a late subscriber still sees.
 KEPT_EVENTS = 256
 
 
-def landing_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Packets of the captures that arrive in a folder; frame numbers count inside each file."""
+def landing_stream(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """Packets of the captures that arrive in a folder.  Frame numbers follow the files' times of arrival (in milliseconds, files of one
+    millisecond by a hash of their names) and then the packets in a file.  What no upload may be (another extension, empty, over
+    ``most_bytes``) is left out; ``rejected`` lists it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                yield from arrow_batches(decode(content.as_buffer().to_pybytes()))
+            for content, first in zip(batch.column("content"), batch.column("first").to_pylist()):
+                yield from arrow_batches(decode(content.as_buffer().to_pybytes(), first))
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return files.select("content").mapInArrow(run, PACKET)
+    # milliseconds since 2020, 64 names to one, 2**18 packets apart: a larger file may share numbers with the next arrival
+    at = (F.unix_millis("modificationTime") - 1_577_836_800_000) * 64 + F.pmod(F.xxhash64("path"), F.lit(64))
+    accepted = files.where(upload_fault("path", "length", most_bytes).isNull())
+    return accepted.select("content", (at * (1 << 18)).alias("first")).mapInArrow(run, PACKET)
+
+
+def upload_fault(path: str, length: str, most_bytes: int = 1 << 30) -> Column:
+    """Why a file is no upload, as status and reason, or null: 415 for another extension, 400 if empty, 413 if too large."""
+    known = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin(*EXTENSIONS)
+    fault = lambda code, why: F.struct(F.lit(code).alias("status"), F.lit(why).alias("reason"))
+    return F.when(~known, fault(415, "not a capture file")).when(F.col(length) == 0, fault(400, "empty file")).when(F.col(length) > most_bytes, fault(413, "file too large"))
+
+
+def rejected(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> DataFrame:
+    """path, length, status and reason of the files in a folder that are no uploads."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")
+    return files.withColumn("fault", upload_fault("path", "length", most_bytes)).where("fault is not null").select("path", "length", "fault.*")
 
 
 class Replay:

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from oneway.operators.beacon import score_beacons
 from oneway.operators.flows import counters, derived
@@ -32,32 +35,46 @@ def windowed_flows(packets: DataFrame, window_s: int = 60, late_s: int = 60) ->
 def unaligned_windows(packets: DataFrame, window_s: float, by: str = "sensor_id") -> DataFrame:
     """Adds window_no and window_start: a packet at or past the end of the running window opens the next at its own time.
 
-    A fold over each sensor's packets in arrival order, carrying two numbers; packets come sorted from the shuffle.
+    A fold over each sensor's packets in arrival order, carrying two numbers; packets come sorted from the shuffle.  Within a batch
+    the fold goes from window to window, by searches in the running maximum of the times.
     """
     columns = packets.schema.names
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at: dict = {}
-        for frame in batches:
-            no, start = [], []
-            for sensor, ts in zip(frame[by], frame["ts"]):
-                n, s = at.get(sensor, (0, None))
-                if s is None:
-                    s = ts
-                elif ts - s >= window_s:
-                    n, s = n + 1, ts
-                at = {sensor: (n, s)}  # sensors come one after the other
-                no.append(n)
-                start.append(s)
-            yield frame.assign(window_no=no, window_start=start)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packets.schema.fields), "window_no long, window_start double"])
-    return packets.select(columns).repartition(by).sortWithinPartitions(by, "frame_no").mapInPandas(assign, schema)
-
-
-def first_alerts(alerts: DataFrame, horizon: str = "1 hour") -> DataFrame:
-    """One alert per threat and flow key within the watermark's horizon; needs event_time."""
-    return alerts.withWatermark("event_time", horizon).dropDuplicatesWithinWatermark(["threat", "flow_key"])
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, no, start = None, -1, None  # the running window
+        for batch in batches:
+            sensors = batch.column(by).dictionary_encode()
+            codes = sensors.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            ts = batch.column("ts").to_numpy(zero_copy_only=False)
+            out_no, out_start = np.empty(len(ts), np.int64), np.empty(len(ts))
+            cut = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1)) if len(codes) else codes
+            for lo, hi in zip(cut, np.append(cut[1:], len(ts))):
+                sensor = sensors.dictionary[int(codes[lo])].as_py() if codes[lo] >= 0 else None
+                if no < 0 or sensor != own:
+                    own, no, start = sensor, 0, float(ts[lo])
+                top, at = np.maximum.accumulate(ts[lo:hi]), 0
+                while at < hi - lo:
+                    end = int(np.searchsorted(top, start + window_s))  # the first packet that the window does not hold
+                    while end < hi - lo and ts[lo + end] - start < window_s:
+                        end += 1
+                    end = max(end, at)
+                    out_no[lo + at : lo + end], out_start[lo + at : lo + end] = no, start
+                    if end < hi - lo:
+                        no, start = no + 1, float(ts[lo + end])
+                    at = end
+            yield pa.record_batch([*batch.columns, pa.array(out_no), pa.array(out_start)], names=[*batch.schema.names, "window_no", "window_start"])
+
+    schema = StructType([*packets.schema.fields, StructField("window_no", LongType()), StructField("window_start", DoubleType())])
+    return packets.select(columns).repartition(by).sortWithinPartitions(by, "frame_no").mapInArrow(assign, schema)
+
+
+def first_alerts(alerts: DataFrame, horizon: str = "1 hour", order: str = "seq") -> DataFrame:
+    """One alert per threat and flow key.  On a stream (needs event_time): the first to arrive within the watermark's horizon.  On a table:
+    the first in order."""
+    key = ["threat", "flow_key"]
+    if alerts.isStreaming:
+        return alerts.withWatermark("event_time", horizon).dropDuplicatesWithinWatermark(key)
+    return alerts.groupBy(*key).agg(F.min_by(F.struct(*alerts.columns), order).alias("a")).select("a.*")
 
 
 def channel_series(flows: DataFrame, ttl_s: int = 7200) -> DataFrame:
