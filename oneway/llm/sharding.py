@@ -114,6 +114,6 @@ def shards_sql(limit: int) -> str:
     leaf AS (SELECT h.h, min(b.d) AS depth FROM (SELECT DISTINCT h FROM h) h JOIN b ON b.p = h.h >> ({BITS} - b.d)
              WHERE b.total <= {limit} OR b.one GROUP BY ALL),
     named AS (SELECT doc_id, bytes::BIGINT AS bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h.h >> ({BITS} - depth)), depth, '0') END AS name,
-                     row_number() OVER (PARTITION BY h.h ORDER BY bytes) - 1 AS at, total, greatest(1, {limit} // greatest(1, most)) AS capacity
+                     row_number() OVER (PARTITION BY h.h ORDER BY bytes) - 1 AS place, total, greatest(1, {limit} // greatest(1, most)) AS capacity
               FROM h JOIN leaf ON leaf.h = h.h JOIN b ON b.d = depth AND b.p = h.h >> ({BITS} - depth))
-    SELECT doc_id, bytes, depth, CASE WHEN total > {limit} THEN name || '+' || (at // capacity)::VARCHAR ELSE name END AS shard FROM named"""
+    SELECT doc_id, bytes, depth, CASE WHEN total > {limit} THEN name || '+' || (place // capacity)::VARCHAR ELSE name END AS shard FROM named"""
