@@ -216,7 +216,19 @@ def merkle(leaves: str) -> str:
 def blocks() -> str:
     digest = "sha256(concat_ws('|', seq, detector, threat, flow_key))"
     return f"""SELECT detector AS sensor_id, n // 8 + 1 AS "index", max(ts) AS ts, list(digest ORDER BY n) AS digests FROM (
-      SELECT *, {digest} AS digest, row_number() OVER (PARTITION BY detector ORDER BY seq) - 1 AS n FROM ({duck('alerts')}) a WHERE seq % 40 = 0) GROUP BY detector, n // 8 + 1"""
+      SELECT *, {digest} AS digest, row_number() OVER (PARTITION BY detector ORDER BY seq) - 1 AS n FROM ({duck('alerts')}) a) GROUP BY detector, n // 8 + 1"""
+
+
+def proofs() -> str:
+    """One row per bundle: the steps from its digest to its block's root, where they lead, and where they lead from the wrong digest."""
+    pair = lambda x: f"CASE WHEN len({x}) > 1 THEN list_transform(range(1, (len({x}) + 1) // 2 + 1), lambda i: sha256(unhex({x}[2 * i - 1]) || unhex(coalesce({x}[2 * i], {x}[2 * i - 1])))) ELSE {x} END"
+    place = lambda i: f"(index // {1 << i})"
+    beside = lambda i: f"(CASE WHEN {place(i)} % 2 = 0 THEN {place(i)} + 1 ELSE {place(i)} - 1 END)"
+    steps = ", ".join(f"CASE WHEN len(l{i}) > 1 THEN {{'side': CASE WHEN {beside(i)} > {place(i)} THEN 'R' ELSE 'L' END, 'sibling': coalesce(l{i}[{beside(i)} + 1], l{i}[{place(i)} + 1])}} END" for i in range(3))
+    end = "list_reduce(list_prepend({0}, list_transform(steps, lambda s: s.side || s.sibling)), lambda h, s: CASE WHEN s[1] = 'R' THEN sha256(unhex(h) || unhex(s[2:])) ELSE sha256(unhex(s[2:]) || unhex(h)) END)"
+    return f"""SELECT *, {end.format('leaf')} = root AS verified, {end.format("sha256('another')")} = root AS wrong FROM (
+      SELECT sensor_id, block, index, l0[index + 1] AS leaf, l3[1] AS root, list_filter([{steps}], lambda s: s IS NOT NULL) AS steps FROM (
+      SELECT *, {pair('l2')} AS l3, unnest(range(len(l0))) AS index FROM (SELECT *, {pair('l1')} AS l2 FROM (SELECT *, {pair('l0')} AS l1 FROM (SELECT sensor_id, "index" AS block, digests AS l0 FROM ({blocks()}) b)))))"""
 
 
 def header(index: str, ts: str, prev: str, root: str, sensor: str) -> str:

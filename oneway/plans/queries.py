@@ -24,7 +24,8 @@ from oneway.operators import tunnel as TU
 from oneway.plans import oracle as O
 from oneway.plans.adapters import adapter, duck
 from oneway.schema import FLOW_KEY
-from oneway.streaming.windows import unaligned_windows, windowed_flows
+from oneway.sources import tables as TB
+from oneway.streaming.windows import first_alerts, unaligned_windows, windowed_flows
 
 SIGNING_KEY = b"sensor-signing-key"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -308,6 +309,12 @@ def L7_packet_hashes(spark, d):
     return rows.select("flow_key", folded.alias("folded"), F.size("packet_hashes").cast("long").alias("n"))
 
 
+@query(f"SELECT threat, concat('*->', dst_ip) AS flow_key, flow_key AS evidence_key, seq FROM (SELECT *, flow_seq * 8 + ordinal AS seq FROM ({O.floods(_FL)}))")
+def L2_victim_flow(spark, d):
+    """The first flow towards the victim of each flood, as alerts carry it to the ledger."""
+    return AL.alerts(adapter(spark, d, "pkt_flood"), persist=False).where("branch = 1").select("threat", "flow_key", "evidence_key", "seq")
+
+
 @query(f"SELECT {', '.join(_ALERT)} FROM ({O.alerts()}) ORDER BY confidence DESC, branch, seq LIMIT 25")
 def L10_ranked(spark, d):
     return AL.ranked(_alerts(spark, d).select(_ALERT), 25)
@@ -347,8 +354,7 @@ def C5_coverage(spark, d):
 
 
 def _bundles(spark, d) -> DataFrame:
-    rows = adapter(spark, d, "alerts").where("seq % 40 = 0")  # the events that a ledger of alerts would hold
-    return rows.select(F.col("detector").alias("sensor_id"), "seq", "ts", F.sha2(F.concat_ws("|", "seq", "detector", "threat", "flow_key"), 256).alias("digest"))
+    return adapter(spark, d, "alerts").select(F.col("detector").alias("sensor_id"), "seq", "ts", F.sha2(F.concat_ws("|", "seq", "detector", "threat", "flow_key"), 256).alias("digest"))
 
 
 def _chain(spark, d) -> DataFrame:
@@ -360,9 +366,13 @@ def E3_merkle(spark, d):
     return LE.merkle_root(LE.batches(_bundles(spark, d)), "digests", 8).select("sensor_id", "index", F.size("digests").cast("long").alias("n"), "merkle_root")
 
 
-@query(f'SELECT sensor_id, "index" AS block, unnest(range(len(digests)))::INTEGER AS index, true AS verified FROM ({O.blocks()}) b')
+@query(f"SELECT sensor_id, block, index::INTEGER AS index, array_to_string(list_transform(steps, lambda s: s.side || substr(s.sibling, 1, 12)), ' ') AS proof, verified, wrong FROM ({O.proofs()})")
 def E4_proofs(spark, d):
-    return LE.bundle_proofs(_chain(spark, d)).select("sensor_id", "block", "index", "verified")
+    """Every step of every proof, where it leads, and that it leads from no other digest."""
+    rows = LE.bundle_proofs(_chain(spark, d))
+    steps = F.array_join(F.transform("proof", lambda s: F.concat(s["side"], F.substring(s["sibling"], 1, 12))), " ")
+    wrong = LE.verify_proof(F.sha2(F.lit("another"), 256), F.col("proof"), F.col("merkle_root"))
+    return rows.select("sensor_id", "block", "index", steps.alias("proof"), "verified", wrong.alias("wrong"))
 
 
 @query(f'SELECT sensor_id, "index", {O.hmac(SIGNING_KEY, "header_hash")} AS signature FROM ({O.chain()})')
@@ -375,9 +385,30 @@ def E10_chain(spark, d):
     return _chain(spark, d).select("sensor_id", "index", "ts", "merkle_root", "prev_hash", "header_hash")
 
 
-@query(f"SELECT sensor_id, count(*) AS blocks, NULL::BIGINT AS broken_at, true AS intact FROM ({O.chain()}) GROUP BY sensor_id")
+_HEX = "('0x' || substr(md5(sensor_id), 1, 1))::INTEGER"
+
+
+def _tampered(chain: DataFrame) -> DataFrame:
+    """A block of each sensor changed: its root, its signature, one of its digests, or a later block left out, by the sensor's hash."""
+    kind = F.conv(F.substring(F.md5("sensor_id"), 1, 1), 16, 10).cast("int") % 5
+    at = lambda k, index: (kind == k) & (F.col("index") == index)
+    other = F.sha2(F.lit("other"), 256)
+    return chain.where(~at(3, 5)).withColumns(
+        {
+            "merkle_root": F.when(at(0, 2), other).otherwise(F.col("merkle_root")), "signature": F.when(at(1, 3), other).otherwise(F.col("signature")),
+            "digests": F.when(at(2, 4), F.transform("digests", lambda x, i: F.when(i == 1, other).otherwise(x))).otherwise(F.col("digests")),
+        }
+    )
+
+
+@query(f"""SELECT sensor_id, copy, CASE WHEN copy = 'tampered' AND k = 3 AND n > 5 THEN n - 1 ELSE n END AS blocks, b AS broken_at, b IS NULL AS intact FROM (
+  SELECT *, CASE WHEN copy = 'sealed' THEN NULL WHEN k = 0 AND n > 2 THEN 2 WHEN k = 1 AND n > 3 THEN 3 WHEN k = 2 AND n > 4 THEN 4 WHEN k = 3 AND n > 6 THEN 6 END::BIGINT AS b
+  FROM (SELECT sensor_id, {_HEX} % 5 AS k, count(*) AS n FROM ({O.chain()}) GROUP BY sensor_id), (VALUES ('sealed'), ('tampered')) c(copy))""")
 def E15_verify_chain(spark, d):
-    return LE.verify_chain(_chain(spark, d), SIGNING_KEY)
+    """The chain as sealed, and after one block of each sensor was changed: the first block that does not hold."""
+    chain = _chain(spark, d)
+    sealed = LE.verify_chain(chain, SIGNING_KEY).withColumn("copy", F.lit("sealed"))
+    return sealed.unionByName(LE.verify_chain(_tampered(chain), SIGNING_KEY).withColumn("copy", F.lit("tampered")))
 
 
 @query(f'SELECT c.sensor_id, bundles, blocks, substr(head, 1, 16) AS head, blocks - 1 AS anchored, true AS intact FROM (SELECT sensor_id, count(*) AS blocks, arg_max(header_hash, "index") AS head FROM ({O.chain()}) GROUP BY sensor_id) c JOIN (SELECT sensor_id, sum(len(digests))::BIGINT AS bundles FROM ({O.blocks()}) b GROUP BY sensor_id) b USING (sensor_id)')
@@ -424,10 +455,9 @@ def T1_unaligned_windows(spark, d):
     return rows.groupBy("sensor_id", "window_no", "window_start").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
 
 
-@query(f"SELECT arg_min(seq, seq) AS seq, detector, flow_key FROM ({duck('alerts')}) a GROUP BY detector, flow_key")
+@query(f"SELECT min(seq) AS seq, detector, flow_key, arg_min(confidence, seq) AS confidence FROM ({duck('alerts')}) a GROUP BY detector, flow_key")
 def T3_first_alerts(spark, d):
-    rows = adapter(spark, d, "alerts").groupBy("detector", "flow_key").agg(F.min("seq").alias("seq"))
-    return rows.select("seq", "detector", "flow_key")
+    return first_alerts(adapter(spark, d, "alerts")).select("seq", "detector", "flow_key", "confidence")
 
 
 # --- incidents and policy -------------------------------------------------------------------------------------------------------------
@@ -455,10 +485,15 @@ def K5_alert_records(spark, d):
     return IN.alert_records(adapter(spark, d, "alerts")).select("id", "evidence_id", "seq", "source", "destination")
 
 
-@query(f"SELECT b.seq, true AS verified FROM ({_AL}) b WHERE seq % 40 = 0")
+@query(f"SELECT seq, seq % 10 <> 3 AS verified FROM ({_AL}) b")
 def K7_verify_evidence(spark, d):
-    proofs = LE.bundle_proofs(_chain(spark, d)).select("leaf", "merkle_root", "verified")
-    return _bundles(spark, d).join(proofs, F.col("digest") == F.col("leaf"), "left").select("seq", F.coalesce("verified", F.lit(False)).alias("verified"))
+    """Alerts against the sealed digests, a tenth of them changed after sealing."""
+    digest = F.sha2(F.concat_ws("|", "seq", "detector", "threat", F.when(F.col("seq") % 10 == 3, F.lit("elsewhere")).otherwise(F.col("flow_key"))), 256)
+    alerts = adapter(spark, d, "alerts").select("seq", F.col("detector").alias("sensor_id"), digest.alias("digest"))
+    chain = _chain(spark, d)
+    proofs = LE.bundle_proofs(chain).join(LE.verify_chain(chain, SIGNING_KEY).select("sensor_id", "intact"), "sensor_id")
+    proofs = proofs.select("sensor_id", F.col("leaf").alias("digest"), (F.col("verified") & F.col("intact")).alias("verified"))
+    return alerts.join(proofs, ["sensor_id", "digest"], "left").select("seq", F.coalesce("verified", F.lit(False)).alias("verified"))
 
 
 @query(f"SELECT seq, detector, confidence FROM ({_AL}) a ORDER BY confidence DESC, seq LIMIT 50 OFFSET 100")
@@ -467,8 +502,33 @@ def K8_page(spark, d):
 
 
 @query(f"SELECT detector, count(*) AS alerts, count(DISTINCT {O.HOST}) AS hosts, max(confidence) AS max_confidence FROM ({_AL}) a GROUP BY detector")
-def K13_status(spark, d):
-    return IN.status(adapter(spark, d, "alerts"))
+def K13_detector_status(spark, d):
+    return IN.detector_status(adapter(spark, d, "alerts"))
+
+
+_STATES = "(VALUES ('queued'), ('processing'), ('completed'), ('failed')) s(status)"
+_JOB = "CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 4 THEN 'failed' ELSE 'completed' END"
+_JOBS = f"SELECT s.status, count(job_id) AS jobs FROM {_STATES} LEFT JOIN (SELECT user_id AS job_id, arg_max({_JOB}, event_id) AS status FROM events GROUP BY user_id) j USING (status) GROUP BY s.status"
+
+
+def _jobs(spark, d) -> DataFrame:
+    changes = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("version"), F.expr(_JOB).alias("status"))
+    return TB.job_counts(TB.latest_jobs(changes))
+
+
+@query(_JOBS)
+def K11_job_counts(spark, d):
+    return _jobs(spark, d)
+
+
+@query(f"""SELECT packets AS packets_processed, flows AS flows_created, alerts AS alerts_generated, incidents AS incidents_created, (SELECT jobs FROM ({_JOBS}) WHERE status = 'queued') AS jobs_queued, (SELECT jobs FROM ({_JOBS}) WHERE status = 'processing') AS jobs_processing,
+  (SELECT jobs FROM ({_JOBS}) WHERE status = 'completed') AS jobs_completed, (SELECT jobs FROM ({_JOBS}) WHERE status = 'failed') AS jobs_failed, blocks, bundles, true AS intact, round(packets / span, 6) AS packets_per_s
+  FROM (SELECT sum(packets)::BIGINT AS packets, count(*) AS flows, max(last_ts) - min(start_ts) AS span FROM ({O.flows(_EV)})), (SELECT count(*) AS alerts FROM events), (SELECT count(*) AS incidents FROM ({O.groups()})),
+  (SELECT sum(len(digests))::BIGINT AS bundles, (count(*) + count(DISTINCT sensor_id))::BIGINT AS blocks FROM ({O.blocks()}) b)""")
+def K13_service_status(spark, d):
+    found = adapter(spark, d, "alerts")
+    row = IN.service_status(FW.flows(adapter(spark, d, "pkt_events")), found, IN.groups(found), _jobs(spark, d), LE.summary(_chain(spark, d), SIGNING_KEY))
+    return row.withColumn("packets_per_s", F.round("packets_per_s", 6))
 
 
 _CLASS = "CASE WHEN confidence >= 0.9 THEN 'CRITICAL' WHEN confidence >= 0.6 THEN 'HIGH' WHEN confidence >= 0.3 THEN 'MEDIUM' WHEN confidence >= 0.1 THEN 'LOW' ELSE 'MINIMAL' END"
