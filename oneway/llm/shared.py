@@ -40,3 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession, total_bytes: int = 0, each: int = 16 << 20) -> int:
     """Buckets for ``total_bytes``: as many as the session's shuffle partitions, more where a bucket would exceed ``each``."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // each), 1)
+
+
+#: Buckets that a bucketed table can have, well below Spark's own limit.
+MOST_BUCKETS = 50_000
+
+
+def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+    """Write a table to the shared folder in ``n`` buckets of a column, so that grouping by it needs no further exchange; with more
+    buckets than MOST_BUCKETS it is only written, and grouping exchanges it."""
+    if n > MOST_BUCKETS:
+        return materialize(df, name)
+    spark = df.sparkSession
+    table = f"oneway_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

@@ -1,26 +1,27 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-States are contexts of one or two words.  A context is a candidate if its probability reaches ``CONTEXT_P`` (so there are at
-most 1 / CONTEXT_P of each length), and is kept if the distribution of its next symbols diverges from its parent's by
-``MIN_DIVERGENCE`` nats or more; with a context its suffix is kept too.  A state stores the next symbols whose joint probability
-with it reaches ``ENTRY_P`` (at most 1 / ENTRY_P), discounted; the mass left goes to the parent, down to add-one unigrams.  A token
-is scored by the longest kept suffix of what precedes it in its document.
-
-Tokens are words (A-Z folded) and one end per document.  All counts cover all training documents.  The bounds above size the
-broadcast model whatever the corpus; words below ENTRY_P get their exact counts by a join on the word.
-
-Scale: counts are combined per map task and sent as sorted, compressed runs; joined rows are only those of rare words, none of
-which can be frequent.  Four passes over the texts, none of which shuffles them.
-
-Rows: null and empty texts are one end token.  Repeated rows are documents of their own.  A null doc_id is training.  An empty
-training set knows no words.  Words are identified by 64-bit hashes.  Extra columns are ignored.
+States are contexts of up to ``depth`` words, the longest suffixes of what precedes a token in its document.  A context of ``least`` training
+occurrences or more is a candidate once its suffix is a state, and becomes a state if the distribution of its next symbols diverges
+from its parent's by ``divergence`` nats: the mean, over its own occurrences, of the log ratio of both probabilities, each occurrence
+judged by the counts of all others, so that chance agreement of rare contexts counts against them.  A state's distribution is
+smoothed by its parent's, P(w | s) = (n(s w) + weight * P(w | parent)) / (n(s) + weight), down to add-one unigrams.
+
+Tokens are words (A-Z folded) and one end per document.  All counts cover all training documents; nothing but the fixed ``least``
+bounds what is kept, so the tree grows with the corpus.
+
+Scale: no task holds the tree.  Documents lie in blocks of bounded size.  For each order of n-gram, and each order of context, a block
+sends its distinct keys with its own sums to their ranges of keys; a range adds up what all blocks sent and answers each block for
+its own keys.  Keys of an order are sent only where the context reached ``least``.  A key that every block has is one row per block,
+so hot contexts are spread like all others.  Blocks are written once, bucketed, and not shuffled again.
+
+Rows: null and empty texts are one end token.  Repeated rows are documents of their own (counted, and sent once).  A null doc_id is
+training.  An empty training set knows no words.  Words are identified by 64-bit hashes, longer n-grams by hashes of at least
+2**16 times as many values as the corpus has bytes.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,22 +29,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oneway.llm.shared import materialize, partitions
-from oneway.llm.textkit import U64, HashIndex, Words, chunks, group_starts, mix, pack, text_buffer, unpack
-
-CONTEXT_P = 2e-5
-ENTRY_P = 5e-7
-MIN_DIVERGENCE = 0.02
-DISCOUNT = 0.5
-#: Pairs that a map task combines at a time.
-FLUSH = 2_000_000
+from oneway.llm.shared import bucketed, materialize, partitions
+from oneway.llm.textkit import U64, Words, chunks, longs, mix, pack, text_buffer, text_bytes, unpack
+
+#: Training occurrences of a context that may be a state.
+LEAST = 4
+#: Mean gain of a state over its parent, in nats.
+DIVERGENCE = 0.02
+#: Occurrences that the parent's distribution counts as.
+WEIGHT = 300.0
+DEPTH = 3
+#: Bytes of text in a block.
+BLOCK_BYTES = 6 << 20
+#: Gains are added up as whole numbers, so that their order does not matter.
+UNIT = float(1 << 20)
 END = mix(np.array([0xE0F], U64))[0]
 
+_TEXTS = "bucket int, data binary"
+_ASKED = "range int, bucket int, kind string, data binary"
+_TOLD = "bucket int, range int, kind string, data binary, tokens long, known long"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
 
-def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a part's tokens, and where each text's tokens begin (with the end of the last)."""
-    words = Words(*text_buffer(part.column("text")), lower=True)
-    first = words.first + np.arange(part.num_rows + 1)
+def tokens(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' tokens, and where each text's tokens begin (with the end of the last)."""
+    words = Words(*text_buffer(raw), lower=True)
+    first = words.first + np.arange(len(raw) + 1)
     out = np.empty(first[-1], U64)
     out[first[1:] - 1] = END
     inside = np.ones(len(out), bool)
@@ -52,254 +63,230 @@ def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _before(ids: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """The id n tokens earlier in the same text, -1 where there is none."""
-    out = np.full(len(ids), -1, np.int64)
-    out[n:] = ids[:-n] if n < len(ids) else out[n:]
-    for i in range(n):
-        at = first[:-1] + i
-        out[at[at < first[1:]]] = -1
-    return out
-
-
-@dataclass
-class SuffixTree:
-    """``words``: hashes of frequent words with ``base`` probabilities; ``keep1``/``back1`` and the pairs in ``key1``/``add1`` by
-    word number; contexts of two words in ``pair2`` with ``back2``, ``key2``/``add2``.  Keys are context * len(words) + word."""
-
-    total: int
-    distinct: int
-    words: np.ndarray
-    base: np.ndarray
-    back1: np.ndarray
-    key1: np.ndarray
-    add1: np.ndarray
-    pair2: np.ndarray
-    back2: np.ndarray
-    key2: np.ndarray
-    add2: np.ndarray
-
-    @property
-    def states(self) -> int:
-        return 1 + int((self.back1 < 1).sum()) + len(self.pair2)
-
-    def indexes(self) -> tuple[HashIndex, HashIndex, HashIndex, HashIndex]:
-        return HashIndex(self.words), HashIndex(self.key1), HashIndex(self.pair2), HashIndex(self.key2)
-
-    def probabilities(self, h: np.ndarray, first: np.ndarray, indexes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word number or -1, probability, factor): the token's probability, or for a rare word 0 and the mass that its
-        unigram probability is multiplied by."""
-        by_word, by1, by_pair, by2 = indexes
-        n = len(self.words)
-        ids = by_word.find(h)
-        one, two = _before(ids, first, 1), _before(ids, first, 2)
-        known = ids >= 0
-        p = np.where(known, self.base[ids] if n else 0.0, 0.0)
-        factor = np.ones(len(h))
-        for back, index, add, state in ((self.back1, by1, self.add1, one), (self.back2, by2, self.add2, None)):
-            if state is None:
-                both = np.flatnonzero((one >= 0) & (two >= 0))
-                state = np.full(len(h), -1, np.int64)
-                state[both] = by_pair.find((two[both] * n + one[both]).astype(U64))
-            at = np.flatnonzero(state >= 0)
-            if not len(at) or not len(back):
-                continue
-            mass = back[state[at]]
-            p[at] *= mass
-            factor[at] *= mass
-            at = at[known[at] & (mass < 1)]
-            entry = index.find((state[at] * n + ids[at]).astype(U64))
-            p[at[entry >= 0]] += add[entry[entry >= 0]]
-        return ids, p, factor
-
-
-def _counts(docs: DataFrame) -> DataFrame:
-    """(h, n): how often each token occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            for lo in range(0, len(h), 50_000):
-                yield pa.record_batch([pa.array(h[lo : lo + 50_000].view(np.int64)), pa.array(n[lo : lo + 50_000])], names=["h", "n"])
-
-        for batch in batches:
-            for part in chunks(batch):
-                h, _ = tokens(part)
-                held.append(h)
-                size += len(h)
-                if size >= 2 * FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def _pairs(docs: DataFrame, words: np.ndarray, contexts: np.ndarray, depth: int, least: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context * len(words) + word) and counts, of at least ``least``.  ``contexts``: word numbers (depth 1) or sorted pair
-    keys (depth 2); a depth-2 key has the pair's place."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, contexts))
-    n = len(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, contexts = sent.value
-        by_word, by_pair = HashIndex(words), HashIndex(contexts.astype(U64))
-        is_context = np.zeros(n + 1, bool)
-        if depth == 1:
-            is_context[contexts] = True
-        held, size = [], 0
-
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            home = (mix(keys.astype(U64)) % U64(buckets)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            at = group_starts(home[order])
-            rows = []
-            for lo, hi in zip(at, np.append(at[1:], len(order))):
-                pick = order[lo:hi]
-                rows.append((int(home[pick[0]]), pack(np.diff(keys[pick], prepend=0).view(U64), counts[pick].astype(np.uint32))))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
-
-        for batch in batches:
-            for part in chunks(batch):
-                h, first = tokens(part)
-                ids = by_word.find(h)
-                one = _before(ids, first, 1)
-                if depth == 1:
-                    state = np.where(is_context[one], one, -1)
-                else:
-                    two = _before(ids, first, 2)
-                    state = np.full(len(h), -1, np.int64)
-                    both = np.flatnonzero((one >= 0) & (two >= 0))
-                    state[both] = by_pair.find((two[both] * n + one[both]).astype(U64))
-                ok = (state >= 0) & (ids >= 0)
-                held.append(state[ok] * n + ids[ok])
-                size += int(ok.sum())
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(x) for x in frame["data"]]
-        keys, counts = np.concatenate([np.cumsum(p[0].view(np.int64)) for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        at = group_starts(keys)
-        total = np.add.reduceat(counts[order], at)
-        return pd.DataFrame({"k": keys[at], "n": total})[total >= least]
-
-    found = docs.select("text").mapInArrow(run, "bucket int, data binary").groupBy("bucket").applyInPandas(merge, "k long, n long").toArrow()
-    keys, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("k", "n"))
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def _states(state: np.ndarray, word: np.ndarray, n: np.ndarray, total: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per state number: divergence from the parent, back-off mass; per entry: the discounted probability."""
-    size = len(total)
-    p = n / total[state]
-    rest, rest_parent = (np.clip(1 - np.bincount(state, weights=x, minlength=size), 1e-12, 1) for x in (p, parent))
-    gain = np.bincount(state, weights=p * np.log(p / parent), minlength=size) + rest * np.log(rest / rest_parent)
-    add = (n - DISCOUNT) / total[state]
-    back = np.clip(1 - np.bincount(state, weights=add, minlength=size), 0, 1)
-    return gain, back, add
-
-
-def fit(docs: DataFrame, context_p: float = CONTEXT_P, entry_p: float = ENTRY_P, min_divergence: float = MIN_DIVERGENCE) -> tuple[SuffixTree, DataFrame]:
-    """The tree of the training documents, and their token counts (h, n)."""
+def planes(a: np.ndarray) -> np.ndarray:
+    """Whole numbers by byte, so that compression sees equal bytes together."""
+    return np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def from_planes(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.reshape(8, -1).T).view("<i8").ravel()
+
+
+class Block:
+    """The tokens of a block, and what was told about them so far.
+
+    ``n[k]`` holds for each place the training count of the k tokens that end there, ``gain[k]`` that of the k words before it."""
+
+    def __init__(self, raw: list[bytes], train: np.ndarray, copies: np.ndarray, options: dict):
+        self.o = options
+        self.h, self.first = tokens(pa.array(raw, pa.large_binary()))
+        size = np.diff(self.first)
+        self.at = np.arange(len(self.h)) - np.repeat(self.first[:-1], size)
+        self.weight = np.repeat(np.where(train, copies, 0), size)
+        self.n: dict[int, np.ndarray] = {}
+        self.gain: dict[int, np.ndarray] = {}
+        self.chain = {1: self.h}
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hashes of the k tokens that end at each place."""
+        if k not in self.chain:
+            back = np.zeros(len(self.h), U64)
+            back[k - 1 :] = self.h[: len(self.h) - k + 1]
+            self.chain[k] = mix(self.grams(k - 1) * U64(0x9FB21C651E98DF25) + back)
+        return self.chain[k]
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(values)
+        out[1:] = values[:-1]
+        return out
+
+    def context(self, k: int) -> np.ndarray:
+        """Places whose k words before them are a candidate: often enough, and their suffix a state."""
+        if k == 0:
+            return np.ones(len(self.h), bool)
+        often = (self.at >= k) & (self.before(self.n[k]) >= self.o["least"])
+        return often & self.state(k - 1) if k - 1 in self.gain or k == 1 else often
+
+    def state(self, k: int) -> np.ndarray:
+        """Places whose k words before them are a state."""
+        if k == 0:
+            return np.ones(len(self.h), bool)
+        return self.context(k) & (self.gain[k] >= self.o["divergence"] * self.before(self.n[k]) * UNIT)
+
+    def places(self, kind: str) -> np.ndarray:
+        """Where a kind of key is asked for: ``n1`` all tokens, ``n2`` all pairs, longer ones after frequent words; ``g1`` ... contexts."""
+        k = int(kind[1:])
+        if kind[0] == "g":
+            return np.flatnonzero(self.context(k))
+        if k <= 2:
+            return np.flatnonzero(self.at >= k - 1)
+        return np.flatnonzero((self.at >= k - 1) & (self.before(self.n[k - 1]) >= self.o["least"]))
+
+    def keys(self, kind: str, at: np.ndarray) -> np.ndarray:
+        k = int(kind[1:])
+        whole = self.grams(k)[at - 1] if kind[0] == "g" else self.grams(k)[at]
+        return whole if kind == "n1" else whole >> U64(64 - self.o["bits"])
+
+    def probability(self, k: int, without: bool) -> np.ndarray:
+        """Of each token after its longest state of up to k words; ``without``: by the counts of all other occurrences."""
+        less = 1 if without else 0
+        p = (self.n[1] - less + 1) / (self.o["tokens"] - less + self.o["known"] + 1)
+        for j in range(1, k + 1):
+            on = np.flatnonzero(self.state(j))
+            context = self.before(self.n[j])[on]
+            p[on] = (self.n[j + 1][on] - less + self.o["weight"] * p[on]) / (context - less + self.o["weight"])
+        return p
+
+    def gains(self, k: int, at: np.ndarray) -> np.ndarray:
+        """What the k words before each place add to the log probability of a training token there."""
+        parent = self.probability(k - 1, True)[at]
+        own = (self.n[k + 1][at] - 1 + self.o["weight"] * parent) / (self.before(self.n[k])[at] - 1 + self.o["weight"])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(self.weight[at] > 0, np.log(own / parent), 0.0)
+        return np.rint(gain * UNIT) * self.weight[at]
+
+    def ask(self, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, sorted, and the block's own sums for them."""
+        at = self.places(kind)
+        keys, where = np.unique(self.keys(kind, at), return_inverse=True)
+        values = self.weight[at] if kind[0] == "n" else self.gains(int(kind[1:]), at)
+        return keys, np.bincount(where, weights=values, minlength=len(keys)).astype(np.int64)
+
+    def tell(self, kind: str, answers: dict[int, np.ndarray]) -> None:
+        """Take in the sums over all blocks, one array for each range of keys."""
+        at = self.places(kind)
+        keys, where = np.unique(self.keys(kind, at), return_inverse=True)
+        values = np.concatenate([answers[r] for r, _, _ in ranges(keys, kind, self.o)] or [np.empty(0, np.int64)])
+        out = np.zeros(len(self.h), np.int64)
+        out[at] = values[where]
+        (self.n if kind[0] == "n" else self.gain)[int(kind[1:])] = out
+
+
+def ranges(keys: np.ndarray, kind: str, o: dict) -> Iterator[tuple[int, int, int]]:
+    """(range, begin, end) of sorted keys: equal shares of all possible keys."""
+    width = 64 if kind == "n1" else o["bits"]
+    bounds = np.array([(i << width) // o["ranges"] for i in range(1, o["ranges"])], U64)
+    cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).tolist()
+    for r, (lo, hi) in enumerate(zip(cut, cut[1:])):
+        if hi > lo:
+            yield r, lo, hi
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Texts by bucket; rows equal in id and text are sent once, with their number."""
+    held: dict[int, dict] = {}
+    size = 0
+
+    def flush():
+        for bucket, docs in held.items():
+            ids, _, null, held_out, n, raw = zip(*((*k, *v) for k, v in docs.items()))
+            numbers = np.array([ids, n, [len(x) for x in raw], null, held_out], np.int64)
+            data = pack(numbers.ravel(), np.frombuffer(b"".join(raw), np.uint8))
+            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
+
+    for batch in batches:
+        for part in chunks(batch):
+            ids, tags, null, out = longs(part.column("doc_id")), part.column("tag").to_numpy(), part.column("doc_id").is_null().to_pylist(), part.column("held_out").to_pylist()
+            home = (mix(ids.view(U64) ^ mix(tags.view(U64))) % U64(buckets)).tolist()
+            for b, d, t, none, o, raw in zip(home, ids.tolist(), tags.tolist(), null, out, text_bytes(part.column("text"))):
+                docs = held.setdefault(b, {})
+                docs[(d, t, none, o)] = (docs.get((d, t, none, o), (0,))[0] + 1, raw)
+                size += len(raw)
+            if size >= 24 << 20:
+                yield from flush()
+                held, size = {}, 0
+    yield from flush()
+
+
+def _block(texts: pd.DataFrame, told: pd.DataFrame, kinds: list[str], o: dict) -> tuple[Block, np.ndarray]:
+    """A block with all it was told, and its documents' numbers (id, copies, bytes, null, held out)."""
+    numbers, raw = [], []
+    for blob in texts["data"]:
+        own, data = unpack(blob)
+        own, data, at = own.reshape(5, -1), data.tobytes(), 0
+        numbers.append(own)
+        for n in own[2].tolist():
+            raw.append(data[at : at + n])
+            at += n
+    numbers = np.concatenate(numbers, axis=1) if numbers else np.empty((5, 0), np.int64)
+    block = Block(raw, numbers[4] == 0, numbers[1], o)
+    answers: dict[str, dict[int, np.ndarray]] = {}
+    for kind, r, data in zip(told["kind"], told["range"], told["data"]):
+        answers.setdefault(kind, {})[int(r)] = from_planes(unpack(data)[0])
+    for kind in kinds:
+        block.tell(kind, answers.get(kind, {}))
+    return block, numbers
+
+
+def _asks(texts: pd.DataFrame, told: pd.DataFrame, known: list[str], wanted: list[str], o: dict) -> pd.DataFrame:
+    out = []
+    if len(texts):
+        bucket = int(texts["bucket"].iloc[0])
+        block, _ = _block(texts, told, known, o)
+        for kind in wanted:
+            keys, values = block.ask(kind)
+            for r, lo, hi in ranges(keys, kind, o):
+                out.append((r, bucket, kind, pack(planes(np.diff(keys[lo:hi], prepend=U64(0)).view(np.int64)), planes(values[lo:hi]))))
+    return pd.DataFrame(out, columns=["range", "bucket", "kind", "data"]).astype({"range": "int32", "bucket": "int32"})
+
+
+def _answers(asked: pd.DataFrame) -> pd.DataFrame:
+    """Add up a range's keys over all blocks, and answer each block for the keys it sent."""
+    out = []
+    r = int(asked["range"].iloc[0])
+    for kind, rows in asked.groupby("kind"):
+        parts = [(int(b), *(from_planes(x) for x in unpack(data))) for b, data in zip(rows["bucket"], rows["data"])]
+        sent = np.concatenate([np.cumsum(p[1].view(U64), dtype=U64) for p in parts])
+        keys, where = np.unique(sent, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, where, np.concatenate([p[2] for p in parts]))
+        at = 0
+        for i, (b, own, _) in enumerate(parts):
+            tokens, known = (int(total.sum()), int((total > 0).sum())) if kind == "n1" and not i else (0, 0)
+            out.append((b, r, kind, pack(planes(total[where[at : at + len(own)]])), tokens, known))
+            at += len(own)
+    return pd.DataFrame(out, columns=["bucket", "range", "kind", "data", "tokens", "known"]).astype({"bucket": "int32", "range": "int32"})
+
+
+def _scores(texts: pd.DataFrame, told: pd.DataFrame, kinds: list[str], o: dict) -> pd.DataFrame:
+    out = []
+    if len(texts):
+        block, numbers = _block(texts, told, kinds, o)
+        at = block.first[:-1]
+        total = lambda x: np.add.reduceat(x, at) if len(at) else np.empty(0)
+        base, score = (total(np.log10(block.probability(k, False))) for k in (0, o["depth"]))
+        rows = zip(*(x.tolist() for x in (numbers[0], numbers[3], numbers[4], np.diff(block.first), total((block.n[1] > 0).astype(np.int64)), base, score, numbers[1])))
+        for d, null, held, n, known, b, s, copies in rows:
+            out += [(None if null else d, bool(held), n, known, b, s)] * copies
+    return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).astype({"doc_id": "Int64"})
+
+
+def fit_and_score(
+    docs: DataFrame, folds: int = 7, held: int = 2, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row, learnt from the documents whose
+    crc32(doc_id) is not ``held`` modulo ``folds``."""
     spark = docs.sparkSession
-    counts = materialize(_counts(docs), "counts")
-    total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    common = counts.where(F.col("n") >= max(1, math.ceil(entry_p * total))).toArrow()  # at most 1 / entry_p rows
-    h, n = common.column("h").to_numpy().astype(np.int64).view(U64), common.column("n").to_numpy().astype(np.int64)
-    order = np.lexsort((h, -n))
-    words, n = h[order], n[order]
-    size, base = len(words), (n + 1) / (total + distinct + 1)
-    least = max(2, math.ceil(entry_p * total))
-    buckets = partitions(spark)
-    contexts = np.flatnonzero((n >= max(2, context_p * total)) & (words != END))
-    key1, n1 = _pairs(docs, words, contexts, 1, least, buckets)
-    state, word = (key1 // size, key1 % size) if size else (key1, key1)
-    gain, back1, add1 = _states(state, word, n1, np.maximum(n, 1), base[word])
-    keep = np.isin(np.arange(size), state) & (gain >= min_divergence)
-
-    pair = (n1 >= max(2, context_p * total)) & (words[word] != END)
-    pair2, pair_n = key1[pair], n1[pair]
-    key2, n2 = _pairs(docs, words, pair2, 2, least, buckets)
-    state2, word2 = (key2 // size, key2 % size) if size else (key2, key2)
-    suffix = pair2 % size if size else pair2
-    parent = base[word2] if size else n2.astype(float)
-    if len(key2):
-        at = HashIndex(key1).find((suffix[state2] * size + word2).astype(U64))
-        with_parent = np.where(at >= 0, add1[at], 0.0) + back1[suffix[state2]] * base[word2]
-        parent = np.where(keep[suffix[state2]], with_parent, base[word2])
-    gain2, back2, add2 = _states(state2, word2, n2, np.maximum(pair_n, 1), parent)
-    keep2 = np.isin(np.arange(len(pair2)), state2) & (gain2 >= min_divergence)
-    keep[suffix[keep2]] = True  # suffixes of kept contexts
-    keep &= np.isin(np.arange(size), state)
-    back1 = np.where(keep, back1, 1.0)
-    own = keep[state] if len(state) else np.zeros(0, bool)
-    own2 = keep2[state2] if len(state2) else np.zeros(0, bool)
-    place = np.cumsum(keep2) - 1
-    tree = SuffixTree(total, distinct, words, base, back1, key1[own], add1[own], pair2[keep2], back2[keep2], place[state2[own2]] * size + word2[own2], add2[own2])
-    return tree, counts
-
-
-def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of (doc_id, text, held_out)."""
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        tree, uid = sent.value, TaskContext.get().partitionId() << 33
-        indexes = tree.indexes()
-        kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-        for batch in batches:
-            for part in chunks(batch):
-                h, first = tokens(part)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-                ids, p, factor = tree.probabilities(h, first, indexes)
-                known = ids >= 0
-                add = lambda x, on=slice(None): np.bincount(doc[on], weights=x, minlength=part.num_rows)  # noqa: E731, B023
-                base = add(np.log10(tree.base[ids[known]]), known) if known.any() else np.zeros(part.num_rows)
-                own = add(np.log10(np.where(known, p, factor)))
-                uids = uid + np.arange(part.num_rows)
-                info = pa.StructArray.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), *map(pa.array, (np.diff(first), np.bincount(doc[known], minlength=part.num_rows), base, own))],
-                    fields=list(kind),
-                )
-                yield pa.record_batch([pa.array(uids), pa.array(mix(uids.astype(U64)).view(np.int64)), pa.array(np.zeros(len(uids), np.int32)), info], names=["uid", "h", "n", "info"])
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    order = rare[np.lexsort((h[rare], doc[rare]))]
-                    at = group_starts(doc[order], h[order])
-                    n = np.diff(np.append(at, len(order))).astype(np.int32)
-                    yield pa.record_batch([pa.array(uids[doc[order[at]]]), pa.array(h[order[at]].view(np.int64)), pa.array(n), pa.nulls(len(at), kind)], names=["uid", "h", "n", "info"])
-                uid += part.num_rows
-
-    info = "struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(run, f"uid long, h long, n int, info {info}")
-    rows = rows.join(counts.withColumnRenamed("n", "c"), "h", "left")
-    rare = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.total + tree.distinct + 1)))
-    of = lambda name: F.max(F.col("info")[name]).alias(name)
-    sums = rows.groupBy("uid").agg(
-        of("doc_id"), of("held_out"), of("n_tokens"),
-        F.sum(F.coalesce(F.col("info.n_known"), F.lit(0)) + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce(F.col("info.base"), F.lit(0.0)) + rare).alias("base_score"),
-        F.sum(F.coalesce(F.col("info.score"), F.lit(0.0)) + rare).alias("score"),
-    )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def fit_and_score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """Learn from the documents whose crc32(doc_id) is not ``held`` modulo ``folds``, and score all."""
-    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("held_out", out)
-    tree, counts = fit(docs.where(~F.col("held_out")))
-    return score(docs, tree, counts)
+    text = F.col("text").cast("string")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"), held_out.alias("held_out"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions(spark, size, block_bytes)
+    o = {"depth": depth, "least": least, "divergence": divergence, "weight": weight, "ranges": n, "bits": min(63, max(32, int(size + 1).bit_length() + 16)), "tokens": 0, "known": 0}
+    texts = bucketed(docs.mapInArrow(lambda it: _pack_texts(it, n), _TEXTS), "blocks", "bucket", n).groupBy("bucket")
+    told = spark.createDataFrame([], _TOLD)
+    known: list[str] = []
+
+    def each_block(f: Callable[..., pd.DataFrame], schema: str, *args) -> DataFrame:
+        args = (*(list(x) for x in args), dict(o))  # as they are now
+        return texts.cogroup(told.groupBy("bucket")).applyInPandas(lambda t, a: f(t, a, *args), schema)
+
+    for step in range(1, depth + 2):
+        wanted = ["n1", "n2"] if step == 1 else [f"g{step - 1}", *([f"n{step + 1}"] if step <= depth else [])]
+        asked = each_block(_asks, _ASKED, known, wanted)
+        told = told.unionByName(materialize(asked.groupBy("range").applyInPandas(_answers, _TOLD), "answers"))
+        known += wanted
+        if step == 1:
+            o["tokens"], o["known"] = (x or 0 for x in told.agg(F.sum("tokens"), F.sum("known")).first())
+    scores = each_block(_scores, _OUT, known)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(o["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -342,70 +342,55 @@ def test_language_model_base_and_totals(spark):
     assert LM.fit_and_score(empty(spark)).count() == 0
 
 
-def brute_tree(train, context_p, entry_p, min_divergence):
-    """The definition over plain dictionaries: probability of a token after its two predecessors."""
-    c = Counter(x for w in train for x in w)
-    n, v = sum(c.values()), len(c)
-    base = lambda x: (c[x] + 1) / (n + v + 1)
-    least = max(2, math.ceil(entry_p * n))
-    table = {1: {}, 2: {}}
-    for size in (1, 2):
-        for w in train:
-            for i in range(size, len(w)):
-                table[size].setdefault(tuple(w[i - size : i]), Counter())[w[i]] += 1
-
-    def state(total, nexts, parent):
-        entries = {x: k for x, k in nexts.items() if k >= least}
-        if not entries:
-            return None
-        p = {x: k / total for x, k in entries.items()}
-        rest, rest_parent = (min(1, max(1e-12, 1 - s)) for s in (sum(p.values()), sum(parent(x) for x in p)))
-        gain = sum(q * math.log(q / parent(x)) for x, q in p.items()) + rest * math.log(rest / rest_parent)
-        back = 1 - sum((k - 0.5) / total for k in entries.values())
-        return gain, back, {x: (k - 0.5) / total for x, k in entries.items()}
-
-    one = {s: state(c[s[0]], x, base) for s, x in table[1].items() if c[s[0]] >= max(2, context_p * n)}
-    one = {s: x for s, x in one.items() if x}
-    keep = {s for s, x in one.items() if x[0] >= min_divergence}
-    two = {}
-    for s, nexts in table[2].items():
-        total = table[1][s[:1]][s[1]]
-        if total >= max(2, context_p * n, least) and s[:1] in one:
-            parent = (lambda x, t=s[1:]: one[t][2].get(x, 0) + one[t][1] * base(x)) if s[1:] in keep else base
-            if (found := state(total, nexts, parent)) and found[0] >= min_divergence:
-                two[s] = found
-    keep |= {s[1:] for s in two if s[1:] in one}
-
-    def prob(w, i):
-        p = base(w[i])
-        if i >= 1 and (s := tuple(w[i - 1 : i])) in keep:
-            p = one[s][2].get(w[i], 0) + one[s][1] * p
-        if i >= 2 and (s := tuple(w[i - 2 : i])) in two:
-            p = two[s][2].get(w[i], 0) + two[s][1] * p
+def brute_tree(train, depth, least, divergence, weight):
+    """The definition over plain dictionaries: probability of a token after what precedes it in its document."""
+    count = Counter(tuple(w[i : i + k]) for w in train for k in range(1, depth + 2) for i in range(len(w) - k + 1))
+    n, v = sum(len(w) for w in train), sum(len(g) == 1 for g in count)
+    states = {()}
+
+    def prob(context, x, less=0):
+        p = (count[(x,)] - less + 1) / (n - less + v + 1)
+        for k in range(1, len(context) + 1):
+            s = context[len(context) - k :]
+            if s not in states:
+                break
+            p = (count[(*s, x)] - less + weight * p) / (count[s] - less + weight)
         return p
 
-    return prob
-
-
-def test_language_model_matches_definition(spark):
+    for k in range(1, depth + 1):
+        gain = Counter()
+        for w in train:
+            for i in range(k, len(w)):
+                s = tuple(w[i - k : i])
+                if count[s] >= least and s[1:] in states:
+                    parent = prob(s[1:], w[i], 1)
+                    own = (count[(*s, w[i])] - 1 + weight * parent) / (count[s] - 1 + weight)
+                    gain[s] += round(math.log(own / parent) * LM.UNIT)
+        states |= {s for s, g in gain.items() if g >= divergence * count[s] * LM.UNIT}
+    return (lambda w, i: prob(tuple(w[max(0, i - depth) : i]), w[i])), states
+
+
+@pytest.mark.parametrize("depth, block_bytes", [(3, 2_000), (2, 1 << 20)])
+def test_language_model_matches_definition(spark, depth, block_bytes):
+    """Scores of every document by the definition, with one block or many; states of every length; the gain on held-out documents."""
     rng = np.random.default_rng(4)
     texts = []
-    for _ in range(60):
+    for _ in range(120):
         w = [0]
         while len(w) < 40:
-            w.append(int((w[-1] * 3 + w[max(0, len(w) - 2)] + rng.integers(0, 3)) % 12))
+            w.append(int((w[-1] * 3 + w[max(0, len(w) - 2)] * 5 + w[max(0, len(w) - 3)] + rng.integers(0, 2)) % 7))
         texts.append(" ".join(f"t{x}" for x in w))
-    frame = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
-    tree, counts = LM.fit(frame.where("not held_out"), 0.01, 0.002, 0.02)
-    got = {r.doc_id: r.score for r in LM.score(frame, tree, counts).collect()}
-    split = {i: t.split() + [None] for i, t in enumerate(texts)}
-    prob = brute_tree([w for i, w in split.items() if i % 5], 0.01, 0.002, 0.02)
-    for i, w in split.items():
-        assert math.isclose(got[i], sum(math.log10(prob(w, j)) for j in range(len(w))), rel_tol=1e-9), i
-    base = {r.doc_id: r.base_score for r in LM.score(frame, tree, counts).collect()}
-    assert tree.states > 5 and sum(got[i] for i in got if i % 5 == 0) > sum(base[i] for i in got if i % 5 == 0)
-    for context in ([], [0], [0, 3]):  # next-token distributions sum to one over the vocabulary and the unseen word
-        known = sorted({x for w in split.values() for x in w if x}) + [None]
-        w = [f"t{x}" for x in context]
-        total = sum(prob(w + [x], len(w)) for x in known)
-        assert 0.99 < total <= 1 + 1e-9
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)] + [(7, texts[7], "", "", 0), (7, texts[7], "", "", 0), (500, "", "", "", 0), (501, None, "", "", 0), (502, "new words", "", "", 0), (None, "t1 t2", "", "", 0)]
+    got = LM.fit_and_score(docs(spark, rows), depth=depth, least=8, divergence=0.02, weight=3.0, block_bytes=block_bytes).collect()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    split = [(d, (t or "").split() + [None]) for d, t, *_ in rows]
+    prob, states = brute_tree([w for d, w in split if not held(d)], depth, 8, 0.02, 3.0)
+    want = sorted((-1 if d is None else d, held(d), len(w), round(sum(math.log10(prob(w, j)) for j in range(len(w))), 9)) for d, w in split)
+    have = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.score) for r in got)
+    assert len(want) == len(have) and all(a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-6) for a, b in zip(want, have))
+    assert Counter(map(len, states)).keys() == set(range(depth + 1))
+    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out) + 10
+    known = {x for d, w in split if not held(d) for x in w}
+    for context in ((), ("t0",), ("t0", "t3"), ("t1", "t4", "t2")):  # a distribution over the vocabulary and one unseen word
+        w = list(context)
+        assert math.isclose(sum(prob([*w, x], len(w)) for x in [*known, "unseen"]), 1, abs_tol=1e-9)
