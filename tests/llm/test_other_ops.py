@@ -388,3 +388,57 @@ def test_mix_small_sources_and_shared_ids(spark, monkeypatch):
         own = [r for r in got if r.source == source]
         taken, target = sum(r.taken for r in own), own[0].target
         assert abs(taken - target) <= max(3, 0.02 * target) and all(0 <= r.taken <= 2 * r.size for r in own)
+
+
+def naive_mix(rows, hashes, weights=(5, 2, 1), share=1.5, most=2, block=64, seed=17, shard_words=250_000, cells=1 << 16):
+    """(taken, copies) of each row by the definition: one block at a time to the highest quotient, streams word by word.  ``hashes``:
+    (order, cell) of each row."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    names = sorted({r[3] for r in rows}, key=lambda x: (x is None, (x or "").encode()))
+    words_of = [sum(n for n, r in zip(size, rows) if r[3] == s) for s in names]
+    goal = targets(words_of, [weights[i % len(weights)] for i in range(len(names))], share * sum(words_of), most)
+    block = max(1, min(block, int(min((t for t in goal if t), default=block) // 16)))
+    streams = {}
+    for i, (r, (order, cell)) in enumerate(zip(rows, hashes)):
+        shards = min(cells, max(1, -(-words_of[names.index(r[3])] // shard_words)))
+        streams.setdefault((names.index(r[3]), cell % cells % shards), []).append((order, r[0] is not None, r[0] or 0, size[i], i))
+    keys = sorted(streams)
+    n_words = {k: sum(x[3] for x in streams[k]) for k in keys}
+    blocks = {k: -(-n_words[k] // block) for k in keys}
+
+    def seats(votes, caps, n):
+        got = [0] * len(votes)
+        for _ in range(min(n, sum(caps))):
+            open_ = [j for j in range(len(votes)) if got[j] < caps[j] and votes[j] > 0]
+            if not open_:
+                break
+            got[max(open_, key=lambda j: (votes[j] / (2 * got[j] + 1), -j))] += 1
+        return got
+
+    quota = seats(goal, [most * sum(blocks[k] for k in keys if k[0] == i) for i in range(len(names))], round(sum(goal) / block))
+    out = {}
+    for i in range(len(names)):
+        own = [k for k in keys if k[0] == i]
+        for k, q in zip(own, seats([n_words[k] for k in own], [most * blocks[k] for k in own], quota[i])):
+            b = blocks[k]
+            first = (k[1] * 2654435761 + seed * 40503) % b if b else 0
+            last = {(first + j) % b for j in range(q % b)} if b else set()
+            at = 0
+            for _, _, _, n, row in sorted(streams[k]):
+                extra = sum((at + j) // block in last for j in range(n))
+                out[row] = ((q // b if b else 0) * n + extra, (q // b if b else 0) + (at // block in last))
+                at += n
+    return size, out
+
+
+def test_mix_matches_naive(spark, monkeypatch):
+    """Every row's words and copies, with many shards, null and shared ids, empty texts and a source of a few words."""
+    monkeypatch.setattr("oneway.llm.mixing.SHARD_WORDS", 700)
+    rows = [(None if i % 5 == 0 else i, words(1 + i * 7 % 90, i), "en", ["a", "b", None, "ü", "a", "a"][i % 6], 0) for i in range(260)] + [(9001, "one two three", "en", "tiny", 0), (9002, "", "en", "b", 0), (9003, None, "en", None, 0)]
+    frame = docs(spark, rows)
+    own = (F.col("doc_id"), F.xxhash64("text"))
+    hashed = frame.select("doc_id", "text", F.xxhash64(F.lit(17), *own).alias("o"), F.pmod(F.xxhash64(F.lit(18), *own), F.lit(1 << 16)).alias("c")).collect()
+    by = {(r.doc_id, r.text): (r.o, r.c) for r in hashed}
+    size, want = naive_mix(rows, [by[r[0], r[1]] for r in rows], shard_words=700)
+    got = {(r.doc_id, r.text): (r.size, r.taken, r.copies) for r in mix_sources(frame).collect()}
+    assert got == {(r[0], r[1]): (size[i], *want[i]) for i, r in enumerate(rows)}
