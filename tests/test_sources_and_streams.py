@@ -40,14 +40,49 @@ def test_formats():
     assert S.question(bytes(4) + b"\0\1" + bytes(6) + b"\1a\0") == ("a", "A") and S.question(bytes(4) + b"\0\1" + bytes(6) + b"\1a\0\0\x63\0\1") == ("a", "99")
 
 
+def ng(order, resolution, blocks):
+    """A pcapng section with one Ethernet interface and packet blocks of (ticks, frame)."""
+    block = lambda kind, body: (lambda b: struct.pack(f"{order}II", kind, 12 + len(b)) + b + struct.pack(f"{order}I", 12 + len(b)))(body + bytes(-len(body) % 4))
+    out = block(0x0A0D0D0A, struct.pack(f"{order}IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(99, b"whatever")
+    out += block(1, struct.pack(f"{order}HHI", 1, 0, 65535) + (struct.pack(f"{order}HHB3xHH", 9, 1, resolution, 0, 0) if resolution is not None else b""))
+    return out + b"".join(block(6, struct.pack(f"{order}5I", 0, t >> 32, t & 0xFFFFFFFF, len(f), len(f)) + f) for t, f in blocks)
+
+
+def test_pcapng(spark, tmp_path):
+    frame = S.frame_of(X.packet(0, "1.2.3.4", "5.6.7.8", src_port=1111, tcp_tsval=7, tcp_tsecr=9, tcp_flags=24, length=3))
+    for order, resolution, ticks in (("<", None, 1_250_000), (">", 9, 1_250_000_000), ("<", 0x81, 2)):
+        data = ng(order, resolution, [(ticks, frame)])
+        (row,) = S.decode(data + data[:20])  # a second section that is cut off
+        assert row[1] == (1.25 if resolution != 0x81 else 1.0) and row[2:6] == ("1.2.3.4", "5.6.7.8", 1111, 443) and row[9:11] == (7, 9)
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.pcapng").write_bytes(ng("<", None, [(1_000_000, frame), (2_000_000, frame[:30]), (3_000_000, bytes(60))]))
+    (folder / "b.pcap").write_bytes(b"".join(S.capture(iter([X.packet(1.0, "1.1.1.1", "2.2.2.2")]))))
+    assert S.read_pcap(spark, str(folder)).count() == 2
+    with pytest.raises(Exception, match="not a capture"):
+        S.read_pcap(spark, str(folder), "classic").count()
+    (folder / "c.pcap").write_bytes(b"junk, no capture at all")
+    assert S.read_pcap(spark, str(folder), "permissive").count() == 2
+    got = {r.path.rsplit("/", 1)[1]: (r.frames, r.packets, r.malformed, r.unsupported) for r in S.capture_quality(spark, str(folder)).collect()}
+    assert got == {"a.pcapng": (3, 1, 1, 1), "b.pcap": (1, 1, 0, 0), "c.pcap": (1, 0, 1, 0)}
+
+
+def test_built_frames_are_sound():
+    frame = S.frame_of(X.packet(0, "10.0.0.1", "10.0.0.2", tcp_tsval=1, length=5))
+    total = sum(struct.unpack("!10H", frame[14:34]))
+    assert (total & 0xFFFF) + (total >> 16) == 0xFFFF  # the header's checksum holds
+    assert list(S.tcp_options(b"\x01\x02\x04\x05\xb4\x08\x0a" + bytes(8) + b"\0\x09")) == [(1, b""), (2, b"\x05\xb4"), (8, bytes(8))]
+    assert list(S.tcp_options(b"\x08\x0b" + bytes(8))) == [] and S.timestamps(b"\x08\x01") == (None, None)
+
+
 def test_paced_replay(tmp_path):
     path = tmp_path / "x.pcap"
     path.write_bytes(b"".join(S.capture(iter([X.packet(t, "1.1.1.1", "2.2.2.2", proto="UDP", dst_port=9) for t in (10.0, 11.0, 10.5, 12.5)]))))
     reader = S.PacedReader({"path": str(path), "speed": "10"})
-    assert [round(d, 3) for d in reader.due] == [0.0, 0.1, 0.1, 0.3]
+    assert [round(d, 3) for d, _ in reader.timed()] == [0.0, 0.1, 0.1, 0.3]
     reader.started = __import__("time").monotonic() - 0.2
     rows, end = reader.read(reader.initialOffset())
-    assert end == {"at": 3} and len(list(rows)) == 3 and len(list(reader.readBetweenOffsets({"at": 1}, {"at": 3}))) == 2
+    assert end == {"at": 3} and len(list(rows)) == 3 and reader.read({"at": 3})[1] == {"at": 3} and len(list(reader.readBetweenOffsets({"at": 1}, {"at": 3}))) == 2
     with pytest.raises(ValueError):
         S.PacedReader({"path": str(path), "speed": "0"})
 
