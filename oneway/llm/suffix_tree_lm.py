@@ -11,8 +11,8 @@ bounds what is kept, so the tree grows with the corpus.
 
 Scale: no task holds the tree.  Documents lie in blocks of bounded size.  For each order of n-gram, and each order of context, a block
 sends its distinct keys with its own sums to their ranges of keys; a range adds up what all blocks sent and answers each block for
-its own keys.  Keys of an order are sent only where the context reached ``least``.  A key that every block has is one row per block,
-so hot contexts are spread like all others.  Blocks are written once, bucketed, and not shuffled again.
+its own keys.  Keys of an order are sent only where the context reached ``least``.  A key that every block has is one entry per block,
+so hot contexts are spread like all others.  Blocks and answers are written once, in the same buckets, and not shuffled again.
 
 Rows: null and empty texts are one end token.  Repeated rows are documents of their own (counted, and sent once).  A null doc_id is
 training.  An empty training set knows no words.  Words are identified by 64-bit hashes, longer n-grams by hashes of at least
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oneway.llm.shared import bucketed, materialize, partitions
+from oneway.llm.shared import bucketed
 from oneway.llm.textkit import U64, Words, chunks, longs, mix, pack, text_buffer, text_bytes, unpack
 
 #: Training occurrences of a context that may be a state.
@@ -42,7 +42,7 @@ DEPTH = 3
 #: Bytes of text in a block.
 BLOCK_BYTES = 6 << 20
 #: Gains are added up as whole numbers, so that their order does not matter.
-UNIT = float(1 << 20)
+UNIT = float(1 << 10)
 END = mix(np.array([0xE0F], U64))[0]
 
 _TEXTS = "bucket int, data binary"
@@ -198,36 +198,38 @@ def _pack_texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
     yield from flush()
 
 
-def _block(texts: pd.DataFrame, told: pd.DataFrame, kinds: list[str], o: dict) -> tuple[Block, np.ndarray]:
-    """A block with all it was told, and its documents' numbers (id, copies, bytes, null, held out)."""
-    numbers, raw = [], []
-    for blob in texts["data"]:
-        own, data = unpack(blob)
-        own, data, at = own.reshape(5, -1), data.tobytes(), 0
-        numbers.append(own)
-        for n in own[2].tolist():
-            raw.append(data[at : at + n])
-            at += n
-    numbers = np.concatenate(numbers, axis=1) if numbers else np.empty((5, 0), np.int64)
-    block = Block(raw, numbers[4] == 0, numbers[1], o)
-    answers: dict[str, dict[int, np.ndarray]] = {}
-    for kind, r, data in zip(told["kind"], told["range"], told["data"]):
-        answers.setdefault(kind, {})[int(r)] = from_planes(unpack(data)[0])
-    for kind in kinds:
-        block.tell(kind, answers.get(kind, {}))
-    return block, numbers
-
-
-def _asks(texts: pd.DataFrame, told: pd.DataFrame, known: list[str], wanted: list[str], o: dict) -> pd.DataFrame:
-    out = []
-    if len(texts):
-        bucket = int(texts["bucket"].iloc[0])
-        block, _ = _block(texts, told, known, o)
+def _blocks(batches: Iterator[pa.RecordBatch], kinds: list[str], o: dict) -> Iterator[tuple[int, Block, np.ndarray]]:
+    """(bucket, block with all it was told, its documents' numbers: id, copies, bytes, null, held out) of each row."""
+    for batch in batches:
+        names = [c for c in batch.schema.names if c.startswith("told")]
+        for i in range(batch.num_rows):
+            numbers, raw = [], []
+            for blob in batch.column("texts")[i].values:
+                own, data = unpack(blob.as_buffer())
+                own, data, at = own.reshape(5, -1), data.tobytes(), 0
+                numbers.append(own)
+                for n in own[2].tolist():
+                    raw.append(data[at : at + n])
+                    at += n
+            numbers = np.concatenate(numbers, axis=1)
+            block = Block(raw, numbers[4] == 0, numbers[1], o)
+            del raw
+            answers: dict[str, dict[int, np.ndarray]] = {}
+            for name in names:
+                for x in batch.column(name)[i].values or ():
+                    answers.setdefault(x["kind"].as_py(), {})[x["range"].as_py()] = from_planes(unpack(x["data"].as_buffer())[0])
+            for kind in kinds:
+                block.tell(kind, answers.pop(kind, {}))
+            yield batch.column("bucket")[i].as_py(), block, numbers
+
+
+def _asks(batches: Iterator[pa.RecordBatch], known: list[str], wanted: list[str], o: dict) -> Iterator[pa.RecordBatch]:
+    for bucket, block, _ in _blocks(batches, known, o):
         for kind in wanted:
             keys, values = block.ask(kind)
-            for r, lo, hi in ranges(keys, kind, o):
-                out.append((r, bucket, kind, pack(planes(np.diff(keys[lo:hi], prepend=U64(0)).view(np.int64)), planes(values[lo:hi]))))
-    return pd.DataFrame(out, columns=["range", "bucket", "kind", "data"]).astype({"range": "int32", "bucket": "int32"})
+            out = [(r, pack(planes(np.diff(keys[lo:hi], prepend=U64(0)).view(np.int64)), planes(values[lo:hi]))) for r, lo, hi in ranges(keys, kind, o)]
+            columns = [pa.array([x[0] for x in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array([kind] * len(out), pa.string()), pa.array([x[1] for x in out], pa.binary())]
+            yield pa.record_batch(columns, names=["range", "bucket", "kind", "data"])
 
 
 def _answers(asked: pd.DataFrame) -> pd.DataFrame:
@@ -248,17 +250,14 @@ def _answers(asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "range", "kind", "data", "tokens", "known"]).astype({"bucket": "int32", "range": "int32"})
 
 
-def _scores(texts: pd.DataFrame, told: pd.DataFrame, kinds: list[str], o: dict) -> pd.DataFrame:
-    out = []
-    if len(texts):
-        block, numbers = _block(texts, told, kinds, o)
-        at = block.first[:-1]
-        total = lambda x: np.add.reduceat(x, at) if len(at) else np.empty(0)
+def _scores(batches: Iterator[pa.RecordBatch], kinds: list[str], o: dict) -> Iterator[pa.RecordBatch]:
+    for _, block, numbers in _blocks(batches, kinds, o):
+        at, copies = block.first[:-1], numbers[1]
+        total = lambda x: np.repeat(np.add.reduceat(x, at), copies)  # noqa: E731, B023
+        again = [np.repeat(x, copies) for x in numbers]
         base, score = (total(np.log10(block.probability(k, False))) for k in (0, o["depth"]))
-        rows = zip(*(x.tolist() for x in (numbers[0], numbers[3], numbers[4], np.diff(block.first), total((block.n[1] > 0).astype(np.int64)), base, score, numbers[1])))
-        for d, null, held, n, known, b, s, copies in rows:
-            out += [(None if null else d, bool(held), n, known, b, s)] * copies
-    return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).astype({"doc_id": "Int64"})
+        columns = [pa.array(again[0], mask=again[3] > 0), pa.array(again[4] > 0), pa.array(np.repeat(np.diff(block.first), copies)), pa.array(total((block.n[1] > 0).astype(np.int64))), pa.array(base), pa.array(score)]
+        yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def fit_and_score(
@@ -271,20 +270,23 @@ def fit_and_score(
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"), held_out.alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = partitions(spark, size, block_bytes)
-    o = {"depth": depth, "least": least, "divergence": divergence, "weight": weight, "ranges": n, "bits": min(63, max(32, int(size + 1).bit_length() + 16)), "tokens": 0, "known": 0}
-    texts = bucketed(docs.mapInArrow(lambda it: _pack_texts(it, n), _TEXTS), "blocks", "bucket", n).groupBy("bucket")
-    told = spark.createDataFrame([], _TOLD)
+    n = max(1, -(-size // block_bytes))
+    o = {"depth": depth, "least": least, "divergence": divergence, "weight": weight, "ranges": -(-n // 3), "bits": min(63, max(32, int(size + 1).bit_length() + 16)), "tokens": 0, "known": 0}
+    texts = bucketed(docs.mapInArrow(lambda it: _pack_texts(it, n), _TEXTS), "blocks", "bucket", n)
+    rows = texts.groupBy("bucket").agg(F.collect_list("data").alias("texts"))
     known: list[str] = []
 
-    def each_block(f: Callable[..., pd.DataFrame], schema: str, *args) -> DataFrame:
+    def each_block(f: Callable[..., Iterator[pa.RecordBatch]], schema: str, *args) -> DataFrame:
         args = (*(list(x) for x in args), dict(o))  # as they are now
-        return texts.cogroup(told.groupBy("bucket")).applyInPandas(lambda t, a: f(t, a, *args), schema)
+        return rows.mapInArrow(lambda it: f(it, *args), schema)
 
     for step in range(1, depth + 2):
         wanted = ["n1", "n2"] if step == 1 else [f"g{step - 1}", *([f"n{step + 1}"] if step <= depth else [])]
         asked = each_block(_asks, _ASKED, known, wanted)
-        told = told.unionByName(materialize(asked.groupBy("range").applyInPandas(_answers, _TOLD), "answers"))
+        told = bucketed(asked.groupBy("range").applyInPandas(_answers, _TOLD), "answers", "bucket", n)
+        # both sides lie in the same buckets, so the join moves nothing
+        own = told.groupBy("bucket").agg(F.collect_list(F.struct("range", "kind", "data")).alias(f"told{step}"))
+        rows = rows.join(own.hint("merge"), "bucket", "left")
         known += wanted
         if step == 1:
             o["tokens"], o["known"] = (x or 0 for x in told.agg(F.sum("tokens"), F.sum("known")).first())
