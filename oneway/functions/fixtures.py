@@ -101,6 +101,16 @@ def beacon(seed: int, n: int = 15, period: float = 60.0, jitter: float = 0.13, d
     return [packet(period * i + rng.uniform(-jitter, jitter) * period / 2 + 0.01 * k, src, dst, src_port=22000 + i, dst_port=dst_port, proto=proto, length=size, tcp_flags=ACK | PSH if proto == "TCP" else 0, tcp_ack=1 + 100 * k if proto == "TCP" else None) for i in range(n) for k in range(3)]
 
 
+def doh_beacon(seed: int, n: int = 15) -> list[dict]:
+    """Check-ins with a resolver over HTTPS: acknowledged data and no name in sight."""
+    return beacon(seed, n, dst_port=443, dst="192.0.2.8")
+
+
+def quic_beacon(seed: int, n: int = 15) -> list[dict]:
+    """Check-ins over UDP: nothing acknowledged in the clear."""
+    return beacon(seed, n, proto="UDP", size=640)
+
+
 def reconstruction(seed: int, acks: int = 40, total: int = 100_000, first: int = 1) -> tuple[list[dict], int]:
     """One flow whose ACKs acknowledge ``total`` bytes of the other side, across a wrap if it comes to that."""
     rng = random.Random(seed)
@@ -133,5 +143,12 @@ SCENARIOS = [
     ("syn flood", syn_flood, "syn_flood"), ("udp flood", udp_flood, "udp_flood"), ("reflection", reflection, "reflection_amplification"),
     ("synack reflection", synack_reflection, "reflection_amplification"), ("slow http", slow_http, "slowloris"), ("tunnel", tunnel, "dns_tunnelling"),
     ("generated names", generated_names, "dga_domain"), ("beacon", beacon, "c2_beaconing"),
-    ("resolver beacon", lambda s: beacon(s, dst_port=443, dst="192.0.2.8"), "c2_beaconing"), ("udp beacon", lambda s: beacon(s, proto="UDP", size=640), "c2_beaconing"),
+    ("resolver beacon", doh_beacon, "c2_beaconing"), ("udp beacon", quic_beacon, "c2_beaconing"),
+]
+
+#: Captures to test tools with: name, what they hold, and the threats in them.
+CAPTURES = [
+    ("mixed", (background, syn_flood, slow_http, tunnel, generated_names), ("syn_flood", "slowloris", "dns_tunnelling", "dga_domain")), ("benign", (background, cdn), ()),
+    ("syn_flood", (background, syn_flood), ("syn_flood",)), ("slowloris", (background, slow_http), ("slowloris",)), ("dns_tunnel", (background, tunnel), ("dns_tunnelling",)),
+    ("dga_beacon", (generated_names, beacon), ("dga_domain", "c2_beaconing")),
 ]

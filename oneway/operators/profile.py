@@ -51,3 +51,9 @@ def compare(captures: dict[str, DataFrame]) -> DataFrame:
         rows = packets.withColumn("scenario", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return profile(out, ["scenario"])
+
+
+def with_quality(profiles: DataFrame, counts: DataFrame, by: str = "scenario") -> DataFrame:
+    """Profiles with malformed and unsupported frames as counted (by name), and the share of packets in all frames."""
+    seen = F.col("packets") + F.col("malformed") + F.col("unsupported")
+    return profiles.drop("quality_pct").join(counts, by).withColumn("quality_pct", 100 * ratio("packets", F.when(seen > 0, seen)))

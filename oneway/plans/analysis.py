@@ -16,7 +16,10 @@ from oneway.operators.alerts import alerts, packet_hashes
 from oneway.operators.beacon import score_beacons
 from oneway.operators.estimators import estimate
 from oneway.operators.flows import flows
+from oneway.operators.dga import score_names
 from oneway.operators.profile import profile
+from oneway.sources.pcap import PcapDataSource, write_pcap
+from oneway.streaming.windows import first_alerts, unaligned_windows
 
 
 @dataclass
@@ -36,14 +39,34 @@ class Analysis:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1", key: bytes = b"sensor-signing-key", now: float | None = None) -> Analysis:
-    """Flows, alerts, sealed evidence, incidents and a profile of one window.
+_TAG = r"w[0-9]+/|-w[0-9]+(?![0-9A-Za-z])"
+
+
+def windowed_alerts(packets: DataFrame, window_s: float) -> DataFrame:
+    """The first alert of each threat and flow key over unaligned windows, with window_no.
+
+    Addresses and names carry their window's number while they are judged, so all windows are one plan and windows never mix.
+    """
+    rows = unaligned_windows(packets.withColumn("sensor_id", F.lit("capture")), window_s)
+    tag = F.concat(F.lit("w"), F.col("window_no").cast("string"))
+    ips = {c: F.concat(tag, F.lit("/"), c) for c in ("src_ip", "dst_ip")}
+    found = alerts(rows.withColumns({**ips, "dns_qname": F.concat("dns_qname", F.lit("-"), tag)}).drop("sensor_id", "window_no", "window_start"), window_s)
+    number = F.regexp_extract(F.concat_ws(" ", "flow_key", "subject"), "w([0-9]+)(/|$| )|-w([0-9]+)$", 0)
+    found = found.withColumn("window_no", F.regexp_extract(number, "([0-9]+)", 1).cast("long"))
+    plain = {c: F.regexp_replace(c, _TAG, "") for c in ("flow_key", "subject", "title", "evidence_key")}
+    found = found.withColumns(plain).withColumn("order", F.struct("window_no", "branch", "seq"))
+    return first_alerts(found, order="order").drop("order")
+
+
+def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1", key: bytes = b"sensor-signing-key", now: float | None = None, windows: bool = False) -> Analysis:
+    """Flows, alerts, sealed evidence, incidents and a profile of one window, or with ``windows`` of as many as the packets fill, of which
+    each threat and flow key is told once.
 
     Evidence hashes stand for the packets of the first flow an alert rests on; each alert's digest is sealed in order, eight to a block.
     """
     table = flows(packets)
     end = F.lit(float(now)) if now is not None else None
-    found = alerts(packets, window_s)
+    found = windowed_alerts(packets, window_s) if windows else alerts(packets, window_s)
     last = packets.agg((F.max_by("ts", "frame_no") + 1).alias("ts"))  # one row
     found = found.join(F.broadcast(last), F.lit(True)) if end is None else found.withColumn("ts", end)
     found = found.withColumn("order", F.col("branch").cast("long") * (1 << 56) + F.col("seq"))
@@ -120,3 +143,37 @@ def validate_captures(found: DataFrame, expected: DataFrame) -> DataFrame:
     sets = found.groupBy("capture").agg(F.array_sort(F.collect_set("threat")).alias("found"))
     rows = expected.join(sets, "capture", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     return rows.withColumns({"passed": F.arrays_overlap("threats", "found"), "extra": F.array_except("found", "threats")})
+
+
+def degradation(spark: SparkSession, trials: int = 10) -> DataFrame:
+    """What is left of a beacon when it hides in other protocols: per variant the shares of trials with a beacon and with a generated name
+    raised, and of flows whose unseen side is known from acknowledgements rather than from the prior."""
+    variants = (("plain", X.beacon), ("doh", X.doh_beacon), ("quic", X.quic_beacon))
+    packets = [p for name, make in variants for t in range(trials) for p in _tagged(make(7000 + t), f"{name}{t}")]
+    frame = X.frame(spark, packets)
+    variant, trial = (lambda c: F.regexp_extract(c, "^([a-z]+)", 1)), (lambda c: F.regexp_extract(c, "^([a-z]+[0-9]+)/", 1))
+    raised = alerts(frame).withColumn("trial", trial("flow_key")).groupBy("trial").agg(F.max((F.col("threat") == "c2_beaconing").cast("int")).alias("beacon"), F.max((F.col("threat") == "dga_domain").cast("int")).alias("dga"))
+    known = spark.createDataFrame([(n, f"{n}{t}") for n, _ in variants for t in range(trials)], "variant string, trial string")
+    rates = known.join(raised, "trial", "left").groupBy("variant").agg(F.avg(F.coalesce("beacon", F.lit(0))).alias("beacon_rate"), F.avg(F.coalesce("dga", F.lit(0))).alias("dga_rate"))
+    acks = estimate(frame).groupBy(variant("src_ip").alias("variant")).agg(F.avg(F.col("by_acks").cast("int")).alias("known_by_acks"))
+    return rates.join(acks, "variant")
+
+
+def name_auc(spark: SparkSession, n: int = 150) -> DataFrame:
+    """How well the name score ranks generated names over ordinary ones."""
+    names = [(x, 1) for x in X.arithmetic_names(11, n)] + [(f"www.{a}{b}.org", 0) for a in X.NAMES for b in ("", *X.NAMES)]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(names)], "id long, qname string, generated int")
+    return ME.auc(score_names(rows), "prob", "generated")
+
+
+def write_captures(spark: SparkSession, folder: str, seed: int = 1) -> DataFrame:
+    """The labelled captures, one folder each, on a path the executors mount; returns capture and threats."""
+    spark.dataSource.register(PcapDataSource)
+    for name, makers, _ in X.CAPTURES:
+        write_pcap(X.frame(spark, [p for i, make in enumerate(makers) for p in make(seed + i)]), f"{folder}/{name}")
+    return spark.createDataFrame([(n, list(t)) for n, _, t in X.CAPTURES], "capture string, threats array<string>")
+
+
+def tampered(chain: DataFrame, index: int = 1) -> DataFrame:
+    """The chain with one block's root exchanged."""
+    return chain.withColumn("merkle_root", F.when(F.col("index") == index, F.sha2(F.lit("tampered"), 256)).otherwise(F.col("merkle_root")))

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import time
 
@@ -8,7 +9,7 @@ from oneway.functions import fixtures as X
 from oneway.operators import ledger as LE
 from oneway.plans import analysis as A
 from oneway.sources import pcap as S
-from oneway.streaming.replay import Progress, Replay, landing_stream
+from oneway.streaming.replay import Progress, Replay, landing_stream, rejected
 
 
 def test_analysis_is_sealed_and_verifies(spark, tmp_path):
@@ -17,6 +18,14 @@ def test_analysis_is_sealed_and_verifies(spark, tmp_path):
     read = lambda n: spark.read.parquet(str(tmp_path / "out" / n))
     evidence = read("evidence").collect()
     assert {r.threat for r in evidence} == {"syn_flood", "dns_tunnelling", "dga_domain"} and all(r.verified and r.merkle_root for r in evidence)
+    # evidence stands for the packets of a flow that is there, and no two digests are equal
+    keys = {r.flow_key: r.packets for r in read("flows").collect()}
+    assert all(r.evidence_key in keys and r.pkt_root != LE.EMPTY for r in evidence) and len({r.digest for r in evidence}) == len(evidence)
+    for r in evidence:
+        level = [hashlib.sha256(f"{r.evidence_key}:{i}".encode()).hexdigest() for i in range(min(64, keys[r.evidence_key]))]
+        while len(level) > 1:
+            level = [hashlib.sha256(bytes.fromhex(level[i]) + bytes.fromhex(level[min(i + 1, len(level) - 1)])).hexdigest() for i in range(0, len(level), 2)]
+        assert r.pkt_root == level[0]
     assert LE.verify_chain(read("chain"), b"sensor-signing-key").first().intact
     incidents = read("incidents").collect()
     assert incidents[0].incident_id == "INC-0001" and sum(r.alerts for r in incidents) == len(evidence)
@@ -24,6 +33,33 @@ def test_analysis_is_sealed_and_verifies(spark, tmp_path):
     assert read("profile").first().packets == read("flows").agg(F.sum("packets")).first()[0]
 
 
+def test_windows_are_judged_apart_in_one_plan(spark):
+    """What overflows a window is judged in the next, threats are told once, and names and keys come back untagged."""
+    late = lambda rows, s: [p | {"ts": p["ts"] + s} for p in rows]
+    packets = X.frame(spark, X.syn_flood(1) + late(X.syn_flood(2), 700) + late(X.tunnel(3), 1500) + late(X.generated_names(4), 2300))
+    got = sorted((r.threat, r.window_no, r.flow_key, r.subject) for r in A.windowed_alerts(packets, 600.0).collect())
+    names = [r for r in got if r[0] == "dga_domain"]
+    assert [r for r in got if r[0] != "dga_domain"] == [("dns_tunnelling", 2, "*->t-exfil.net", "t-exfil.net"), ("syn_flood", 0, "*->198.51.100.90", "198.51.100.90")]
+    assert len({r[2] for r in names}) == 1 and names[0][1] == 3 and names[0][3].endswith(".info") and names[0][2] == "10.81.0.3->192.0.2.53"
+
+
+def test_degradation_auc_and_captures(spark, tmp_path):
+    got = {r.variant: (r.beacon_rate, r.dga_rate, r.known_by_acks) for r in A.degradation(spark, 3).collect()}
+    assert {k: v[:2] for k, v in got.items()} == dict.fromkeys(("plain", "doh", "quic"), (1.0, 0.0)) and got["quic"][2] == 0 < got["doh"][2] == got["plain"][2]
+    assert A.name_auc(spark).first().auc >= 0.93
+    labels = A.write_captures(spark, str(tmp_path)).collect()
+    for r in labels[1:4]:
+        found = {x.threat for x in A.analyze(S.read_pcap(spark, f"{tmp_path}/{r.capture}")).alerts.select("threat").distinct().collect()}
+        assert found == set(r.threats)
+
+
+def test_upload_checks(spark, tmp_path):
+    for name, data in (("a.pcap", b"x" * 50), ("b.PCAPNG", b"x"), ("c.txt", b"x"), ("d.cap", b""), ("e.pcap", b"x" * 500)):
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r.status for r in rejected(spark, str(tmp_path), 100).collect()}
+    assert {k: v for k, v in got.items() if k != "d.cap"} == {"c.txt": 415, "e.pcap": 413} and got.get("d.cap", 400) == 400  # Spark may not list empty files
+
+
 def test_evaluation_meets_the_floors(spark):
     got = A.evaluate(spark, 2)
     raised = {}
@@ -66,9 +102,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["analyze", folder, "--json", str(tmp_path / "json")]) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert {x["threat"] for x in lines} == {"syn_flood", "slowloris"}
-    assert cli.main(["analyze", folder, "--window", "600", "--stream"]) == 0
+    assert cli.main(["analyze", folder, "--stream", "--save", str(tmp_path / "saved")]) == 0
     again = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert {x["threat"] for x in again} == {"syn_flood", "slowloris"}
+    stored = spark.read.parquet(str(tmp_path / "saved" / "alerts")).collect()
+    assert {(r.threat, r.flow_key, r.window_no) for r in stored} == {(x["threat"], x["flow_key"], x["window_no"]) for x in again}
+    assert cli.main(["replay", folder, "--speed", "100"]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["packets"] == 840
     assert cli.main(["profile", folder]) == 0 and '"packets":840' in capsys.readouterr().out
 
 
