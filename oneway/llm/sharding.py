@@ -26,6 +26,8 @@ from oneway.llm.shared import materialize, new_path
 BITS = 60
 #: Directories up to this many cells are broadcast (24 bytes each); larger ones are joined by shuffle.
 BROADCAST_CELLS = 200_000
+#: Prefixes of up to so many bits (at most 2 ** (SHORT + 1) of them) are broadcast.
+SHORT = 12
 ADDED = ("shard", "depth", "page", "bytes")
 
 
@@ -45,7 +47,11 @@ def _cells(keyed: DataFrame, least: int, most: int, limit: int) -> DataFrame:
     fits = levels.groupBy("d", "p").agg(F.sum("b").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.max("most").alias("most"))
     fits = fits.where((F.col("b") <= limit) | (F.col("lo") == F.col("hi")))
     fits = fits.withColumn("capacity", F.when(F.col("b") > limit, F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("most", F.lit(1))))))
-    leaf = levels.select("cell", "d", "p").join(fits.select("d", "p", "capacity"), ["d", "p"]).groupBy("cell").agg(F.min(F.struct("d", "capacity")).alias("leaf"))
+    # all cells share the short prefixes, of which there are few: those are broadcast
+    short = F.col("d") <= SHORT
+    cells, fits = levels.select("cell", "d", "p"), fits.select("d", "p", "capacity")
+    held = cells.where(short).join(F.broadcast(fits.where(short)), ["d", "p"]).unionByName(cells.where(~short).join(fits.where(~short), ["d", "p"]))
+    leaf = held.groupBy("cell").agg(F.min(F.struct("d", "capacity")).alias("leaf"))
     return fine.select("cell").join(leaf, "cell", "left").select("cell", F.col("leaf.d").alias("depth"), F.col("leaf.capacity").alias("capacity"))
 
 
