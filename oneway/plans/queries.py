@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,6 +269,25 @@ def D28_ngram_net(spark, d):
     return DG.score_with_net(names, DG.train_net(sample))
 
 
+def _fixed_net() -> DG.NgramNet:
+    """A network whose weights are a formula, so that SQL can have the same."""
+    j, h = np.arange(16384 + len(DG.STATS))[:, None], np.arange(2)[None, :]
+    return DG.NgramNet(((j * 7 + h * 3) % 11 - 5) / 40.0, np.array([0.1, -0.2]), np.array([0.8, -0.6]), -0.1, 0.5)
+
+
+_W = lambda j, h: f"((({j}) * 7 + {h * 3}) % 11 - 5) / 40.0"
+_NAMED = O.features(_MIX).replace(f"{O.LABEL} AS label", f"string_split({O._TRIM}, '.')[1] AS label")
+_GRAM = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(s, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 16384"
+_STATS = ("label_length / 32", "entropy / 5", "digit_ratio", "vowel_ratio", "max_cons_run / 10", "englishness")
+_HIDDEN = [f"greatest(0.0, coalesce(list_sum(list_transform(g, lambda b: {_W('b', h)})), 0) + {' + '.join(f'({x}) * {_W(16384 + i, h)}' for i, x in enumerate(_STATS))} + {b})" for h, b in ((0, 0.1), (1, -0.2))]
+
+
+@query(f"""SELECT qname, label, round(p, 6) AS prob, p >= 0.5 AS is_dga FROM (SELECT qname, label, CASE WHEN label_length < 4 THEN 0.0 ELSE 1 / (1 + exp(-(0.8 * {_HIDDEN[0]} - 0.6 * {_HIDDEN[1]} - 0.1))) END AS p FROM (
+  SELECT *, list_transform(flatten(list_transform([1, 2, 3, 4], lambda k: list_transform(range(1, length(label) - k + 2), lambda i: substr(label, i, k)))), lambda s: {_GRAM}) AS g FROM ({_NAMED}) f))""")
+def D28_net_scores(spark, d):
+    return DG.score_with_net(adapter(spark, d, "labels_mix"), _fixed_net()).withColumn("prob", F.round("prob", 6))
+
+
 # --- alerts ------------------------------------------------------------------------------------------------------------------
 
 
