@@ -16,7 +16,7 @@ so hot contexts are spread like all others.  Blocks and answers are written once
 
 Rows: null and empty texts are one end token.  Repeated rows are documents of their own (counted, and sent once).  A null doc_id is
 training.  An empty training set knows no words.  Words are identified by 64-bit hashes, longer n-grams by hashes of at least
-2**16 times as many values as the corpus has bytes.  Extra columns are ignored.
+2**13 times as many values as the corpus has bytes.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ DIVERGENCE = 0.02
 WEIGHT = 300.0
 DEPTH = 3
 #: Bytes of text in a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Gains are added up as whole numbers, so that their order does not matter.
 UNIT = float(1 << 10)
 END = mix(np.array([0xE0F], U64))[0]
@@ -72,6 +72,24 @@ def from_planes(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a.reshape(8, -1).T).view("<i8").ravel()
 
 
+def distinct(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of ``width`` bits, sorted, and for each key its place among them.  Keys and their places are sorted as one number;
+    of keys too wide for that the upper bits, unless different ones agree in those."""
+    spare = max(1, int(len(keys)).bit_length())
+    wide = max(0, width + spare - 64)
+    both = (keys >> U64(wide)) << U64(spare) | np.arange(len(keys), dtype=U64)
+    both.sort()
+    at = (both & U64((1 << spare) - 1)).astype(np.int64)
+    own = keys[at]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    if wide and (new[1:] & (own[1:] >> U64(wide) == own[:-1] >> U64(wide))).any():
+        return np.unique(keys, return_inverse=True)
+    where = np.empty(len(keys), np.int64)
+    where[at] = np.cumsum(new) - 1
+    return own[new], where
+
+
 class Block:
     """The tokens of a block, and what was told about them so far.
 
@@ -125,7 +143,7 @@ class Block:
     def keys(self, kind: str, at: np.ndarray) -> np.ndarray:
         k = int(kind[1:])
         whole = self.grams(k)[at - 1] if kind[0] == "g" else self.grams(k)[at]
-        return whole if kind == "n1" else whole >> U64(64 - self.o["bits"])
+        return whole >> U64(64 - width(kind, self.o))
 
     def probability(self, k: int, without: bool) -> np.ndarray:
         """Of each token after its longest state of up to k words; ``without``: by the counts of all other occurrences."""
@@ -148,24 +166,28 @@ class Block:
     def ask(self, kind: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, sorted, and the block's own sums for them."""
         at = self.places(kind)
-        keys, where = np.unique(self.keys(kind, at), return_inverse=True)
+        keys, where = distinct(self.keys(kind, at), width(kind, self.o))
         values = self.weight[at] if kind[0] == "n" else self.gains(int(kind[1:]), at)
         return keys, np.bincount(where, weights=values, minlength=len(keys)).astype(np.int64)
 
     def tell(self, kind: str, answers: dict[int, np.ndarray]) -> None:
         """Take in the sums over all blocks, one array for each range of keys."""
         at = self.places(kind)
-        keys, where = np.unique(self.keys(kind, at), return_inverse=True)
+        keys, where = distinct(self.keys(kind, at), width(kind, self.o))
         values = np.concatenate([answers[r] for r, _, _ in ranges(keys, kind, self.o)] or [np.empty(0, np.int64)])
         out = np.zeros(len(self.h), np.int64)
         out[at] = values[where]
         (self.n if kind[0] == "n" else self.gain)[int(kind[1:])] = out
 
 
+def width(kind: str, o: dict) -> int:
+    """Bits of a kind of key."""
+    return 64 if kind == "n1" else o["bits"]
+
+
 def ranges(keys: np.ndarray, kind: str, o: dict) -> Iterator[tuple[int, int, int]]:
     """(range, begin, end) of sorted keys: equal shares of all possible keys."""
-    width = 64 if kind == "n1" else o["bits"]
-    bounds = np.array([(i << width) // o["ranges"] for i in range(1, o["ranges"])], U64)
+    bounds = np.array([(i << width(kind, o)) // o["ranges"] for i in range(1, o["ranges"])], U64)
     cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).tolist()
     for r, (lo, hi) in enumerate(zip(cut, cut[1:])):
         if hi > lo:
@@ -232,14 +254,14 @@ def _asks(batches: Iterator[pa.RecordBatch], known: list[str], wanted: list[str]
             yield pa.record_batch(columns, names=["range", "bucket", "kind", "data"])
 
 
-def _answers(asked: pd.DataFrame) -> pd.DataFrame:
+def _answers(asked: pd.DataFrame, o: dict) -> pd.DataFrame:
     """Add up a range's keys over all blocks, and answer each block for the keys it sent."""
     out = []
     r = int(asked["range"].iloc[0])
     for kind, rows in asked.groupby("kind"):
         parts = [(int(b), *(from_planes(x) for x in unpack(data))) for b, data in zip(rows["bucket"], rows["data"])]
         sent = np.concatenate([np.cumsum(p[1].view(U64), dtype=U64) for p in parts])
-        keys, where = np.unique(sent, return_inverse=True)
+        keys, where = distinct(sent, width(kind, o))
         total = np.zeros(len(keys), np.int64)
         np.add.at(total, where, np.concatenate([p[2] for p in parts]))
         at = 0
@@ -271,7 +293,7 @@ def fit_and_score(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"), held_out.alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    o = {"depth": depth, "least": least, "divergence": divergence, "weight": weight, "ranges": -(-n // 3), "bits": min(63, max(32, int(size + 1).bit_length() + 16)), "tokens": 0, "known": 0}
+    o = {"depth": depth, "least": least, "divergence": divergence, "weight": weight, "ranges": -(-n // 3), "bits": min(63, max(32, int(size + 1).bit_length() + 13)), "tokens": 0, "known": 0}
     texts = bucketed(docs.mapInArrow(lambda it: _pack_texts(it, n), _TEXTS), "blocks", "bucket", n)
     rows = texts.groupBy("bucket").agg(F.collect_list("data").alias("texts"))
     known: list[str] = []
@@ -280,10 +302,13 @@ def fit_and_score(
         args = (*(list(x) for x in args), dict(o))  # as they are now
         return rows.mapInArrow(lambda it: f(it, *args), schema)
 
+    def answers(asked: pd.DataFrame) -> pd.DataFrame:
+        return _answers(asked, o)
+
     for step in range(1, depth + 2):
         wanted = ["n1", "n2"] if step == 1 else [f"g{step - 1}", *([f"n{step + 1}"] if step <= depth else [])]
         asked = each_block(_asks, _ASKED, known, wanted)
-        told = bucketed(asked.groupBy("range").applyInPandas(_answers, _TOLD), "answers", "bucket", n)
+        told = bucketed(asked.groupBy("range").applyInPandas(answers, _TOLD), "answers", "bucket", n)
         # both sides lie in the same buckets, so the join moves nothing
         own = told.groupBy("bucket").agg(F.collect_list(F.struct("range", "kind", "data")).alias(f"told{step}"))
         rows = rows.join(own.hint("merge"), "bucket", "left")

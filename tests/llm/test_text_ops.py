@@ -342,6 +342,15 @@ def test_language_model_base_and_totals(spark):
     assert LM.fit_and_score(empty(spark)).count() == 0
 
 
+def test_distinct_keys():
+    rng = np.random.default_rng(1)
+    few = rng.integers(0, 1 << 40, 300, dtype=np.uint64)
+    for width, keys in ((40, rng.choice(few, 5000)), (64, rng.choice(few << np.uint64(24), 5000)), (64, rng.choice(np.array([1, 2, 3, 1 << 63, (1 << 63) + 1], np.uint64), 5000)), (64, few[:0]), (40, few[:1])):
+        u, where = LM.distinct(keys, width)
+        a, b = np.unique(keys, return_inverse=True)
+        assert (u == a).all() and (where == b).all()
+
+
 def brute_tree(train, depth, least, divergence, weight):
     """The definition over plain dictionaries: probability of a token after what precedes it in its document."""
     count = Counter(tuple(w[i : i + k]) for w in train for k in range(1, depth + 2) for i in range(len(w) - k + 1))
