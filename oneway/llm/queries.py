@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oneway.llm.arc_warc import archive_pages, archive_sql
+from oneway.llm.collocations import collocations, collocations_sql
 from oneway.llm.conversation_repair import damage, repair, repair_sql
 from oneway.llm.decontaminate import decontaminate
 from oneway.llm.mixing import mix_sources
@@ -71,6 +72,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
@@ -80,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_shards": shards_sql(QUERY_SHARD_BYTES), "op3_arc_to_warc": archive_sql(), "op7_top_k": top_k_sql(20, 20, 64), "op13_conversation_repair": repair_sql()}
+    return {"op2_extendible_shards": shards_sql(QUERY_SHARD_BYTES), "op3_arc_to_warc": archive_sql(), "op7_top_k": top_k_sql(20, 20, 64), "op12_collocations": collocations_sql(), "op13_conversation_repair": repair_sql()}
