@@ -10,6 +10,7 @@ from oneway.llm.collocations import collocations, collocations_sql
 from oneway.llm.conversation_repair import damage, repair, repair_sql
 from oneway.llm.decontaminate import decontaminate
 from oneway.llm.mixing import mix_sources
+from oneway.llm.secret_scan import secret_spans, span_digests
 from oneway.llm.sharding import extendible_shards, shards_sql
 from oneway.llm.simhash import simhash_components
 from oneway.llm.substring_dedup import substring_dedup
@@ -72,6 +73,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secret_spans(table(spark, sf_dir, "documents")))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
