@@ -1,20 +1,34 @@
-"""Firewall policy as set operations: decisions are joins of requests with rule tables and one CASE.
+"""Firewall policy: decisions on requests, from rules that operators set and that requests set themselves.
 
-Precedence: allowlist, blocklist, temporary rule in force, threat level, default.  Rules in a log of events are replayed by windows:
-what holds for a source at a time is the last event before it.
+A source is allowed, blocked, blocked for a time, or none of these; every rule replaces the source's former one.  A request that is HIGH and
+that no rule settles blocks its source for TEMPORARY_S seconds.  What operators set is carried along a source's time in buckets; what requests set
+is a fold over the distinct times of such requests, cut wherever a source is silent for as long as a rule lasts, or is given or freed of a rule.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oneway.operators.carry import SPAN_S, last_before
+from oneway.operators.shared import written
+
 CRITICAL, HIGH, MEDIUM, LOW = 0.9, 0.6, 0.3, 0.1
 TEMPORARY_S = 300
+#: Operations of a log: three set a rule, each of the others takes one kind of rule away and does nothing where there is none.
+SETS = {"allow": "disallow", "block": "unblock", "temporary": "remove"}
+LOG = "at double, seq long, source string, op string, expires double, reason string"
+#: The reasons that decisions give.
+REASONS = {
+    "allowlist": "Source is on allowlist", "blocklist": "Source is permanently blocked", "critical": "Critical threat level detected",
+    "high": "High threat level triggered temporary block", "default": "No firewall rule blocked the source",
+}
+AUTOMATIC_REASON, MONITOR_REASON = "High threat level triggered automatic temporary block", " threat level allowed with monitoring"
 
 
 def classify(level: Column) -> Column:
@@ -32,75 +46,147 @@ def valid_source(source: Column) -> Column:
     return F.when(s.isNull() | (s == ""), F.raise_error(F.lit("source must be a non-empty string")).cast("string")).otherwise(s)
 
 
-def evaluate(requests: DataFrame, allow: DataFrame, block: DataFrame, temporary: DataFrame) -> DataFrame:
-    """Requests (source, at, threat_level) with allowed, action, reason and classification.
-
-    ``allow`` and ``block`` list sources; ``temporary`` has source, starts, expires and reason.  A rule in force at the
-    request's time blocks; it has ended at expires itself.  HIGH requests make rules of their own: later requests of that source are
-    blocked for TEMPORARY_S seconds, unless listed; see ``automatic_rules``.
+def valid_log(log: DataFrame) -> DataFrame:
+    """A log of operations (at, seq, source, op, expires, reason); an error for an unknown one, or for a rule that ends when it starts."""
+    known = [*SETS, *SETS.values()]
+    op = F.when(F.col("op").isin(known), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("no such operation: "), F.coalesce("op", F.lit("null")))).cast("string"))
+    ends = F.when((F.col("op") != "temporary") | (F.col("expires") > F.col("at")), F.col("expires")).otherwise(F.raise_error(F.lit("a temporary rule must last")).cast("double"))
+    return log.select(F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq"), valid_source(F.col("source")).alias("source"), op.alias("op"), ends.alias("expires"), "reason")
+
+
+def _bucket() -> Column:
+    return F.floor(F.col("at") / SPAN_S)
+
+
+def _standing(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """Requests with the operator's rule in force (allow, block, temporary or null), its reason, and __reset, the last time at which the
+    source was given a rule or freed of a temporary one."""
+    asked = requests.withColumn("__kind", F.lit(1))
+    log = valid_log(log).withColumns({"__kind": F.lit(0), "__op": F.col("op"), "__expires": F.col("expires"), "__why": F.col("reason")}).drop("op", "expires", "reason")
+    rows = asked.unionByName(log, allowMissingColumns=True)
+    op, order = F.col("__op"), F.struct("at", "seq")
+    values = {"__set": F.when(op.isin(*SETS), F.struct("at", "seq", op.alias("op"), F.col("__expires").alias("expires"), F.col("__why").alias("reason")))}
+    values |= {f"__{name}": F.when(op == name, order) for name in SETS.values()}
+    rows = last_before(rows, ["source"], F.struct("at", "__kind", "seq"), _bucket(), values).where("__kind = 1").drop("__op", "__expires", "__why")
+    set_, at = F.col("__set.op"), F.struct("__set.at", "__set.seq")
+    taken = F.lit(False)
+    for name, away in SETS.items():
+        taken = taken | F.coalesce((set_ == name) & (F.col(f"__{away}") > at), F.lit(False))
+    over = (set_ == "temporary") & (F.col("__set.expires") <= F.col("at"))
+    rule = F.when(~taken & ~F.coalesce(over, F.lit(False)), set_)
+    reset = F.greatest(at, F.col("__remove"))  # rules that requests set are temporary, too
+    return rows.withColumns({"__rule": rule, "__why": F.col("__set.reason"), "__reset": F.when(set_.isNotNull() | F.col("__remove").isNotNull(), reset)}).drop("__set", *(f"__{x}" for x in SETS.values()))
+
+
+def _started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the sorted times of each run, those that start a rule: the first, and the first at or past each end."""
+    own, end = None, -np.inf
+    for batch in batches:
+        keys = batch.column("run").dictionary_encode()
+        codes, times = keys.indices.to_numpy(zero_copy_only=False), batch.column("at").to_numpy(zero_copy_only=False)
+        picked = []
+        cut = np.flatnonzero(np.diff(codes, prepend=codes[0] - 1)) if len(codes) else codes
+        for lo, hi in zip(cut, np.append(cut[1:], len(codes))):
+            key = keys.dictionary[int(codes[lo])].as_py()
+            if key != own:
+                own, end = key, -np.inf
+            at = lo + int(np.searchsorted(times[lo:hi], end))
+            while at < hi:
+                picked.append(at)
+                end = times[at] + TEMPORARY_S
+                at = lo + int(np.searchsorted(times[lo:hi], end))
+        if picked:
+            yield batch.take(pa.array(picked))
+
+
+def _runs(free: DataFrame) -> DataFrame:
+    """The rules that requests set: source, the reset that they follow, the time they start and the seq of the request, of HIGH requests
+    that no operator's rule settles."""
+    times = written(free.groupBy("source", "__reset", "at").agg(F.min("seq").alias("seq")), "policy-times")
+    key = ["source", "__reset"]
+    times = written(last_before(times, key, F.col("at"), _bucket(), {"__prior": F.col("at")}, inclusive=False), "policy-gaps")
+    begins = F.when(F.col("__prior").isNull() | (F.col("at") >= F.col("__prior") + TEMPORARY_S), F.col("at"))
+    times = last_before(times, key, F.col("at"), _bucket(), {"run": begins})
+    times = times.select("source", F.col("__reset.at").alias("reset_at"), F.col("__reset.seq").alias("reset_seq"), "run", "at", "seq")
+    name = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("reset_at", "reset_seq", "run")), "source")
+    times = times.withColumn("run", name).repartition("run").sortWithinPartitions("run", "at")
+    return times.mapInArrow(_started, "source string, reset_at double, reset_seq long, run string, at double, seq long")
+
+
+def _free(standing: DataFrame) -> DataFrame:
+    return standing.where(F.col("__rule").isNull() & (F.col("threat_level") >= HIGH) & (F.col("threat_level") < CRITICAL))
+
+
+def _asked(requests: DataFrame) -> DataFrame:
+    rows = requests if "seq" in requests.columns else requests.withColumn("seq", F.lit(0).cast("long"))
+    return rows.withColumns({"source": valid_source(F.col("source")), "at": F.col("at").cast("double")})
+
+
+def decide(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """Requests (source, at, seq, threat_level) with rule, allowed, action, reason and classification, as of their time.
+
+    ``log`` has what operators did (at, seq, source, op, expires, reason; op is allow, disallow, block, unblock, temporary or remove).  At one time the
+    log goes first; seq orders the rest (requests without one have none before another).  A rule has ended at ``expires`` itself.  The
+    first HIGH request that no rule settles is blocked as such and blocks its source for TEMPORARY_S seconds from then on.
     """
-    rows = requests.withColumn("source", valid_source(F.col("source")))
-    rows = rows.join(allow.select("source", F.lit(True).alias("__allow")).distinct(), "source", "left").join(block.select("source", F.lit(True).alias("__block")).distinct(), "source", "left")
-    w = W.partitionBy("source").orderBy("at", "__kind").rowsBetween(W.unboundedPreceding, 0)
-    rules = temporary.select("source", F.col("starts").alias("at"), F.struct("expires", "reason").alias("__rule"), F.lit(0).alias("__kind"))
-    asked = rows.withColumns({"__rule": F.lit(None).cast(rules.schema["__rule"].dataType), "__kind": F.lit(1)})
-    both = asked.unionByName(rules, allowMissingColumns=True).withColumn("__last", F.last("__rule", ignorenulls=True).over(w)).where("__kind = 1")
-    temp = F.coalesce(F.col("__last.expires") > F.col("at"), F.lit(False))
-    listed, barred = F.coalesce("__allow", F.lit(False)), F.coalesce("__block", F.lit(False)) & ~F.coalesce("__allow", F.lit(False))
+    rows = written(_standing(_asked(requests), log), "policy-requests")
+    rules = written(_runs(_free(rows)), "policy-rules")
+    # a rule's own request is the first by seq at its time; the rule holds for the requests behind it
+    reset = F.when(F.col("reset_at").isNotNull(), F.struct(F.col("reset_at").alias("at"), F.col("reset_seq").alias("seq")))
+    own = rules.select("source", "at", F.lit(0).alias("__kind"), F.struct("at", reset.alias("reset"), "seq").alias("__start"))
+    asked = rows.unionByName(own, allowMissingColumns=True)
+    order = F.struct(F.col("at"), "__kind", F.coalesce("seq", F.lit(0)))
+    asked = last_before(asked, ["source"], order, _bucket(), {"__auto": F.col("__start")}).where("__kind = 1")
+    auto = lambda c: F.col(f"__auto.{c}")
+    running = (auto("at") + TEMPORARY_S > F.col("at")) & auto("reset").eqNullSafe(F.col("__reset")) & F.col("__rule").isNull()
+    begun = (auto("at") < F.col("at")) | (F.col("seq") > auto("seq"))
     level = F.col("threat_level")
     rule = (
-        F.when(listed, "allowlist").when(barred, "blocklist").when(temp, "temporary").when(level >= CRITICAL, "critical").when(level >= HIGH, "high").when(level >= MEDIUM, "monitor").otherwise("default")
-    )
-    both = both.withColumns({"rule": rule, "classification": F.when(level.isNotNull(), classify(level))})
-    is_ = lambda *x: F.col("rule").isin(*x)
-    reason = (
-        F.when(is_("allowlist"), "Source is on the allowlist").when(is_("blocklist"), "Source is permanently blocked").when(is_("temporary"), F.col("__last.reason")).when(is_("critical"), "Critical threat level detected")
-        .when(is_("high"), "High threat level triggered temporary block").when(is_("monitor"), F.concat("classification", F.lit(" threat level allowed with monitoring"))).otherwise("No firewall rule blocked the source")
+        F.when(F.col("__rule") == "allow", "allowlist").when(F.col("__rule") == "block", "blocklist").when((F.col("__rule") == "temporary") | (running & begun), "temporary")
+        .when(level >= CRITICAL, "critical").when(level >= HIGH, "high").when(level >= MEDIUM, "monitor").otherwise("default")
     )
-    action = F.when(is_("blocklist", "temporary", "critical", "high"), "BLOCK").when(is_("monitor"), "ALLOW_MONITOR").otherwise("ALLOW")
-    return both.withColumns({"action": action, "allowed": action != "BLOCK", "reason": reason}).drop("__allow", "__block", "__rule", "__kind", "__last")
+    asked = asked.withColumns({"rule": rule, "classification": F.when(level.isNotNull(), classify(level))})
+    reason = F.when(F.col("rule") == "temporary", F.when(F.col("__rule") == "temporary", F.col("__why")).otherwise(F.lit(AUTOMATIC_REASON))).when(F.col("rule") == "monitor", F.concat("classification", F.lit(MONITOR_REASON)))
+    for name, text in REASONS.items():
+        reason = reason.when(F.col("rule") == name, text)
+    action = F.when(F.col("rule").isin("blocklist", "temporary", "critical", "high"), "BLOCK").when(F.col("rule") == "monitor", "ALLOW_MONITOR").otherwise("ALLOW")
+    return asked.withColumns({"action": action, "allowed": action != "BLOCK", "reason": reason}).drop("__rule", "__why", "__reset", "__start", "__auto", "__kind")
 
 
-def automatic_rules(requests: DataFrame, allow: DataFrame, block: DataFrame) -> DataFrame:
-    """The temporary rules that HIGH (and not CRITICAL) requests of unlisted sources set, as source, starts, expires, reason.
+def lists_as_log(allow: DataFrame, block: DataFrame, temporary: DataFrame) -> DataFrame:
+    """Lists that hold from the beginning, and rules with a start, as a log.  A source on both lists is allowed; rules of listed ones are left
+    out."""
+    start, none = F.lit(float("-inf")), F.lit(None)
+    listed = block.select("source", F.lit("block").alias("op"), F.lit(0).alias("seq")).unionByName(allow.select("source", F.lit("allow").alias("op"), F.lit(1).alias("seq"))).distinct()
+    rules = temporary.join(listed.select("source").distinct(), "source", "left_anti")
+    log = listed.select(start.alias("at"), F.col("seq").cast("long").alias("seq"), "source", "op", none.cast("double").alias("expires"), none.cast("string").alias("reason"))
+    return log.unionByName(rules.select(F.col("starts").cast("double").alias("at"), F.lit(2).cast("long").alias("seq"), "source", F.lit("temporary").alias("op"), F.col("expires").cast("double").alias("expires"), "reason"))
 
-    A request inside a running rule is stopped by it and sets none, so rules start at the first such request and then at the first
-    one after each expiry: a fold over each source's requests in time order.
-    """
-    lists = allow.select("source").union(block.select("source")).distinct()
-    high = requests.where((F.col("threat_level") >= HIGH) & (F.col("threat_level") < CRITICAL)).select("source", "at").join(lists, "source", "left_anti")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = None, None
-        for batch in batches:
-            out = []
-            for source, at in zip(batch.column("source").to_pylist(), batch.column("at").to_pylist()):
-                if source != own or last is None or at >= last + TEMPORARY_S:
-                    own, last = source, at
-                    out.append((source, at))
-            if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["source", "starts"])
-
-    # requests come sorted from the shuffle; the fold carries one time per source
-    times = high.select("source", F.col("at").cast("double").alias("at")).where("at is not null").repartition("source").sortWithinPartitions("source", "at")
-    rows = times.mapInArrow(fold, "source string, starts double")
-    return rows.select("source", "starts", (F.col("starts") + TEMPORARY_S).alias("expires"), F.lit("High threat level triggered automatic temporary block").alias("reason"))
-
-
-def rule_state(events: DataFrame, now: float) -> DataFrame:
-    """The list a source is on after a log of events (seq, at, op, source, expires): allow, block, temporary, or none.
-
-    Every operation clears the source's other entries, so the last one decides; an expired temporary rule is none.
-    """
-    last = F.row_number().over(W.partitionBy("source").orderBy(F.desc("seq")))
-    rows = events.withColumn("source", valid_source(F.col("source"))).withColumn("__r", last).where("__r = 1")
-    state = F.when(F.col("op") == "allow", "allow").when(F.col("op") == "block", "block").when((F.col("op") == "temporary") & (F.col("expires") > now), "temporary").otherwise("none")
-    return rows.select("source", state.alias("state"), F.when(state == "temporary", F.col("expires")).alias("expires"))
+
+def evaluate(requests: DataFrame, allow: DataFrame, block: DataFrame, temporary: DataFrame) -> DataFrame:
+    """Decisions where the lists of sources ``allow`` and ``block`` hold throughout; ``temporary`` has source, starts, expires and reason."""
+    return decide(requests, lists_as_log(allow, block, temporary))
+
+
+def automatic_rules(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """The temporary rules that requests set, as source, starts, expires, reason."""
+    rows = _standing(_asked(requests), log)
+    return _runs(_free(rows)).select("source", F.col("at").alias("starts"), (F.col("at") + TEMPORARY_S).alias("expires"), F.lit(AUTOMATIC_REASON).alias("reason"))
+
+
+def rule_state(log: DataFrame, now: float) -> DataFrame:
+    """The rule that each source of a log has at a time: allow, block, temporary, or none."""
+    sources = log.select(valid_source(F.col("source")).alias("source")).distinct()
+    asked = sources.select("source", F.lit(float(now)).alias("at"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("threat_level"))
+    log = log.where(F.col("at") <= now)
+    rows = _standing(asked, log)
+    return rows.select("source", F.coalesce("__rule", F.lit("none")).alias("state"))
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "source", order: str = "seq") -> DataFrame:
     """The table after changes: for each key its latest change, or the row it had."""
-    last = changes.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("__r = 1").drop("__r", order)
+    columns = [c for c in changes.columns if c != order]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("__last")).select("__last.*")
     return table.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 

@@ -160,10 +160,19 @@ def unaligned(source: str, window_s: int) -> str:
     SELECT w.dst_ip AS sensor_id, w.no AS window_no, any_value(w.t) AS window_start, count(*) AS packets, sum(p.length)::BIGINT AS bytes FROM w JOIN p ON p.dst_ip = w.dst_ip AND p.frame_no >= w.f AND (w.g IS NULL OR p.frame_no < w.g) GROUP BY w.dst_ip, w.no"""
 
 
-def automatic_rules() -> str:
-    return f"""WITH RECURSIVE h AS (SELECT {HOST} AS source, ts AS t FROM ({duck('alerts')}) a WHERE confidence >= 0.6 AND confidence < 0.9),
-    s AS (SELECT source, min(t) AS starts FROM h GROUP BY source UNION ALL SELECT h.source, min(h.t) FROM s JOIN h ON h.source = s.source AND h.t >= s.starts + 300 GROUP BY h.source)
-    SELECT source, starts, starts + 300 AS expires FROM s"""
+def policy(requests: str, log: str) -> str:
+    """Requests (source, t, seq, level) and a log (source, t, seq, op, expires) replayed one by one for each source; rule is what decided, null for the
+    log's own rows, and k and e the source's rule and its end afterwards."""
+    now = "CASE WHEN st.k = 'temporary' AND st.e <= ev.t THEN 'none' ELSE st.k END"
+    return f"""WITH RECURSIVE al AS (SELECT source, t, 0 AS kind, seq, op, expires, NULL::DOUBLE AS level FROM ({log}) l UNION ALL SELECT source, t, 1, seq, NULL, NULL, level FROM ({requests}) r),
+    ev AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t, kind, seq) AS i FROM al),
+    st AS (SELECT DISTINCT source, 0::BIGINT AS i, 0::BIGINT AS seq, 0.0::DOUBLE AS t, NULL::VARCHAR AS rule, 'none' AS k, 0.0::DOUBLE AS e, false AS auto FROM ev
+      UNION ALL SELECT source, i, seq, t, rule, CASE WHEN rule = 'high' THEN 'temporary' WHEN kind = 1 THEN k WHEN op IN ('allow', 'block', 'temporary') THEN op
+          WHEN (op = 'disallow' AND k = 'allow') OR (op = 'unblock' AND k = 'block') OR (op = 'remove' AND k = 'temporary') THEN 'none' ELSE k END,
+        CASE WHEN rule = 'high' THEN t + 300 WHEN op = 'temporary' THEN expires ELSE e END, rule = 'high' OR (auto AND kind = 1)
+      FROM (SELECT *, CASE WHEN kind = 1 THEN CASE WHEN k = 'allow' THEN 'allowlist' WHEN k = 'block' THEN 'blocklist' WHEN k = 'temporary' THEN 'temporary' WHEN level >= 0.9 THEN 'critical' WHEN level >= 0.6 THEN 'high' WHEN level >= 0.3 THEN 'monitor' ELSE 'default' END END AS rule
+        FROM (SELECT ev.*, {now} AS k, st.e, st.auto FROM st JOIN ev ON ev.source = st.source AND ev.i = st.i + 1)))
+    SELECT source, seq, t, rule, k, e FROM st WHERE i > 0"""
 
 
 def questions() -> str:

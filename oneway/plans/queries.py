@@ -559,41 +559,60 @@ def W1_classify(spark, d):
     return adapter(spark, d, "alerts").groupBy(PO.classify(F.col("confidence")).alias("classification")).agg(F.count("*").alias("n"))
 
 
+def _requests(spark, d) -> DataFrame:
+    return adapter(spark, d, "alerts").select("seq", IN.host(F.col("flow_key")).alias("source"), F.col("ts").alias("at"), F.col("confidence").alias("threat_level"))
+
+
 def _policy(spark, d) -> DataFrame:
-    requests = adapter(spark, d, "alerts").select("seq", IN.host(F.col("flow_key")).alias("source"), F.col("ts").alias("at"), F.col("confidence").alias("threat_level"))
+    requests = _requests(spark, d)
     sources = requests.select("source").distinct().withColumn("h", F.conv(F.substring(F.md5("source"), 1, 2), 16, 10).cast("int"))
     temporary = sources.where("h % 5 = 2").select("source", F.lit(0.0).alias("starts"), F.lit(1704100000.0).alias("expires"), F.lit("seeded rule").alias("reason"))
     return PO.evaluate(requests, sources.where("h % 5 = 0"), sources.where("h % 5 = 1"), temporary)
 
 
-_POLICY = f"""SELECT *, CASE WHEN rule IN ('blocklist', 'temporary', 'critical', 'high') THEN 'BLOCK' WHEN rule = 'monitor' THEN 'ALLOW_MONITOR' ELSE 'ALLOW' END AS action FROM (
-  SELECT seq, source, {_CLASS} AS classification, CASE WHEN h % 5 = 0 THEN 'allowlist' WHEN h % 5 = 1 THEN 'blocklist' WHEN h % 5 = 2 AND t0 >= 0 AND t0 < 1704100000 THEN 'temporary'
-    WHEN confidence >= 0.9 THEN 'critical' WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.3 THEN 'monitor' ELSE 'default' END AS rule
-  FROM (SELECT seq, ts AS t0, confidence, {O.HOST} AS source, ('0x' || substr(md5({O.HOST}), 1, 2))::INTEGER AS h FROM ({_AL}) a))"""
+#: Operations that a part of the alerts stands for.
+_DONE = "CASE seq // 29 % 6 WHEN 0 THEN 'allow' WHEN 1 THEN 'disallow' WHEN 2 THEN 'block' WHEN 3 THEN 'unblock' WHEN 4 THEN 'temporary' ELSE 'remove' END"
+_ASKED = f"SELECT {O.HOST} AS source, ts AS t, seq, confidence AS level FROM ({_AL}) a"
+_LISTED = f"SELECT source, CASE WHEN h % 5 = 2 THEN 0.0::DOUBLE ELSE -1.0 END AS t, 0 AS seq, CASE h % 5 WHEN 0 THEN 'allow' WHEN 1 THEN 'block' ELSE 'temporary' END AS op, 1704100000.0::DOUBLE AS expires FROM (SELECT DISTINCT {O.HOST} AS source, ('0x' || substr(md5({O.HOST}), 1, 2))::INTEGER AS h FROM ({_AL}) a) WHERE h % 5 < 3"
+_LOG = f"SELECT {O.HOST} AS source, ts AS t, seq, {_DONE} AS op, ts + 86400 * (1 + seq % 40) AS expires FROM ({_AL}) a WHERE seq % 29 = 3"
+_POLICY = f"""SELECT p.*, {_CLASS} AS classification, CASE WHEN rule IN ('blocklist', 'temporary', 'critical', 'high') THEN 'BLOCK' WHEN rule = 'monitor' THEN 'ALLOW_MONITOR' ELSE 'ALLOW' END AS action
+  FROM (SELECT source, seq, rule FROM ({{}}) WHERE rule IS NOT NULL) p JOIN ({_AL}) a USING (seq)"""
+_BY_LISTS, _BY_LOG = _POLICY.format(O.policy(_ASKED, _LISTED)), _POLICY.format(O.policy(_ASKED, _LOG))
 
 
-@query(f"SELECT seq, source, rule, action, classification, action <> 'BLOCK' AS allowed FROM ({_POLICY})")
+@query(f"SELECT seq, source, rule, action, classification, action <> 'BLOCK' AS allowed FROM ({_BY_LISTS})")
 def W2_policy(spark, d):
+    """Lists, rules with an end, and rules that HIGH requests set, all as of each request."""
     return _policy(spark, d).select("seq", "source", "rule", "action", "classification", "allowed")
 
 
-_OPS = "CASE event_id % 4 WHEN 0 THEN 'allow' WHEN 1 THEN 'block' WHEN 2 THEN 'temporary' ELSE 'remove' END"
+def _log(spark, d) -> DataFrame:
+    rows = _requests(spark, d).where("seq % 29 = 3").withColumn("op", F.expr(_DONE.replace("//", "div")))
+    return rows.select("at", "seq", "source", "op", (F.col("at") + 86400 * (1 + F.col("seq") % 40)).alias("expires"), F.lit("by hand").alias("reason"))
+
+
+@query(f"SELECT seq, source, rule, action, CASE rule WHEN 'temporary' THEN NULL ELSE action <> 'BLOCK' END AS allowed FROM ({_BY_LOG})")
+def W2_policy_log(spark, d):
+    """The same under a log in which operators set and take away rules of all kinds meanwhile."""
+    return PO.decide(_requests(spark, d), _log(spark, d)).select("seq", "source", "rule", "action", F.when(F.col("rule") != "temporary", F.col("allowed")).alias("allowed"))
+
+
+_OPS = "CASE event_id % 6 WHEN 0 THEN 'allow' WHEN 1 THEN 'block' WHEN 2 THEN 'temporary' WHEN 3 THEN 'remove' WHEN 4 THEN 'disallow' ELSE 'unblock' END"
 
 
-@query(f"SELECT source, CASE WHEN op = 'temporary' AND expires > 900 THEN 'temporary' WHEN op IN ('allow', 'block') THEN op ELSE 'none' END AS state FROM (SELECT concat('u', user_id) AS source, arg_max({_OPS}, event_id) AS op, arg_max((event_id % 1800)::DOUBLE, event_id) AS expires FROM events GROUP BY user_id)")
+@query(f"""SELECT source, CASE WHEN k = 'temporary' AND e <= 9000000 THEN 'none' ELSE k END AS state FROM (SELECT source, arg_max(k, seq) AS k, arg_max(e, seq) AS e FROM (
+  {O.policy("SELECT 'x' AS source, 0.0::DOUBLE AS t, 0 AS seq, 0.0 AS level WHERE false", f"SELECT concat('u', user_id) AS source, event_id::DOUBLE AS t, event_id AS seq, {_OPS} AS op, (event_id + 1 + event_id % 9000 * 10000)::DOUBLE AS expires FROM events")}) GROUP BY source)""")
 def W3_rule_state(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.expr(_OPS).alias("op"), F.expr("CAST(event_id % 1800 AS DOUBLE)").alias("expires"))
-    return PO.rule_state(events, 900.0).select("source", "state")
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.expr(_OPS).alias("op"), F.expr("CAST(event_id AS DOUBLE)").alias("at"), F.expr("CAST(event_id + 1 + event_id % 9000 * 10000 AS DOUBLE)").alias("expires"), F.lit("by hand").alias("reason"))
+    return PO.rule_state(events, 9000000.0).select("source", "state")
 
 
-@query(O.automatic_rules())
+@query(f"SELECT source, t AS starts, t + 300 AS expires FROM ({O.policy(_ASKED, _LOG)}) WHERE rule = 'high'")
 def W5_automatic_rules(spark, d):
-    requests = adapter(spark, d, "alerts").select(IN.host(F.col("flow_key")).alias("source"), F.col("ts").alias("at"), F.col("confidence").alias("threat_level"))
-    none = requests.select("source").limit(0)
-    return PO.automatic_rules(requests, none, none).select("source", "starts", "expires")
+    return PO.automatic_rules(_requests(spark, d), _log(spark, d)).select("source", "starts", "expires")
 
 
-@query(f"SELECT action, count(*) AS requests, count(*) FILTER (action <> 'BLOCK') AS allowed FROM ({_POLICY}) GROUP BY action")
+@query(f"SELECT action, count(*) AS requests, count(*) FILTER (action <> 'BLOCK') AS allowed FROM ({_BY_LISTS}) GROUP BY action")
 def W6_decision_summary(spark, d):
     return PO.decision_summary(_policy(spark, d))
 

@@ -232,9 +232,9 @@ def test_policy(spark):
     allow, block = (spark.createDataFrame(x, "source string") for x in ([("a",)], [("b",), ("a",)]))
     temp = spark.createDataFrame([("c", 0.0, 100.0, "why")], "source string, starts double, expires double, reason string")
     got = {r.seq: (r.action, r.rule) for r in PO.evaluate(requests, allow, block, temp).collect()}
-    assert got == {1: ("ALLOW", "allowlist"), 2: ("BLOCK", "blocklist"), 3: ("BLOCK", "temporary"), 4: ("ALLOW", "default"), 5: ("BLOCK", "critical"), 6: ("BLOCK", "high"), 7: ("ALLOW_MONITOR", "monitor"), 8: ("ALLOW", "default")}
+    assert got == {1: ("ALLOW", "allowlist"), 2: ("BLOCK", "blocklist"), 3: ("BLOCK", "temporary"), 4: ("ALLOW", "default"), 5: ("BLOCK", "critical"), 6: ("BLOCK", "high"), 7: ("BLOCK", "temporary"), 8: ("BLOCK", "temporary")}
     high = spark.createDataFrame([("s", t, 0.7) for t in (0.0, 100.0, 299.0, 300.0, 900.0)] + [("b", 0.0, 0.7)], "source string, at double, threat_level double")
-    assert sorted(r.starts for r in PO.automatic_rules(high, allow, block).collect()) == [0.0, 300.0, 900.0]
+    assert sorted(r.starts for r in PO.automatic_rules(high, PO.lists_as_log(allow, block, temp)).collect()) == [0.0, 300.0, 900.0]
     with pytest.raises(Exception, match="outside"):
         spark.createDataFrame([(1.5,)], "x double").select(PO.classify(F.col("x"))).collect()
 
