@@ -54,4 +54,6 @@ def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
     spark = df.sparkSession
     table = f"oneway_{name}_{uuid.uuid4().hex}"
     df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", new_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the plan keeps its buckets and files; the catalog keeps nothing
+    return out

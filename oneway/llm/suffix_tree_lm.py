@@ -15,8 +15,8 @@ its own keys.  Keys of an order are sent only where the context reached ``least`
 so hot contexts are spread like all others.  Blocks and answers are written once, in the same buckets, and not shuffled again.
 
 Rows: null and empty texts are one end token.  Repeated rows are documents of their own (counted, and sent once).  A null doc_id is
-training.  An empty training set knows no words.  Words are identified by 64-bit hashes, longer n-grams by hashes of at least
-2**13 times as many values as the corpus has bytes.  Extra columns are ignored.
+training.  An empty training set knows no words.  Words and longer n-grams are identified by hashes of 64 bits, whatever the size of the
+corpus.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,19 +72,24 @@ def from_planes(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a.reshape(8, -1).T).view("<i8").ravel()
 
 
-def distinct(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of ``width`` bits, sorted, and for each key its place among them.  Keys and their places are sorted as one number;
-    of keys too wide for that the upper bits, unless different ones agree in those."""
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and for each key its place among them.  The upper bits of keys and their places are sorted as one number;
+    the few runs of keys that agree in those and differ below are put in order after."""
     spare = max(1, int(len(keys)).bit_length())
-    wide = max(0, width + spare - 64)
-    both = (keys >> U64(wide)) << U64(spare) | np.arange(len(keys), dtype=U64)
+    both = (keys >> U64(spare)) << U64(spare) | np.arange(len(keys), dtype=U64)
     both.sort()
     at = (both & U64((1 << spare) - 1)).astype(np.int64)
     own = keys[at]
     new = np.ones(len(own), bool)
     new[1:] = own[1:] != own[:-1]
-    if wide and (new[1:] & (own[1:] >> U64(wide) == own[:-1] >> U64(wide))).any():
-        return np.unique(keys, return_inverse=True)
+    upper = own >> U64(spare)
+    mixed = np.flatnonzero(new[1:] & (upper[1:] == upper[:-1])) + 1
+    if len(mixed):
+        for value in np.unique(upper[mixed]):
+            lo, hi = np.searchsorted(upper, [value, value + U64(1)])
+            order = np.argsort(own[lo:hi], kind="stable")
+            at[lo:hi], own[lo:hi] = at[lo:hi][order], own[lo:hi][order]
+        new[1:] = own[1:] != own[:-1]
     where = np.empty(len(keys), np.int64)
     where[at] = np.cumsum(new) - 1
     return own[new], where
@@ -142,8 +147,7 @@ class Block:
 
     def keys(self, kind: str, at: np.ndarray) -> np.ndarray:
         k = int(kind[1:])
-        whole = self.grams(k)[at - 1] if kind[0] == "g" else self.grams(k)[at]
-        return whole >> U64(64 - width(kind, self.o))
+        return self.grams(k)[at - 1] if kind[0] == "g" else self.grams(k)[at]
 
     def probability(self, k: int, without: bool) -> np.ndarray:
         """Of each token after its longest state of up to k words; ``without``: by the counts of all other occurrences."""
@@ -166,32 +170,28 @@ class Block:
     def ask(self, kind: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, sorted, and the block's own sums for them."""
         at = self.places(kind)
-        keys, where = distinct(self.keys(kind, at), width(kind, self.o))
+        keys, where = distinct(self.keys(kind, at))
         values = self.weight[at] if kind[0] == "n" else self.gains(int(kind[1:]), at)
         return keys, np.bincount(where, weights=values, minlength=len(keys)).astype(np.int64)
 
     def tell(self, kind: str, answers: dict[int, np.ndarray]) -> None:
         """Take in the sums over all blocks, one array for each range of keys."""
         at = self.places(kind)
-        keys, where = distinct(self.keys(kind, at), width(kind, self.o))
-        values = np.concatenate([answers[r] for r, _, _ in ranges(keys, kind, self.o)] or [np.empty(0, np.int64)])
+        keys, where = distinct(self.keys(kind, at))
+        values = np.concatenate([answers[r] for r, _, _ in ranges(keys, self.o)] or [np.empty(0, np.int64)])
         out = np.zeros(len(self.h), np.int64)
         out[at] = values[where]
         (self.n if kind[0] == "n" else self.gain)[int(kind[1:])] = out
 
 
-def width(kind: str, o: dict) -> int:
-    """Bits of a kind of key."""
-    return 64 if kind == "n1" else o["bits"]
-
-
-def ranges(keys: np.ndarray, kind: str, o: dict) -> Iterator[tuple[int, int, int]]:
-    """(range, begin, end) of sorted keys: equal shares of all possible keys."""
-    bounds = np.array([(i << width(kind, o)) // o["ranges"] for i in range(1, o["ranges"])], U64)
-    cut = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).tolist()
-    for r, (lo, hi) in enumerate(zip(cut, cut[1:])):
-        if hi > lo:
-            yield r, lo, hi
+def ranges(keys: np.ndarray, o: dict) -> Iterator[tuple[int, int, int]]:
+    """(range, begin, end) of sorted keys, for the ranges that have any: equal shares of all possible keys."""
+    n = o["ranges"]
+    each = U64(-(-(1 << 64) // n)) if n > 1 else U64((1 << 64) - 1)
+    of = keys // each if n > 1 else np.zeros(len(keys), U64)
+    begin = np.flatnonzero(np.diff(of, prepend=U64((1 << 64) - 1)))
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
+        yield int(of[lo]), lo, hi
 
 
 def _pack_texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def _asks(batches: Iterator[pa.RecordBatch], known: list[str], wanted: list[str]
     for bucket, block, _ in _blocks(batches, known, o):
         for kind in wanted:
             keys, values = block.ask(kind)
-            out = [(r, pack(planes(np.diff(keys[lo:hi], prepend=U64(0)).view(np.int64)), planes(values[lo:hi]))) for r, lo, hi in ranges(keys, kind, o)]
+            out = [(r, pack(planes(np.diff(keys[lo:hi], prepend=U64(0)).view(np.int64)), planes(values[lo:hi]))) for r, lo, hi in ranges(keys, o)]
             columns = [pa.array([x[0] for x in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array([kind] * len(out), pa.string()), pa.array([x[1] for x in out], pa.binary())]
             yield pa.record_batch(columns, names=["range", "bucket", "kind", "data"])
 
@@ -261,7 +261,7 @@ def _answers(asked: pd.DataFrame, o: dict) -> pd.DataFrame:
     for kind, rows in asked.groupby("kind"):
         parts = [(int(b), *(from_planes(x) for x in unpack(data))) for b, data in zip(rows["bucket"], rows["data"])]
         sent = np.concatenate([np.cumsum(p[1].view(U64), dtype=U64) for p in parts])
-        keys, where = distinct(sent, width(kind, o))
+        keys, where = distinct(sent)
         total = np.zeros(len(keys), np.int64)
         np.add.at(total, where, np.concatenate([p[2] for p in parts]))
         at = 0
@@ -293,7 +293,7 @@ def fit_and_score(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"), held_out.alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    o = {"depth": depth, "least": least, "divergence": divergence, "weight": weight, "ranges": -(-n // 3), "bits": min(63, max(32, int(size + 1).bit_length() + 13)), "tokens": 0, "known": 0}
+    o = {"depth": depth, "least": least, "divergence": divergence, "weight": weight, "ranges": -(-n // 3), "tokens": 0, "known": 0}
     texts = bucketed(docs.mapInArrow(lambda it: _pack_texts(it, n), _TEXTS), "blocks", "bucket", n)
     rows = texts.groupBy("bucket").agg(F.collect_list("data").alias("texts"))
     known: list[str] = []

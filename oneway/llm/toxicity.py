@@ -6,7 +6,8 @@ significantly, and an L1 penalty keeps few of these.  Toxic and clean documents
 severity, and the toxic flag (probability of grade 1 or more at least one half).
 
 The model is fitted on the driver to at most ``SAMPLE`` labelled documents (those of smallest id hash, until they have ``SAMPLE_WORDS``
-different words each counted in its document); scoring reads every whole text.  The broadcast model has at most ``MAX_FEATURES`` words.
+different words each counted in its document); scoring reads every whole text.  The broadcast model has the words that pass the screen,
+at most ``SAMPLE_WORDS`` / 2 of 16 bytes, as a word must be in two documents.
 
 Rows: null and empty texts have no features and get the base severity.  Labels with nulls are left out; of repeated labels the
 largest grade counts, of texts that share a labelled id that of the smallest hash.  Without labels of two grades no document is toxic.  Extra columns are kept; columns named like the
@@ -32,7 +33,6 @@ from oneway.llm.textkit import SEP_PUNCT, U64, HashIndex, Words, chunks, group_s
 SAMPLE = 8_000
 #: Words of the sample, each once for a document that has it; the document that reaches it is the last.
 SAMPLE_WORDS = 8_000_000
-MAX_FEATURES = 4_096
 SCREEN_Z = 4.5
 L1 = 2e-3
 
@@ -103,8 +103,7 @@ def fit(words: list[np.ndarray], grade: np.ndarray, steps: int = 600) -> Ordinal
     a, b = (np.bincount(col[side[row]], minlength=len(keys)) for side in (toxic, ~toxic))
     p = (a + b) / (n1 + n0)
     z = (a / n1 - b / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))  # two proportions, pooled
-    keep = np.flatnonzero(np.abs(z) >= SCREEN_Z)
-    keep = np.sort(keep[np.argsort(-np.abs(z[keep]), kind="stable")][:MAX_FEATURES])
+    keep = np.flatnonzero(np.abs(z) >= SCREEN_Z)  # all that pass: their number is bounded by the sample's words
     place = np.full(len(keys), -1, np.int32)
     place[keep] = np.arange(len(keep), dtype=np.int32)
     col = place[col]

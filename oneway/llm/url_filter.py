@@ -3,8 +3,9 @@
 A rule allows or blocks a host, with all its subdomains, under a path prefix; the longest fitting rule decides.  All other
 urls are judged per host: personalised PageRank flows from hosts with allowed pages along links, distrust flows from hosts
 with blocked pages against links (who links to a blocked host inherits some of it).  Host edges are absolute links in the html
-and the steps between a host and its parent domain.  A host is blocked if its distrust exceeds its trust
-and, counted in blocked pages (distrust is scaled to 1 over all of them), reaches the threshold; so unrelated pages do not move it below.
+and the steps between a host and its parent domain.  Ranks are scaled to 1 over all seeds, so they are counted in pages before they are
+held against anything: a host is blocked if its distrust, times all blocked pages, exceeds its trust, times all allowed pages, and
+reaches the threshold.  So neither allowed nor blocked pages elsewhere change a verdict.
 
 Scale: edges are summed per host pair before anything is shuffled twice; each step joins edges with one row per host, which
 Spark can split where a host has very many edges, and sums per target with partial aggregation.  Ranks are written to the
@@ -95,12 +96,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], threshold: float = 1e-6,
     )
     seeds = seeds.selectExpr("stack(2, 'trust', host, trust, 'distrust', host, distrust) as (kind, host, mass)")
     seeds = materialize(seeds, "masses")
-    blocked = seeds.where("kind = 'distrust'").agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("__blocked"))
+    pages_of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0))
+    totals = seeds.agg(pages_of("trust").alias("__allowed"), pages_of("distrust").alias("__blocked"))
     rank = propagate(seeds, host_edges(pages), steps)
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
     rows = ruled.select("page_id", "host", "path", "__rule")
     decided = rows.where("__rule is not null").select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), F.col("__rule.action").alias("verdict"), F.lit(None).cast("double").alias("trust"), F.lit(None).cast("double").alias("distrust"))
-    open_ = rows.where("__rule is null").join(scores, "host", "left").crossJoin(F.broadcast(blocked))
+    open_ = rows.where("__rule is null").join(scores, "host", "left").crossJoin(F.broadcast(totals))  # one row
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.when((distrust * F.col("__blocked") >= threshold) & (distrust > trust), "block").otherwise("allow")
+    against, for_ = distrust * F.col("__blocked"), trust * F.col("__allowed")
+    verdict = F.when((against >= threshold) & (against > for_), "block").otherwise("allow")
     return decided.unionByName(open_.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), verdict.alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust")))

@@ -289,6 +289,21 @@ def test_verdict_does_not_depend_on_other_hosts(spark):
     assert got == {"bad.com": "block", "fan.net": "block", "lone.net": "allow"}
 
 
+def test_verdict_does_not_depend_on_allowed_pages_elsewhere(spark):
+    """A host between an allowed and a blocked one keeps its verdict when other pages are allowed, blocked or repeated."""
+    link = lambda h: f'<a href="http://{h}/p">x</a>'
+    rows = [(1, "http://good.org/", link("mid.net")), (2, "http://mid.net/", link("bad.com")), (3, "http://bad.com/de/", None), (4, "http://fan.net/", link("bad.com"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r.page_id: r.verdict for r in U.judge_urls(frame, URL_RULES).collect()}
+    assert want == {1: "allow", 2: "allow", 3: "block", 4: "block"}
+    other = lambda n, url: spark.range(10, 10 + n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(url)).alias("url"), F.lit(None).cast("string").alias("html"))
+    for more in (other(990, ".org/"), other(990, ".com/de/"), other(300, ".org/").unionByName(other(20, ".com/de/"))):
+        got = {r.page_id: r.verdict for r in U.judge_urls(frame.unionByName(more), URL_RULES).where("page_id < 10").collect()}
+        assert got == want
+    twice = U.judge_urls(frame.unionByName(frame.where("page_id = 4")), URL_RULES).collect()
+    assert {r.page_id: r.verdict for r in twice} == want and len(twice) == 5
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(300)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 16), (303, [0.5] * 3), (303, [0.5] * 3), (304, [float("inf")]), (305, [])]

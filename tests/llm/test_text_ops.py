@@ -345,10 +345,13 @@ def test_language_model_base_and_totals(spark):
 def test_distinct_keys():
     rng = np.random.default_rng(1)
     few = rng.integers(0, 1 << 40, 300, dtype=np.uint64)
-    for width, keys in ((40, rng.choice(few, 5000)), (64, rng.choice(few << np.uint64(24), 5000)), (64, rng.choice(np.array([1, 2, 3, 1 << 63, (1 << 63) + 1], np.uint64), 5000)), (64, few[:0]), (40, few[:1])):
-        u, where = LM.distinct(keys, width)
+    for keys in (rng.choice(few, 5000), rng.choice(few << np.uint64(24), 5000), rng.choice(np.array([1, 2, 3, 1 << 63, (1 << 63) + 1, (1 << 64) - 1], np.uint64), 5000), few[:0], few[:1]):
+        u, where = LM.distinct(keys)
         a, b = np.unique(keys, return_inverse=True)
         assert (u == a).all() and (where == b).all()
+        for n in (1, 3, 1000):
+            parts = list(LM.ranges(u, {"ranges": n}))
+            assert [x for _, lo, hi in parts for x in range(lo, hi)] == list(range(len(u))) and all(r == int(x) // -(-(1 << 64) // n) < n for r, lo, hi in parts for x in u[lo:hi].tolist())
 
 
 def brute_tree(train, depth, least, divergence, weight):
