@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oneway.functions.lexical import heuristic_label, second_level
@@ -15,7 +14,7 @@ from oneway.operators.beacon import score_beacons
 from oneway.operators.dga import score_names
 from oneway.operators.floods import flood_findings
 from oneway.operators.flows import dns_questions, flows
-from oneway.operators.ranges import range_bucket
+from oneway.operators.ranges import positions
 from oneway.operators.tunnel import score_tunnels
 
 #: Names that one second-level domain may have before its names are the tunnel detector's affair.
@@ -41,8 +40,8 @@ def dga_candidates(questions: DataFrame, tunnels: DataFrame) -> DataFrame:
     """The first name of each label, outside the excluded domains, by arrival."""
     rows = questions.withColumn("domain", second_level(F.col("qname"))).join(excluded_domains(questions, tunnels), "domain", "left_anti")
     rows = rows.withColumn("dedupe", heuristic_label(F.col("qname")))
-    first = F.row_number().over(W.partitionBy("dedupe").orderBy("frame_no", "qname"))
-    return rows.withColumn("__r", first).where("__r = 1").drop("__r", "dedupe")
+    first = F.min_by(F.struct(*(c for c in rows.columns if c != "dedupe")), F.struct("frame_no", "qname"))  # reduced before it meets
+    return rows.groupBy("dedupe").agg(first.alias("__first")).select("__first.*")
 
 
 def _branch(rows: DataFrame, branch: int, detector: str, threat: Column, confidence: Column, key: Column, subject: Column, seq: Column, title: Column, evidence: Column) -> DataFrame:
@@ -96,11 +95,7 @@ def ranked(rows: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def numbered(rows: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """Adds number and id (PREFIX0001 ...) in order.  Rows are numbered inside ranges of the first ordering column and offset by the
-    counts of the ranges before."""
-    rows = rows.withColumn("__c", range_bucket(rows, F.col(order[0])))
-    counts = rows.groupBy("__c").agg(F.count("*").alias("__n"))  # as many rows as ranges
-    before = counts.select("__c", F.coalesce(F.sum("__n").over(W.orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rows = rows.join(F.broadcast(before), "__c").withColumn("number", F.row_number().over(W.partitionBy("__c").orderBy(*order)) + F.col("__before"))
+    """Adds number and id (PREFIX0001 ...) in order."""
+    rows = positions(rows, [], order, "__n").withColumn("number", F.col("__n") + 1).drop("__n")
     text = F.col("number").cast("string")
-    return rows.withColumn("id", F.concat(F.lit(prefix), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))).drop("__c", "__before")
+    return rows.withColumn("id", F.concat(F.lit(prefix), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oneway.functions.canonical import canonical
 from oneway.operators.alerts import numbered
 from oneway.sources.tables import JOB_STATES
 
@@ -71,9 +72,15 @@ def alert_records(alerts: DataFrame) -> DataFrame:
     return rows.withColumns({"evidence_id": F.replace(F.col("id"), F.lit("ALT-"), F.lit("EV-")), "source": F.element_at(ends, 1), "destination": F.coalesce(F.try_element_at(ends, F.lit(2)), F.lit(""))})
 
 
+def alert_json(rows: DataFrame) -> Column:
+    """An alert's record as canonical JSON: all of its columns but ids, which follow from the order."""
+    return canonical(**{c: F.round(c, 4) if c == "confidence" else F.col(c) for c in rows.columns if c in ("seq", "ts", "detector", "threat", "severity", "confidence", "flow_key", "title")})
+
+
 def evidence_records(alerts: DataFrame, proofs: DataFrame | None = None) -> DataFrame:
     """Digest per alert; with ledger proofs (seq, merkle_root, verified) also its own block's root and whether it verifies."""
-    rows = alert_records(alerts).withColumn("digest", F.sha2(F.concat_ws("|", "seq", "detector", "threat", F.round("confidence", 4).cast("string"), "flow_key"), 256))
+    rows = alert_records(alerts)
+    rows = rows.withColumn("digest", F.sha2(alert_json(rows), 256))
     return rows if proofs is None else rows.join(proofs, "seq", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
 
 

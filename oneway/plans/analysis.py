@@ -74,10 +74,10 @@ def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1"
     named = found.select(F.col("evidence_key").alias("flow_key")).where("flow_key is not null").distinct()
     hashed = packet_hashes(table.select("flow_key", "packets").join(named, "flow_key", "left_semi"))
     roots = LE.merkle_root(hashed, "packet_hashes", 64, "pkt_root").select(F.col("flow_key").alias("evidence_key"), "pkt_root")
-    rows = found.join(roots, "evidence_key", "left").withColumn("pkt_root", F.coalesce("pkt_root", F.lit(LE.EMPTY)))
+    rows = found.join(roots, "evidence_key", "left").withColumn("pkt_root", F.coalesce("pkt_root", F.lit(LE.NO_PACKETS)))
     # the order makes digests of equal findings differ
-    alert = F.concat_ws(",", F.col("order").cast("string"), "detector", "threat", "severity", F.round("confidence", 4).cast("string"), "flow_key", "title")
-    rows = rows.withColumns({"sensor_id": F.lit(sensor), "digest": LE.bundle_digest(alert, F.col("evidence_key"), F.col("pkt_root"), F.col("subject"), F.lit("rules@1"))})
+    alert = {"order": F.col("order"), **{c: F.col(c) for c in ("detector", "threat", "severity", "flow_key", "title")}, "confidence": F.round("confidence", 4)}
+    rows = rows.withColumns({"sensor_id": F.lit(sensor), "digest": LE.bundle_digest(alert, {"key": F.col("evidence_key")}, F.col("pkt_root"), {"subject": F.col("subject")}, F.lit("rules@1"))})
     chain = LE.seal(LE.batches(rows, order="order"), key)
     proofs = LE.bundle_proofs(chain).select(F.col("leaf").alias("digest"), "block", "merkle_root", "verified")
     intact = LE.verify_chain(chain, key).select("intact")

@@ -222,10 +222,39 @@ def merkle(leaves: str) -> str:
     return f"(SELECT l3[1] FROM (SELECT {pair('l2')} AS l3 FROM (SELECT {pair('l1')} AS l2 FROM (SELECT {pair('l0')} AS l1 FROM (SELECT {leaves} AS l0)))))"
 
 
+def json_text(x: str) -> str:
+    """A text in canonical JSON, character by character; a null stays null."""
+    unit = lambda n: f"chr(92) || 'u' || lpad(lower(to_hex({n})), 4, '0')"
+    short = " ".join(f"WHEN {n} THEN '{t}'" for n, t in {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}.items())
+    one = f"CASE unicode(c) {short} ELSE CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN {unit('unicode(c)')} ELSE {unit('(unicode(c) - 65536) // 1024 + 55296')} || {unit('(unicode(c) - 65536) % 1024 + 56320')} END END"
+    return f"""CASE WHEN {x} IS NOT NULL THEN '"' || CASE WHEN {x} = '' THEN '' ELSE array_to_string(list_transform(string_split({x}, ''), lambda c: {one}), '') END || '"' END"""
+
+
+def json_double(x: str) -> str:
+    s = f"({x})::DOUBLE::VARCHAR"
+    whole, part, power = f"regexp_extract({s}, '^-?([0-9]+)', 1)", f"regexp_extract({s}, '\\.([0-9]+)', 1)", f"regexp_extract({s}, '[eE]([+-]?[0-9]+)$', 1)"
+    digits = f"ltrim({whole} || {part}, '0')"
+    short = f"rtrim({digits}, '0')"
+    return f"CASE WHEN {s} LIKE '-%' THEN '-' ELSE '' END || CASE WHEN {short} = '' THEN '0e0' ELSE {short} || 'e' || (coalesce(try_cast({power} AS INTEGER), 0) - length({part}) + length({digits}) - length({short})) END"
+
+
+def json_object(**fields: str) -> str:
+    """Fields are SQL that gives JSON or null."""
+    return "concat('{', " + ", ',', ".join(f"'\"{k}\":', coalesce({v}, 'null')" for k, v in sorted(fields.items())) + ", '}')"
+
+
+#: What the alerts adapter's rows say besides: nulls, nothing, separators, quotes, and characters beyond ASCII.
+NOTE = "CASE seq % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'x|flow=y' WHEN 3 THEN concat('say \"', detector, chr(92), '\"') WHEN 4 THEN concat('é', chr(10), chr(127), '😀') ELSE 'null' END"
+
+
+def bundle() -> str:
+    alert = json_object(confidence=json_double("confidence"), detector=json_text("detector"), flow_key=json_text("flow_key"), note=json_text(NOTE), seq="seq::VARCHAR", threat=json_text("threat"))
+    return json_object(alert=alert, flow=json_object(key=json_text("flow_key")), features=json_object(ts=json_double("ts")), model="'\"rules@1\"'", pkt_root="'\"' || sha256('-') || '\"'")
+
+
 def blocks() -> str:
-    digest = "sha256(concat_ws('|', seq, detector, threat, flow_key))"
     return f"""SELECT detector AS sensor_id, n // 8 + 1 AS "index", max(ts) AS ts, list(digest ORDER BY n) AS digests FROM (
-      SELECT *, {digest} AS digest, row_number() OVER (PARTITION BY detector ORDER BY seq) - 1 AS n FROM ({duck('alerts')}) a) GROUP BY detector, n // 8 + 1"""
+      SELECT *, sha256({bundle()}) AS digest, row_number() OVER (PARTITION BY detector ORDER BY seq) - 1 AS n FROM ({duck('alerts')}) a) GROUP BY detector, n // 8 + 1"""
 
 
 def proofs() -> str:
@@ -241,7 +270,8 @@ def proofs() -> str:
 
 
 def header(index: str, ts: str, prev: str, root: str, sensor: str) -> str:
-    return f"sha256(concat('index=', {index}, '|merkle_root=', {root}, '|prev_hash=', {prev}, '|sensor_id=', {sensor}, '|ts=', CAST({ts} AS DECIMAL(20, 6))))"
+    quoted = lambda x: f"concat('\"', {x}, '\"')"
+    return f"sha256({json_object(index=f'({index})::VARCHAR', merkle_root=quoted(root), prev_hash=quoted(prev), sensor_id=json_text(sensor), ts=f'CAST({ts} AS DECIMAL(20, 6))::VARCHAR')})"
 
 
 def chain() -> str:

@@ -373,8 +373,21 @@ def C5_coverage(spark, d):
 # --- evidence ledger -------------------------------------------------------------------------------------------------------------
 
 
+def _bundle_parts(changed: Column | None = None) -> tuple:
+    """Alert, flow, packet root, features and model of the alerts adapter's rows; ``changed`` stands in for the flow's key."""
+    key = F.col("flow_key") if changed is None else changed
+    alert = {"note": F.expr(O.NOTE.replace("chr(92)", "char(92)").replace("chr(10)", "char(10)").replace("chr(127)", "char(127)")), "flow_key": key, **{c: F.col(c) for c in ("seq", "detector", "threat", "confidence")}}
+    return alert, {"key": key}, F.lit(LE.NO_PACKETS), {"ts": F.col("ts").cast("double")}, F.lit("rules@1")
+
+
 def _bundles(spark, d) -> DataFrame:
-    return adapter(spark, d, "alerts").select(F.col("detector").alias("sensor_id"), "seq", "ts", F.sha2(F.concat_ws("|", "seq", "detector", "threat", "flow_key"), 256).alias("digest"))
+    return adapter(spark, d, "alerts").select(F.col("detector").alias("sensor_id"), "seq", "ts", LE.bundle_digest(*_bundle_parts()).alias("digest"))
+
+
+@query(f"SELECT seq, {O.bundle()} AS canonical, sha256({O.bundle()}) AS digest FROM ({duck('alerts')}) a")
+def E6_bundle_digests(spark, d):
+    """What is hashed of each bundle, character by character."""
+    return adapter(spark, d, "alerts").select("seq", LE.bundle_json(*_bundle_parts()).alias("canonical"), LE.bundle_digest(*_bundle_parts()).alias("digest"))
 
 
 def _chain(spark, d) -> DataFrame:
@@ -508,7 +521,7 @@ def K5_alert_records(spark, d):
 @query(f"SELECT seq, seq % 10 <> 3 AS verified FROM ({_AL}) b")
 def K7_verify_evidence(spark, d):
     """Alerts against the sealed digests, a tenth of them changed after sealing."""
-    digest = F.sha2(F.concat_ws("|", "seq", "detector", "threat", F.when(F.col("seq") % 10 == 3, F.lit("elsewhere")).otherwise(F.col("flow_key"))), 256)
+    digest = LE.bundle_digest(*_bundle_parts(F.when(F.col("seq") % 10 == 3, F.lit("elsewhere")).otherwise(F.col("flow_key"))))
     alerts = adapter(spark, d, "alerts").select("seq", F.col("detector").alias("sensor_id"), digest.alias("digest"))
     chain = _chain(spark, d)
     proofs = LE.bundle_proofs(chain).join(LE.verify_chain(chain, SIGNING_KEY).select("sensor_id", "intact"), "sensor_id")

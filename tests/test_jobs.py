@@ -20,7 +20,7 @@ def test_analysis_is_sealed_and_verifies(spark, tmp_path):
     assert {r.threat for r in evidence} == {"syn_flood", "dns_tunnelling", "dga_domain"} and all(r.verified and r.merkle_root for r in evidence)
     # evidence stands for the packets of a flow that is there, and no two digests are equal
     keys = {r.flow_key: r.packets for r in read("flows").collect()}
-    assert all(r.evidence_key in keys and r.pkt_root != LE.EMPTY for r in evidence) and len({r.digest for r in evidence}) == len(evidence)
+    assert all(r.evidence_key in keys and r.pkt_root != LE.NO_PACKETS for r in evidence) and len({r.digest for r in evidence}) == len(evidence)
     for r in evidence:
         level = [hashlib.sha256(f"{r.evidence_key}:{i}".encode()).hexdigest() for i in range(min(64, keys[r.evidence_key]))]
         while len(level) > 1:
