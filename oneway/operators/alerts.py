@@ -5,7 +5,8 @@ The flow that stands for a finding travels through the aggregates as min_by(key,
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from oneway.operators.dga import score_names
 from oneway.operators.floods import flood_findings
 from oneway.operators.flows import dns_questions, flows
 from oneway.operators.ranges import positions
+from oneway.operators.shared import written
 from oneway.operators.tunnel import score_tunnels
 
 #: Names that one second-level domain may have before its names are the tunnel detector's affair.
@@ -29,51 +31,51 @@ def title_case(threat: Column) -> Column:
     return F.initcap(F.replace(threat, F.lit("_"), F.lit(" ")))
 
 
-def excluded_domains(questions: DataFrame, tunnels: DataFrame) -> DataFrame:
+def excluded_domains(questions: DataFrame, tunnels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Domains whose names are not judged one by one: detected tunnels, and those with many distinct names."""
-    named = questions.select(second_level(F.col("qname")).alias("domain"), "qname").distinct()
-    many = named.groupBy("domain").count().where(F.col("count") >= MANY_NAMES).select("domain")
-    return tunnels.where("is_tunnel").select("domain").union(many).distinct()
+    named = questions.select(*by, second_level(F.col("qname")).alias("domain"), "qname").distinct()
+    many = named.groupBy(*by, "domain").count().where(F.col("count") >= MANY_NAMES).select(*by, "domain")
+    return tunnels.where("is_tunnel").select(*by, "domain").union(many).distinct()
 
 
-def dga_candidates(questions: DataFrame, tunnels: DataFrame) -> DataFrame:
+def dga_candidates(questions: DataFrame, tunnels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The first name of each label, outside the excluded domains, by arrival."""
-    rows = questions.withColumn("domain", second_level(F.col("qname"))).join(excluded_domains(questions, tunnels), "domain", "left_anti")
+    rows = questions.withColumn("domain", second_level(F.col("qname"))).join(excluded_domains(questions, tunnels, by), [*by, "domain"], "left_anti")
     rows = rows.withColumn("dedupe", heuristic_label(F.col("qname")))
-    first = F.min_by(F.struct(*(c for c in rows.columns if c != "dedupe")), F.struct("frame_no", "qname"))  # reduced before it meets
-    return rows.groupBy("dedupe").agg(first.alias("__first")).select("__first.*")
-
-
-def _branch(rows: DataFrame, branch: int, detector: str, threat: Column, confidence: Column, key: Column, subject: Column, seq: Column, title: Column, evidence: Column) -> DataFrame:
-    return rows.select(F.lit(branch).alias("branch"), F.lit(detector).alias("detector"), threat.alias("threat"), F.round(confidence, 4).alias("confidence"), key.alias("flow_key"), subject.alias("subject"), seq.cast("long").alias("seq"), title.alias("title"), evidence.alias("evidence_key"))
+    first = F.min_by(F.struct(*(c for c in rows.columns if c != "dedupe" and c not in by)), F.struct("frame_no", "qname"))  # reduced before it meets
+    return rows.groupBy(*by, "dedupe").agg(first.alias("__first")).select(*by, "__first.*")
 
 
-def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | None = None, persist: bool = True) -> DataFrame:
+def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """All alerts of a window of packets: branch, detector, threat, severity, confidence, flow_key, subject, title, seq, and evidence_key,
     the key of the first flow that the finding rests on (null for questions handed in without flows).
 
-    The four branches read the flows and questions many times with different columns, which would scan and shuffle the packets
-    as often.  They and the scored domains are therefore persisted (memory, then disk; a lost executor's part is recomputed); ``spark.catalog.clearCache()``
-    frees them when the alerts have been written.
+    With ``by``, columns of the packets such as a sensor and a window's number, every value is judged for itself, in one plan, and the alerts
+    carry these columns.  The four branches read the flows and questions many times with different columns, which would scan and shuffle the
+    packets as often; so flows, questions and scored domains are written once to the shared folder.
     """
-    table = flows(packets)
-    questions = dns_questions(packets) if questions is None else questions
+    by = list(by)
+    table = written(flows(packets, by), "flows")
+    questions = dns_questions(packets, by) if questions is None else questions
     if "flow_key" not in questions.columns:
         questions = questions.withColumn("flow_key", F.lit(None).cast("string"))
-    if persist:
-        table, questions = table.persist(StorageLevel.MEMORY_AND_DISK), questions.persist(StorageLevel.MEMORY_AND_DISK)
+    questions = written(questions, "questions")
     lit = F.lit
-    floods = flood_findings(table)
-    beacons = score_beacons(table).where("is_beacon")
-    tunnels = score_tunnels(questions, window_s)
-    tunnels = tunnels.persist(StorageLevel.MEMORY_AND_DISK) if persist else tunnels
-    names = score_names(dga_candidates(questions, tunnels)).where("is_dga")
+    floods = flood_findings(table, by=by)
+    beacons = score_beacons(table, by).where("is_beacon")
+    tunnels = written(score_tunnels(questions, window_s, by=by), "tunnels")
+    names = score_names(dga_candidates(questions, tunnels, by)).where("is_dga")
     found = tunnels.where("is_tunnel")
+
+    def branch(rows: DataFrame, number: int, detector: str, threat: Column, confidence: Column, key: Column, subject: Column, seq: Column, title: Column) -> DataFrame:
+        named = {"branch": lit(number), "detector": lit(detector), "threat": threat, "confidence": F.round(confidence, 4), "flow_key": key, "subject": subject, "seq": seq.cast("long"), "title": title, "evidence_key": F.col("flow_key")}
+        return rows.select(*by, *(c.alias(n) for n, c in named.items()))
+
     rows = [
-        _branch(floods, 1, "floods", F.col("threat"), F.col("confidence"), F.concat(lit("*->"), "dst_ip"), F.col("dst_ip"), F.col("flow_seq") * 8 + F.col("ordinal"), F.concat(title_case(F.col("threat")), lit(" against "), "dst_ip"), F.col("flow_key")),
-        _branch(beacons, 2, "beaconing", lit("c2_beaconing"), F.col("confidence"), F.concat("src_ip", lit("->"), "dst_ip"), F.col("src_ip"), F.col("flow_seq"), F.concat(lit("C2 beacon "), "src_ip", lit(" -> "), "dst_ip"), F.col("flow_key")),
-        _branch(found, 3, "dns_tunnel", lit("dns_tunnelling"), F.col("confidence"), F.concat(lit("*->"), "domain"), F.col("domain"), F.col("first"), F.concat(lit("DNS tunnel over "), "domain", lit(": ~"), F.col("uplink_bytes").cast("string"), lit(" B uplink encoded")), F.col("flow_key")),
-        _branch(names, 4, "dga", lit("dga_domain"), F.col("prob"), F.concat("src_ip", lit("->"), "dst_ip"), F.col("qname"), F.col("frame_no"), F.concat(lit("DGA domain observed: "), "qname", lit(" ("), "family", lit(")")), F.col("flow_key")),
+        branch(floods, 1, "floods", F.col("threat"), F.col("confidence"), F.concat(lit("*->"), "dst_ip"), F.col("dst_ip"), F.col("flow_seq") * 8 + F.col("ordinal"), F.concat(title_case(F.col("threat")), lit(" against "), "dst_ip")),
+        branch(beacons, 2, "beaconing", lit("c2_beaconing"), F.col("confidence"), F.concat("src_ip", lit("->"), "dst_ip"), F.col("src_ip"), F.col("flow_seq"), F.concat(lit("C2 beacon "), "src_ip", lit(" -> "), "dst_ip")),
+        branch(found, 3, "dns_tunnel", lit("dns_tunnelling"), F.col("confidence"), F.concat(lit("*->"), "domain"), F.col("domain"), F.col("first"), F.concat(lit("DNS tunnel over "), "domain", lit(": ~"), F.col("uplink_bytes").cast("string"), lit(" B uplink encoded"))),
+        branch(names, 4, "dga", lit("dga_domain"), F.col("prob"), F.concat("src_ip", lit("->"), "dst_ip"), F.col("qname"), F.col("frame_no"), F.concat(lit("DGA domain observed: "), "qname", lit(" ("), "family", lit(")"))),
     ]
     out = rows[0]
     for r in rows[1:]:

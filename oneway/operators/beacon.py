@@ -7,7 +7,7 @@ periodogram of such a channel is summed over slices of its events: sums of cosin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,12 +36,14 @@ def channel_events(flows: DataFrame) -> DataFrame:
     return flows.join(channels(flows).select("src_ip", "dst_ip"), ["src_ip", "dst_ip"], "left_semi").select("src_ip", "dst_ip", F.col("start_ts").alias("t"), F.col("bytes").alias("size"))
 
 
-def robust_cv(events: DataFrame) -> DataFrame:
+CHANNEL = ("src_ip", "dst_ip")
+
+
+def robust_cv(events: DataFrame, key: Sequence[str] = CHANNEL) -> DataFrame:
     """1.4826 MAD / median of the positive gaps of each channel; 1 where there is none or the median is not positive."""
-    key = ["src_ip", "dst_ip"]
     gaps = events.withColumn("gap", F.col("t") - F.lag("t").over(W.partitionBy(*key).orderBy("t"))).where("gap > 0")
     mid = gaps.groupBy(*key).agg(F.median("gap").alias("median_gap"))
-    mad = gaps.join(mid, key).groupBy(*key).agg(F.first("median_gap").alias("median_gap"), F.median(F.abs(F.col("gap") - F.col("median_gap"))).alias("mad"))
+    mad = gaps.join(mid, list(key)).groupBy(*key).agg(F.first("median_gap").alias("median_gap"), F.median(F.abs(F.col("gap") - F.col("median_gap"))).alias("mad"))
     return mad.select(*key, "median_gap", F.coalesce(F.try_divide(1.4826 * F.col("mad"), "median_gap"), F.lit(1.0)).alias("robust_cv"))
 
 
@@ -59,9 +61,9 @@ def resultant(t: np.ndarray, lo: float, hi: float, n_periods: int = N_PERIODS) -
     return c, s
 
 
-def rayleigh(events: DataFrame) -> DataFrame:
+def rayleigh(events: DataFrame, key: Sequence[str] = CHANNEL) -> DataFrame:
     """best_r, period, fap and cycles of each channel with a usable range of periods."""
-    key = ["src_ip", "dst_ip"]
+    key = list(key)
     stats = events.groupBy(*key).agg(F.min("t").alias("t0"), (F.max("t") - F.min("t")).alias("span"), F.count("*").alias("n"))
     lo, hi = F.greatest(F.lit(P_MIN), F.col("span") / F.col("n") / 4), F.least(F.lit(P_MAX), F.col("span") / 2)
     stats = stats.withColumns({"lo": lo, "hi": hi}).where("span > 0 and hi > lo")
@@ -73,21 +75,21 @@ def rayleigh(events: DataFrame) -> DataFrame:
     def answer(first, c: np.ndarray, s: np.ndarray) -> dict:
         return {k: [v] for k, v in zip(("best_r", "period", "fap", "cycles"), _spectrum(c, s, first["n"], first["lo"], first["hi"], first["span"]))}
 
-    ends, named = ("n", "lo", "hi", "span"), "src_ip string, dst_ip string"
+    ends, named = ("n", "lo", "hi", "span"), ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in key)
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
         c, s = resultant(frame["t"].to_numpy() - first["t0"], first["lo"], first["hi"])
-        return pd.DataFrame({"src_ip": [first["src_ip"]], "dst_ip": [first["dst_ip"]]} | answer(first, c, s))
+        return pd.DataFrame({k: [first[k]] for k in key} | answer(first, c, s))
 
     def part(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
         c, s = resultant(frame["t"].to_numpy() - first["t0"], first["lo"], first["hi"])
-        return pd.DataFrame({"src_ip": [first["src_ip"]], "dst_ip": [first["dst_ip"]], **{k: [first[k]] for k in ends}, "c": [c], "s": [s]})
+        return pd.DataFrame({**{k: [first[k]] for k in (*key, *ends)}, "c": [c], "s": [s]})
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
-        return pd.DataFrame({"src_ip": [first["src_ip"]], "dst_ip": [first["dst_ip"]]} | answer(first, np.sum(list(frame["c"]), axis=0), np.sum(list(frame["s"]), axis=0)))
+        return pd.DataFrame({k: [first[k]] for k in key} | answer(first, np.sum(list(frame["c"]), axis=0), np.sum(list(frame["s"]), axis=0)))
 
     out = f"{named}, " + ", ".join(f"{k} double" for k in ("best_r", "period", "fap", "cycles"))
     done = sliced.where("slices = 1").repartition(tasks, *key).groupBy(*key).applyInPandas(whole, out)
@@ -101,10 +103,10 @@ def sizes(events: DataFrame) -> DataFrame:
     return rows.select("src_ip", "dst_ip", "n", F.when(F.col("mean") > 0, 1 - F.least(F.lit(1.0), F.col("sd") / F.col("mean"))).otherwise(0.5).alias("size_regularity"))
 
 
-def channel_table(flows: DataFrame, min_events: int = MIN_EVENTS) -> DataFrame:
+def channel_table(flows: DataFrame, min_events: int = MIN_EVENTS, by: Sequence[str] = ()) -> DataFrame:
     """One row per guarded channel with all that is a plain aggregate of its flows: n, first flow, times and size regularity."""
     rows = flows if "flow_key" in flows.columns else flows.withColumn("flow_key", F.lit(None).cast("string"))
-    rows = rows.groupBy("src_ip", "dst_ip").agg(
+    rows = rows.groupBy(*by, "src_ip", "dst_ip").agg(
         F.count("*").alias("n"), F.count_if(F.col("dst_port").isin(*BENIGN_PORTS)).alias("benign"), F.min("flow_seq").alias("flow_seq"), F.min_by("flow_key", "flow_seq").alias("flow_key"),
         F.min("start_ts").alias("t0"), (F.max("start_ts") - F.min("start_ts")).alias("span"), F.stddev_pop("bytes").alias("sd"), F.avg("bytes").alias("mean"),
     )
@@ -121,7 +123,7 @@ def _spectrum(c: np.ndarray, s: np.ndarray, n: int, lo: float, hi: float, span:
     return float(r[at]), period, float(min(1.0, trials * np.exp(-n * r[at] ** 2))), span / period
 
 
-_MEASURES = "src_ip string, dst_ip string, robust_cv double, best_r double, period double, fap double, cycles double"
+_MEASURES = "channel string, robust_cv double, best_r double, period double, fap double, cycles double"
 
 
 def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +131,7 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = None
 
     def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        src, dst = (table.column(c).combine_chunks().dictionary_encode() for c in ("src_ip", "dst_ip"))
-        key = src.indices.to_numpy().astype(np.int64) * len(dst.dictionary) + dst.indices.to_numpy()
+        key = table.column("channel").combine_chunks().dictionary_encode().indices.to_numpy()
         at = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
         t = table.column("t").to_numpy()
         ends = {c: table.column(c).to_numpy()[at] for c in ("n", "t0", "span")}
@@ -147,8 +148,8 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if hi > lo:
                     row = (cv, *_spectrum(*resultant(own - t0, lo, hi), n, lo, hi, span))
             out.append(row)
-        columns = [table.column(c).combine_chunks().take(pa.array(at)) for c in ("src_ip", "dst_ip")]
-        names = ["src_ip", "dst_ip", "robust_cv", "best_r", "period", "fap", "cycles"]
+        columns = [table.column("channel").combine_chunks().take(pa.array(at))]
+        names = ["channel", "robust_cv", "best_r", "period", "fap", "cycles"]
         yield pa.record_batch([*columns, *(pa.array(list(c), pa.float64()) for c in zip(*out))], names=names)
 
     for batch in batches:
@@ -156,8 +157,8 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table if rest is None else pa.concat_tables([rest, table])
         if not table.num_rows:
             continue
-        src, dst = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("src_ip", "dst_ip"))
-        last = int(np.flatnonzero((src == src[-1]) & (dst == dst[-1]))[0])  # sorted, so a channel's rows are together
+        own = table.column("channel").combine_chunks().dictionary_encode().indices.to_numpy()
+        last = int(np.flatnonzero(own == own[-1])[0])  # sorted, so a channel's rows are together
         rest = table.slice(last)
         if last:
             yield from told(table.slice(0, last))
@@ -165,22 +166,24 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(rest)
 
 
-def score_beacons(flows: DataFrame) -> DataFrame:
-    """One row per guarded channel: score, gate and confidence.
+def score_beacons(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per guarded channel (of each value of ``by``): score, gate and confidence.
 
     One aggregate of the flows gives all plain numbers; one exchange brings ordinary channels' events to the kernel for gaps and spectrum.
     Channels of more than ``SLICE`` events take the way in slices, with medians by windows.
     """
-    key = ["src_ip", "dst_ip"]
-    table = channel_table(flows)
+    key = [*by, *CHANNEL]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+    channel = F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)))  # no two keys give one
+    table = channel_table(flows, by=by).withColumn("channel", channel)
     tasks = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    events = flows.select(*key, F.col("start_ts").alias("t"), F.col("bytes").alias("size"))
+    events = flows.select(*key, channel.alias("channel"), F.col("start_ts").alias("t"), F.col("bytes").alias("size"))
     # few rows and much work per channel: spread over all partitions rather than gathered by size
-    usual = events.drop("size").join(table.where(F.col("n") <= SLICE).select(*key, "n", "t0", "span"), key)
-    usual = usual.repartition(tasks, *key).sortWithinPartitions(*key, "t").mapInArrow(measures, _MEASURES)
-    long = events.join(table.where(F.col("n") > SLICE).select(*key), key, "left_semi")
-    long = robust_cv(long).join(rayleigh(long), key, "full").select(*key, "robust_cv", "best_r", "period", "fap", "cycles")
-    rows = table.join(usual.unionByName(long), key, "left")
+    usual = events.select("channel", "t").join(table.where(F.col("n") <= SLICE).select("channel", "n", "t0", "span"), "channel")
+    usual = usual.repartition(tasks, "channel").sortWithinPartitions("channel", "t").mapInArrow(measures, _MEASURES)
+    long = events.join(table.where(F.col("n") > SLICE).select("channel"), "channel", "left_semi").drop(*key)
+    long = robust_cv(long, ["channel"]).join(rayleigh(long, ["channel"]), "channel", "full").select("channel", "robust_cv", "best_r", "period", "fap", "cycles")
+    rows = table.join(usual.unionByName(long), "channel", "left").drop("channel")
     rows = rows.withColumns({"robust_cv": F.coalesce("robust_cv", F.lit(1.0)), "best_r": F.coalesce("best_r", F.lit(0.0)), "fap": F.coalesce("fap", F.lit(1.0)), "cycles": F.coalesce("cycles", F.lit(0.0))})
     regular = 1 - F.least(F.lit(1.0), F.col("robust_cv"))
     score = 0.42 * F.col("best_r") + 0.28 * (1 - F.col("fap")) + 0.18 * regular + 0.12 * F.col("size_regularity")

@@ -6,6 +6,8 @@ is the hot key by nature, is reduced to one row per source before its rows meet.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,8 +52,8 @@ def service() -> Column:
     return out
 
 
-def destinations(flows: DataFrame) -> DataFrame:
-    """One row per destination with all that the rules need.  ``flows`` may carry hz and r2; without them there is no clock."""
+def destinations(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per destination (of each value of ``by``) with all that the rules need.  ``flows`` may carry hz and r2; without them there is no clock."""
     for name, default in (("hz", F.lit(None).cast("double")), ("r2", F.lit(0.0))):
         if name not in flows.columns:
             flows = flows.withColumn(name, default)
@@ -61,7 +63,7 @@ def destinations(flows: DataFrame) -> DataFrame:
     slow = tcp & F.col("dst_port").isin(*WEB_PORTS) & (F.col("duration") > 8) & (F.col("byte_rate") < 40) & ((F.col("http_partial_count") > 0) | ((F.col("packets") > 3) & (F.col("mean_size") < 80)))
     flows = flows.withColumns({"half_open": half_open_ratio(), "liveness": liveness()})
     total = lambda c, on=None: F.sum(F.when(on, F.col(c)) if on is not None else F.col(c))
-    by_source = flows.groupBy("dst_ip", "src_ip").agg(
+    by_source = flows.groupBy(*by, "dst_ip", "src_ip").agg(
         F.min("start_ts").alias("first"), F.max("last_ts").alias("last"), F.count("*").alias("n"), F.min_by("flow_key", "flow_seq").alias("key"), F.min("flow_seq").alias("seq"),
         F.count_if(syn_flow).alias("syn_flows"), total("syn", syn_flow).alias("syn"), total("half_open", syn_flow).alias("half_open"), total("liveness", syn_flow).alias("live"),
         total("synack", tcp).alias("synack"), F.count_if(udp).alias("udp_flows"), total("packets", udp).alias("udp_packets"), total("bytes", udp).alias("udp_bytes"),
@@ -70,7 +72,7 @@ def destinations(flows: DataFrame) -> DataFrame:
     )
     n_all = F.sum("n").alias("flows")
     entropy_parts = F.sum(F.col("n") * F.log2("n")).alias("n_log_n")
-    rows = by_source.groupBy("dst_ip").agg(
+    rows = by_source.groupBy(*by, "dst_ip").agg(
         F.greatest(F.lit(0.5), F.max("last") - F.min("first")).alias("w"), F.count("*").alias("sources"), n_all, entropy_parts, F.min_by("key", "seq").alias("flow_key"), F.min("seq").alias("flow_seq"),
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("syn_flows", "syn", "half_open", "live", "synack", "udp_flows", "udp_packets", "udp_bytes", "amp_packets", "amp_bytes", "reflects", "slow", "slow_s", "slow_rate", "partial")),
     )
@@ -136,8 +138,8 @@ def slowloris(connections: int = 20) -> Column:
 RULES = (syn_flood, synack_reflection, udp_amplification, udp_flood, slowloris)
 
 
-def flood_findings(flows: DataFrame, rules=RULES) -> DataFrame:
+def flood_findings(flows: DataFrame, rules=RULES, by: Sequence[str] = ()) -> DataFrame:
     """One row per destination and rule that fires, in rule order."""
     found = F.array(*(F.struct(F.lit(i).alias("ordinal"), rule().alias("r")) for i, rule in enumerate(rules)))
-    rows = destinations(flows).select("dst_ip", "flow_key", "flow_seq", F.explode(found).alias("f")).where("f.r is not null")
-    return rows.select("dst_ip", "flow_key", "flow_seq", F.col("f.ordinal").alias("ordinal"), "f.r.*")
+    rows = destinations(flows, by).select(*by, "dst_ip", "flow_key", "flow_seq", F.explode(found).alias("f")).where("f.r is not null")
+    return rows.select(*by, "dst_ip", "flow_key", "flow_seq", F.col("f.ordinal").alias("ordinal"), "f.r.*")

@@ -6,6 +6,8 @@ map-side; ordered lists are separate builders, so plans that do not need them ne
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,8 +52,9 @@ def derived(flows: DataFrame) -> DataFrame:
     return flows.withColumns({"byte_rate": ratio("bytes", F.when(F.col("duration") > 0, F.col("duration"))), "mean_size": ratio("bytes", "packets"), "flow_key": flow_key()})
 
 
-def flows(packets: DataFrame) -> DataFrame:
-    return derived(packets.groupBy(*FLOW_KEY).agg(*counters()))
+def flows(packets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Flows; those of different values in ``by`` (a window, a sensor) are different flows."""
+    return derived(packets.groupBy(*by, *FLOW_KEY).agg(*counters()))
 
 
 def ordered(value: Column, order: str = "frame_no") -> Column:
@@ -73,10 +76,10 @@ def tsval_lists(packets: DataFrame) -> DataFrame:
     return tcp.groupBy(*FLOW_KEY).agg(ordered(val).alias("tsvals"), ordered(ecr).alias("tsecrs"))
 
 
-def dns_questions(packets: DataFrame) -> DataFrame:
-    """One row per question, kept exploded; an absent type means A."""
+def dns_questions(packets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per question, kept exploded, with the columns of ``by``; an absent type means A."""
     asked = packets.where("dns_qname is not null and dns_qname <> ''")
-    return asked.select("frame_no", "ts", "src_ip", "dst_ip", F.col("dns_qname").alias("qname"), F.coalesce("dns_qtype", F.lit("A")).alias("qtype"), flow_key().alias("flow_key"))
+    return asked.select(*by, "frame_no", "ts", "src_ip", "dst_ip", F.col("dns_qname").alias("qname"), F.coalesce("dns_qtype", F.lit("A")).alias("qtype"), flow_key().alias("flow_key"))
 
 
 def ack_progress(packets: DataFrame) -> DataFrame:

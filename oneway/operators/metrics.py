@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oneway.operators.flows import ratio
-from oneway.operators.ranges import range_bucket
+from oneway.operators.ranges import positions, range_bucket, running_sum
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -24,11 +24,11 @@ def relative_errors(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
 def summary_stats(rows: DataFrame, value: str, by: str) -> DataFrame:
     """n, mean, population deviation, extremes and the elements at floor(p n) of the sorted values, per group.
 
-    Order statistics are read off running counts of distinct values, so a large group is reduced before it is ordered.
+    Order statistics are read off running counts of distinct values, which run inside ranges, so no group is ordered in one task.
     """
     values = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("x")).agg(F.count("*").alias("c"))
     base = rows.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    upto = values.withColumn("upto", F.sum("c").over(W.partitionBy(by).orderBy("x").rowsBetween(W.unboundedPreceding, 0))).join(base.select(by, "n"), by)
+    upto = running_sum(values, [by], "x", "c", "upto").join(base.select(by, "n"), by)
     at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))
     q = upto.groupBy(by).agg(*(F.min(F.when(F.col("upto") > at(p), F.col("x"))).alias(name) for name, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95))))
     return base.join(q, by, "left")
@@ -119,8 +119,9 @@ def average_precision(curve: DataFrame) -> DataFrame:
 
 def stratified(rows: DataFrame, by: str, train: int, test: int, id: str = "id", seed: int = 1) -> DataFrame:
     """Adds part: train for the first rows of each stratum in seeded hash order, test for the next, null beyond."""
-    order = F.row_number().over(W.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(id).cast("string")).cast("binary")), id))
-    return rows.withColumn("__r", order).withColumn("part", F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + test, "test")).drop("__r")
+    rows = rows.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(id).cast("string")).cast("binary")))
+    rows = positions(rows, [by], ["__h", id], "__r")
+    return rows.withColumn("part", F.when(F.col("__r") < train, "train").when(F.col("__r") < train + test, "test")).drop("__r", "__h")
 
 
 def recall_by(rows: DataFrame, by: str, threshold: float, score: str = "score") -> DataFrame:

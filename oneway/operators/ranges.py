@@ -41,3 +41,18 @@ def positions(rows: DataFrame, by: list[str], order: list[str], name: str) -> Da
         on = on & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
     inside = F.row_number().over(W.partitionBy(*by, "__c").orderBy(*order)) - 1
     return rows.join(counts, on).withColumn(name, inside + F.col("__before")).drop("__c", "__kc", "__before", *(f"__k_{c}" for c in by))
+
+
+def running_sum(rows: DataFrame, by: list[str], order: str, weight: str, name: str, descending: bool = False) -> DataFrame:
+    """Adds the sum of ``weight`` over the rows of a key up to this one in the order of a column that tells its rows apart.  Sums run inside ranges of
+    the column and begin with those of the ranges before, so a key of any size is never sorted in one task."""
+    rows = rows.withColumn("__c", range_bucket(rows, F.col(order)))
+    turned = F.desc if descending else F.asc
+    parts = rows.groupBy(*by, "__c").agg(F.sum(weight).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy(turned("__c")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(c).alias(f"__k_{c}") for c in by), F.col("__c").alias("__kc"), before.alias("__before"))
+    on = F.col("__c") == F.col("__kc")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    inside = F.sum(weight).over(W.partitionBy(*by, "__c").orderBy(turned(order)).rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(parts, on).withColumn(name, inside + F.col("__before")).drop("__c", "__kc", "__before", *(f"__k_{c}" for c in by))

@@ -18,8 +18,9 @@ from oneway.operators.estimators import estimate
 from oneway.operators.flows import flows
 from oneway.operators.dga import score_names
 from oneway.operators.profile import profile
+from oneway.operators.shared import written
 from oneway.sources.pcap import PcapDataSource, write_pcap
-from oneway.streaming.windows import first_alerts, unaligned_windows
+from oneway.streaming.windows import unaligned_windows
 
 
 @dataclass
@@ -39,49 +40,42 @@ class Analysis:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-_TAG = r"w[0-9]+/|-w[0-9]+(?![0-9A-Za-z])"
-
-
 def windowed_alerts(packets: DataFrame, window_s: float) -> DataFrame:
-    """The first alert of each threat and flow key over unaligned windows, with window_no.
-
-    Addresses and names carry their window's number while they are judged, so all windows are one plan and windows never mix.
-    """
-    rows = unaligned_windows(packets.withColumn("sensor_id", F.lit("capture")), window_s)
-    tag = F.concat(F.lit("w"), F.col("window_no").cast("string"))
-    ips = {c: F.concat(tag, F.lit("/"), c) for c in ("src_ip", "dst_ip")}
-    found = alerts(rows.withColumns({**ips, "dns_qname": F.concat("dns_qname", F.lit("-"), tag)}).drop("sensor_id", "window_no", "window_start"), window_s)
-    number = F.regexp_extract(F.concat_ws(" ", "flow_key", "subject"), "w([0-9]+)(/|$| )|-w([0-9]+)$", 0)
-    found = found.withColumn("window_no", F.regexp_extract(number, "([0-9]+)", 1).cast("long"))
-    plain = {c: F.regexp_replace(c, _TAG, "") for c in ("flow_key", "subject", "title", "evidence_key")}
-    found = found.withColumns(plain).withColumn("order", F.struct("window_no", "branch", "seq"))
-    return first_alerts(found, order="order").drop("order")
+    """The first alert of each sensor's threat and flow key over unaligned windows, with sensor_id (that of the packets, or ``capture`` where they
+    have none) and window_no.  Window and sensor are columns that all detectors group by, so windows never mix and names stay as they are."""
+    named = packets if "sensor_id" in packets.columns else packets.withColumn("sensor_id", F.lit("capture"))
+    found = alerts(unaligned_windows(named, window_s), window_s, by=["sensor_id", "window_no"])
+    first = F.min_by(F.struct(*(c for c in found.columns if c not in ("sensor_id", "threat", "flow_key"))), F.struct("window_no", "branch", "seq"))
+    return found.groupBy("sensor_id", "threat", "flow_key").agg(first.alias("a")).select("sensor_id", "threat", "flow_key", "a.*")
 
 
 def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1", key: bytes = b"sensor-signing-key", now: float | None = None, windows: bool = False) -> Analysis:
     """Flows, alerts, sealed evidence, incidents and a profile of one window, or with ``windows`` of as many as the packets fill, of which
-    each threat and flow key is told once.
+    each threat and flow key is told once.  Packets that name their sensor (sensor_id) are judged and sealed per sensor.
 
     Evidence hashes stand for the packets of the first flow an alert rests on; each alert's digest is sealed in order, eight to a block.
     """
-    table = flows(packets)
+    by = ["sensor_id"] if "sensor_id" in packets.columns else []
+    table = flows(packets, by)
     end = F.lit(float(now)) if now is not None else None
-    found = windowed_alerts(packets, window_s) if windows else alerts(packets, window_s)
+    found = windowed_alerts(packets, window_s) if windows else alerts(packets, window_s, by=by)
     last = packets.agg((F.max_by("ts", "frame_no") + 1).alias("ts"))  # one row
     found = found.join(F.broadcast(last), F.lit(True)) if end is None else found.withColumn("ts", end)
     found = found.withColumn("order", F.col("branch").cast("long") * (1 << 56) + F.col("seq"))
     # only flows that an alert rests on are hashed
-    named = found.select(F.col("evidence_key").alias("flow_key")).where("flow_key is not null").distinct()
-    hashed = packet_hashes(table.select("flow_key", "packets").join(named, "flow_key", "left_semi"))
-    roots = LE.merkle_root(hashed, "packet_hashes", 64, "pkt_root").select(F.col("flow_key").alias("evidence_key"), "pkt_root")
-    rows = found.join(roots, "evidence_key", "left").withColumn("pkt_root", F.coalesce("pkt_root", F.lit(LE.NO_PACKETS)))
+    own = [*by, "evidence_key"]
+    named = found.select(*own).where("evidence_key is not null").distinct()
+    hashed = packet_hashes(table.select(*by, F.col("flow_key").alias("evidence_key"), "packets").join(named, own, "left_semi"), "evidence_key")
+    roots = LE.merkle_root(hashed, "packet_hashes", 64, "pkt_root").select(*own, "pkt_root")
+    rows = found.join(roots, own, "left").withColumn("pkt_root", F.coalesce("pkt_root", F.lit(LE.NO_PACKETS)))
     # the order makes digests of equal findings differ
     alert = {"order": F.col("order"), **{c: F.col(c) for c in ("detector", "threat", "severity", "flow_key", "title")}, "confidence": F.round("confidence", 4)}
-    rows = rows.withColumns({"sensor_id": F.lit(sensor), "digest": LE.bundle_digest(alert, {"key": F.col("evidence_key")}, F.col("pkt_root"), {"subject": F.col("subject")}, F.lit("rules@1"))})
-    chain = LE.seal(LE.batches(rows, order="order"), key)
-    proofs = LE.bundle_proofs(chain).select(F.col("leaf").alias("digest"), "block", "merkle_root", "verified")
-    intact = LE.verify_chain(chain, key).select("intact")
-    evidence = rows.join(proofs, "digest", "left").join(F.broadcast(intact), F.lit(True)).withColumn("verified", F.coalesce(F.col("verified") & F.col("intact"), F.lit(False)))
+    sensor_id = F.col("sensor_id") if by else F.lit(sensor)
+    rows = rows.withColumns({"sensor_id": sensor_id, "digest": LE.bundle_digest(alert, {"key": F.col("evidence_key")}, F.col("pkt_root"), {"subject": F.col("subject")}, F.lit("rules@1"))})
+    chain = LE.seal(LE.batches(written(rows, "findings"), order="order"), key)
+    proofs = LE.bundle_proofs(chain).select("sensor_id", F.col("leaf").alias("digest"), "block", "merkle_root", "verified")
+    evidence = rows.join(proofs, ["sensor_id", "digest"], "left").join(LE.verify_chain(chain, key).select("sensor_id", "intact"), "sensor_id", "left")
+    evidence = evidence.withColumn("verified", F.coalesce(F.col("verified") & F.col("intact"), F.lit(False)))
     groups = IN.correlate(found.withColumn("seq", F.col("order")))
     return Analysis(estimate(packets), found, chain, evidence.drop("intact"), groups, profile(packets))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -332,7 +333,7 @@ def L7_packet_hashes(spark, d):
 @query(f"SELECT threat, concat('*->', dst_ip) AS flow_key, flow_key AS evidence_key, seq FROM (SELECT *, flow_seq * 8 + ordinal AS seq FROM ({O.floods(_FL)}))")
 def L2_victim_flow(spark, d):
     """The first flow towards the victim of each flood, as alerts carry it to the ledger."""
-    return AL.alerts(adapter(spark, d, "pkt_flood"), persist=False).where("branch = 1").select("threat", "flow_key", "evidence_key", "seq")
+    return AL.alerts(adapter(spark, d, "pkt_flood")).where("branch = 1").select("threat", "flow_key", "evidence_key", "seq")
 
 
 @query(f"SELECT {', '.join(_ALERT)} FROM ({O.alerts()}) ORDER BY confidence DESC, branch, seq LIMIT 25")
@@ -739,12 +740,21 @@ def V18_extremes(spark, d):
     return ME.extremes(rows, "m", 2, "detector").withColumn("m", F.round("m", 6))
 
 
-@query(f"SELECT frame_no, ts, '10.1.2.3' AS src_ip, '198.51.100.7' AS dst_ip, src_port, dst_port, proto, tcp_flags, dns_qname AS qname, CASE WHEN dns_qname IS NOT NULL THEN coalesce(dns_qtype, 'A') END AS qtype, http_partial AND dst_port = 80 AND proto = 'TCP' AS http_partial FROM (SELECT * REPLACE (round(ts, 6) AS ts) FROM ({_EV}) p)")
-def S1_capture_round_trip(spark, d):
-    """Packets as capture bytes and back, batch by batch."""
-    from oneway.sources.pcap import round_trip
+_ENDS = {"src_ip": "concat('10.', event % 7, '.', event // 256 % 256, '.', event % 256)", "dst_ip": "concat('198.51.100.', event % 250)"}
+
 
-    rows = round_trip(adapter(spark, d, "pkt_events").withColumns({"src_ip": F.lit("10.1.2.3"), "dst_ip": F.lit("198.51.100.7")}))
+@query(f"""SELECT row_number() OVER (ORDER BY frame_no) - 1 AS frame_no, ts, {_ENDS["src_ip"].replace("event", "frame_no")} AS src_ip, {_ENDS["dst_ip"].replace("event", "frame_no")} AS dst_ip, src_port, dst_port, proto, tcp_flags, dns_qname AS qname,
+  CASE WHEN dns_qname IS NOT NULL THEN coalesce(dns_qtype, 'A') END AS qtype, http_partial AND dst_port = 80 AND proto = 'TCP' AS http_partial FROM (SELECT * REPLACE (round(ts, 6) AS ts) FROM ({_EV}) p)""")
+def S1_capture_round_trip(spark, d):
+    """Packets written to a capture file and read again, in ranges of it."""
+    from oneway.operators.shared import shared_folder
+    from oneway.sources.pcap import PcapDataSource, read_captures, write_pcap
+
+    spark.dataSource.register(PcapDataSource)
+    ends = {k: F.expr(v.replace("event", "frame_no").replace("//", "div")) for k, v in _ENDS.items()}
+    path = f"{shared_folder(spark)}/oneway-capture-{uuid.uuid4().hex}"
+    write_pcap(adapter(spark, d, "pkt_events").withColumns(ends).where("proto in ('TCP', 'UDP')"), path)
+    rows = read_captures(spark, path, 1 << 18)
     return rows.select("frame_no", r("ts"), "src_ip", "dst_ip", "src_port", "dst_port", "proto", "tcp_flags", F.col("dns_qname").alias("qname"), F.col("dns_qtype").alias("qtype"), "http_partial")
 
 

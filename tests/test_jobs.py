@@ -10,6 +10,7 @@ from oneway.operators import ledger as LE
 from oneway.plans import analysis as A
 from oneway.sources import pcap as S
 from oneway.streaming.replay import Progress, Replay, landing_stream, rejected
+from oneway.streaming.windows import unaligned_windows
 
 
 def test_analysis_is_sealed_and_verifies(spark, tmp_path):
@@ -43,6 +44,30 @@ def test_windows_are_judged_apart_in_one_plan(spark):
     assert len({r[2] for r in names}) == 1 and names[0][1] == 3 and names[0][3].endswith(".info") and names[0][2] == "10.81.0.3->192.0.2.53"
 
 
+def test_windows_and_sensors_are_those_of_runs_of_their_own(spark):
+    """Every sensor's window is judged as a run over its packets alone; names that look like a window's tag, or are one label, stay as they are."""
+    asked = lambda names, t: [X.packet(t + i, "10.0.0.9", "192.0.2.53", src_port=40000, dst_port=53, proto="UDP", length=60, dns_qname=n, dns_qtype="A") for i, n in enumerate(names)]
+    odd = ["xk2qzv9w-w2.qzx7kvw3pbr9t.com", "qzx7kvw3pbr9", "w3/xkq9zv2wqpbt.info"]
+    late = lambda rows, s: [p | {"ts": p["ts"] + s} for p in rows]
+    one = X.syn_flood(1) + asked(odd, 100.0) + late(X.tunnel(3), 900) + late(asked(odd, 0.0), 1500)
+    two = X.tunnel(5) + late(X.udp_flood(6), 700)
+    frames = [X.frame(spark, rows).withColumn("sensor_id", F.lit(s)) for s, rows in (("a", one), ("b", two))]
+    packets = frames[0].unionByName(frames[1])
+    found = A.alerts(unaligned_windows(packets, 600.0), 600.0, by=["sensor_id", "window_no"])
+    keep = ["branch", "threat", "confidence", "flow_key", "subject", "title", "seq", "evidence_key"]
+    got = {(r.sensor_id, r.window_no, *r[2:]) for r in found.select("sensor_id", "window_no", *keep).collect()}
+    placed = unaligned_windows(packets, 600.0).cache()
+    want = set()
+    for s, n in {(r.sensor_id, r.window_no) for r in placed.select("sensor_id", "window_no").distinct().collect()}:
+        alone = placed.where((F.col("sensor_id") == s) & (F.col("window_no") == n)).drop("sensor_id", "window_no", "window_start")
+        want |= {(s, n, *r) for r in A.alerts(alone, 600.0).select(keep).collect()}
+    assert got == want and {g[:2] for g in got} == {("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)}
+    first = A.windowed_alerts(packets, 600.0).collect()
+    assert len(first) == len({(r.sensor_id, r.threat, r.flow_key) for r in first}) == len({(g[0], g[3], g[5]) for g in got})
+    plain = {r.subject: r.confidence for r in A.alerts(X.frame(spark, asked(odd, 0.0)), 600.0).where("branch = 4").collect()}
+    assert plain and {r.subject: r.confidence for r in first if r.branch == 4}.items() <= plain.items()
+
+
 def test_degradation_auc_and_captures(spark, tmp_path):
     got = {r.variant: (r.beacon_rate, r.dga_rate, r.known_by_acks) for r in A.degradation(spark, 3).collect()}
     assert {k: v[:2] for k, v in got.items()} == dict.fromkeys(("plain", "doh", "quic"), (1.0, 0.0)) and got["quic"][2] == 0 < got["doh"][2] == got["plain"][2]

@@ -96,3 +96,25 @@ def test_positions_of_a_key_that_has_most_rows(spark):
     got = positions(rows, ["sensor_id"], ["seq"], "n")
     wrong = got.join(got.groupBy("sensor_id").agg(F.array_sort(F.collect_list("seq")).alias("all")), "sensor_id").where("element_at(all, cast(n + 1 as int)) <> seq")
     assert wrong.count() == 0 and got.count() == 20_000
+
+
+def test_order_statistics_of_a_class_that_has_most_rows(spark):
+    """Thresholds, p-values and quantiles of a class with two thirds of all rows, by definition."""
+    from oneway.operators import conformal as CO
+    from oneway.operators import metrics as ME
+
+    rows = [(i, "hot" if i % 3 else f"c{i % 4}", (i * 7919 % 5000) / 5000, 0.0) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "id long, class string, score double, uncertainty double").repartition(6)
+    by: dict = {}
+    for i, c, s, _ in rows:
+        by.setdefault(c, []).append(1 - s)
+    fitted = {r["class"]: (r.n, r.q) for r in CO.fit(frame).collect()}
+    stats = {r["class"]: (r.median, r.p90) for r in ME.summary_stats(frame, "score", "class").collect()}
+    p = {r.id: r.p for r in CO.p_values(frame.where("id < 300"), frame).collect()}
+    for c, xs in by.items():
+        xs.sort()
+        assert fitted[c] == (len(xs), xs[min(len(xs), math.ceil((len(xs) + 1) * 0.9)) - 1])
+        up = sorted(1 - x for x in xs)
+        assert all(math.isclose(a, up[min(len(up) - 1, int(q * len(up)))]) for a, q in zip(stats[c], (0.5, 0.9)))
+    for i, c, s, _ in rows[:300]:
+        assert math.isclose(p[i], (sum(x >= 1 - s for x in by[c]) + 1) / (len(by[c]) + 1))

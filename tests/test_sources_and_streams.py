@@ -1,10 +1,14 @@
+import random
 import struct
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from oneway.functions import fixtures as X
 from oneway.operators.alerts import alerts
+from oneway.operators.beacon import score_beacons
+from oneway.operators.flows import flows
 from oneway.sources import pcap as S
 from oneway.sources import tables as T
 from oneway.streaming import windows as WN
@@ -100,6 +104,33 @@ def test_tables(spark, tmp_path):
     assert {(r.job_id, r.status) for r in spark.read.parquet(second).collect()} == {("a", "done"), ("b", "queued")}
 
 
+def test_one_capture_is_decoded_by_many_tasks(spark, tmp_path):
+    """Ranges of a file give the packets and frame numbers of the whole, whatever is dropped in between; filters reach the decoder."""
+    rows = [X.packet(float(i) / 7, f"10.0.{i % 9}.{i % 200}", "10.0.0.2", proto="UDP" if i % 3 else "TCP", length=i % 900) for i in range(900)]
+    data = list(S.capture(iter(rows)))
+    arp = struct.pack("<IIII", 1, 0, 30, 30) + bytes(12) + b"\x08\x06" + bytes(16)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.pcap").write_bytes(b"".join(x + arp * (i % 4 == 1) for i, x in enumerate(data)) + b"\0\0\0")
+    (folder / "b.pcap").write_bytes(b"".join(data[:1]))
+    (folder / "c.pcap").write_bytes(b"".join(data[:5]))
+    want = sorted(map(str, S.read_pcap(spark, str(folder)).collect()))
+    index = S.index_captures(spark, str(folder), 20_000)
+    assert index.where("file_no = 0").count() > 10 and len(want) == 904
+    for size in (1, 20_000, 1 << 30):
+        assert sorted(map(str, S.read_captures(spark, str(folder), size).collect())) == want
+    index.write.parquet(str(tmp_path / "index"))
+    spark.dataSource.register(S.PcapDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        frame = spark.read.format("pcap").option("index", str(tmp_path / "index")).load(str(folder))
+        assert frame.rdd.getNumPartitions() == index.count() and sorted(map(str, frame.collect())) == want
+        some = spark.read.format("pcap").option("index", str(tmp_path / "index")).option("pushdown", "true").load(str(folder)).where("proto = 'TCP' and ts >= 20 and ts < 90 and length > 5")
+        assert sorted(map(str, some.collect())) == sorted(map(str, S.read_pcap(spark, str(folder)).where("proto = 'TCP' and ts >= 20 and ts < 90 and length > 5").collect()))
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_unaligned_windows(spark):
     times = [0, 10, 59, 61, 100, 121.5, 300]
     packets = X.frame(spark, [X.packet(t, "a", "b") for t in times], sort=False).withColumn("sensor_id", F.lit("s"))
@@ -117,14 +148,48 @@ def test_windowed_flows_stream(spark, tmp_path):
     assert sum(r.packets for r in found) == 200 == sum(r.syn for r in found)
 
 
-def test_channel_series_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "b", 443, float(i), 100) for i in range(300)] + [("a", "c", 53, 1.0, 5)], "src_ip string, dst_ip string, dst_port int, start_ts double, bytes long")
-    rows.write.parquet(str(tmp_path / "in"))
-    out = WN.channel_series(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    found = []
-    q = out.writeStream.outputMode("update").foreachBatch(lambda b, _: found.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert len(found) == 1 and found[0].n == WN.CHANNEL_EVENTS and found[0].t[-1] == 299.0
+def test_channel_state_closes_like_a_batch(spark, tmp_path):
+    """After several batches and a restart the state's beacons are those of a batch over each channel's last starts."""
+    rng = random.Random(3)
+    rows = [("a", "b", 443, 60.0 * i + rng.random(), 100) for i in range(300)] + [("a", "c", 53, 60.0 * i, 5) for i in range(20)] + [("a", "n", 123, 64.0 * i, 48) for i in range(20)] + [("q", "r", 443, 7.0 * i, 10) for i in range(40)] + [("x", "y", 80, rng.random() * 5000, 10 + i) for i in range(50)]
+    columns = "src_ip string, dst_ip string, dst_port int, start_ts double, bytes long"
+    rows = [(*r[:3], r[3] + 1000, r[4]) for r in rows]  # a clock at 0 is at the first watermark
+    rng.shuffle(rows)
+    for n, part in enumerate((rows[:150], rows[150:151], rows[151:])):
+        spark.createDataFrame(part, columns).write.mode("append").parquet(str(tmp_path / "in"))
+        out = WN.channel_series(spark.readStream.schema(columns).parquet(str(tmp_path / "in")), 10**6, 10**6)
+        out.writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    frame = spark.createDataFrame(rows, columns).where("dst_port <> 53")  # none is late, none expires
+    last = frame.withColumn("__r", F.row_number().over(W.partitionBy("src_ip", "dst_ip").orderBy(F.desc("start_ts")))).where(f"__r <= {WN.CHANNEL_EVENTS}")
+    state = WN.channel_state(spark, str(tmp_path / "cp"))
+    key = ["src_ip", "dst_ip", "start_ts", "bytes", "dst_port"]
+    assert sorted(map(tuple, state.select(key).collect())) == sorted(map(tuple, last.select(key).collect()))
+    told = lambda df: sorted((r.src_ip, r.dst_ip, r.n, round(r.score, 6)) for r in df.collect())
+    want = told(score_beacons(last.withColumn("flow_seq", F.floor(F.col("start_ts") * 1_000_000))).where("is_beacon"))
+    assert told(WN.closing_beacons(spark, str(tmp_path / "cp"))) == want and [w[:2] for w in want] == [("a", "b"), ("q", "r")]
+
+
+def test_exact_windows_on_a_stream(spark, tmp_path):
+    """Random batches and a restart give the windows of the batch form; what a closed window holds is judged once."""
+    rng = random.Random(8)
+    rows = [X.packet(t, f"10.0.0.{rng.randrange(3)}", "b") for t in sorted(rng.random() * 900 for _ in range(260))] + X.syn_flood(1, 300, 100.0)
+    packets = X.frame(spark, rows).withColumns({"sensor_id": F.when(F.col("frame_no") % 3 == 0, "s2").otherwise("s1"), "ts": F.col("ts") + 1000})  # a clock at 0 is at the first watermark
+    end = X.frame(spark, [X.packet(5000.0, "z", "z")]).withColumns({"sensor_id": F.lit("s1"), "frame_no": F.lit(10_000).cast("long")})
+    detect = lambda df: flows(df, ["sensor_id", "window_no"])
+    cuts = [0, *sorted(rng.sample(range(1, packets.count()), 2)), 9_999]
+    for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        packets.where(F.col("frame_no").between(lo, hi - 1)).orderBy(F.rand(n)).write.mode("append").parquet(str(tmp_path / "in"))
+        if n == 2:
+            end.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(packets.schema).parquet(str(tmp_path / "in"))
+        WN.detect_windows(stream, 60.0, str(tmp_path / "out"), str(tmp_path / "cp"), detect, 5).awaitTermination(120)
+    everything = packets.unionByName(end)
+    want = {(r.sensor_id, r.frame_no): (r.window_no, r.window_start) for r in WN.unaligned_windows(everything, 60.0).collect()}
+    got = spark.read.parquet(str(tmp_path / "out" / "packets"))
+    assert {(r.sensor_id, r.frame_no): (r.window_no, r.window_start) for r in got.collect()} == want and got.count() == len(want)
+    told = lambda df: sorted((r.sensor_id, r.window_no, r.flow_key, r.packets, r.start_ts) for r in df.collect())
+    batch = told(detect(WN.unaligned_windows(everything, 60.0)).where("not (sensor_id = 's1' and start_ts = 5000)"))
+    assert told(spark.read.parquet(str(tmp_path / "out" / "alerts")).where("start_ts < 5000")) == batch and batch
 
 
 def test_alerts_agree_however_packets_are_spread(spark):
