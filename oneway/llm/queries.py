@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oneway.llm import definitions as D
 from oneway.llm.arc_warc import archive_pages, archive_sql
 from oneway.llm.collocations import collocations, collocations_sql
 from oneway.llm.conversation_repair import damage, repair, repair_sql
@@ -85,9 +86,34 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
 
+def base1_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_substring_dedup(spark, sf_dir).select("doc_id", "n_words")
+
+
+def base5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def base8_add_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_suffix_tree_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def base10_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def base11_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    """The operators' queries, and those of their columns that SQL can have although it cannot have all."""
+    found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return found | {k: v for k, v in globals().items() if k.startswith("base") and k[4].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_shards": shards_sql(QUERY_SHARD_BYTES), "op3_arc_to_warc": archive_sql(), "op7_top_k": top_k_sql(20, 20, 64), "op12_collocations": collocations_sql(), "op13_conversation_repair": repair_sql()}
+    return {
+        "op2_extendible_shards": shards_sql(QUERY_SHARD_BYTES), "op3_arc_to_warc": archive_sql(), "op7_top_k": top_k_sql(20, 20, 64), "op12_collocations": collocations_sql(), "op13_conversation_repair": repair_sql(),
+        "base1_word_counts": D.word_counts(), "base5_url_rules": D.url_rules(URL_RULES), "base8_add_one": D.base_scores(), "base10_mix_targets": D.mix_targets(), "base11_secret_counts": D.secret_counts(),
+    }
