@@ -25,17 +25,22 @@ def frame(spark: SparkSession, packets: Iterable[dict], sort: bool = True) -> Da
     return spark.createDataFrame([tuple((p | {"frame_no": i})[c] for c in PACKET.names) for i, p in enumerate(rows)], PACKET)
 
 
-def background(seed: int, hosts: int = 16, start: float = 0.0) -> list[dict]:
+# Sizes of the scenarios, as FIXTURES.md lists them.
+HOSTS, LOOKUPS, SESSION_PACKETS, ACK_STEP = 16, (1, 3), (8, 16), (1000, 2800)
+CROWD_CLIENTS, CROWD_PACKETS = 120, (4, 8)
+
+
+def background(seed: int, hosts: int = HOSTS, start: float = 0.0) -> list[dict]:
     """Hosts that look up a few known names and hold one session with a running clock and growing ACKs."""
     rng, out = random.Random(seed), []
     for h in range(hosts):
         src, t = f"10.20.{seed % 200}.{h + 1}", start + rng.uniform(0, 10)
-        for _ in range(rng.randint(1, 3)):
+        for _ in range(rng.randint(*LOOKUPS)):
             out.append(packet(t, src, "192.0.2.53", src_port=rng.randint(1025, 65000), dst_port=53, proto="UDP", length=40, dns_qname=f"www.{rng.choice(NAMES)}.org", dns_qtype="A"))
         ack, port = rng.randint(1, 1 << 31), rng.randint(1025, 65000)
-        for k in range(rng.randint(8, 16)):
+        for k in range(rng.randint(*SESSION_PACKETS)):
             t += rng.uniform(0.05, 0.4)
-            ack += rng.randint(1000, 2800)
+            ack += rng.randint(*ACK_STEP)
             out.append(packet(t, src, "198.51.100.80", src_port=port, length=rng.randint(100, 900), tcp_flags=SYN if k == 0 else ACK | PSH, tcp_tsval=int(t * 1000), tcp_tsecr=7, tcp_ack=None if k == 0 else ack))
     return out
 
@@ -50,11 +55,11 @@ def periodic_time(seed: int, n: int = 14) -> list[dict]:
     return [packet(64 * i + rng.uniform(-1, 1), "10.31.0.5", "192.0.2.123", src_port=1025 + i, dst_port=123, proto="UDP", length=48) for i in range(n)]
 
 
-def crowd(seed: int, clients: int = 120) -> list[dict]:
+def crowd(seed: int, clients: int = CROWD_CLIENTS) -> list[dict]:
     rng, out = random.Random(seed), []
     for c in range(clients):
         t, src, port = rng.uniform(0, 10), f"10.40.{c // 250}.{c % 250 + 1}", rng.randint(1025, 65000)
-        for k in range(rng.randint(4, 8)):
+        for k in range(rng.randint(*CROWD_PACKETS)):
             t += rng.uniform(0.02, 0.2)
             out.append(packet(t, src, "198.51.100.81", src_port=port, length=0 if k == 0 else 400, tcp_flags=SYN if k == 0 else ACK | PSH, tcp_tsval=int(t * 1000) + c * 7919))
     return out

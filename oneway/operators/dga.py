@@ -24,6 +24,8 @@ WEIGHTS = {
     "dict_words": 1.4,
 }
 
+#: Names that the n-gram network is trained on, at most: those of smallest hash, which the driver holds.
+TRAINING_ROWS = 3000
 
 PARTS = ["entropy", "non_englishness", "digit_ratio", "cons_run", "length", "low_vowel", "dict_words"]
 

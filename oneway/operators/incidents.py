@@ -10,6 +10,10 @@ from oneway.operators.alerts import numbered
 from oneway.sources.tables import JOB_STATES
 
 BUCKET_S = 300
+# What incidents say of their reasons, and advise.
+PERIODIC, GENERATED, NAMING = "Periodic outbound communication", "Suspicious generated domain", "High-capacity DNS naming pattern"
+UNNAMED = "Anomalous network behavior scored by the detection ensemble"
+ISOLATE, MONITOR = "Investigate and isolate host", "Continue monitoring"
 
 
 def host(flow_key: Column) -> Column:
@@ -44,12 +48,12 @@ def groups(alerts: DataFrame) -> DataFrame:
     has = lambda d: F.array_contains("supporting_detectors", d)
     reasons = F.filter(
         F.array(
-            F.when(has("beaconing") | (F.col("c2") == 1), "Periodic outbound communication"), F.when(has("dga") | (F.col("dg") == 1), "Suspicious generated domain"),
-            F.when(has("dns_tunnel") | (F.col("dt") == 1), "High-capacity DNS naming pattern"),
+            F.when(has("beaconing") | (F.col("c2") == 1), PERIODIC), F.when(has("dga") | (F.col("dg") == 1), GENERATED),
+            F.when(has("dns_tunnel") | (F.col("dt") == 1), NAMING),
         ), lambda r: r.isNotNull(),
     )
-    reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("Anomalous network behavior scored by the detection ensemble")))
-    advice = F.when(F.col("severity").isin("high", "critical"), "Investigate and isolate host").otherwise("Continue monitoring")
+    reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit(UNNAMED)))
+    advice = F.when(F.col("severity").isin("high", "critical"), ISOLATE).otherwise(MONITOR)
     return g.withColumns({"confidence": F.round("max_confidence", 4), "reasons": reasons, "recommendation": advice}).drop("c2", "dg", "dt", "max_confidence")
 
 

@@ -25,7 +25,7 @@ from oneway.streaming.windows import unaligned_windows
 
 @dataclass
 class Analysis:
-    """The results of a window of packets, all lazy."""
+    """The results of a window of packets.  Alerts, findings and the chain lie in the shared folder, since the others read them."""
 
     flows: DataFrame
     alerts: DataFrame
@@ -61,7 +61,8 @@ def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1"
     found = windowed_alerts(packets, window_s) if windows else alerts(packets, window_s, by=by)
     last = packets.agg((F.max_by("ts", "frame_no") + 1).alias("ts"))  # one row
     found = found.join(F.broadcast(last), F.lit(True)) if end is None else found.withColumn("ts", end)
-    found = found.withColumn("order", F.col("branch").cast("long") * (1 << 56) + F.col("seq"))
+    # alerts, evidence, incidents and the chain all read what was found
+    found = written(found.withColumn("order", F.col("branch").cast("long") * (1 << 56) + F.col("seq")), "alerts")
     # only flows that an alert rests on are hashed
     own = [*by, "evidence_key"]
     named = found.select(*own).where("evidence_key is not null").distinct()
@@ -72,7 +73,8 @@ def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1"
     alert = {"order": F.col("order"), **{c: F.col(c) for c in ("detector", "threat", "severity", "flow_key", "title")}, "confidence": F.round("confidence", 4)}
     sensor_id = F.col("sensor_id") if by else F.lit(sensor)
     rows = rows.withColumns({"sensor_id": sensor_id, "digest": LE.bundle_digest(alert, {"key": F.col("evidence_key")}, F.col("pkt_root"), {"subject": F.col("subject")}, F.lit("rules@1"))})
-    chain = LE.seal(LE.batches(written(rows, "findings"), order="order"), key)
+    rows = written(rows, "findings")
+    chain = written(LE.seal(LE.batches(rows, order="order"), key), "chain")
     proofs = LE.bundle_proofs(chain).select("sensor_id", F.col("leaf").alias("digest"), "block", "merkle_root", "verified")
     evidence = rows.join(proofs, ["sensor_id", "digest"], "left").join(LE.verify_chain(chain, key).select("sensor_id", "intact"), "sensor_id", "left")
     evidence = evidence.withColumn("verified", F.coalesce(F.col("verified") & F.col("intact"), F.lit(False)))

@@ -263,10 +263,10 @@ def D26_ngram_hash(spark, d):
 
 @query()
 def D28_ngram_net(spark, d):
-    """Train on a bounded sample of names (hashed ones are positives), score all."""
+    """Train on ``TRAINING_ROWS`` names (hashed ones are positives), score all."""
     names = adapter(spark, d, "labels_mix")
     rows = DG.model_inputs(names).withColumn("y", (F.col("frame_no") < 200000000).cast("int"))
-    sample = rows.orderBy(F.xxhash64("frame_no")).limit(3000).select("buckets", *DG.STATS, "y").toPandas()
+    sample = rows.orderBy(F.xxhash64("frame_no")).limit(DG.TRAINING_ROWS).select("buckets", *DG.STATS, "y").toPandas()
     return DG.score_with_net(names, DG.train_net(sample))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -30,7 +29,7 @@ JOB_STATES = ("queued", "processing", "completed", "failed")
 
 def latest_jobs(changes: DataFrame) -> DataFrame:
     """Each job's last version."""
-    return changes.withColumn("__r", F.row_number().over(W.partitionBy("job_id").orderBy(F.desc("version")))).where("__r = 1").drop("__r")
+    return changes.groupBy("job_id").agg(F.max_by(F.struct(*changes.columns), "version").alias("__last")).select("__last.*")
 
 
 def job_counts(jobs: DataFrame) -> DataFrame:

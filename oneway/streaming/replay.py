@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from oneway.schema import PACKET
 from oneway.sources.pcap import PcapDataSource, arrow_batches, decode
@@ -21,8 +21,8 @@ KEPT_EVENTS = 256
 
 
 def landing_stream(spark: SparkSession, folder: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """Packets of the captures that arrive in a folder.  Frame numbers follow the files' times of arrival (in milliseconds, files of one
-    millisecond by a hash of their names) and then the packets in a file.  What no upload may be (another extension, empty, over
+    """Packets of the captures that arrive in a folder.  Frame numbers follow the files' times of arrival (in seconds, files of one second
+    by a hash of their names) and then the packets in a file, for which there is room however small they are.  What no upload may be (another extension, empty, over
     ``most_bytes``) is left out; ``rejected`` lists it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,10 +31,14 @@ def landing_stream(spark: SparkSession, folder: str, most_bytes: int = 1 << 30)
                 yield from arrow_batches(decode(content.as_buffer().to_pybytes(), first))
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    # milliseconds since 2020, 64 names to one, 2**18 packets apart: a larger file may share numbers with the next arrival
-    at = (F.unix_millis("modificationTime") - 1_577_836_800_000) * 64 + F.pmod(F.xxhash64("path"), F.lit(64))
+    # seconds since 2020 in the upper bits; a record has 16 bytes of header and a packet 28 at least, so a file of most_bytes has less than most_bytes / 44
+    room = (most_bytes // 44).bit_length()
+    names = 62 - 30 - room
+    if names < 0:
+        raise ValueError(f"uploads of {most_bytes} bytes may have more packets than there are numbers")
+    at = F.shiftleft(F.unix_seconds("modificationTime") - 1_577_836_800, names) + F.pmod(F.xxhash64("path"), F.lit(1 << names))
     accepted = files.where(upload_fault("path", "length", most_bytes).isNull())
-    return accepted.select("content", (at * (1 << 18)).alias("first")).mapInArrow(run, PACKET)
+    return accepted.select("content", F.shiftleft(at, room).alias("first")).mapInArrow(run, PACKET)
 
 
 def upload_fault(path: str, length: str, most_bytes: int = 1 << 30) -> Column:
@@ -81,6 +85,46 @@ class Replay:
         self.state = "stopped"
 
 
+class AlertSink:
+    """Alerts of a stream, kept by epoch and told to subscribers once.
+
+    An epoch's alerts are written, then told, then marked; one that is retried is written over and, if its mark stands, not told again.  A subscriber gets
+    the epoch's number with the rows, so one that hears an epoch twice after a crash between telling and marking can tell.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.subscribers: list[Callable[[int, DataFrame], None]] = []
+
+    def subscribe(self, f: Callable[[int, DataFrame], None]) -> Callable[[], None]:
+        self.subscribers.append(f)
+        return lambda: self.subscribers.remove(f)
+
+    def _mark(self, epoch: int):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/told/{epoch}")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def deliver(self, alerts: DataFrame, epoch: int) -> bool:
+        """Take in an epoch; false if it was told before."""
+        fs, mark = self._mark(epoch)
+        if fs.exists(mark):
+            return False
+        alerts.write.mode("overwrite").parquet(f"{self.path}/alerts/epoch={epoch}")
+        rows = self.spark.read.schema(alerts.schema).parquet(f"{self.path}/alerts/epoch={epoch}")
+        for f in list(self.subscribers):
+            f(epoch, rows)
+        fs.mkdirs(mark.getParent())
+        fs.create(mark, False).close()
+        return True
+
+    def write(self, alerts: DataFrame, checkpoint: str) -> StreamingQuery:
+        return alerts.writeStream.foreachBatch(lambda rows, epoch: self.deliver(rows, epoch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def stored(self) -> DataFrame:
+        """All alerts so far, with their epoch."""
+        return self.spark.read.parquet(f"{self.path}/alerts")
+
+
 class Progress(StreamingQueryListener):
     """Keeps the latest events and hands each to subscribers."""
 

@@ -2,6 +2,7 @@ import hashlib
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from oneway import cli
@@ -9,7 +10,7 @@ from oneway.functions import fixtures as X
 from oneway.operators import ledger as LE
 from oneway.plans import analysis as A
 from oneway.sources import pcap as S
-from oneway.streaming.replay import Progress, Replay, landing_stream, rejected
+from oneway.streaming.replay import AlertSink, Progress, Replay, landing_stream, rejected
 from oneway.streaming.windows import unaligned_windows
 
 
@@ -162,3 +163,26 @@ def test_landing_folder(spark, tmp_path):
     q = landing_stream(spark, folder).writeStream.foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert len(seen) == 14 and {r.dst_port for r in seen} == {123}
+
+
+def test_alerts_of_an_epoch_are_told_once(spark, tmp_path):
+    sink, heard = AlertSink(spark, str(tmp_path / "sink")), []
+    stop = sink.subscribe(lambda epoch, rows: heard.append((epoch, sorted(r.id for r in rows.collect()))))
+    frame = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, threat string")
+    assert sink.deliver(frame(1, 2), 0) and not sink.deliver(frame(1, 2), 0) and sink.deliver(frame(3), 1)
+    assert heard == [(0, [1, 2]), (1, [3])] and sink.stored().count() == 3
+
+    def fails(epoch, rows):
+        raise RuntimeError("away")
+
+    gone = sink.subscribe(fails)
+    with pytest.raises(RuntimeError):
+        sink.deliver(frame(4), 2)
+    gone()
+    assert sink.deliver(frame(4), 2) and sorted(r.id for r in sink.stored().collect()) == [1, 2, 3, 4]
+    stop()
+    other, told = AlertSink(spark, str(tmp_path / "other")), []
+    other.subscribe(lambda epoch, rows: told.append(rows.count()))
+    frame(*range(5)).write.parquet(str(tmp_path / "in"))
+    other.write(spark.readStream.schema("id long, threat string").parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination(120)
+    assert sum(told) == 5 and other.stored().where("epoch = 0").count() == 5
