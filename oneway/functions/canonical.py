@@ -53,15 +53,21 @@ def double(x: Column) -> Column:
     return F.when(s.isin("NaN", "Infinity", "-Infinity"), F.concat(F.lit('"'), s, F.lit('"'))).otherwise(number)
 
 
+def number(x: Column) -> Json:
+    """A double for an object; plain columns there are texts, whole numbers, decimals or booleans."""
+    return Json(double(x))
+
+
 def value(c: Column | Json | dict) -> Column:
-    """Any atomic column, JSON, or an object of such; never null."""
+    """Any atomic column but a double, JSON, or an object of such; never null."""
     if isinstance(c, dict):
         return obj(c)
     if isinstance(c, Json):
         return F.coalesce(c.column, F.lit("null"))
     kind = F.typeof(c)
-    number = kind.isin("tinyint", "smallint", "int", "bigint", "boolean") | kind.startswith("decimal")
-    return F.when(c.isNull(), "null").when(number, c.cast("string")).when(kind.isin("double", "float"), double(F.when(kind.isin("double", "float"), c).cast("string").cast("double"))).otherwise(text(c.cast("string")))
+    digits = kind.isin("tinyint", "smallint", "int", "bigint", "boolean") | kind.startswith("decimal")
+    bare = F.raise_error(F.lit("doubles are to be given as number(...)")).cast("string")
+    return F.when(c.isNull(), "null").when(digits, c.cast("string")).when(kind.isin("double", "float"), bare).otherwise(text(c.cast("string")))
 
 
 def texts(items: Column) -> Json:

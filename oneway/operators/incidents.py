@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oneway.functions.canonical import canonical
+from oneway.functions.canonical import canonical, number
 from oneway.operators.alerts import numbered
 from oneway.sources.tables import JOB_STATES
 
@@ -78,7 +78,8 @@ def alert_records(alerts: DataFrame) -> DataFrame:
 
 def alert_json(rows: DataFrame) -> Column:
     """An alert's record as canonical JSON: all of its columns but ids, which follow from the order."""
-    return canonical(**{c: F.round(c, 4) if c == "confidence" else F.col(c) for c in rows.columns if c in ("seq", "ts", "detector", "threat", "severity", "confidence", "flow_key", "title")})
+    told = {"confidence": number(F.round("confidence", 4)), "ts": number(F.col("ts"))}
+    return canonical(**{c: told.get(c, F.col(c)) for c in rows.columns if c in ("seq", "ts", "detector", "threat", "severity", "confidence", "flow_key", "title")})
 
 
 def evidence_records(alerts: DataFrame, proofs: DataFrame | None = None) -> DataFrame:

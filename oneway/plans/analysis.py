@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oneway.functions import fixtures as X
+from oneway.functions.canonical import number
 from oneway.operators import incidents as IN
 from oneway.operators import ledger as LE
 from oneway.operators import metrics as ME
@@ -70,7 +71,7 @@ def analyze(packets: DataFrame, window_s: float = 60.0, sensor: str = "sensor-1"
     roots = LE.merkle_root(hashed, "packet_hashes", 64, "pkt_root").select(*own, "pkt_root")
     rows = found.join(roots, own, "left").withColumn("pkt_root", F.coalesce("pkt_root", F.lit(LE.NO_PACKETS)))
     # the order makes digests of equal findings differ
-    alert = {"order": F.col("order"), **{c: F.col(c) for c in ("detector", "threat", "severity", "flow_key", "title")}, "confidence": F.round("confidence", 4)}
+    alert = {"order": F.col("order"), **{c: F.col(c) for c in ("detector", "threat", "severity", "flow_key", "title")}, "confidence": number(F.round("confidence", 4))}
     sensor_id = F.col("sensor_id") if by else F.lit(sensor)
     rows = rows.withColumns({"sensor_id": sensor_id, "digest": LE.bundle_digest(alert, {"key": F.col("evidence_key")}, F.col("pkt_root"), {"subject": F.col("subject")}, F.lit("rules@1"))})
     rows = written(rows, "findings")

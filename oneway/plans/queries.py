@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oneway.functions.canonical import number
 from oneway.functions.lexical import model_label, ngram_buckets, second_level, subdomain
 from oneway.operators import alerts as AL
 from oneway.operators import beacon as BE
@@ -377,8 +378,8 @@ def C5_coverage(spark, d):
 def _bundle_parts(changed: Column | None = None) -> tuple:
     """Alert, flow, packet root, features and model of the alerts adapter's rows; ``changed`` stands in for the flow's key."""
     key = F.col("flow_key") if changed is None else changed
-    alert = {"note": F.expr(O.NOTE.replace("chr(92)", "char(92)").replace("chr(10)", "char(10)").replace("chr(127)", "char(127)")), "flow_key": key, **{c: F.col(c) for c in ("seq", "detector", "threat", "confidence")}}
-    return alert, {"key": key}, F.lit(LE.NO_PACKETS), {"ts": F.col("ts").cast("double")}, F.lit("rules@1")
+    alert = {"note": F.expr(O.NOTE.replace("chr(92)", "char(92)").replace("chr(10)", "char(10)").replace("chr(127)", "char(127)")), "flow_key": key, "confidence": number(F.col("confidence")), **{c: F.col(c) for c in ("seq", "detector", "threat")}}
+    return alert, {"key": key}, F.lit(LE.NO_PACKETS), {"ts": number(F.col("ts"))}, F.lit("rules@1")
 
 
 def _bundles(spark, d) -> DataFrame:
