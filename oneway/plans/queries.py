@@ -31,6 +31,8 @@ from oneway.sources import tables as TB
 from oneway.streaming.windows import first_alerts, unaligned_windows, windowed_flows
 
 SIGNING_KEY = b"sensor-signing-key"
+#: Packets in a capture file of the round trip, about.
+CAPTURE_PACKETS = 50_000
 Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
@@ -747,15 +749,15 @@ _ENDS = {"src_ip": "concat('10.', event % 7, '.', event // 256 % 256, '.', event
 @query(f"""SELECT row_number() OVER (ORDER BY frame_no) - 1 AS frame_no, ts, {_ENDS["src_ip"].replace("event", "frame_no")} AS src_ip, {_ENDS["dst_ip"].replace("event", "frame_no")} AS dst_ip, src_port, dst_port, proto, tcp_flags, dns_qname AS qname,
   CASE WHEN dns_qname IS NOT NULL THEN coalesce(dns_qtype, 'A') END AS qtype, http_partial AND dst_port = 80 AND proto = 'TCP' AS http_partial FROM (SELECT * REPLACE (round(ts, 6) AS ts) FROM ({_EV}) p)""")
 def S1_capture_round_trip(spark, d):
-    """Packets written to a capture file and read again, in ranges of it."""
+    """Packets written to capture files that follow one another and read again, in ranges of them."""
     from oneway.operators.shared import shared_folder
     from oneway.sources.pcap import PcapDataSource, read_captures, write_pcap
 
     spark.dataSource.register(PcapDataSource)
     ends = {k: F.expr(v.replace("event", "frame_no").replace("//", "div")) for k, v in _ENDS.items()}
     path = f"{shared_folder(spark)}/oneway-capture-{uuid.uuid4().hex}"
-    write_pcap(adapter(spark, d, "pkt_events").withColumns(ends).where("proto in ('TCP', 'UDP')"), path)
-    rows = read_captures(spark, path, 1 << 18)
+    write_pcap(adapter(spark, d, "pkt_events").withColumns(ends).where("proto in ('TCP', 'UDP')"), path, CAPTURE_PACKETS)
+    rows = read_captures(spark, path, 1 << 18, through=True)
     return rows.select("frame_no", r("ts"), "src_ip", "dst_ip", "src_port", "dst_port", "proto", "tcp_flags", F.col("dns_qname").alias("qname"), F.col("dns_qtype").alias("qtype"), "http_partial")
 
 

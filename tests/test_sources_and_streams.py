@@ -131,6 +131,20 @@ def test_one_capture_is_decoded_by_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
+def test_captures_that_follow_one_another(spark, tmp_path):
+    """Packets are written by many tasks; read through, their numbers have no gaps, whatever the ranges."""
+    rows = [X.packet(float(i) / 8, f"10.0.{i % 9}.{i % 200}", "10.0.0.2", proto="UDP" if i % 3 else "TCP", length=i) for i in range(500)]
+    path = str(tmp_path / "out")
+    spark.dataSource.register(S.PcapDataSource)
+    S.write_pcap(X.frame(spark, rows), path, 60)
+    assert len(list((tmp_path / "out").glob("*.pcap"))) == 9
+    for size in (1000, 1 << 30):
+        got = S.read_captures(spark, path, size, through=True).orderBy("frame_no").collect()
+        assert [(r.frame_no, r.length, r.ts) for r in got] == [(i, i, i / 8) for i in range(500)]
+    plain = S.read_captures(spark, path).orderBy("frame_no").collect()
+    assert [r.length for r in plain] == list(range(500)) and plain[-1].frame_no >> 40 == 8
+
+
 def test_unaligned_windows(spark):
     times = [0, 10, 59, 61, 100, 121.5, 300]
     packets = X.frame(spark, [X.packet(t, "a", "b") for t in times], sort=False).withColumn("sensor_id", F.lit("s"))
