@@ -1,18 +1,20 @@
 """Periodic channels.
 
 Guards run before the periodogram, which is the one step that built-ins serve badly (events times 4000 periods): it is an Arrow kernel
-over the events of many channels, in blocks of periods.  A channel with more than ``SLICE`` events would make its own task long, so the
+over the events of many channels.  Of a channel with few events most periods are ruled out by a series with a known bound of its error; those
+that may be the strongest are evaluated in full.  A channel with more than ``SLICE`` events would make its own task long, so the
 periodogram of such a channel is summed over slices of its events: sums of cosines and sines add up.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,16 +53,50 @@ def period_range(span: float, n: int, p_min: float = P_MIN, p_max: float = P_MAX
     return max(p_min, span / n / 4), min(p_max, span / 2)
 
 
-def resultant(t: np.ndarray, lo: float, hi: float, n_periods: int = N_PERIODS) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of cosines and sines of the events' phases for log-spaced periods."""
-    periods = lo * (hi / lo) ** (np.arange(n_periods) / (n_periods - 1))
-    c, s = np.empty(n_periods), np.empty(n_periods)
-    for at in range(0, n_periods, 500):
+def resultant(t: np.ndarray, lo: float, hi: float, which: np.ndarray | None = None, n_periods: int = N_PERIODS) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of cosines and sines of the events' phases for log-spaced periods, or for ``which`` of them."""
+    periods = lo * (hi / lo) ** ((np.arange(n_periods) if which is None else which) / (n_periods - 1))
+    c, s = np.empty(len(periods)), np.empty(len(periods))
+    for at in range(0, len(periods), 500):
         angle = (2 * np.pi / periods[at : at + 500])[:, None] * t[None, :]
         c[at : at + 500], s[at : at + 500] = np.cos(angle).sum(axis=1), np.sin(angle).sum(axis=1)
     return c, s
 
 
+#: Radians from a node within which phases are expanded, and terms of the expansion.
+REACH, TERMS = 1.0, 8
+
+
+def near_strongest(t: np.ndarray, lo: float, hi: float, n_periods: int = N_PERIODS) -> np.ndarray:
+    """Numbers of the periods that may have the largest resultant: all but those that a Taylor series of the events' phases rules out.
+
+    Phases are expanded about evenly spaced frequencies; what the series leaves off is at most REACH^TERMS / TERMS! for each event."""
+    every = np.arange(n_periods)
+    half = (t.max() - t.min()) / 2
+    omega = 2 * np.pi / (lo * (hi / lo) ** (every / (n_periods - 1)))
+    if not 0 < half < np.inf or (omega[0] - omega[-1]) * half > REACH * n_periods / 2:
+        return every
+    x, width = t - (t.max() + t.min()) / 2, 2 * REACH / half
+    node = np.rint(omega / width)
+    nodes = np.arange(node[-1], node[0] + 1)
+    phase = (nodes * width)[:, None] * x[None, :]
+    powers = np.cumprod(np.vstack([np.ones(len(x), complex), *((1j * x / half / k)[None, :] for k in range(1, TERMS))]), axis=0)
+    series = np.ascontiguousarray(powers @ (np.cos(phase) + 1j * np.sin(phase)).T)
+    at, away = (node - node[-1]).astype(np.int64), (omega - node * width) * half
+    z = series[-1][at]
+    for terms in series[-2::-1]:
+        z *= away
+        z += terms[at]
+    r = np.sqrt(z.real**2 + z.imag**2)
+    return np.flatnonzero(r >= r.max() - 2 * len(t) * (REACH**TERMS / math.factorial(TERMS) + 1e-9))
+
+
+def channel_name(key: Sequence[str]) -> Column:
+    """One text for a key; no two keys give one."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+    return F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)))
+
+
 def rayleigh(events: DataFrame, key: Sequence[str] = CHANNEL) -> DataFrame:
     """best_r, period, fap and cycles of each channel with a usable range of periods."""
     key = list(key)
@@ -68,19 +104,19 @@ def rayleigh(events: DataFrame, key: Sequence[str] = CHANNEL) -> DataFrame:
     lo, hi = F.greatest(F.lit(P_MIN), F.col("span") / F.col("n") / 4), F.least(F.lit(P_MAX), F.col("span") / 2)
     stats = stats.withColumns({"lo": lo, "hi": hi}).where("span > 0 and hi > lo")
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).cast("int")
-    sliced = events.join(stats.withColumn("slices", slices), key).withColumn("slice", F.pmod(F.xxhash64("t", "size"), "slices"))
+    stats = stats.withColumn("slices", slices)
     # few rows and much work per channel: spread over all partitions rather than gathered by size
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = ["best_r", "period", "fap", "cycles"]
+    usual = events.join(stats.where("slices = 1"), key).select(channel_name(key).alias("__channel"), *key, "t", "n", "t0", "span")
+    named, typed = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in key), ", ".join(f"{k} double" for k in found)
 
-    def answer(first, c: np.ndarray, s: np.ndarray) -> dict:
-        return {k: [v] for k, v in zip(("best_r", "period", "fap", "cycles"), _spectrum(c, s, first["n"], first["lo"], first["hi"], first["span"]))}
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return measures(batches, key, found, "__channel")
 
-    ends, named = ("n", "lo", "hi", "span"), ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in key)
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        c, s = resultant(frame["t"].to_numpy() - first["t0"], first["lo"], first["hi"])
-        return pd.DataFrame({k: [first[k]] for k in key} | answer(first, c, s))
+    done = usual.repartition(tasks, "__channel").sortWithinPartitions("__channel", "t").mapInArrow(whole, f"{named}, {typed}")
+    sliced = events.join(stats.where("slices > 1"), key).withColumn("slice", F.pmod(F.xxhash64("t", "size"), "slices"))
+    ends = ("n", "lo", "hi", "span")
 
     def part(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
@@ -89,12 +125,11 @@ def rayleigh(events: DataFrame, key: Sequence[str] = CHANNEL) -> DataFrame:
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
-        return pd.DataFrame({k: [first[k]] for k in key} | answer(first, np.sum(list(frame["c"]), axis=0), np.sum(list(frame["s"]), axis=0)))
+        told = _spectrum(np.sum(list(frame["c"]), axis=0), np.sum(list(frame["s"]), axis=0), first["n"], first["lo"], first["hi"], first["span"])
+        return pd.DataFrame({k: [first[k]] for k in key} | {k: [v] for k, v in zip(found, told)})
 
-    out = f"{named}, " + ", ".join(f"{k} double" for k in ("best_r", "period", "fap", "cycles"))
-    done = sliced.where("slices = 1").repartition(tasks, *key).groupBy(*key).applyInPandas(whole, out)
-    parts = sliced.where("slices > 1").repartition(tasks, *key, "slice").groupBy(*key, "slice").applyInPandas(part, f"{named}, n long, lo double, hi double, span double, c array<double>, s array<double>")
-    return done.unionByName(parts.groupBy(*key).applyInPandas(total, out))
+    parts = sliced.repartition(tasks, *key, "slice").groupBy(*key, "slice").applyInPandas(part, f"{named}, n long, lo double, hi double, span double, c array<double>, s array<double>")
+    return done.unionByName(parts.groupBy(*key).applyInPandas(total, f"{named}, {typed}"))
 
 
 def sizes(events: DataFrame) -> DataFrame:
@@ -114,11 +149,11 @@ def channel_table(flows: DataFrame, min_events: int = MIN_EVENTS, by: Sequence[s
     return rows.withColumn("size_regularity", F.when(F.col("mean") > 0, 1 - F.least(F.lit(1.0), F.col("sd") / F.col("mean"))).otherwise(0.5)).drop("benign", "sd", "mean")
 
 
-def _spectrum(c: np.ndarray, s: np.ndarray, n: int, lo: float, hi: float, span: float) -> tuple[float, float, float, float]:
-    """best_r, period, fap and cycles."""
+def _spectrum(c: np.ndarray, s: np.ndarray, n: int, lo: float, hi: float, span: float, which: np.ndarray | None = None) -> tuple[float, float, float, float]:
+    """best_r, period, fap and cycles, from the resultants of all periods or of ``which``."""
     r = np.hypot(c, s) / n
     at = int(np.argmax(r))
-    period = lo * (hi / lo) ** (at / (N_PERIODS - 1))
+    period = lo * (hi / lo) ** ((at if which is None else int(which[at])) / (N_PERIODS - 1))
     trials = max(1.0, (1 / lo - 1 / hi) * span)
     return float(r[at]), period, float(min(1.0, trials * np.exp(-n * r[at] ** 2))), span / period
 
@@ -126,38 +161,41 @@ def _spectrum(c: np.ndarray, s: np.ndarray, n: int, lo: float, hi: float, span:
 _MEASURES = "channel string, robust_cv double, best_r double, period double, fap double, cycles double"
 
 
-def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gaps and spectrum of whole channels, whose events come sorted by channel and time: many channels in one Arrow call."""
+def measures(batches: Iterator[pa.RecordBatch], key: Sequence[str] = ("channel",), found: Sequence[str] = ("robust_cv", "best_r", "period", "fap", "cycles"), channel: str = "channel") -> Iterator[pa.RecordBatch]:
+    """``found`` of gaps and spectrum of whole channels, whose events come sorted by ``channel`` and time: many channels in one Arrow call.  Rows carry the
+    columns of ``key``."""
     rest = None
 
     def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = table.column("channel").combine_chunks().dictionary_encode().indices.to_numpy()
-        at = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        code = table.column(channel).combine_chunks().dictionary_encode().indices.to_numpy()
+        at = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
         t = table.column("t").to_numpy()
         ends = {c: table.column(c).to_numpy()[at] for c in ("n", "t0", "span")}
-        out = []
+        out: dict[str, list] = {c: [] for c in found}
         for i, (lo_at, hi_at) in enumerate(zip(at, np.append(at[1:], len(t)))):
             own, n, t0, span = t[lo_at:hi_at], int(ends["n"][i]), float(ends["t0"][i]), float(ends["span"][i])
-            gaps = np.diff(own)
-            gaps = gaps[gaps > 0]
-            middle = float(np.median(gaps)) if len(gaps) else 0.0
-            cv = 1.4826 * float(np.median(np.abs(gaps - middle))) / middle if middle > 0 else 1.0
-            row = (cv, 0.0, None, 1.0, 0.0)
+            row: dict[str, float | None] = {"best_r": 0.0, "period": None, "fap": 1.0, "cycles": 0.0}
+            if "robust_cv" in found:
+                gaps = np.diff(own)
+                gaps = gaps[gaps > 0]
+                middle = float(np.median(gaps)) if len(gaps) else 0.0
+                row["robust_cv"] = 1.4826 * float(np.median(np.abs(gaps - middle))) / middle if middle > 0 else 1.0
             if span > 0:
                 lo, hi = period_range(span, n)
                 if hi > lo:
-                    row = (cv, *_spectrum(*resultant(own - t0, lo, hi), n, lo, hi, span))
-            out.append(row)
-        columns = [table.column("channel").combine_chunks().take(pa.array(at))]
-        names = ["channel", "robust_cv", "best_r", "period", "fap", "cycles"]
-        yield pa.record_batch([*columns, *(pa.array(list(c), pa.float64()) for c in zip(*out))], names=names)
+                    which = near_strongest(own - t0, lo, hi)
+                    row |= zip(("best_r", "period", "fap", "cycles"), _spectrum(*resultant(own - t0, lo, hi, which), n, lo, hi, span, which))
+            for c in found:
+                out[c].append(row[c])
+        columns = [table.column(c).combine_chunks().take(pa.array(at)) for c in key]
+        yield pa.record_batch([*columns, *(pa.array(out[c], pa.float64()) for c in found)], names=[*key, *found])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = table if rest is None else pa.concat_tables([rest, table])
         if not table.num_rows:
             continue
-        own = table.column("channel").combine_chunks().dictionary_encode().indices.to_numpy()
+        own = table.column(channel).combine_chunks().dictionary_encode().indices.to_numpy()
         last = int(np.flatnonzero(own == own[-1])[0])  # sorted, so a channel's rows are together
         rest = table.slice(last)
         if last:
@@ -173,8 +211,7 @@ def score_beacons(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Channels of more than ``SLICE`` events take the way in slices, with medians by windows.
     """
     key = [*by, *CHANNEL]
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
-    channel = F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)))  # no two keys give one
+    channel = channel_name(key)
     table = channel_table(flows, by=by).withColumn("channel", channel)
     tasks = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     events = flows.select(*key, channel.alias("channel"), F.col("start_ts").alias("t"), F.col("bytes").alias("size"))
