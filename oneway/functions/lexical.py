@@ -65,27 +65,23 @@ def model_label(qname: Column) -> Column:
     return F.element_at(F.split(trimmed(qname), "[.]"), 1)
 
 
-def bigrams(label: Column) -> Column:
-    """Pairs of neighbouring letters."""
-    n = F.length(label)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(label, i, F.lit(2)))
-    return F.filter(pairs, lambda b: b.rlike("^[a-z]{2}$"))
+#: A letter before another one, and one that begins a common bigram: matches of one letter each, so overlapping pairs all count.
+LETTER_PAIR = "[a-z](?=[a-z])"
+COMMON_PAIR = "|".join(f"{a}(?=[{''.join(sorted(b[1] for b in COMMON_BIGRAMS if b[0] == a))}])" for a in sorted({b[0] for b in COMMON_BIGRAMS}))
 
 
 def label_features(label: Column) -> dict[str, Column]:
     """Features of a label, ratios rounded to 3 digits as scoring expects them."""
     n = F.length(label)
     digits, vowels, letters = (F.regexp_count(label, F.lit(p)) for p in ("[0-9]", "[aeiou]", "[a-z]"))
-    pairs = bigrams(label)
-    common = F.array(*map(F.lit, COMMON_BIGRAMS))
-    hits = F.size(F.filter(pairs, lambda b: F.array_contains(common, b)))
-    words = F.array(*map(F.lit, LONG_WORDS))
+    pairs, hits = (F.regexp_count(label, F.lit(p)) for p in (LETTER_PAIR, COMMON_PAIR))
+    words = sum((F.coalesce(F.contains(label, F.lit(w)).cast("int"), F.lit(0)) for w in LONG_WORDS), F.lit(0))
     runs = F.transform(F.regexp_extract_all(label, F.lit("([b-df-hj-np-tv-z]+)"), F.lit(1)), lambda r: F.length(r))
     share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 3)
     return {
         "label_length": n, "entropy": F.round(entropy(label), 3), "digit_ratio": share(digits, n), "vowel_ratio": share(vowels, letters),
-        "max_cons_run": F.coalesce(F.array_max(runs), F.lit(0)), "englishness": share(hits, F.size(pairs)),
-        "dict_word_hits": F.size(F.filter(words, lambda w: F.contains(label, w))),
+        "max_cons_run": F.coalesce(F.array_max(runs), F.lit(0)), "englishness": share(hits, pairs),
+        "dict_word_hits": words,
     }
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oneway.functions import fixtures as X
-from oneway.functions.lexical import entropy, fnv1a, heuristic_label, model_label, second_level, subdomain
+from oneway.functions.lexical import COMMON_BIGRAMS, LONG_WORDS, entropy, fnv1a, heuristic_label, label_features, model_label, second_level, subdomain
 from oneway.operators import beacon as BE
 from oneway.operators import conformal as CO
 from oneway.operators import estimators as ES
@@ -110,6 +110,38 @@ def test_beacons(spark):
     assert BE.score_beacons(events([0, 60, 120])).count() == 0
 
 
+def test_pairs_of_letters_overlap(spark):
+    """Pairs and words of a label are counted as one by one in Python, without an array per label."""
+    labels = ["", "a", "the", "thethere", "ananan", "x9th-er", "ßthé", "th\nhe", "securecloudmoney", "zzqqxj", "moneymoney", "a1b2c3", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, label string")
+    frame = rows.withColumns(label_features(F.col("label")))
+    for r in frame.collect():
+        pairs = [r.label[i : i + 2] for i in range(len(r.label) - 1)] if r.label else []
+        pairs = [x for x in pairs if all("a" <= c <= "z" for c in x)]
+        assert r.englishness == (round(sum(x in COMMON_BIGRAMS for x in pairs) / len(pairs), 3) if pairs else 0.0)
+        assert r.dict_word_hits == sum(w in (r.label or "") for w in LONG_WORDS)
+    plan = frame.select("englishness", "dict_word_hits")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # functions over arrays are not compiled
+
+
+def test_few_periods_are_evaluated_and_none_is_lost():
+    """What the series rules out never has the strongest resultant; the others are evaluated to the bit as in the whole spectrum."""
+    rng, kept = np.random.default_rng(5), []
+    for n in (8, 25, 25, 25, 90, 300, 3000):
+        for jitter in (0.0, 0.3, 3.0):
+            t = np.sort(60.0 * np.arange(n) + 60 * jitter * (rng.random(n) - 0.5))
+            t = t - t[0]
+            lo, hi = BE.period_range(t[-1], n)
+            which = BE.near_strongest(t, lo, hi)
+            c, s = BE.resultant(t, lo, hi)
+            few = BE.resultant(t, lo, hi, which)
+            assert np.argmax(np.hypot(c, s)) in which and np.array_equal(few[0], c[which]) and np.array_equal(few[1], s[which])
+            assert BE._spectrum(*few, n, lo, hi, t[-1], which) == BE._spectrum(c, s, n, lo, hi, t[-1])
+            kept.append(len(which))
+    assert max(kept[:12]) < 100 and kept[-1] == BE.N_PERIODS
+    assert len(BE.near_strongest(np.array([0.0, 0.0]), 0.5, 9.0)) == BE.N_PERIODS
+
+
 def test_rayleigh_in_slices(spark, monkeypatch):
     rows = [("s", "d", 7.0 * i + (i % 3) * 0.1, 100, 443, i) for i in range(60)]
     frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, start_ts double, bytes long, dst_port int, flow_seq long")
