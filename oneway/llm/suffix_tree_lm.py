@@ -286,7 +286,7 @@ def fit_and_score(
     docs: DataFrame, folds: int = 7, held: int = 2, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row, learnt from the documents whose
-    crc32(doc_id) is not ``held`` modulo ``folds``."""
+    crc32(doc_id) is not ``held`` modulo ``folds``.  At a ``depth`` of 0 there is no tree: only tokens are counted, and score is base_score."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
@@ -306,7 +306,7 @@ def fit_and_score(
         return _answers(asked, o)
 
     for step in range(1, depth + 2):
-        wanted = ["n1", "n2"] if step == 1 else [f"g{step - 1}", *([f"n{step + 1}"] if step <= depth else [])]
+        wanted = ["n1", "n2"][: depth + 1] if step == 1 else [f"g{step - 1}", *([f"n{step + 1}"] if step <= depth else [])]
         asked = each_block(_asks, _ASKED, known, wanted)
         told = bucketed(asked.groupBy("range").applyInPandas(answers, _TOLD), "answers", "bucket", n)
         # both sides lie in the same buckets, so the join moves nothing

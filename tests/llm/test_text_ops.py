@@ -406,3 +406,15 @@ def test_language_model_matches_definition(spark, depth, block_bytes):
     for context in ((), ("t0",), ("t0", "t3"), ("t1", "t4", "t2")):  # a distribution over the vocabulary and one unseen word
         w = list(context)
         assert math.isclose(sum(prob([*w, x], len(w)) for x in [*known, "unseen"]), 1, abs_tol=1e-9)
+
+
+def test_base_scores_need_one_round(spark, sf_dir, monkeypatch):
+    """The base columns are those of the whole operator, from the tokens' counts alone."""
+    from oneway.llm import queries as Q
+    from oneway.llm import suffix_tree_lm as L
+
+    whole, written = Q.op8_suffix_tree_lm(spark, sf_dir), []
+    monkeypatch.setattr(L, "bucketed", lambda df, name, *rest, own=L.bucketed: written.append(name) or own(df, name, *rest))
+    base = Q.base8_add_one(spark, sf_dir)
+    assert written == ["blocks", "answers"]
+    assert sorted(base.collect()) == sorted(whole.selectExpr("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "round(base_score, 3) base_score").collect())
