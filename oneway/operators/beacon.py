@@ -1,7 +1,7 @@
 """Periodic channels.
 
 Guards run before the periodogram, which is the one step that built-ins serve badly (events times 4000 periods): it is an Arrow kernel
-over the events of many channels.  Of a channel with few events most periods are ruled out by a series with a known bound of its error; those
+over the events of many channels.  Most periods are ruled out by a series, or by single precision, with a known bound of the error; those
 that may be the strongest are evaluated in full.  A channel with more than ``SLICE`` events would make its own task long, so the
 periodogram of such a channel is summed over slices of its events: sums of cosines and sines add up.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oneway.operators.shared import written
 
 MIN_EVENTS, N_PERIODS = 8, 4000
 P_MIN, P_MAX = 0.5, 3600.0
@@ -65,30 +66,80 @@ def resultant(t: np.ndarray, lo: float, hi: float, which: np.ndarray | None = No
 
 #: Radians from a node within which phases are expanded, and terms of the expansion.
 REACH, TERMS = 1.0, 8
+FACTORS = np.array([1j**k / math.factorial(k) for k in range(TERMS)])
+
+
+#: What single precision adds to the error of a resultant, at most, for each event (turns are reduced in double precision before), and the
+#: largest phase of which that holds.
+SINGLE_ERROR, MOST_RADIANS = 1e-5, 1e8
+#: Phases that are held at a time.
+BLOCK = 1 << 16
+
+
+def near_strongest_single(t: np.ndarray, lo: float, hi: float, n_periods: int = N_PERIODS) -> np.ndarray:
+    """As ``near_strongest``, for any number of events: all but the periods that sums in single precision rule out."""
+    if not 2 * np.pi / lo * np.abs(t).max() <= MOST_RADIANS:
+        return np.arange(n_periods)
+    frequencies = 1 / (lo * (hi / lo) ** (np.arange(n_periods) / (n_periods - 1)))
+    r, step = np.empty(n_periods), max(1, BLOCK // len(t))
+    for at in range(0, n_periods, step):
+        turns = frequencies[at : at + step, None] * t[None, :]
+        turns -= np.rint(turns)
+        angle = turns.astype(np.float32) * np.float32(2 * np.pi)
+        r[at : at + step] = np.hypot(np.cos(angle).sum(axis=1), np.sin(angle).sum(axis=1))
+    return np.flatnonzero(r >= r.max() - 2 * len(t) * SINGLE_ERROR)
 
 
 def near_strongest(t: np.ndarray, lo: float, hi: float, n_periods: int = N_PERIODS) -> np.ndarray:
-    """Numbers of the periods that may have the largest resultant: all but those that a Taylor series of the events' phases rules out.
-
-    Phases are expanded about evenly spaced frequencies; what the series leaves off is at most REACH^TERMS / TERMS! for each event."""
-    every = np.arange(n_periods)
-    half = (t.max() - t.min()) / 2
-    omega = 2 * np.pi / (lo * (hi / lo) ** (every / (n_periods - 1)))
-    if not 0 < half < np.inf or (omega[0] - omega[-1]) * half > REACH * n_periods / 2:
-        return every
+    """Numbers of the periods that may have the largest resultant: all but those that a Taylor series of the events' phases rules out, and all where
+    it would need too many terms.
+
+    Phases are expanded about evenly spaced frequencies (nodes); what the series leaves off is at most REACH^TERMS / TERMS! for each event.  A node's
+    periods are looked at only if the sum of its terms' sizes comes up to the strongest period of the node that promises most."""
+    half, top, low = (t.max() - t.min()) / 2, 2 * np.pi / lo, 2 * np.pi / hi
+    if not 0 < half < np.inf or (top - low) * half > REACH * n_periods / 2:
+        return np.arange(n_periods)
     x, width = t - (t.max() + t.min()) / 2, 2 * REACH / half
-    node = np.rint(omega / width)
-    nodes = np.arange(node[-1], node[0] + 1)
-    phase = (nodes * width)[:, None] * x[None, :]
-    powers = np.cumprod(np.vstack([np.ones(len(x), complex), *((1j * x / half / k)[None, :] for k in range(1, TERMS))]), axis=0)
-    series = np.ascontiguousarray(powers @ (np.cos(phase) + 1j * np.sin(phase)).T)
-    at, away = (node - node[-1]).astype(np.int64), (omega - node * width) * half
-    z = series[-1][at]
-    for terms in series[-2::-1]:
-        z *= away
-        z += terms[at]
-    r = np.sqrt(z.real**2 + z.imag**2)
-    return np.flatnonzero(r >= r.max() - 2 * len(t) * (REACH**TERMS / math.factorial(TERMS) + 1e-9))
+    nodes = np.arange(np.rint(low / width), np.rint(top / width) + 1)
+    turns = np.empty((len(nodes), len(x)), complex)
+    turns[0], turns[1:] = np.exp(1j * nodes[0] * width * x), np.exp(1j * width * x)
+    powers = np.ones((TERMS, len(x)))
+    powers[1:] = REACH * x / half
+    series = (np.cumprod(powers, axis=0) * FACTORS[:, None]) @ np.cumprod(turns, axis=0).T
+    sizes = np.abs(series)
+    # frequencies fall with the number of the period: those of node j are begin[j + 1] to begin[j] - 1
+    edges = np.maximum((np.append(nodes, nodes[-1] + 1) - 0.5) * width, low / 2)
+    begin = np.clip(np.ceil((n_periods - 1) * np.log(top / edges) / np.log(hi / lo)), 0, n_periods).astype(np.int64)
+    begin[0], begin[-1] = n_periods, 0
+    many = begin[:-1] - begin[1:]
+
+    def strength(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The periods of some nodes, and their resultants by the series."""
+        node, size = np.repeat(at, many[at]), many[at]
+        which = np.arange(len(node)) + np.repeat(begin[at + 1] - (np.cumsum(size) - size), size)
+        away = (2 * np.pi / (lo * (hi / lo) ** (which / (n_periods - 1))) - nodes[node] * width) * half / REACH
+        terms = series[:, node]
+        z = terms[-1]
+        for term in terms[-2::-1]:
+            z = z * away + term
+        return which, np.abs(z)
+
+    slack = 2 * len(t) * (REACH**TERMS / math.factorial(TERMS) + 1e-9)
+    first = np.argmax(np.where(many > 0, sizes[0], -1.0))
+    least = strength(np.array([first]))[1].max() - slack
+    which, r = strength(np.flatnonzero(sizes.sum(axis=0) >= least))
+    return np.sort(which[r >= r.max() - slack])
+
+
+def candidates(t: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Numbers of the periods that are to be evaluated in full."""
+    which = near_strongest(t, lo, hi)
+    return which if len(which) < N_PERIODS else near_strongest_single(t, lo, hi)
+
+
+def _median(values: np.ndarray) -> float:
+    own = np.sort(values)
+    return float((own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2)
 
 
 def channel_name(key: Sequence[str]) -> Column:
@@ -178,12 +229,12 @@ def measures(batches: Iterator[pa.RecordBatch], key: Sequence[str] = ("channel",
             if "robust_cv" in found:
                 gaps = np.diff(own)
                 gaps = gaps[gaps > 0]
-                middle = float(np.median(gaps)) if len(gaps) else 0.0
-                row["robust_cv"] = 1.4826 * float(np.median(np.abs(gaps - middle))) / middle if middle > 0 else 1.0
+                middle = _median(gaps) if len(gaps) else 0.0
+                row["robust_cv"] = 1.4826 * _median(np.abs(gaps - middle)) / middle if middle > 0 else 1.0
             if span > 0:
                 lo, hi = period_range(span, n)
                 if hi > lo:
-                    which = near_strongest(own - t0, lo, hi)
+                    which = candidates(own - t0, lo, hi)
                     row |= zip(("best_r", "period", "fap", "cycles"), _spectrum(*resultant(own - t0, lo, hi, which), n, lo, hi, span, which))
             for c in found:
                 out[c].append(row[c])
@@ -212,13 +263,14 @@ def score_beacons(flows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     key = [*by, *CHANNEL]
     channel = channel_name(key)
-    table = channel_table(flows, by=by).withColumn("channel", channel)
+    table = written(channel_table(flows, by=by).withColumn("channel", channel), "channels")  # three joins read it with different columns
     tasks = int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     events = flows.select(*key, channel.alias("channel"), F.col("start_ts").alias("t"), F.col("bytes").alias("size"))
-    # few rows and much work per channel: spread over all partitions rather than gathered by size
+    # few rows and much work per channel: spread over more partitions than the join's, in whose place none could be gathered by size
     usual = events.select("channel", "t").join(table.where(F.col("n") <= SLICE).select("channel", "n", "t0", "span"), "channel")
-    usual = usual.repartition(tasks, "channel").sortWithinPartitions("channel", "t").mapInArrow(measures, _MEASURES)
-    long = events.join(table.where(F.col("n") > SLICE).select("channel"), "channel", "left_semi").drop(*key)
+    usual = usual.repartition(2 * tasks, "channel").sortWithinPartitions("channel", "t").mapInArrow(measures, _MEASURES)
+    # one in SLICE flows at most has such a channel, so the channels are sent to the flows
+    long = events.join(F.broadcast(table.where(F.col("n") > SLICE).select("channel")), "channel", "left_semi").drop(*key)
     long = robust_cv(long, ["channel"]).join(rayleigh(long, ["channel"]), "channel", "full").select("channel", "robust_cv", "best_r", "period", "fap", "cycles")
     rows = table.join(usual.unionByName(long), "channel", "left").drop("channel")
     rows = rows.withColumns({"robust_cv": F.coalesce("robust_cv", F.lit(1.0)), "best_r": F.coalesce("best_r", F.lit(0.0)), "fap": F.coalesce("fap", F.lit(1.0)), "cycles": F.coalesce("cycles", F.lit(0.0))})

@@ -31,9 +31,12 @@ PARTS = ["entropy", "non_englishness", "digit_ratio", "cons_run", "length", "low
 
 
 def _driven(names: DataFrame) -> DataFrame:
-    """Rows with label, features, and what each part adds to the score (c_...)."""
+    """Rows with label, features, and what each part adds to the score (c_...).
+
+    Features are a generated row of one: a condition on the score would else be moved before them and hold a copy of each for each use of it."""
     rows = names.withColumn("label", heuristic_label(F.col("qname")))
-    rows = rows.withColumns(label_features(F.col("label")))
+    features = F.array(F.struct(*(v.alias(k) for k, v in label_features(F.col("label")).items())))
+    rows = rows.withColumn("__features", features).select("*", F.inline_outer("__features")).drop("__features")
     gate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("label_length") - 8) / 4.0))
     above = lambda x: F.greatest(F.lit(0.0), x)
     parts = [

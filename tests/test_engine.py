@@ -142,6 +142,33 @@ def test_few_periods_are_evaluated_and_none_is_lost():
     assert len(BE.near_strongest(np.array([0.0, 0.0]), 0.5, 9.0)) == BE.N_PERIODS
 
 
+def test_single_precision_rules_periods_out_and_none_is_lost():
+    """Channels of many events, which the series leaves as they are: few periods are evaluated in full, with the same outcome to the bit."""
+    rng = np.random.default_rng(6)
+    for n in (300, 1500, 3000):
+        for jitter in (0.0, 0.3, 3.0, 300.0):
+            t = np.sort(60.0 * np.arange(n) + 60 * jitter * (rng.random(n) - 0.5))
+            t = t - t[0]
+            lo, hi = BE.period_range(t[-1], n)
+            which = BE.candidates(t, lo, hi)
+            assert len(which) < 400
+            assert BE._spectrum(*BE.resultant(t, lo, hi, which), n, lo, hi, t[-1], which) == BE._spectrum(*BE.resultant(t, lo, hi), n, lo, hi, t[-1])
+    assert len(BE.candidates(np.array([0.0, 1.0, 1e12]), 0.5, 3600.0)) == BE.N_PERIODS  # turns of such phases have no digits left
+
+
+def test_channels_are_spread_over_more_tasks_than_their_join(spark):
+    rows = [(f"s{i % 40}", "d", 7.0 * i, 100, 443, i) for i in range(800)]
+    frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, start_ts double, bytes long, dst_port int, flow_seq long")
+    plan = BE.score_beacons(frame)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan.split("== Physical Plan ==")[1]
+
+
+def test_a_condition_on_the_score_repeats_no_feature(spark):
+    names = spark.createDataFrame([(i, f"xk{i}mz9qp2vw7bnrt.info") for i in range(3)], "frame_no long, qname string")
+    plan = score_names(names).where("is_dga").select("frame_no", "prob", "family")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
+
+
 def test_rayleigh_in_slices(spark, monkeypatch):
     rows = [("s", "d", 7.0 * i + (i % 3) * 0.1, 100, 443, i) for i in range(60)]
     frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, start_ts double, bytes long, dst_port int, flow_seq long")
