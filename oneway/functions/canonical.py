@@ -45,10 +45,11 @@ def text(s: Column) -> Column:
 
 def double(x: Column) -> Column:
     s = x.cast("double").cast("string")
-    whole, part, power = F.regexp_extract(s, r"^-?([0-9]+)", 1), F.regexp_extract(s, r"\.([0-9]+)", 1), F.regexp_extract(s, r"[eE]([+-]?[0-9]+)$", 1)
+    mantissa = F.substring_index(s, "E", 1)  # texts are cut rather than matched: each of the parts is read several times
+    whole, part = F.ltrim(F.substring_index(mantissa, ".", 1), F.lit("-")), F.substring_index(mantissa, ".", -1)
     digits = F.ltrim(F.concat(whole, part), F.lit("0"))
     short = F.rtrim(digits, F.lit("0"))
-    power = F.when(power == "", 0).otherwise(F.try_to_number(power, F.lit("S999")).cast("int")) - F.length(part) + F.length(digits) - F.length(short)
+    power = F.when(s.contains("E"), F.substring_index(s, "E", -1).try_cast("int")).otherwise(0) - F.length(part) + F.length(digits) - F.length(short)
     number = F.concat(F.when(s.startswith("-"), "-").otherwise(""), F.when(short == "", "0e0").otherwise(F.concat(short, F.lit("e"), power.cast("string"))))
     return F.when(s.isin("NaN", "Infinity", "-Infinity"), F.concat(F.lit('"'), s, F.lit('"'))).otherwise(number)
 

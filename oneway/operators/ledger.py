@@ -130,7 +130,7 @@ def seal(blocks: DataFrame, key: bytes, sensor: str = "sensor_id", heads: DataFr
     one hash, and only index, time and root travel; digests stay where they are.  ``heads`` (sensor, index, header_hash) are the last blocks of chains
     to go on from; their sensors' blocks have later indexes.
     """
-    rooted = merkle_root(blocks, "digests", BATCH)
+    rooted = written(merkle_root(blocks, "digests", BATCH), "blocks")  # headers and digests are read apart
     at = F.col("ts").cast("double")
     rows = rooted.select(F.col(sensor).cast("string").alias("s"), F.col("index").cast("long").alias("index"), at.alias("ts"), _at(at).cast("string").alias("at"), "merkle_root", F.lit(None).cast("string").alias("head"))
     if heads is not None:

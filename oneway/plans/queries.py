@@ -24,6 +24,7 @@ from oneway.operators import metrics as ME
 from oneway.operators import policy as PO
 from oneway.operators import profile as PR
 from oneway.operators import tunnel as TU
+from oneway.operators.shared import written
 from oneway.plans import oracle as O
 from oneway.plans.adapters import adapter, duck
 from oneway.schema import FLOW_KEY
@@ -527,7 +528,7 @@ def K7_verify_evidence(spark, d):
     """Alerts against the sealed digests, a tenth of them changed after sealing."""
     digest = LE.bundle_digest(*_bundle_parts(F.when(F.col("seq") % 10 == 3, F.lit("elsewhere")).otherwise(F.col("flow_key"))))
     alerts = adapter(spark, d, "alerts").select("seq", F.col("detector").alias("sensor_id"), digest.alias("digest"))
-    chain = _chain(spark, d)
+    chain = written(_chain(spark, d), "chain")
     proofs = LE.bundle_proofs(chain).join(LE.verify_chain(chain, SIGNING_KEY).select("sensor_id", "intact"), "sensor_id")
     proofs = proofs.select("sensor_id", F.col("leaf").alias("digest"), (F.col("verified") & F.col("intact")).alias("verified"))
     return alerts.join(proofs, ["sensor_id", "digest"], "left").select("seq", F.coalesce("verified", F.lit(False)).alias("verified"))
