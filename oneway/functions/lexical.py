@@ -42,8 +42,8 @@ def trimmed(qname: Column) -> Column:
 
 def second_level(qname: Column) -> Column:
     """The last two labels in lower case; a name of one label is returned as it came."""
-    parts = F.split(trimmed(qname), "[.]")
-    return F.when(F.size(parts) >= 2, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(qname)
+    q = trimmed(qname)
+    return F.when(F.contains(q, F.lit(".")), F.substring_index(q, ".", -2)).otherwise(qname)
 
 
 def subdomain(qname: Column, domain: Column) -> Column:
@@ -56,13 +56,12 @@ def subdomain(qname: Column, domain: Column) -> Column:
 
 def heuristic_label(qname: Column) -> Column:
     """The second label from the end; the only label of a bare name."""
-    parts = F.split(trimmed(qname), "[.]")
-    return F.when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(F.element_at(parts, 1))
+    return F.substring_index(F.substring_index(trimmed(qname), ".", -2), ".", 1)
 
 
 def model_label(qname: Column) -> Column:
     """The leftmost label."""
-    return F.element_at(F.split(trimmed(qname), "[.]"), 1)
+    return F.substring_index(trimmed(qname), ".", 1)
 
 
 #: A letter before another one, and one that begins a common bigram: matches of one letter each, so overlapping pairs all count.

@@ -14,10 +14,10 @@ from oneway.functions.lexical import heuristic_label, second_level
 from oneway.operators.beacon import score_beacons
 from oneway.operators.dga import score_names
 from oneway.operators.floods import flood_findings
-from oneway.operators.flows import dns_questions, flows
+from oneway.operators.flows import dns_questions, flow_key, flows
 from oneway.operators.ranges import positions
 from oneway.operators.shared import written
-from oneway.operators.tunnel import score_tunnels
+from oneway.operators.tunnel import domains, scored
 
 #: Names that one second-level domain may have before its names are the tunnel detector's affair.
 MANY_NAMES = 12
@@ -31,16 +31,20 @@ def title_case(threat: Column) -> Column:
     return F.initcap(F.replace(threat, F.lit("_"), F.lit(" ")))
 
 
-def excluded_domains(questions: DataFrame, tunnels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Domains whose names are not judged one by one: detected tunnels, and those with many distinct names."""
-    named = questions.select(*by, second_level(F.col("qname")).alias("domain"), "qname").distinct()
-    many = named.groupBy(*by, "domain").count().where(F.col("count") >= MANY_NAMES).select(*by, "domain")
+def excluded_domains(questions: DataFrame, tunnels: DataFrame, by: Sequence[str] = (), table: DataFrame | None = None) -> DataFrame:
+    """Domains whose names are not judged one by one: detected tunnels, and those with many distinct names.  ``table``: the rows of
+    ``domains``, where they are at hand."""
+    if table is None:
+        named = questions.select(*by, "qname").distinct().withColumn("domain", second_level(F.col("qname")))
+        table = named.groupBy(*by, "domain").agg(F.count("*").alias("distinct_names"))
+    many = table.where(F.col("distinct_names") >= MANY_NAMES).select(*by, "domain")
     return tunnels.where("is_tunnel").select(*by, "domain").union(many).distinct()
 
 
-def dga_candidates(questions: DataFrame, tunnels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def dga_candidates(questions: DataFrame, tunnels: DataFrame, by: Sequence[str] = (), excluded: DataFrame | None = None) -> DataFrame:
     """The first name of each label, outside the excluded domains, by arrival."""
-    rows = questions.withColumn("domain", second_level(F.col("qname"))).join(excluded_domains(questions, tunnels, by), [*by, "domain"], "left_anti")
+    excluded = excluded_domains(questions, tunnels, by) if excluded is None else excluded
+    rows = questions.withColumn("domain", second_level(F.col("qname"))).join(excluded, [*by, "domain"], "left_anti")
     rows = rows.withColumn("dedupe", heuristic_label(F.col("qname")))
     first = F.min_by(F.struct(*(c for c in rows.columns if c != "dedupe" and c not in by)), F.struct("frame_no", "qname"))  # reduced before it meets
     return rows.groupBy(*by, "dedupe").agg(first.alias("__first")).select(*by, "__first.*")
@@ -52,19 +56,22 @@ def alerts(packets: DataFrame, window_s: float = 30.0, questions: DataFrame | No
 
     With ``by``, columns of the packets such as a sensor and a window's number, every value is judged for itself, in one plan, and the alerts
     carry these columns.  The four branches read the flows and questions many times with different columns, which would scan and shuffle the
-    packets as often; so flows, questions and scored domains are written once to the shared folder.
+    packets as often; so flows, questions, domains and those excluded are written once to the shared folder.  Of the excluded ones the planner then
+    knows the size: few are sent to the questions, which stay in place.
     """
     by = list(by)
-    table = written(flows(packets, by), "flows")
+    table = written(flows(packets, by).drop("flow_key"), "flows").withColumn("flow_key", flow_key())
     questions = dns_questions(packets, by) if questions is None else questions
-    if "flow_key" not in questions.columns:
-        questions = questions.withColumn("flow_key", F.lit(None).cast("string"))
     questions = written(questions, "questions")
     lit = F.lit
     floods = flood_findings(table, by=by)
     beacons = score_beacons(table, by).where("is_beacon")
-    tunnels = written(score_tunnels(questions, window_s, by=by), "tunnels")
-    names = score_names(dga_candidates(questions, tunnels, by)).where("is_dga")
+    named = written(domains(questions, by), "domains")
+    tunnels = scored(named, window_s)
+    excluded = written(excluded_domains(questions, tunnels, by, named), "excluded")
+    names = score_names(dga_candidates(questions.drop("ts", "qtype"), tunnels, by, excluded)).where("is_dga")
+    if "flow_key" not in names.columns:
+        names = names.withColumn("flow_key", F.lit(None).cast("string"))
     found = tunnels.where("is_tunnel")
 
     def branch(rows: DataFrame, number: int, detector: str, threat: Column, confidence: Column, key: Column, subject: Column, seq: Column, title: Column) -> DataFrame:

@@ -17,24 +17,32 @@ EXOTIC = ("TXT", "NULL", "CNAME", "MX", "AAAA?")
 
 def domains(questions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per second-level domain (of each value of ``by``).  Distinct subdomains and names are counted in two levels, per name then per domain, so a
-    domain with most of the traffic is spread over its names."""
-    q = questions if "flow_key" in questions.columns else questions.withColumn("flow_key", F.lit(None).cast("string"))
-    q = q.withColumn("domain", second_level(F.col("qname")))
-    q = q.withColumn("sub", subdomain(F.col("qname"), F.col("domain")))
-    names = q.groupBy(*by, "domain", "qname", "sub").agg(F.count("*").alias("n"), F.count_if(F.upper("qtype").isin(*EXOTIC)).alias("exotic"), F.min("frame_no").alias("first"), F.min_by("flow_key", "frame_no").alias("flow_key"))
-    names = names.withColumns({"len": F.length("sub"), "ent": entropy(F.col("sub"))})
-    subs = names.groupBy(*by, "domain", "sub").agg(F.sum("n").alias("n"), F.sum("exotic").alias("exotic"), F.count("*").alias("names"), F.min("first").alias("first"), F.min_by("flow_key", "first").alias("flow_key"), F.first("len").alias("len"), F.first("ent").alias("ent"))
+    domain with most of the traffic is spread over its names.  Domain and subdomain follow from the name, so they are cut from distinct names; flow keys
+    travel only where questions have them, since texts in an aggregate make it sort."""
+    keyed = "flow_key" in questions.columns
+    key = lambda order: [F.min_by("flow_key", order).alias("flow_key")] if keyed else []
+    names = questions.groupBy(*by, "qname").agg(F.count("*").alias("n"), F.count_if(F.upper("qtype").isin(*EXOTIC)).alias("exotic"), F.min("frame_no").alias("first"), *key("frame_no"))
+    names = names.withColumn("domain", second_level(F.col("qname")))
+    names = names.withColumn("sub", subdomain(F.col("qname"), F.col("domain")))
+    subs = names.groupBy(*by, "domain", "sub").agg(F.sum("n").alias("n"), F.sum("exotic").alias("exotic"), F.count("*").alias("names"), F.min("first").alias("first"), *key("first"))
+    subs = subs.withColumns({"len": F.length("sub"), "ent": entropy(F.col("sub"))})
     some = F.col("sub") != ""
-    return subs.groupBy(*by, "domain").agg(
-        F.sum("n").alias("queries"), F.sum("exotic").alias("exotic"), F.sum("names").alias("distinct_names"), F.min("first").alias("first"), F.min_by("flow_key", "first").alias("flow_key"),
+    rows = subs.groupBy(*by, "domain").agg(
+        F.sum("n").alias("queries"), F.sum("exotic").alias("exotic"), F.sum("names").alias("distinct_names"), F.min("first").alias("first"), *key("first"),
         F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("with_sub"), F.count_if(some).alias("distinct_subs"),
         F.coalesce(F.sum(F.when(some, F.col("n") * F.col("len"))), F.lit(0)).alias("sub_chars"), F.coalesce(F.sum(F.when(some, F.col("n") * F.col("ent"))), F.lit(0.0)).alias("sub_bits"),
     )
+    return rows if keyed else rows.withColumn("flow_key", F.lit(None).cast("string"))
 
 
 def score_tunnels(questions: DataFrame, window_s: float = 30.0, threshold: float = 0.6, min_queries: int = 15, by: Sequence[str] = ()) -> DataFrame:
     """Domains with enough questions: features, score, gate, confidence and the bytes that the names could carry."""
-    rows = domains(questions, by).where(F.col("queries") >= min_queries)
+    return scored(domains(questions, by), window_s, threshold, min_queries)
+
+
+def scored(table: DataFrame, window_s: float = 30.0, threshold: float = 0.6, min_queries: int = 15) -> DataFrame:
+    """As ``score_tunnels``, of the rows of ``domains``."""
+    rows = table.where(F.col("queries") >= min_queries)
     rows = rows.withColumns(
         {
             "mean_len": ratio("sub_chars", "with_sub"), "mean_entropy": ratio("sub_bits", "with_sub"), "unique_ratio": ratio("distinct_subs", "with_sub"),

@@ -17,9 +17,11 @@ from oneway.operators import ledger as LE
 from oneway.operators import metrics as ME
 from oneway.operators import policy as PO
 from oneway.operators import profile as PR
-from oneway.operators.alerts import packet_hashes
+from oneway.operators import tunnel as TU
+from oneway.operators.alerts import dga_candidates, excluded_domains, packet_hashes
 from oneway.operators.dga import NgramNet, model_inputs, score_names, score_with_net, train_net
 from oneway.operators.floods import flood_findings
+from oneway.operators.shared import written
 from oneway.operators.tunnel import score_tunnels
 from oneway.plans.adapters import adapter
 from oneway.schema import ACK
@@ -169,6 +171,30 @@ def test_a_condition_on_the_score_repeats_no_feature(spark):
     assert plan.count("array_distinct") == 1
 
 
+def test_questions_without_flow_keys_are_not_sorted_and_stay_in_place(spark):
+    q = spark.createDataFrame([(i, f"{'abcdefgh'[i % 8]}{i}.{'Many' if i % 2 else 'few' + str(i)}.org.", "A", 0.0, "c", "d") for i in range(60)], "frame_no long, qname string, qtype string, ts double, src_ip string, dst_ip string")
+    table = TU.domains(q)
+    assert "SortAggregate" not in table._jdf.queryExecution().toString()
+    rows = {r.domain: r for r in table.collect()}
+    assert len(rows) == 31 and rows["many.org"].distinct_names == 30 and rows["many.org"].first == 1 and rows["few2.org"].flow_key is None
+    keyed = {r.domain: r for r in TU.domains(q.withColumn("flow_key", F.concat(F.lit("k"), "frame_no"))).collect()}
+    assert keyed["many.org"].flow_key == "k1"
+    tunnels = TU.scored(table)
+    excluded = written(excluded_domains(q, tunnels, (), table), "excluded")
+    assert [r.domain for r in excluded.collect()] == [r.domain for r in excluded_domains(q, tunnels).collect()] == ["many.org"]
+    rows = dga_candidates(q, tunnels, (), excluded)
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().toString()
+    assert sorted(map(str, rows.collect())) == sorted(map(str, dga_candidates(q, tunnels).collect())) and rows.count() == 30
+
+
+@pytest.mark.parametrize("name", ["", ".", "..", "A", "com.", ".com", "a..B", "x.y.Z.", "..a.b", "A.b..", "a. .c"])
+def test_labels_are_cut_as_by_splitting(spark, name):
+    q = F.lit(name)
+    parts = name.strip(".").lower().split(".")
+    told = spark.range(1).select(second_level(q).alias("s"), heuristic_label(q).alias("h"), model_label(q).alias("m")).first()
+    assert tuple(told) == (".".join(parts[-2:]) if len(parts) > 1 else name, parts[-2] if len(parts) > 1 else parts[0], parts[0])
+
+
 def test_rayleigh_in_slices(spark, monkeypatch):
     rows = [("s", "d", 7.0 * i + (i % 3) * 0.1, 100, 443, i) for i in range(60)]
     frame = spark.createDataFrame(rows, "src_ip string, dst_ip string, start_ts double, bytes long, dst_port int, flow_seq long")
