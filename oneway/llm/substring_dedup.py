@@ -34,11 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oneway.llm.shared import materialize, partitions
-from oneway.llm.textkit import U64, Words, chunks, grams, group_starts, longs, mix, pack, sliding_min, text_buffer, text_bytes, unpack
+from oneway.llm.textkit import U64, Words, chunks, give_back, grams, group_starts, longs, mix, pack, sliding_min, text_buffer, text_bytes, tidied, unpack
 
 NO_ID = -(1 << 63)
 #: Anchors or windows up to this many are broadcast (8 or 40 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 200_000
+#: Bytes of text whose anchors are found in one call, which needs some thirty times as much.
+SEED_BYTES = 512 << 10
+#: Bytes of text that a task holds before it sends them by bucket.
+HELD_BYTES = 24 << 20
 
 SPAN, OPEN, WIDE = 1, 2, 3  # repeated words; an anchor to be extended; one to be extended window by window
 _SENT = "bucket int, data binary"
@@ -116,6 +120,7 @@ def _seed(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int,
 
     def flush():
         ids, tags, size, doc, pos, anchor, around = (np.concatenate([x[i] for x in held]) for i in range(7))
+        held.clear()
         if len(ids) != len(once := np.unique(np.stack([ids, tags.view(np.int64)]), axis=1, return_index=True)[1]):
             only = np.zeros(len(ids), bool)  # rows equal in id and text share their spans
             only[once] = True
@@ -159,7 +164,7 @@ def _seed(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int,
         yield from _sent(rows)
 
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, most=SEED_BYTES):
             words = Words(*text_buffer(part.column("text")))
             at, anchor, around = anchors(words, words.hashes(), length, k)
             doc = words.text_of_word()[at]
@@ -168,7 +173,8 @@ def _seed(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int,
             n_words += len(words)
             if n_words >= flush_words:
                 yield from flush()
-                held, n_docs, n_words = [], 0, 0
+                n_docs = n_words = 0
+                give_back()
     if held:
         yield from flush()
 
@@ -215,6 +221,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int
             if b != bucket:
                 yield from join(parts)
                 parts, bucket, rows, over = [], b, 0, False
+                give_back()
             parts.append(columns)
             rows += len(columns[3])
             if over or rows > most:
@@ -230,10 +237,15 @@ def _pack_texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
 
     def flush():
         rows = []
-        for bucket, docs in held.items():
+        while held:  # texts go as they are packed
+            bucket, docs = held.popitem()
             ids, tags, null, n, raw = zip(*((*k, *v) for k, v in docs.items()))
             blob = np.frombuffer(b"".join(raw), np.uint8)
             rows.append((bucket, pack(np.array(ids, np.int64), np.array(tags, np.int64), np.array(null, np.uint8), np.array(n, np.int64), np.array([len(x) for x in raw], np.int64), blob)))
+            del docs, raw, blob
+            if len(rows) == 64:
+                yield from _sent(rows)
+                rows = []
         yield from _sent(rows)
 
     for batch in batches:
@@ -244,9 +256,10 @@ def _pack_texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
                 docs = held.setdefault(b, {})
                 docs[(d, t, none)] = (docs.get((d, t, none), (0,))[0] + 1, raw)
                 size += len(raw)
-            if size >= 24 << 20:
+            if size >= HELD_BYTES:
                 yield from flush()
-                held, size = {}, 0
+                size = 0
+                give_back()
     if held:
         yield from flush()
 
@@ -262,6 +275,7 @@ def _texts(data: pd.Series) -> Iterator[tuple[int, int, bool, int, bytes]]:
 
 def _look_up(texts: pd.DataFrame, asked: pd.DataFrame, length: int, k: int) -> pd.DataFrame:
     """The words around the anchors asked for."""
+    give_back()  # of the bucket before
     by: dict[tuple[int, int], list] = {}
     for kind, d, t, start, n, anchor in zip(*(asked[c].tolist() for c in ("kind", "id", "tag", "start", "n", "anchor"))):
         by.setdefault((d, t), []).append((kind, start, n, anchor))
@@ -358,6 +372,7 @@ def _by_window(wide: DataFrame, length: int, k: int, crowd: int) -> DataFrame:
 
 def _cut(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     """Remove the spans from a bucket's texts."""
+    give_back()  # of the bucket before
     found: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, t, s, n in zip(*(spans[c].tolist() for c in ("id", "tag", "start", "n"))):
         found.setdefault((d, t), []).append((s, n))
@@ -389,9 +404,9 @@ def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4, ho
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark, total)
-    seeds = docs.mapInArrow(lambda it: _seed(it, length, k, n, hot, flush), _SENT)
-    found = materialize(seeds.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _settle(it, length, k, n, most), _FOUND), "found")
-    texts = docs.mapInArrow(lambda it: _pack_texts(it, n), _SENT).groupBy("bucket")
+    seeds = docs.mapInArrow(lambda it: tidied(_seed(it, length, k, n, hot, flush)), _SENT)
+    found = materialize(seeds.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: tidied(_settle(it, length, k, n, most)), _FOUND), "found")
+    texts = docs.mapInArrow(lambda it: tidied(_pack_texts(it, n)), _SENT).groupBy("bucket")
     context = texts.cogroup(found.where(F.col("kind") != SPAN).groupBy("bucket")).applyInPandas(lambda t, a: _look_up(t, a, length, k), _CONTEXT)
     context = materialize(context, "context")
     # the windows of anchors that many documents ask for are joined one by one, too
@@ -399,7 +414,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, anchor_words: int = 4, ho
     many = _few(many)
     near, far = context.where("not wide"), context.where("wide")
     near, far = near.join(many, "anchor", "left_anti"), far.unionByName(near.join(many, "anchor", "left_semi").select(context.columns))
-    near = near.select(context.columns).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _extended(it, length, k), _SPANS)
+    near = near.select(context.columns).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: tidied(_extended(it, length, k)), _SPANS)
     spans = found.where(F.col("kind") == SPAN).select("bucket", "id", "tag", "start", "n")
     spans = spans.unionByName(near).unionByName(_by_window(far, length, k, crowd))
     return texts.cogroup(spans.groupBy("bucket")).applyInPandas(_cut, _OUT)

@@ -6,7 +6,9 @@ words get 64-bit hashes from lanes of eight bytes, so no Python object is made p
 
 from __future__ import annotations
 
+import ctypes
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,8 @@ U64 = np.uint64
 #: Bytes of text that one kernel call handles (a longer single text is one call of its own).
 CHUNK_BYTES = 2 << 20
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -140,6 +144,23 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         at = to
 
 
+def give_back() -> None:
+    """Return what Arrow's pool and the C library hold free to the system.  Python workers are reused from stage to stage, and would
+    otherwise keep the most that any step has needed, in pieces."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; when it ends, its memory is given back."""
+    try:
+        yield from batches
+    finally:
+        del batches
+        give_back()
+
+
 def longs(column: pa.Array) -> np.ndarray:
     """A long column as int64; nulls become the smallest long."""
     return column.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)

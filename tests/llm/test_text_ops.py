@@ -1,5 +1,8 @@
 import hashlib
 import math
+import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -114,6 +117,36 @@ def test_substring_dedup_equal_rows_and_smallest_id(spark):
     assert got == {(low, 0): 3, (None, 0): 2, (4, 30): 3}
 
 
+WORKER = """
+import re
+import sys
+from pyspark.sql import SparkSession, functions as F
+from oneway.llm.substring_dedup import substring_dedup
+
+def held(batches):
+    yield from batches
+    text = open("/proc/self/smaps_rollup").read()
+    print("HELD", sum(map(int, re.findall("Pss_Anon: +([0-9]+)", text))) // 1024, flush=True)
+
+conf = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.enabled": "false"}
+spark = SparkSession.builder.master("local[1]").config(map=conf).getOrCreate()
+word = "concat(substring('seventeen', 1, 1 + cast(abs(xxhash64(id, i)) % 9 as int)), cast(abs(xxhash64(i, id)) % 5000 as string))"
+docs = spark.range(0, 20000, 1, 1).select(F.col("id").alias("doc_id"), F.expr(f"concat_ws(' ', transform(sequence(1, 400), i -> {word}))").alias("text"))
+docs.write.parquet(sys.argv[1])
+substring_dedup(spark.read.parquet(sys.argv[1])).write.format("noop").mode("overwrite").save()
+spark.range(0, 1, 1, 1).mapInArrow(held, "id long").collect()
+spark.stop()
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads smaps")
+def test_substring_dedup_gives_memory_back(tmp_path):
+    """A worker that has gone through all stages, and waits for the next, holds little more than its libraries."""
+    ran = subprocess.run([sys.executable, "-c", WORKER, str(tmp_path / "docs")], capture_output=True, text=True, timeout=300)
+    held = re.findall(r"HELD (\d+)", ran.stdout + ran.stderr)
+    assert held and int(held[-1]) < 105, (held, ran.stderr[-2000:])
+
+
 def brute_simhash(rows, k=3):
     prints = {}
     for d, t in rows:
