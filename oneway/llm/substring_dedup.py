@@ -39,7 +39,7 @@ from oneway.llm.textkit import U64, Words, chunks, give_back, grams, group_start
 NO_ID = -(1 << 63)
 #: Anchors or windows up to this many are broadcast (8 or 40 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 200_000
-#: Bytes of text whose anchors are found in one call, which needs some thirty times as much.
+#: Bytes of text whose anchors are found in one call; its arrays, of eight bytes a word and more, take many times as much.
 SEED_BYTES = 512 << 10
 #: Bytes of text that a task holds before it sends them by bucket.
 HELD_BYTES = 24 << 20
